@@ -54,3 +54,24 @@ def row_chunks(off: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
         yield i, j
         i = j
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal values in the first `keys` columns (numbers without nulls), across batches."""
+    held, last = [], None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        if not batch.num_rows:
+            continue
+        change = np.ones(batch.num_rows, bool)
+        change[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+        bounds = np.append(np.flatnonzero(change), batch.num_rows).tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            key = tuple(x[a] for x in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
