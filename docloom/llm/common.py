@@ -75,3 +75,24 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
             last = key
     if held:
         yield pa.Table.from_batches(held)
+
+
+def put_file(folder: str, name: str, content: bytes) -> str:
+    """Write under another name first, so a lost or repeated task never leaves half a file."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    part = f"{root}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        f.write(content)
+    store.move(part, f"{root}/{name}")
+    return f"{folder}/{name}"
+
+
+def get_file(path: str) -> bytes:
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(name) as f:
+        return f.read()

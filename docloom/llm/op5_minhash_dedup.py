@@ -241,7 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     member = classes.select("sig", "rep").join(member.hint("merge"), "sig", "left").select("sig", F.coalesce("least", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "sig").join(member.hint("merge"), "sig", "left")
     found = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
