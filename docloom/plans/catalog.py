@@ -1,4 +1,9 @@
 """All registered queries of the engine's own operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from docloom.plans import text_queries
+
+MODULES = [text_queries]
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
