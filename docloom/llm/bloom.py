@@ -30,7 +30,7 @@ def build(keys: DataFrame, column: str) -> np.ndarray:
     # The low half times a 32-bit number, modulo 2**32, in two parts that don't overflow a long.
     product = "((h & 65535L) * {0}L + (((shiftrightunsigned(h, 16) & 65535L) * {0}L & 65535L) << 16)) & 4294967295L"
     bits = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned({product.format(int(s))}, 27) as int))") for s in _SALTS]
-    rows = keys.where(F.col(column).isNotNull()).select(h.alias("h")).select(_block(F.col("h"), blocks).alias("block"), *(b.alias(f"w{k}") for k, b in enumerate(bits))).groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(8))).toPandas()
+    rows = keys.select(h.alias("h")).select(_block(F.col("h"), blocks).alias("block"), *(b.alias(f"w{k}") for k, b in enumerate(bits))).groupBy("block").agg(*(F.bit_or(f"w{k}").alias(f"w{k}") for k in range(8))).toPandas()
     out = np.zeros((blocks, 8), np.uint32)
     if len(rows):
         out[rows["block"].to_numpy()] = rows[[f"w{k}" for k in range(8)]].to_numpy().astype(np.int64).astype(np.uint32)

@@ -8,8 +8,8 @@ pairs whose estimate is far below the threshold go no further; the rest is verif
 
 Equal sets are one class from the start. Within a bucket, members are first compared with its smallest class only.
 Buckets whose members are then linked already are done; in the others, only classes outside the bucket's largest
-component are compared with the rest, in blocks. So no bucket's pairs are emitted, and no link between different
-components is lost but for the chance that two linked sets share no band: at similarity 0.85 below 1e-8, at 0.8
+component are compared with the rest, in blocks whose tasks hold the full sets and return a spanning forest of the
+links they verify. So no bucket's pairs are emitted, and no link between different components is lost but for the chance that two linked sets share no band: at similarity 0.85 below 1e-8, at 0.8
 below 1e-5, and that their estimate is CUT below the threshold (over four standard deviations).
 
 Defined results: documents without words have n_shingles 0, a component of their own and are kept; rows that share
@@ -38,7 +38,7 @@ BANDS = M // ROWS
 B, RATE = 1.08, 20.0
 CUT = 0.11
 #: Classes of a bucket that are compared in one block.
-BLOCK = 1000
+BLOCK = 400
 _WORD = np.ones(256, bool)
 _WORD[0x20] = False
 _WORD[0x09:0x0E] = False
@@ -143,10 +143,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return joined.select("a", "b", "n_a", "regs_a", "n_b", "regs_b").select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets satisfy 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(classes.hint("merge"), "sig").select("sig", "rep")
-    wanted = written(wanted, "op5-wanted")
+def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, members: sorted hashes) of the wanted classes, from their first documents' whole texts."""
+    wanted = written(wanted.distinct().join(classes.hint("merge"), "sig").select("sig", "rep"), "op5-wanted")
     words = bloom.build(wanted, "rep")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,52 +156,95 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
                 found = [s for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i]) if len(s)]
                 yield pa.RecordBatch.from_pydict({"sig": pa.array([signature(s) for s in found], pa.binary()), "members": pa.array([s.tobytes() for s in found], pa.binary())})
 
+    # The filter passes few other documents; the join with the wanted classes removes them. A class without an id in
+    # its first document is sought by the hash of a null, which is in the filter as any other.
+    full = _texts(docs).withColumn("h", bloom.key_hash("doc_id")).mapInArrow(sets, "sig binary, members binary")
+    return written(full.join(wanted.select("sig").hint("merge"), "sig", "left_semi").dropDuplicates(["sig"]), "op5-sets")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets satisfy 100 * intersection >= percent * union."""
+    full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("sig")), docs, classes)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [_similar(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    # The filter passes few other documents; the join with the wanted classes removes them.
-    full = _texts(docs).withColumn("h", bloom.key_hash("doc_id")).where("doc_id is not null or text is not null").mapInArrow(sets, "sig binary, members binary")
-    full = written(full.join(wanted.select("sig").hint("merge"), "sig", "left_semi").dropDuplicates(["sig"]), "op5-sets")
     joined = pairs.join(full.select(F.col("sig").alias("a"), F.col("members").alias("x")).hint("merge"), "a").join(full.select(F.col("sig").alias("b"), F.col("members").alias("y")).hint("merge"), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
 
 
-def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs between components within blocks of buckets; each pair in the first of its common bands alone."""
+class _Part:
+    """Rows of a block as arrays."""
+
+    def __init__(self, group: pa.Table):
+        self.sig = [x.as_py() for x in group.column("sig")]
+        self.comp = mix(np.ascontiguousarray(utf8_column(group.column("comp"))[0].reshape(-1, 16)).view(U64) * _WEIGHTS[:2]).sum(axis=1)
+        self.regs = utf8_column(group.column("regs"))[0].reshape(-1, M)
+        self.bands = self.regs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+        self.n, self.minor = group.column("n").to_numpy(), group.column("minor").to_numpy()
+        self.data, self.off = utf8_column(group.column("members"))
+
+    def members(self, i: int) -> np.ndarray:
+        return self.data[self.off[i] : self.off[i + 1]].view(U64)
+
+
+def _cross_links(rows: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links between components within blocks of buckets, as spanning forests; each pair in the first of its common bands alone.
+
+    rows: key, block, slot (0: those that live in the block, then the visitors in slices), band, sig, comp, n, regs, minor, members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, 2):
-            sig = utf8_column(group.column("sig"))[0].reshape(-1, 16)
-            comp = mix(np.ascontiguousarray(utf8_column(group.column("comp"))[0].reshape(-1, 16)).view(U64) * _WEIGHTS[:2]).sum(axis=1)
-            regs = utf8_column(group.column("regs"))[0].reshape(-1, M)
-            n, home, minor = (group.column(x).to_numpy() for x in ("n", "home", "minor"))
-            band = group.column("band")[0].as_py()
-            bands = regs[:, : BANDS * ROWS].reshape(len(regs), BANDS, ROWS)
-            left, right = [], []
-            for i in np.flatnonzero(minor).tolist():
-                other = np.flatnonzero(home & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= 100 * threshold * np.maximum(n, n[i])))
-                other = other[~minor[other] | (other > i) | (not home[i])]
-                if len(other):
-                    other = other[(bands[other] == bands[i]).all(axis=2).argmax(axis=1) == band]
+        at, home, parent = None, None, {}
+
+        def find(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for group in runs(batches, 3):
+            key, slot, part = (group.column("key")[0].as_py(), group.column("block")[0].as_py()), group.column("slot")[0].as_py(), _Part(group)
+            if key != at:
+                at, home, parent = key, None, {}
+            if slot == 0:
+                home = part
+            if home is None:
+                continue
+            band, left, right = group.column("band")[0].as_py(), [], []
+            for i in np.flatnonzero(part.minor).tolist():
+                n = part.n[i]
+                other = (home.comp != part.comp[i]) & (100 * np.minimum(home.n, n) >= percent * np.maximum(home.n, n))
+                if part is home:
+                    other &= ~home.minor | (np.arange(len(other)) > i)
+                other = np.flatnonzero(other)
                 if len(other):
-                    up, down = (regs[i] > regs[other]).sum(axis=1), (regs[i] < regs[other]).sum(axis=1)
-                    other = other[estimate(up, down, np.full(len(other), float(n[i])), n[other].astype(float)) >= threshold - CUT]
-                    left += [sig[i].tobytes()] * len(other)
-                    right += [sig[k].tobytes() for k in other]
+                    other = other[(home.bands[other] == part.bands[i]).all(axis=2).argmax(axis=1) == band]
+                if not len(other):
+                    continue
+                likely = estimate((part.regs[i] > home.regs[other]).sum(axis=1), (part.regs[i] < home.regs[other]).sum(axis=1), np.full(len(other), float(n)), home.n[other].astype(float))
+                mine = part.members(i)
+                for k in other[np.argsort(-likely)][: int((likely >= threshold - CUT).sum())].tolist():
+                    a, b = find(int(part.comp[i])), find(int(home.comp[k]))
+                    if a != b and _similar(mine, home.members(k), percent):
+                        parent[a] = b
+                        left.append(part.sig[i])
+                        right.append(home.sig[k])
             if left:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
-    return members.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a binary, b binary")
+    keys = ["key", "block", "slot"]
+    return rows.repartition("key", "block").sortWithinPartitions(*keys).select(*keys, "band", "sig", "comp", "n", "regs", "minor", "members").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -225,15 +267,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("n_comp"))
     major = parts.groupBy("key").agg(F.max(F.struct("n_comp", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).where("comps > 1")
     mixed = labelled.join(major.hint("merge"), "key").withColumn("minor", F.expr("comp <> major"))
-    mixed = mixed.join(classes.select("sig", "n", "regs").hint("merge"), "sig")
+    mixed = written(mixed, "op5-mixed")
+    full = _full_sets(mixed.select("sig"), docs, classes)
+    mixed = mixed.join(classes.select("sig", "n", "regs").hint("merge"), "sig").join(full.hint("merge"), "sig")
     # A class lives in one block of its bucket; those outside the major component visit the other blocks too.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
-    placed = mixed.withColumn("own", own).withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own")))).withColumn("home", F.expr("own = block"))
-    more = _cross_pairs(placed.select("key", "block", "band", "sig", "comp", "n", "regs", "minor", "home"), threshold)
-    more = written(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "op5-cross")
+    placed = mixed.withColumn("own", own).withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
+    slot = F.when(F.col("own") == F.col("block"), 0).otherwise(1 + F.pmod(F.xxhash64("sig", F.lit(1)), blocks)).cast("int")
+    more = written(_cross_links(placed.withColumn("slot", slot), threshold, percent), "op5-cross")
     if more.take(1):
-        links = links.unionByName(_verified(more, docs, classes, percent))
+        links = links.unionByName(more)
         comps = components(links)
     named = comps.join(classes.select(F.col("sig").alias("node"), "rep").hint("merge"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
