@@ -83,13 +83,13 @@ def noise_label(text: Column) -> Column:
 
 
 def joined_heading(text: Column) -> Column:
-    """Parts apart by two spaces or more; parts of three or more single characters become a word."""
+    """Parts apart by two spaces or more; a part of three or more letter-spaced characters becomes a word."""
     flat = strip(F.regexp_replace(F.coalesce(text, F.lit("")), "[\r\n]+", " "))
     parts = F.filter(F.split(flat, r"\s{2,}"), lambda p: strip(p) != "")
 
     def part(p: Column) -> Column:
-        tokens = F.filter(F.split(p, r"\s+"), lambda x: x != "")
-        return F.when((F.size(tokens) >= 3) & F.forall(tokens, lambda x: F.length(x) == 1), F.array_join(tokens, "")).otherwise(strip(p))
+        tokens = F.split(collapse(p), " ")
+        return F.when((F.size(tokens) >= 3) & F.forall(tokens, lambda x: x.rlike("^[A-Za-z0-9&/(),.-]$")), F.array_join(tokens, "")).otherwise(collapse(p))
 
     return strip(F.array_join(F.transform(parts, part), " "))
 

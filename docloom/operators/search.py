@@ -22,23 +22,24 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
-def chunk_lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.size(search_tokens(F.col("text"))).alias("dl"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(qid, term, times): the first TERMS tokens of each query; a repeated one counts again."""
     return queries.select("qid", F.explode(F.slice(search_tokens(F.col("query")), 1, TERMS)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
-    """The best chunks of each query: qid, chunk_id, score, rank. Ties go by chunk_id."""
-    lengths = chunk_lengths(chunks)
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    terms = small(query_terms(queries))
-    found = postings(chunks).join(terms, "term")
-    frequency = postings(chunks).join(small(query_terms(queries).select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    scored = found.join(small(frequency), "term").join(lengths.hint("merge"), "chunk_id").join(F.broadcast(corpus))
+    """The best chunks of each query: qid, chunk_id, score, rank. Ties go by chunk_id.
+
+    Only postings of the queries' terms are grouped and shuffled, with their chunk's length beside them.
+    """
+    tokens = chunks.select("chunk_id", search_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    corpus = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    asked = query_terms(queries)
+    every = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    found = every.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
+    terms = small(asked.join(frequency.hint("merge"), "term"))
+    scored = found.join(terms, "term").join(F.broadcast(corpus))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     totals = scored.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))

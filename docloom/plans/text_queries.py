@@ -235,9 +235,9 @@ ORACLE = {
     "review_routing": f"WITH {_OCR} SELECT source AS source_name, CASE WHEN reason IS NOT NULL OR bare = '' THEN 'review_required' ELSE 'direct' END AS route, count(*) AS documents FROM o GROUP BY 1, 2",
     "manual_entries": f"SELECT conv_id, turn, 'manual' AS source_type, {collapse('text')} AS text, 'high' AS status, 'direct' AS action, 1.0::DOUBLE AS valid_ratio, 1 AS page_count FROM conversations WHERE role = 'user'",
     "text_corpus": f"SELECT source AS source_name, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(len({lines('text')})) AS BIGINT) AS line_count FROM documents GROUP BY 1",
-    "heading_words": r"""WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60), '([A-Za-z])', '\1 ', 'g'), '([A-Za-z]) ([^A-Za-z]|$)', '\1\2', 'g') || '   ' || source, '[\r\n]+', ' ', 'g') AS s FROM documents),
-      p AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(s, '^\s+|\s+$', '', 'g'), '\s{2,}'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g') <> '') AS parts FROM h)
-      SELECT doc_id, regexp_replace(array_to_string(list_transform(parts, lambda x: CASE WHEN len(list_filter(regexp_split_to_array(x, '\s+'), lambda z: z <> '')) >= 3 AND len(list_filter(regexp_split_to_array(x, '\s+'), lambda z: length(z) > 1)) = 0 THEN array_to_string(list_filter(regexp_split_to_array(x, '\s+'), lambda z: z <> ''), '') ELSE regexp_replace(x, '^\s+|\s+$', '', 'g') END), ' '), '^\s+|\s+$', '', 'g') AS heading FROM p""",
+    "heading_words": rf"""WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60), '([A-Za-z])', '\1 ', 'g'), '([A-Za-z]) ([^A-Za-z]|$)', '\1\2', 'g') || '   ' || source, '[\r\n]+', ' ', 'g') AS s FROM documents),
+      p AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array({strip('s')}, '\s{{2,}}'), lambda x: {strip('x')} <> ''), lambda x: {collapse('x')}) AS parts FROM h)
+      SELECT doc_id, {strip("array_to_string(list_transform(parts, lambda x: CASE WHEN len(string_split(x, ' ')) >= 3 AND len(list_filter(string_split(x, ' '), lambda z: NOT regexp_matches(z, '^[A-Za-z0-9&/(),.-]$'))) = 0 THEN replace(x, ' ', '') ELSE x END), ' ')")} AS heading FROM p""",
     "chunk_noise": f"WITH {CHUNKS} SELECT label, label <> '' AS noise, count(*) AS chunks FROM label WHERE {strip('text')} <> '' GROUP BY 1, 2",
     "compact_text": rf"SELECT doc_id, CASE WHEN length(c) <= 80 THEN c ELSE rtrim(substr(c, 1, 80)) || '...' END AS short, md5(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g')) AS key_hash FROM (SELECT doc_id, text, {collapse('text')} AS c FROM documents)",
     "answer_modes": r"""WITH x AS (SELECT conv_id, text || CASE turn % 5 WHEN 0 THEN ' as slides' WHEN 1 THEN ' a decision memo' WHEN 2 THEN ' Lessons learned' ELSE '' END AS t FROM conversations),
