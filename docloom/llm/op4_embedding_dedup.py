@@ -46,7 +46,7 @@ class Quantiser:
 
     def residual(self, x: np.ndarray) -> np.ndarray:
         pad = -x.shape[1] % SUBSPACES
-        return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), SUBSPACES, -1)
+        return np.pad(x, ((0, 0), (0, pad))).reshape(len(x), SUBSPACES, (x.shape[1] + pad) // SUBSPACES)
 
     def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest list, and squared distances to all."""
@@ -163,6 +163,8 @@ def _linked(base: DataFrame, d: int, q: Quantiser, threshold: float) -> DataFram
                 # Within `far` of the half space of points that are nearer to c than to the query's own centre.
                 apart = np.sqrt(((q.centres[own] - q.centres[c]) ** 2).sum(1))
                 probe = np.flatnonzero(distance[:, c] - own_distance <= 2 * far * apart + 1e-9)
+                if not len(probe):
+                    continue
                 r = q.residual(x[probe] - q.centres[c])
                 tables = np.stack([np.maximum((r[:, s] ** 2).sum(1)[:, None] - 2 * r[:, s] @ q.words[s].T + (q.words[s] ** 2).sum(1), 0) for s in range(SUBSPACES)]).astype(np.float32)
                 for part in np.array_split(np.arange(len(probe)), max(1, len(probe) * len(inside) // _STEP)):
