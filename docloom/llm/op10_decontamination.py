@@ -83,7 +83,7 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
                 present, begin = np.unique(term[order], return_index=True)
                 yield pa.RecordBatch.from_pydict({
                     "segment": pa.array([segment]), "doc_ids": pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), "n_words": pa.array([np.diff(first)], pa.list_(pa.int64())),
-                    "terms": pa.array([vocabulary[present].tobytes()], pa.binary()), "ends": pa.array([np.append(begin[1:], len(order)).astype(np.int64).tobytes()], pa.binary()), "postings": pa.array([posting[order].tobytes()], pa.binary()),
+                    "terms": pa.array([vocabulary[present].tobytes()], pa.binary()), "ends": pa.array([np.append(begin, len(order))[1:].astype(np.int64).tobytes()], pa.binary()), "postings": pa.array([posting[order].tobytes()], pa.binary()),
                 })
                 segment += 1
 
@@ -130,7 +130,7 @@ def find_windows(index: DataFrame, block: list[tuple[str, np.ndarray]], size: in
         for batch in batches:
             for row in batch.to_pylist():
                 terms, ends, postings = (np.frombuffer(row[x], t) for x, t in (("terms", np.uint64), ("ends", np.int64), ("postings", np.int64)))
-                at = {t: (a, b) for t, a, b in zip(terms.tolist(), np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True)}
+                at = {t: (a, b) for t, a, b in zip(terms.tolist(), np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True)}
                 items: dict[int, set[int]] = {}
                 spans: dict[int, list[tuple[int, int]]] = {}
                 for h, owners, places in wanted:
