@@ -119,5 +119,7 @@ ORACLE = {
     "ocr_projection": rf"""WITH t AS (SELECT source, doc_id, {lines_sql('text')} AS ls FROM documents), l AS (SELECT source, doc_id, list_filter(list_transform(ls, lambda x: regexp_replace(x, '^[ \t\-•·|]+|[ \t\-•·|]+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)\bORG(?:ANISATION|ANIZATION)?\s+CHART\b') AND x <> '组织架构')[1:80] AS f FROM t)
       SELECT doc_id AS page, '[ORG_CHART_OCR]' || chr(10) || 'Source: ' || source || chr(10) || 'Page: ' || doc_id || chr(10) || 'Extraction mode: ocr_layout_fallback' || chr(10) || 'Confidence: low' || chr(10) || chr(10) || 'Structure:' || chr(10) || array_to_string(list_transform(f, lambda x: '- ' || x), chr(10)) || chr(10) || chr(10) || 'Semantic Search Triggers:' || chr(10)
         || array_to_string(list_transform(f[1:20], lambda x: '- ' || x || ' appears in OCR org chart text.'), chr(10)) || chr(10) || '[/ORG_CHART_OCR]' AS projection FROM l WHERE len(list_filter(f, lambda x: length(x) <= 48)) >= 4""",
+    "stream_ingest": f"""WITH d AS (SELECT min(CAST(doc_id AS VARCHAR)) AS source_key, {strip('text')} AS p FROM documents GROUP BY 2), w AS (SELECT source_key, unnest([substr(p, s + 1, 1024) FOR s IN range(0, greatest(0, CAST(ceil((length(p) - 1024) / 896.0) AS BIGINT) * 896) + 1, 896)]) AS t FROM d WHERE p <> '')
+      SELECT source_key, count(*) AS chunks, CAST(sum(length(t)) AS BIGINT) AS characters FROM w WHERE {strip('t')} <> '' GROUP BY 1""",
     "stream_task_state": "SELECT user_id AS task_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS ts FROM events GROUP BY 1",
 }

@@ -258,6 +258,9 @@ ORACLE = {
         UNION ALL SELECT e.qid, 1, CAST(doc_id * 3 AS INTEGER), entity || ' 项目复盘', 'source title hint' FROM e JOIN documents ON doc_id % 40 = e.qid AND doc_id < 100 WHERE entity <> '' AND contains('abc retro ' || lower(source), lower(entity))),
       f AS (SELECT qid, query, min((part, n, reason)) AS first FROM v WHERE query <> '' GROUP BY 1, 2)
       SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) AS INTEGER) AS variant_ord, query, first[3] AS reason FROM f) WHERE variant_ord <= 6""",
+    "relation_focus": rf"""WITH q AS (SELECT conv_id, turn, turn % 3 AS k, CASE turn % 3 WHEN 0 THEN 'Who reports to ' WHEN 1 THEN 'How to read charts under ' ELSE 'People under Anna Berg and ' END || substr(text, 1, 30) AS q FROM conversations),
+      f AS (SELECT conv_id, turn, k, list_filter(list_filter(regexp_split_to_array(q, '[^A-Za-z]+'), lambda z: length(z) >= 3), lambda z: lower(z) NOT IN ({", ".join(repr(w) for w in q.FOCUS_STOP)})) AS ws, regexp_extract(q, '\bunder\s+([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)?)(?:[^\p{{L}}\p{{N}}_]|$)', 1) AS u FROM q)
+      SELECT conv_id, turn, k <> 1 AS relation, array_to_string(list_filter(ws, lambda z, i: list_position(ws, z) = i), ' ') AS focus, array_to_string(list_filter(string_split(u, ' '), lambda z: length(z) >= 3 AND lower(z) NOT IN ({", ".join(repr(w) for w in q.FOCUS_STOP)})), ' ') AS anchors FROM f""",
     "answer_filters": rf"""WITH a AS (SELECT conv_id, turn, text || CASE turn % 4 WHEN 1 THEN '（资料不足）' || chr(10) || '来源：a' WHEN 3 THEN chr(10) || ' 来源: b' ELSE '' END AS a FROM conversations WHERE role <> 'user')
       SELECT conv_id, turn, ({" OR ".join(f"contains(substr({collapse('a')}, 1, 500), '{w}')" for w in q.NO_ANSWER)}) AS no_answer, regexp_replace({strip(r"regexp_split_to_array(a, '(?:\n\s*)?来源[:：]')[1]")}, '[（(【\[]\s*$', '') AS body FROM a""",
     "display_names": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '手动录入 ' || strftime(ts, '%H:%M') ELSE event_type END AS shown FROM events",
