@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -12,11 +13,10 @@ from pyspark.sql import functions as F
 SCHEMA = "key_facts array<struct<content:string,source:string>>, terminology array<struct<zh:string,en:string>>, logic_chain string"
 
 
-def unwrapped(answer: Column) -> Column:
-    """The text from the first brace to the last one, without a code fence."""
+def unfenced(answer: Column) -> Column:
+    """The text from its first brace on, without a code fence."""
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), r"^\s*```[ \t]*(?:json|JSON)?[ \t]*\r?\n?", ""), r"\r?\n?\s*```\s*$", "")
-    whole = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
-    return F.when(whole != "", whole).otherwise(F.regexp_extract(bare, r"(?s)(\{.*)", 1))
+    return F.regexp_extract(bare, r"(?s)(\{.*)", 1)
 
 
 def close_brackets(text: str) -> str:
@@ -36,19 +36,33 @@ def close_brackets(text: str) -> str:
     return re.sub(r",(\s*[}\]])", r"\1", text + '"' * quoted + "".join(reversed(expected)))
 
 
+def mended(*candidates: str) -> str:
+    """The first candidate that is JSON with its brackets closed, else the last one as it is."""
+    for text in candidates:
+        fixed = close_brackets(text)
+        try:
+            json.loads(fixed)
+        except ValueError:
+            continue
+        return fixed
+    return candidates[-1]
+
+
 def parsed(answers: DataFrame) -> DataFrame:
     """(qid, answer) with the struct parsed: by Spark, and after a repair of the brackets where that fails."""
-    rows = answers.select("qid", "answer", unwrapped(F.col("answer")).alias("body"))
+    rows = answers.select("qid", "answer", unfenced(F.col("answer")).alias("rest"))
+    whole = F.regexp_extract("rest", r"(?s)(\{.*\})", 1)
+    rows = rows.withColumn("body", F.when(whole != "", whole).otherwise(F.col("rest")))
     strict = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     tried = rows.withColumn("p", F.from_json("body", f"{SCHEMA}, _bad string", strict))
     broken = (F.col("body") != "") & (F.col("p").isNull() | F.col("p._bad").isNotNull())
 
     def repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(body=frame["body"].map(close_brackets))
+            yield frame.assign(body=[mended(rest, body) for rest, body in zip(frame["rest"], frame["body"], strict=True)])
 
-    mended = tried.where(broken).select("qid", "answer", "body").mapInPandas(repair, rows.schema).withColumn("p", F.from_json("body", f"{SCHEMA}, _bad string", strict))
-    every = tried.where(~broken | (F.col("body") == "")).unionByName(mended)
+    again = tried.where(broken).select(rows.columns).mapInPandas(repair, rows.schema).withColumn("p", F.from_json("body", f"{SCHEMA}, _bad string", strict))
+    every = tried.where(~broken | (F.col("body") == "")).unionByName(again)
     good = F.when(F.col("p._bad").isNull(), F.struct("p.key_facts", "p.terminology", "p.logic_chain"))
     return every.select("qid", "answer", good.alias("parsed"))
 

