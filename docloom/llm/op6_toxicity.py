@@ -21,17 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_chunks, table, utf8_column, written
+from docloom.llm.common import added, row_chunks, table, utf8_column, written
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 20
 FEATURES = 1 << 13
 #: Labelled rows of either class that training takes at most.
-SAMPLE = 3000
+SAMPLE = 2500
 MIN_DOCS = 4
 SMOOTHING = 1.0
 RIDGE = 1e-4
 STEPS = 150
+#: A name that no given column has.
+_SCORE = "__toxicity_score"
+#: Rows in which the buckets' counts are summed.
+_PARTS = 512
 #: Characters a step takes from a long document.
 _SLICE = 1 << 20
 _FOLD = np.arange(128, dtype=np.uint32)
@@ -74,27 +78,18 @@ def features(points: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, class_weight: dict[int, float]) -> Model:
-    """Log-count ratios, then logistic regression on the features scaled by them."""
-    nothing = Model(np.zeros(BUCKETS, np.float32), -1000.0)
-    if not len(labels) or labels.min() == labels.max():
-        return nothing
-    positive, negative = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r, y in zip(rows, labels.tolist(), strict=True):
-        (positive if y else negative)[r] += 1
-    n_pos, n_neg = labels.sum(), (1 - labels).sum()
+def choose(positive: np.ndarray, negative: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features' buckets, ascending, and their log-count ratios, from the documents of either class that hold each bucket."""
     ratio = np.log((positive + SMOOTHING) / (n_pos + 2 * SMOOTHING)) - np.log((negative + SMOOTHING) / (n_neg + 2 * SMOOTHING))
-    support = positive + negative
-    rank = np.where(support >= MIN_DOCS, np.abs(ratio) * np.sqrt(support), 0)
+    rank = np.where(positive + negative >= MIN_DOCS, np.abs(ratio) * np.sqrt(positive + negative), 0)
     chosen = np.sort(np.argsort(-rank, kind="stable")[:FEATURES])
     chosen = chosen[rank[chosen] > 0]
-    if not len(chosen):
-        return nothing
-    place = np.full(BUCKETS, -1)
-    place[chosen] = np.arange(len(chosen))
-    kept = [x[x >= 0] for x in (place[r] for r in rows)]
-    column, row = np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(x) for x in kept])
-    scale = ratio[chosen]
+    return chosen, ratio[chosen]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, class_weight: dict[int, float], chosen: np.ndarray, scale: np.ndarray) -> Model:
+    """Logistic regression on the scaled features; rows: each document's places among the chosen buckets."""
+    column, row = np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     x = scale[column]
     weight = np.array([class_weight[int(y)] for y in labels], float)
     weight /= weight.sum()
@@ -114,28 +109,55 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, class_weight: dict[int, floa
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
-    """Fit on a bounded sample of (doc_id, column) rows and the whole texts of their documents."""
+    """Fit on a bounded sample of (doc_id, column) rows and the whole texts of their documents.
+
+    Executors count the buckets' documents by class; only these counts, whose number is fixed, and each sampled
+    document's chosen features reach the driver.
+    """
     named = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).cast("int").alias("label"))
     total = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     picked = written(named.where("label = 1").orderBy(order, "doc_id").limit(SAMPLE).unionByName(named.where("label = 0").orderBy(order, "doc_id").limit(SAMPLE)), "op6-sample")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8_column(batch.column(0))
-            found = [features(code_points(data[off[i] : off[i + 1]])).astype(np.int32).tobytes() for i in range(len(off) - 1)]
-            yield pa.RecordBatch.from_pydict({"found": pa.array(found, pa.binary()), "label": batch.column(1)})
+            for i in range(len(off) - 1):
+                yield pa.RecordBatch.from_pydict({"found": pa.array([features(code_points(data[off[i] : off[i + 1]])).astype(np.int32).tobytes()], pa.binary()), "label": batch.column(1).slice(i, 1)})
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = np.zeros((2, BUCKETS))
+        for batch in batches:
+            for found, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                by[y][np.frombuffer(found.as_py(), np.int32)] += 1
+        for k, (neg, pos) in enumerate(zip(np.split(by[0], _PARTS), np.split(by[1], _PARTS), strict=True)):
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([np.concatenate((neg, pos)).tobytes()], pa.binary())})
 
     # picked has 2 * SAMPLE narrow rows at most, so broadcasting it is bounded.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "label")
-    rows = texts.mapInArrow(run, "found binary, label int").toArrow()
-    y = rows.column("label").to_numpy()
-    counted = np.bincount(y, minlength=2) if len(y) else np.ones(2)
-    return fit([np.frombuffer(x.as_py(), np.int32) for x in rows.column("found")], y, {k: total.get(k, 0) / max(1, counted[k]) for k in (0, 1)})
+    rows = written(texts.mapInArrow(grams, "found binary, label int"), "op6-grams").coalesce(8)
+    found = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not found.get(0) or not found.get(1):
+        return Model(np.zeros(BUCKETS, np.float32), -1000.0)
+    sums = added(rows.mapInArrow(counts, "k int, v binary"), _PARTS)
+    negative, positive = sums[:, : BUCKETS // _PARTS].ravel(), sums[:, BUCKETS // _PARTS :].ravel()
+    chosen, scale = choose(positive, negative, found[1], found[0])
+    if not len(chosen):
+        return Model(np.zeros(BUCKETS, np.float32), -1000.0)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(BUCKETS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            kept = [place[np.frombuffer(x.as_py(), np.int32)] for x in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({"places": pa.array([x[x >= 0].astype(np.int32).tobytes() for x in kept], pa.binary()), "label": batch.column(1)})
+
+    sample = rows.mapInArrow(places, "places binary, label int").toArrow()
+    return fit([np.frombuffer(x.as_py(), np.int32) for x in sample.column("places")], sample.column("label").to_numpy(), {k: total.get(k, 0) / found[k] for k in (0, 1)}, chosen, scale)
 
 
-def score_texts(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a score (0 to 1) of each whole text."""
+def score_texts(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a score (0 to 1) of each whole text, in a column of that name."""
     names = docs.columns
     at, shared = names.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
@@ -150,9 +172,9 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
                     scores[i] = model.score(features(code_points(data[off[i] : off[j]]), wanted))
                 else:
                     scores[i:j] = _score_chunk(model, wanted, data[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("score")).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
 
 
 def _score_chunk(model: Model, wanted: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -185,7 +207,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is below 0.5, with their columns."""
-    return score_texts(docs, train(docs, labels)).where("score < 0.5").select(*docs.columns)
+    return score_texts(docs, train(docs, labels), _SCORE).where(F.col(_SCORE) < 0.5).select(*docs.columns)
 
 
 QUERIES = {"op6_toxicity": op6_toxicity}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_chunks, runs, table, utf8_column, written
+from docloom.llm.common import added, row_chunks, table, utf8_column, written
 from docloom.llm.hashing import span_hashes, word_spans
 from docloom.llm.op6_toxicity import held_out
 
@@ -30,6 +30,8 @@ RIDGE = 1e-3
 BINS = 2000
 _LOW, _HIGH = -0.5, 1.5
 THRESHOLD = 0.3
+#: Names that no given column has.
+STATS, _SCORE = "__quality_stats", "__quality_score"
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LINE = np.ones(256, bool)
@@ -119,7 +121,7 @@ def _stats_of(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    """docs with the statistics of each whole text (column stats: doubles, little-endian)."""
+    """docs with the statistics of each whole text (column STATS: doubles, little-endian)."""
     names = docs.columns
     at = names.index("text")
 
@@ -128,30 +130,15 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             data, off = utf8_column(batch.column(at))
             for i, j in row_chunks(off, 1 << 20):
                 found = statistics(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array([row.tobytes() for row in found], pa.binary())], names=[*names, "stats"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array([row.tobytes() for row in found], pa.binary())], names=[*names, STATS])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(b"").alias("stats")).schema)
-
-
-def _added(rows: DataFrame, size: int) -> np.ndarray:
-    """Rows (k, v: doubles) summed by k, for k below a fixed bound; each task's rows are as few."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, 1):
-            v = utf8_column(group.column("v"))[0].view(np.float64).reshape(group.num_rows, -1).sum(axis=0)
-            yield pa.RecordBatch.from_pydict({"k": group.column("k").combine_chunks().slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
-
-    found = rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "k int, v binary").collect()
-    out = np.zeros((size, len(found[0]["v"]) // 8 if found else 1))
-    for r in found:
-        out[r["k"]] = np.frombuffer(r["v"])
-    return out
+    return docs.mapInArrow(run, docs.select("*", F.lit(b"").alias(STATS)).schema)
 
 
 def train(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
-    """Fit on all rows of stats (doc_id, stats) with a label."""
+    """Fit on all rows of stats (doc_id, STATS) with a label."""
     named = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(column).cast("double").alias("label"))
-    rows = written(stats.select(F.col("doc_id").cast("long").alias("doc_id"), "stats").join(named.hint("merge"), "doc_id").select("stats", "label"), "op9-labelled")
+    rows = written(stats.select(F.col("doc_id").cast("long").alias("doc_id"), STATS).join(named.hint("merge"), "doc_id").select(STATS, "label"), "op9-labelled")
     d, n = len(STATISTICS), FREQUENCIES + 1
 
     def summed(part):
@@ -168,7 +155,7 @@ def train(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Model
 
         return rows.mapInArrow(run, "k int, v binary")
 
-    moments = _added(summed(lambda x, y: np.vstack([np.full(d, float(len(x))), x.sum(axis=0), (x * x).sum(axis=0), np.full(d, y.sum())])), 4)
+    moments = added(summed(lambda x, y: np.vstack([np.full(d, float(len(x))), x.sum(axis=0), (x * x).sum(axis=0), np.full(d, y.sum())])), 4)
     if moments.shape[1] != d or not 0 < moments[3, 0] < moments[0, 0]:
         share = moments[3, 0] / moments[0, 0] if moments.shape[1] == d else 0.5
         return Model(np.zeros(d), np.ones(d), np.zeros(n), np.array([0.0]), np.array([share]))
@@ -179,7 +166,7 @@ def train(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Model
         z = cosines(x, mean, sd)
         return np.column_stack([z.T @ z, z.T @ y])
 
-    equations = _added(summed(normal), n)
+    equations = added(summed(normal), n)
     weights = np.linalg.solve(equations[:, :n] + RIDGE * np.eye(n), equations[:, n])
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,20 +179,20 @@ def train(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Model
     return Model(mean, sd, weights, at, curve)
 
 
-def score_statistics(stats: DataFrame, model: Model) -> DataFrame:
-    """stats with a score instead of the column stats."""
-    names = [x for x in stats.columns if x != "stats"]
+def score_statistics(stats: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """stats with a score, in a column of that name, instead of the column STATS."""
+    names = [x for x in stats.columns if x != STATS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.score(_stats_of(batch)))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.score(_stats_of(batch)))], names=[*names, name])
 
-    return stats.select("stats", *names).mapInArrow(run, stats.select(*names, F.lit(0.0).alias("score")).schema)
+    return stats.select(STATS, *names).mapInArrow(run, stats.select(*names, F.lit(0.0).alias(name)).schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score for every row of docs."""
-    stats = written(document_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"), "op9-statistics")
+    stats = written(document_statistics(docs.select("doc_id", "text")).select("doc_id", STATS), "op9-statistics")
     return score_statistics(stats, train(stats, labels))
 
 
@@ -217,7 +204,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_low_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is at least THRESHOLD, with their columns."""
     stats = written(document_statistics(docs), "op9-statistics")
-    return score_statistics(stats, train(stats, labels)).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    return score_statistics(stats, train(stats, labels), _SCORE).where(F.col(_SCORE) >= THRESHOLD).select(*docs.columns)
 
 
 QUERIES = {"op9_quality_classifier": op9_quality_classifier}
