@@ -31,14 +31,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near duplicates; equal rows count once."""
-    kept = near_duplicates(docs, SIMILAR).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").distinct()
+    kept = near_duplicates(docs, SIMILAR).where("kept").select(F.col("doc_id").alias("__kept_id"))
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").distinct()
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark text; rows that share a doc_id go together."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("items") > 0).select(F.col("doc_id").alias("hit_id"))
-    return docs.join(hit.hint("merge"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("items") > 0).select(F.col("doc_id").alias("__hit_id"))
+    return docs.join(hit.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__hit_id")), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
