@@ -13,25 +13,26 @@ from docloom.functions.text import is_contents_noise, lines, strip
 SIZE, OVERLAP, LIMIT = 1024, 128, 100
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
+def paragraphs(docs: DataFrame, *keep: str) -> DataFrame:
     """(source_key, section, text): stripped parts between blank lines, numbered from 0 among all parts."""
-    return docs.select("source_key", F.posexplode(F.split("text", "\n\n")).alias("section", "raw")).select("source_key", "section", strip(F.col("raw")).alias("text")).where("text <> ''")
+    rows = docs.select("source_key", *keep, F.posexplode(F.split("text", "\n\n")).alias("section", "raw"))
+    return rows.select("source_key", *keep, "section", strip(F.col("raw")).alias("text")).where("text <> ''")
 
 
 def is_markdown(text: Column) -> Column:
     return F.exists(lines(text), lambda x: F.startswith(x, F.lit("##")))
 
 
-def markdown_sections(docs: DataFrame) -> DataFrame:
+def markdown_sections(docs: DataFrame, *keep: str) -> DataFrame:
     """(source_key, section, text, breadcrumb): a section begins at every second-level heading."""
-    rows = docs.select("source_key", F.posexplode(lines(F.col("text"))).alias("n", "line"))
+    rows = docs.select("source_key", *keep, F.posexplode(lines(F.col("text"))).alias("n", "line"))
     is_h2, is_h1 = F.startswith("line", F.lit("## ")), F.startswith("line", F.lit("# "))
     so_far = Window.partitionBy("source_key").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("section", F.sum(F.when(is_h2, 1).otherwise(0)).over(so_far)).withColumn("h1", F.last(F.when(is_h1, F.col("line")), ignorenulls=True).over(so_far))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    grouped = rows.groupBy("source_key", "section").agg(strip(joined).alias("text"), F.max_by("h1", "n").alias("h1"), F.max(F.when(is_h2, F.col("line"))).alias("h2"))
+    grouped = rows.groupBy("source_key", *keep, "section").agg(strip(joined).alias("text"), F.max_by("h1", "n").alias("h1"), F.max(F.when(is_h2, F.col("line"))).alias("h2"))
     # A later first-level heading counts for the section that holds it, as it is read when the section ends.
-    return grouped.where("text <> ''").select("source_key", F.col("section").cast("int").alias("section"), "text", F.concat_ws(" > ", "h1", "h2").alias("breadcrumb"))
+    return grouped.where("text <> ''").select("source_key", *keep, F.col("section").cast("int").alias("section"), "text", F.concat_ws(" > ", "h1", "h2").alias("breadcrumb"))
 
 
 def window_starts(length: Column, size: int, overlap: int) -> Column:
@@ -52,9 +53,9 @@ def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -
 
     Noise is dropped from pdf sources before numbering; blank windows after it, so they leave a gap.
     """
-    plain = paragraphs(docs.where(~is_markdown(F.col("text")))).withColumn("breadcrumb", F.lit(""))
-    marked = markdown_sections(docs.where(is_markdown(F.col("text"))))
-    cut = windows(plain.unionByName(marked), size, overlap).join(docs.select("source_key", "source_type"), "source_key")
+    plain = paragraphs(docs.where(~is_markdown(F.col("text"))), "source_type").withColumn("breadcrumb", F.lit(""))
+    marked = markdown_sections(docs.where(is_markdown(F.col("text"))), "source_type")
+    cut = windows(plain.unionByName(marked), size, overlap)
     kept = cut.where((F.col("source_type") != "pdf") | ~is_contents_noise(F.col("text")))
     numbered = kept.withColumn("chunk_index", F.row_number().over(Window.partitionBy("source_key").orderBy("section", "w")) - 1).where(strip(F.col("text")) != "")
     embedding = F.when(F.col("breadcrumb") != "", F.concat(F.lit("[BREADCRUMB]"), "breadcrumb", F.lit("[/BREADCRUMB]\n\n"), "text")).otherwise("")
