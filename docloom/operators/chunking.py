@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import is_contents_noise, lines, strip
+from docloom.functions.text import LINE_END, is_contents_noise, lines, strip
 
 SIZE, OVERLAP, LIMIT = 1024, 128, 100
 
@@ -20,7 +20,8 @@ def paragraphs(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def is_markdown(text: Column) -> Column:
-    return F.exists(lines(text), lambda x: F.startswith(x, F.lit("##")))
+    """Whether a line begins with two number signs."""
+    return text.rlike(f"(?:^|{LINE_END})##")
 
 
 def markdown_sections(docs: DataFrame, *keep: str) -> DataFrame:

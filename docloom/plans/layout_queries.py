@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from docloom.functions.text import content_hash, lines
 from docloom.operators import layout
-from docloom.plans.inputs import documents, table
+from docloom.plans.inputs import scratch, table
 from docloom.plans.registry_queries import _TASK, _task_events
 from docloom.plans.text_queries import lines as lines_sql
 from docloom.plans.text_queries import strip
@@ -67,20 +65,15 @@ def ocr_projection(spark, d):
     return layout.ocr_projection(rows).select("page", "projection")
 
 
-def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def stream_ingest(spark, d):
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     rows = jobs.read(spark, f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("source_key"), F.lit("text").alias("source_type"), "text")
     jobs.ingest(rows, f"{at}/out", f"{at}/checkpoint")
     return spark.read.parquet(f"{at}/out/chunks").groupBy("source_key").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("characters"))
 
 
 def stream_task_state(spark, d):
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     events = jobs.read(spark, f"{d}/events.parquet")
     shaped = events.select(F.col("user_id").alias("task_id"), F.col("event_type").alias("status"), "ts", F.col("event_id").alias("seq"))
     jobs.task_states(shaped, f"{at}/out", f"{at}/checkpoint")
@@ -90,7 +83,7 @@ def stream_task_state(spark, d):
 
 def stream_content_states(spark, d):
     """Every document is uploaded twice with the outcome of the first in between."""
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     docs = jobs.read(spark, f"{d}/documents.parquet").select(content_hash(F.col("text")).alias("content_hash"), "doc_id")
     kinds = F.array(F.lit("upload"), F.when(F.col("doc_id") % 3 == 0, "failed").when(F.col("doc_id") % 3 == 1, "indexed").otherwise("review_required"), F.lit("upload"))
     events = docs.select("content_hash", "doc_id", F.posexplode(kinds).alias("k", "kind")).select("content_hash", (F.col("doc_id") * 3 + F.col("k")).alias("seq"), "kind")
@@ -99,7 +92,7 @@ def stream_content_states(spark, d):
 
 
 def stream_first_uploads(spark, d):
-    at = _scratch(spark)
+    at = scratch(spark, "stream")
     events = jobs.read(spark, f"{d}/events.parquet").select(F.concat_ws("-", "user_id", "event_type").alias("content_hash"), F.col("ts").cast("timestamp").alias("ts"))
     jobs.first_uploads(events).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("content_hash string, ts timestamp").parquet(f"{at}/out").groupBy("content_hash").agg(F.count("*").alias("n"))

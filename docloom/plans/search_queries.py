@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import MARKED, PLAIN
 from docloom.operators import chunking, evidence, search
 from docloom.operators.joins import small
-from docloom.plans.inputs import documents, questions, table, vectors
+from docloom.plans.inputs import documents, questions, stored, table, vectors
 from docloom.plans.text_queries import CHUNKS
 
 HITS = 5
@@ -28,11 +28,11 @@ def _chunks(spark, d):
     docs = documents(spark, d)
     named = chunking.chunk_documents(docs).drop("source_type").join(docs.select("source_key", "source_name", "doc_id").hint("merge"), "source_key")
     kind = F.when(F.col("doc_id") % 5 == 0, "generated_asset").when(F.col("doc_id") % 2 == 0, "pdf").otherwise("text")
-    return named.withColumn("source_type", kind).drop("doc_id", "embedding_text")
+    return stored(named.withColumn("source_type", kind).drop("doc_id", "embedding_text"), "chunks")
 
 
-def _hits(spark, d):
-    chunks = _chunks(spark, d)
+def _hits(spark, d, chunks=None):
+    chunks = chunks or _chunks(spark, d)
     return search.bm25(chunks, questions(spark, d), HITS).join(chunks.hint("merge"), "chunk_id")
 
 
@@ -121,11 +121,13 @@ def support_filter(spark, d):
 
 
 def neighbor_expand(spark, d):
-    return evidence.expand_neighbours(_hits(spark, d), _chunks(spark, d)).select("qid", "chunk_id", "score", "role")
+    chunks = _chunks(spark, d)
+    return evidence.expand_neighbours(_hits(spark, d, chunks), chunks).select("qid", "chunk_id", "score", "role")
 
 
 def fidelity_report(spark, d):
-    return evidence.fidelity_report(evidence.expand_neighbours(_hits(spark, d), _chunks(spark, d)), _chunks(spark, d))
+    chunks = _chunks(spark, d)
+    return evidence.fidelity_report(evidence.expand_neighbours(_hits(spark, d, chunks), chunks), chunks)
 
 
 def evidence_report(spark, d):
