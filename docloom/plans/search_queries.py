@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docloom.functions.questions import FOCUS_STOP
 from docloom.functions.text import MARKED, PLAIN
 from docloom.operators import chunking, evidence, search
 from docloom.operators.joins import small
@@ -227,6 +228,10 @@ ORACLE = {
     "hybrid_topk": f"WITH {_FUSED} SELECT qid, chunk_id, score, rank FROM fused WHERE rank <= 10",
     "rank_explain": f"""WITH {_LAYOUT}, b AS (SELECT lay.*, triggered, triggered AND source_type = 'org_chart' AS applied, score + CASE WHEN triggered AND source_type = 'org_chart' THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS os FROM lay JOIN lq USING (qid))
       SELECT * FROM (SELECT qid, chunk_id, rank_fts, rank_vector, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_ORDER.format('os')}) AS INTEGER) AS rank, triggered AS intent_triggered, applied AS intent_applied, source_type FROM b) WHERE rank <= 10""",
+    "focus_expansion": f"""WITH {_INDEX}, {_QUESTIONS}, {bm25_sql('idx', 'qs', 10)}, fw AS (SELECT item_id AS qid, list_filter(regexp_split_to_array('who reports to ' || string_split(text, ' ')[4], '[^A-Za-z]+'), lambda z: length(z) >= 3 AND lower(z) NOT IN ({", ".join(repr(w) for w in FOCUS_STOP)})) AS ws FROM benchmark WHERE item_id % 2 = 0),
+      fd AS (SELECT qid, list_filter(ws, lambda z, i: list_position(ws, z) = i) AS ws FROM fw), fq AS (SELECT qid * 100 + i AS qid, ws[i] AS query FROM (SELECT qid, ws, unnest(range(1, len(ws) + 1)) AS i FROM fd)), {bm25_sql('idx', 'fq', 5, 'own')},
+      u AS (SELECT qid, chunk_id, 0 AS segment, rank AS place FROM bm UNION ALL SELECT qid // 100, chunk_id, qid % 100, rank FROM own), f AS (SELECT qid, chunk_id, min((segment, place)) AS first FROM u GROUP BY 1, 2)
+      SELECT qid, chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY first, chunk_id) AS INTEGER) AS rank FROM f""",
     "source_keyword_hits": f"WITH {_CORPUS}, {_QUESTIONS}, {bm25_sql('corpus', 'qs', 10_000_000)} SELECT * FROM (SELECT qid, kid, chunk_id, CAST(row_number() OVER (PARTITION BY qid, kid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm JOIN corpus USING (chunk_id), (SELECT item_id AS kid FROM benchmark WHERE item_id < 3) WHERE contains(source_name, 'src' || kid)) WHERE rank <= 3",
     "rerank_candidates": f"""WITH {_FUSED}, s AS (SELECT *, CASE WHEN CAST(chunk_id AS BIGINT) % 3 > 0 AND rank <= 10 THEN (CAST(chunk_id AS BIGINT) * 37 + qid) % 101 / 101.0::DOUBLE END AS new FROM fused)
       SELECT qid, chunk_id, round(coalesce(new, score), 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN new IS NOT NULL THEN 0 WHEN rank <= 10 THEN 1 ELSE 2 END, -new, rank) AS INTEGER) AS rank FROM s""",
