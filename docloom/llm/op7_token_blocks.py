@@ -11,7 +11,6 @@ in the order of their texts; an empty table gives no files; further columns are
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_chunks, scratch, table, utf8_column, written
+from docloom.llm.common import put_file, row_chunks, scratch, table, utf8_column, written
 from docloom.llm.tokens import encoder
 
 MAGIC = b"PFR1"
@@ -124,19 +123,6 @@ def read_range(content: bytes, start: int, stop: int) -> np.ndarray:
     return decode_blocks(data, starts[a:b], (b - a) * BLOCK)[start - a * BLOCK : stop - a * BLOCK]
 
 
-def put_file(folder: str, name: str, content: bytes) -> str:
-    """Write under another name first, so a lost or repeated task never leaves half a file."""
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder)
-    store.create_dir(root, recursive=True)
-    part = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as f:
-        f.write(content)
-    store.move(part, f"{root}/{name}")
-    return f"{folder}/{name}"
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
     """Write (doc_id, text) rows in ascending doc_id order; return the files: part, seq, path, n_docs, n_tokens."""
 
