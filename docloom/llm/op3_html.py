@@ -2,7 +2,8 @@
 
 A page is scanned into text blocks and the containers around them; menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and comments are left out by tag, class, id and role. A container scores the text of its
-blocks, less that of link lists. Each page votes for its containers' generalised paths (tags with first classes,
+blocks, less that of link lists. A tag or word only marks an element; it is kept as a container if it is the page's
+wrapper (Page._left_out). Hidden elements are always left out. Each page votes for its containers' generalised paths (tags with first classes,
 digits as N) in proportion to their scores; votes are summed per host, and pages are read again with the path that
 won on their host. A page without that path uses its own best container.
 
@@ -40,6 +41,13 @@ _CONTAINERS = {"body", "article", "main", "section", "div", "td", "center", "tab
 _OUT_WORDS = frozenset("nav navbar navigation menu masthead footer sidebar aside ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent notice notices notification gdpr popup modal overlay newsletter subscribe subscription signup share sharing social comment comments commentlist disqus reply replies respond discussion related recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar login search searchbox form contact hidden skip header topbar".split())
 _ARTICLE_WORDS = {"post", "entry", "article", "story"}
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
+# Layout compounds: class tokens that tell of a part elsewhere, or of a wrapper of the content.
+_STATES = {"has", "with", "without", "no", "open", "opened", "closed", "active", "enabled", "disabled"}
+_WRAPS, _WRAPPED = {"wrap", "wrapper", "container", "layout"}, {"content", "page", "main", "site", "body", "outer"}
+_SCREENS = {"xs", "sm", "md", "lg", "xl", "print", "mobile", "phone", "tablet", "desktop"}
+_TALK = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion"}
+_ADS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr popup newsletter subscribe subscription signup".split())
+_TITLED = re.compile(r"(?i)\b(?:page|title|content|main)[-_]")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _CLOSES_P = re.compile(r"p|h[1-6]|ul|ol|li|dl|dt|dd|div|section|article|aside|header|footer|nav|main|table|tr|td|th|pre|blockquote|form|figure|hr|address|fieldset")
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
@@ -47,19 +55,25 @@ _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Page:
-    """Blocks (text, link characters, heading or not, container) in order; containers (parent, path)."""
+    """Blocks (text, link characters, heading or not, container) in order; containers (parent, path; none if left out)."""
 
     def __init__(self, source: str):
         self.blocks: list[tuple[str, int, bool, int]] = []
+        self._places: list[tuple[int, bool, bool]] = []  # of each block: mark, below an article or main, h1
+        self._within: list[int] = [-1]  # of each container: mark
+        self._marks: list[tuple[int, bool, bool, frozenset[str]]] = []  # outer mark, a header, of a title, words
+        self._landmarks: list[tuple[str, int]] = []  # article or main, mark
         self.parents: list[int] = [-1]
         self.paths: list[str] = ["body"]
         self._scan(source)
+        if self._marks:
+            self._left_out()
 
     def _scan(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, container, left out, inside an article's header
+        stack: list[tuple[str, int, bool, bool, int, bool]] = []  # tag, container, hidden, inside an article's header, mark, below an article or main
         held: list[str] = []
-        state = [0, False, False]  # container, left out, headings only
-        links, in_link, at, heading = 0, False, 0, False
+        state = [0, False, False, -1, False]  # container, hidden, headings only, mark, below an article or main
+        links, in_link, at, heading, first = 0, False, 0, False, False
 
         def flush() -> None:
             nonlocal links
@@ -67,6 +81,7 @@ class Page:
                 text = " ".join("".join(held).split())
                 if text:
                     self.blocks.append((text, links, heading, state[0]))
+                    self._places.append((state[3], state[4], first))
                 held.clear()
             links = 0
 
@@ -110,20 +125,28 @@ class Page:
                             break
                         if stack[k][0] in _SCOPE.get(tag, ()):
                             break
-                container, out, only = (stack[-1][1:] if stack else (0, False, False))
+                container, out, only, mark, inside = (stack[-1][1:] if stack else (0, False, False, -1, False))
                 names = _names(found[3]) if found[3] else ("", frozenset(), False, False)
+                outer = mark
                 if tag == "body":
-                    out = False
+                    out, only, mark, inside = False, False, -1, False
                     stack.clear()
                 elif (tag == "header" and not names[1] or names[1] == {"header"}) and (names[3] or any(x[0] in ("article", "main") for x in stack)):
                     only = True
-                elif not out:
-                    out = tag in _OUT_TAGS or bool(names[1]) or names[2]
+                elif names[2]:
+                    out = True
+                elif not out and (tag in _OUT_TAGS or names[1]):
+                    self._marks.append((mark, tag == "header" or names[1] == {"header"}, bool(_TITLED.search(found[3] or "")), names[1]))
+                    mark = len(self._marks) - 1
+                if tag in ("article", "main") and not out and (tag == "main" or mark == outer or names[3] and not names[1] & _TALK):
+                    self._landmarks.append((tag, mark))
+                    inside = True
                 if tag in _CONTAINERS and not out and tag != "body":
                     self.parents.append(container)
                     self.paths.append(f"{self.paths[container]}>{tag}{names[0]}")
+                    self._within.append(mark)
                     container = len(self.parents) - 1
-                stack.append((tag, container, out, only))
+                stack.append((tag, container, out, only, mark, inside))
             else:
                 if tag in _INLINE:
                     if tag == "a":
@@ -136,26 +159,68 @@ class Page:
                         break
                     if stack[k][0] == "body":
                         break
-            state[:] = stack[-1][1:] if stack else (0, False, False)
+            state[:] = stack[-1][1:] if stack else (0, False, False, -1, False)
             heading = bool(stack) and stack[-1][0] in _HEADINGS
+            first = heading and stack[-1][0] == "h1"
         flush()
 
+    def _left_out(self) -> None:
+        """Leave out what lies in marked elements, but for those that wrap the page's text.
+
+        A marked element is such a wrapper if it contains main; or an article or h1, where none stands outside, and
+        at least as much running text as stands outside; or if it holds more than half of all running text, over four
+        times as much as stands outside, and no article or main outside has any (not adverts and consents; comments
+        only where no paragraph stands outside). Outside is what is in no marked element, or in wrappers alone. A
+        page's header with its only h1 keeps its headings. Outer elements are decided first.
+        """
+        # Of each mark, with what is below it and alone; the last is what no mark holds: running text, that of
+        # headings, of paragraphs, that below articles and main, h1s, articles and main, main.
+        own = [[0] * 7 for _ in range(len(self._marks) + 1)]
+        for block, (m, inside, h1) in zip(self.blocks, self._places, strict=True):
+            n = _running(block)
+            for k, x in enumerate((n, n * block[2], n * (not block[2]), n * inside, int(h1))):
+                own[m][k] += x
+        for tag, m in self._landmarks:
+            own[m][5] += 1
+            own[m][6] += tag == "main"
+        below = [list(x) for x in own]
+        for m in range(len(self._marks) - 1, -1, -1):
+            outer = below[self._marks[m][0]]
+            outer[:] = map(sum, zip(outer, below[m], strict=True))
+        total, free = below[-1][0], own[-1]
+        kept, titles = [False] * len(self._marks) + [True], [False] * (len(self._marks) + 1)
+        for m, (outer, header, titled, words) in enumerate(self._marks):
+            if not kept[outer]:
+                continue
+            text, headings, _, _, h1, landmarks, mains = below[m]
+            led = (h1 or landmarks) and not free[5] and not free[4]
+            wraps = 2 * text > total and text > 4 * free[0] and not free[3] and not words & _ADS
+            titles[m] = header and titled and bool(led)
+            if not (words & _TALK and free[2]):
+                kept[m] = bool(mains or (wraps or led and text >= free[0]) and not (header and 2 * headings >= text))
+            if kept[m]:
+                free = [x + y for x, y in zip(free, own[m], strict=True)]
+        places = zip(self.blocks, self._places, strict=True)
+        self.blocks = [b for b, (m, *_) in places if kept[m] or b[2] and titles[m]]
+        self.paths = [p if kept[m] or titles[m] else None for p, m in zip(self.paths, self._within, strict=True)]
+
     def scores(self) -> dict[str, int]:
         """Each container path's characters of running text, less those of link lists, below it."""
         own = [0] * len(self.parents)
         for text, links, heading, container in self.blocks:
-            n = len(text)
-            own[container] += -n if 2 * links > n else n if heading or n >= 25 or text[-1] in ".!?:" else n // 4
+            own[container] += -len(text) if 2 * links > len(text) else _running((text, links, heading, container))
         for k in range(len(own) - 1, 0, -1):
             own[self.parents[k]] += own[k]
         total: dict[str, int] = {}
         for k, path in enumerate(self.paths):
+            if path is None:
+                continue
             total[path] = total.get(path, 0) + own[k]
         return total
 
     def text(self, path: str | None) -> str:
         """The blocks below all containers with that path, or with this page's best if none has it."""
-        if path not in self.paths:
+        if path is None or path not in self.paths:
             path = best(self.scores())
         won = [False] * len(self.parents)
         for k, p in enumerate(self.paths):
@@ -163,6 +228,24 @@ class Page:
         return "\n\n".join(b[0] for b in self.blocks if won[b[3]])
 
 
+def _running(block: tuple[str, int, bool, int]) -> int:
+    """A block's characters of running text: short lines count a quarter, link lists nothing."""
+    text, links, heading, _ = block
+    n = len(text)
+    return 0 if 2 * links > n else n if heading or n >= 25 or text[-1] in ".!?:" else n // 4
+
+
+def _class_words(value: str) -> Iterator[str]:
+    """The words of a class or id, less those that mark boilerplate in layout compounds."""
+    for token in value.split():
+        words = {w.lower() for w in _WORD.findall(token)}
+        if words & _STATES or words & _WRAPS and words & _WRAPPED:
+            words -= _OUT_WORDS
+        elif words & _SCREENS:
+            words -= {"hidden"}
+        yield from words
+
+
 def best(scores: dict[str, int]) -> str:
     return min(scores, key=lambda p: (-scores[p], -p.count(">"), p))
 
@@ -173,7 +256,7 @@ def _names(attributes: str) -> tuple[str, frozenset[str], bool, bool]:
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            words.update(w.lower() for w in _WORD.findall(value))
+            words.update(_class_words(value))
             if value.split() and (not suffix or name == "class" and suffix[0] == "#"):
                 suffix = ("." if name == "class" else "#") + re.sub(r"\d+", "N", value.split()[0])
         elif name == "role" and value.lower() in _OUT_ROLES:

@@ -225,6 +225,25 @@ def test_hosts_vote(spark):
     assert [(r["host"], r["path"]) for r in won] == [("h", "body")]
 
 
+def test_html_wrappers_with_words_of_boilerplate(spark):
+    text = "<h1>A title</h1><p>The running text of the page, which is long enough.</p><p>And a second paragraph of it, no shorter.</p>"
+    around = "<nav><a href='/'>Home</a></nav>{}<div class='sidebar'><p>Side text that is long enough to count.</p></div><footer>foot</footer>"
+    opened = ["div class='content-sidebar-wrap'", "div class='page has-sidebar'", "div class='menu-open'", "div class='header-fixed'", "div class='hidden-xs'", "form id='aspnetForm'", "aside", "article class='post tag-login'", "main class='contact'", "header"]
+    pages = [f"<body><{o}><div class='inner'>{around.format(text)}</div></{o.split()[0]}></body>" for o in opened]
+    pages += [f"<body><form id='f'><div class='header-fixed'>{around.format('<article>' + text + '</article>')}</div></form></body>"]
+    pages += [f"<body>{around.format('<div class=content>' + text + '</div>')}<div class='comments'>{'<p>A long comment by somebody else.</p>' * 20}</div></body>"]
+    pages += [f"<body><article>{text}</article><aside>{'<article><p>Teaser of another text, with words.</p></article>' * 20}</aside></body>"]
+    pages += [f"<body><div class='ad'><p>Buy this, it is cheap and it is good and it is new.</p></div>{around.format('<div class=has-nav>' + text + '</div>')}</body>"]
+    rows = [(i, f"http://h{i}/", p) for i, p in enumerate(pages)]
+    want = "A title\n\nThe running text of the page, which is long enough.\n\nAnd a second paragraph of it, no shorter."
+    got = {r["page_id"]: r["text"] for r in op3_html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: t for i, t in got.items() if t != want} == {}
+    hidden = "<div style='display:none'>" + text + "</div>"
+    assert op3_html.Page(hidden).text(None) == op3_html.Page("<div class='cookie-notice'><p>We use cookies, as all the others do.</p></div>").text(None) == ""
+    deep = "<div class='sidebar'><p>Some text that goes on." * 2_000
+    assert op3_html.Page(deep).blocks
+
+
 # --- 4
 
 
