@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -90,8 +91,36 @@ def registry_latest(rows: DataFrame) -> DataFrame:
 
 
 def first_uploads(events: DataFrame, within: str = IN_FLIGHT) -> DataFrame:
-    """Uploads (content_hash, ts) without repeats of the same content in flight."""
-    return events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["content_hash"])
+    """Uploads (content_hash, ts) without repeats of the same content in flight.
+
+    An upload is accepted if the last accepted one of its content is more than `within` older; repeats don't prolong
+    it. Within a micro-batch uploads are taken in order of ts. No upload is dropped for being late: one that comes
+    after a newer one of its content was accepted, in an earlier batch, is a repeat if at most `within` lies between it and
+    an accepted one, before or after. Uploads without a ts are all accepted. The times accepted are kept for each
+    content (at most one for each `within`) and never expire. Where batches come in order of time, the result is that
+    of one batch over all.
+    """
+    gap = int(pd.Timedelta(within) / pd.Timedelta(microseconds=1))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        taken = list(state.get[0]) if state.exists else []
+        new, untimed = [], 0
+        for frame in frames:
+            new.extend(frame["at"][frame["timed"]].tolist())
+            untimed += int((~frame["timed"]).sum())
+        out = []
+        for at in sorted(new):
+            k = bisect.bisect_left(taken, at)
+            if (k == 0 or at - taken[k - 1] > gap) and (k == len(taken) or taken[k] - at > gap):
+                taken.insert(k, at)
+                out.append(at)
+        state.update((taken,))
+        n = len(out) + untimed
+        yield pd.DataFrame({"content_hash": pd.Series([key[0]] * n, dtype="object"), "at": pd.Series(out + [0] * untimed, dtype="int64"), "timed": pd.Series([True] * len(out) + [False] * untimed, dtype="bool")})
+
+    rows = events.select("content_hash", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(0)).alias("at"), F.col("ts").isNotNull().alias("timed"))
+    kept = rows.groupBy("content_hash").applyInPandasWithState(step, "content_hash string, at long, timed boolean", "taken array<long>", "append", GroupStateTimeout.NoTimeout)
+    return kept.select("content_hash", F.when(F.col("timed"), F.timestamp_micros("at")).alias("ts"))
 
 
 def latest_tasks(events: DataFrame) -> DataFrame:

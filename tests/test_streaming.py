@@ -41,3 +41,24 @@ def test_repeats_in_flight(spark, tmp_path):
     out = jobs.first_uploads(jobs.read(spark, str(tmp_path / "in")))
     out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["content_hash"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_repeats_are_suppressed_for_ten_minutes_only(spark, tmp_path):
+    rows = sorted([(s, "ab"[s % 7 % 2]) for s in range(0, 7200, 97)] + [(0, "a"), (600, "c"), (1200, "c"), (1201, "c")])
+    want, last = [], {}
+    for s, content in rows:
+        if content not in last or s - last[content] > 600:
+            want.append((content, s))
+            last[content] = s
+
+    def first(name, parts):
+        for part in parts:
+            spark.createDataFrame(part, "s int, content_hash string").select("content_hash", F.timestamp_seconds(F.col("s")).alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / f"{name}-in"))
+        out = jobs.first_uploads(jobs.read(spark, str(tmp_path / f"{name}-in"), 1))
+        out.writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out")).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(((r["content_hash"], r["s"]) for r in spark.read.parquet(str(tmp_path / f"{name}-out")).select("content_hash", F.unix_timestamp("ts").alias("s")).collect()), key=str)
+
+    assert len(want) > 20
+    for n in (1, 2, 5):
+        assert first(f"split{n}", [rows[i * len(rows) // n : (i + 1) * len(rows) // n] for i in range(n)]) == sorted(want, key=str)
+    assert first("late", [[(5000, "a"), (None, "a")], [(100, "a"), (4500, "a"), (5500, "a"), (200, "a"), (None, "a")]]) == [("a", 100), ("a", 5000), ("a", None), ("a", None)]
