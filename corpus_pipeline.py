@@ -5,7 +5,7 @@ Every stage takes (spark, docs, sf_dir). All but the last return the rows they k
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.common import table, written
@@ -29,16 +29,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return reject_low_quality(spark, docs, table(spark, sf_dir, "labels"))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A row's own key, whatever its doc_id: a hash of all columns and of which are null. Equal rows share it."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; equal rows count once."""
-    kept = near_duplicates(docs, SIMILAR).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi").distinct()
+    """The row with the smallest doc_id (null last) of each group of near duplicates; equal rows count once."""
+    keyed = docs.withColumn("__row_key", row_key(docs))
+    groups = near_duplicates(keyed.select(F.col("__row_key").alias("doc_id"), "text"), SIMILAR).select(F.col("doc_id").alias("__row_key"), F.col("component_id").alias("__group"))
+    ids = keyed.select("__row_key", F.col("doc_id").alias("__id")).distinct()
+    first = groups.distinct().join(ids.hint("merge"), "__row_key").groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row_key"))["__row_key"].alias("__row_key"))
+    return keyed.join(first.select("__row_key").hint("merge"), "__row_key", "left_semi").select(*docs.columns).distinct()
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark text; rows that share a doc_id go together."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("items") > 0).select(F.col("doc_id").alias("__hit_id"))
-    return docs.join(hit.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__hit_id")), "left_anti")
+    """Rows without any window of a benchmark text."""
+    keyed = docs.withColumn("__row_key", row_key(docs))
+    hit = contamination(keyed.select(F.col("__row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where(F.size("items") > 0).select(F.col("doc_id").alias("__row_key"))
+    return keyed.join(hit.hint("merge"), "__row_key", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

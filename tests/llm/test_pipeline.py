@@ -77,3 +77,26 @@ def test_stages_take_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() > 0, name
         assert stage(spark, empty(docs), sf_dir).count() == 0, name
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    spark.createDataFrame([(1, PHRASE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rng = np.random.default_rng(5)
+    plain = [" ".join(rng.choice(WORDS, 80)) for _ in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], schema)
+    found = lambda kept: sorted((str(r["doc_id"]), r["text"], r["source"]) for r in kept.collect())
+    clean = [(None, plain[0], "a"), (None, plain[1], "a"), (7, plain[2], "a"), (8, plain[3], "a")]
+    hit = [(None, f"{plain[4]} {PHRASE}", "a"), (7, f"{plain[5]} {PHRASE}", "a")]
+    assert found(corpus_pipeline.decontamination(spark, frame(clean + hit), str(tmp_path))) == sorted((str(i), t, s) for i, t, s in clean)
+    near = lambda t: t + " changed"
+    kept = [(1, plain[6], "a"), (None, plain[7], "a"), (2, plain[8], "a"), (2, plain[9], "a"), (3, plain[10], "a"), (0, near(plain[11]), "a")]
+    copies = [(None, near(plain[6]), "a"), (2, near(plain[10]), "a"), (5, plain[8], "b"), (1, plain[6], "a"), (9, plain[11], "a")]
+    # The key of a null must not depend on its column alone: these two differ in where the null is.
+    odd = spark.createDataFrame([(50, "same words here", None, "x", 1), (51, "other words there", "x", None, 1)], schema)
+    got = corpus_pipeline.near_duplicate(spark, frame(kept + copies).unionByName(odd), str(tmp_path))
+    want = [*((str(i), t, s) for i, t, s in kept if (i, t) != (3, plain[10])), ("2", near(plain[10]), "a")]
+    assert [x for x in found(got.where("doc_id is null or doc_id < 50"))] == sorted(want)
+    assert got.where("doc_id >= 50").count() == 2
+    keys = spark.createDataFrame([(None, "x"), ("x", None)], "a string, b string")
+    assert keys.select(corpus_pipeline.row_key(keys)).distinct().count() == 2
