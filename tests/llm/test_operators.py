@@ -222,7 +222,47 @@ def test_hosts_vote(spark):
     main = "<div class='x'><p>A main text that is long enough to win everywhere.</p></div>"
     rows = [(i, "http://h/", f"<body>{main}<div class='y'><p>{'Some other text. ' * (1 if i else 20)}</p></div></body>") for i in range(5)]
     won = op3_html.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert [(r["host"], r["path"]) for r in won] == [("h", "body")]
+    assert [(r["host"], bytes(r["path"])) for r in won] == [("h", op3_html.path_key("body"))]
+
+
+def test_all_positive_paths_vote(spark):
+    deep = "<div class='a'>" * 20 + "<p>A text that is long enough to win everywhere.</p>" + "</div>" * 20
+    assert len(list(op3_html.Page(deep).votes())) == 21
+    # Page 0 has much text beside the deep path, the others have it there alone: the deep path's votes decide.
+    rows = [(i, "http://h/", f"<body>{deep}{'<p>Beside it. ' * (i == 0)}</body>") for i in range(5)]
+    won = op3_html.host_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert bytes(won[0]["path"]) == op3_html.path_key("body")
+
+
+def test_html_loses_no_text_to_odd_markup():
+    text = "<h1>T</h1><p>The running text of the page, which is long enough.</p><p>And a second paragraph of it, no shorter.</p>"
+    want = "T\n\nThe running text of the page, which is long enough.\n\nAnd a second paragraph of it, no shorter."
+    read = lambda s: op3_html.Page(s).text(None)
+    assert read("<p class=don't>second para, it's here</p><p>b</p>") == "second para, it's here\n\nb"
+    assert read(f'<article class="contact-story">{text}</article>') == want
+    assert read(f'<article>{text}<section class="related-work"><p>What others did before.</p></section></article>') == want + "\n\nWhat others did before."
+    assert read(f"<article>{text}<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <noscript>more</noscript>.</p></article>") == want + "\n\nSo x=1 and more."
+    assert read(f"<article>{text}<a href='x>y</article>") == want + "\n\ny"
+    long = "<p>" + "It goes on here, as the authors say at some length. " * 10 + "</p>"
+    assert read(f"<article>{text}<section class='related'>{long}</section></article>").count("goes on") == 10
+    assert read(f"<article>{text}<section class='related'><p><a href=x>{long[3:-4]}</a></p></section></article>") == want
+    assert read(f"<body><main>{text}</main><div class=x><p>Unmarked text beside the main element of it.</p></div></body>") == want
+    assert read(f"<body><h1>Outside</h1><main><p>{text}</main></body>").startswith("Outside")
+
+
+@pytest.mark.parametrize("source", ["<a href='" * 120_000, "<a href='" * 120_000 + ">", "<a b='>' c " * 90_000, "<div>" * 100_000 + "text" + "</div>" * 100_000, "<div>" * 50_000 + "</p>" * 100_000, "<ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000, "<svg>" * 200_000, "<!" * 500_000])
+def test_html_takes_linear_time_and_memory(source):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    page = op3_html.Page(source)
+    assert len(list(page.votes())) <= source.count("<div") + 1 and isinstance(page.text(None), str)
+    assert time.process_time() - began < 8  # 0.1 to 2 s on an idle machine
+    tracemalloc.start()
+    op3_html.Page(source[: len(source) // 10])
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
 
 
 def test_html_wrappers_with_words_of_boilerplate(spark):
