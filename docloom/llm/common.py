@@ -19,8 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir (unset only in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or where that is unset in the warehouse.
+
+    On a local master, as in tests, driver and executors are one machine and its /tmp serves.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local" else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -99,12 +104,20 @@ def get_file(path: str) -> bytes:
 
 
 def added(rows: DataFrame, size: int) -> np.ndarray:
-    """Rows (k, v: doubles) summed by k, for k below a fixed bound; each task's rows are as few."""
+    """Rows (k, v: doubles) summed by k, for k below a fixed bound; a task holds a batch and the sum of one k."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, 1):
-            v = utf8_column(group.column("v"))[0].view(np.float64).reshape(group.num_rows, -1).sum(axis=0)
-            yield pa.RecordBatch.from_pydict({"k": group.column("k").combine_chunks().slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
+        key, total = None, np.zeros(0)
+        for batch in batches:
+            keys, (data, off) = batch.column(0).to_numpy(), utf8_column(batch.column(1))
+            bounds = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
+            for a, b in zip(bounds.tolist(), np.append(bounds[1:], len(keys)).tolist(), strict=True):
+                if key is not None and keys[a] != key:
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([key], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
+                part = data[off[a] : off[b]].view(np.float64).reshape(b - a, -1).sum(axis=0)
+                key, total = keys[a], total + part if key == keys[a] else part
+        if key is not None:
+            yield pa.RecordBatch.from_pydict({"k": pa.array([key], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 
     found = rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "k int, v binary").collect()
     out = np.zeros((size, len(found[0]["v"]) // 8 if found else 1))

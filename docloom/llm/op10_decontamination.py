@@ -1,19 +1,25 @@
 """Operator 10: find benchmark passages in documents with a positional inverted index.
 
-The index is split by documents: each segment (up to SEGMENT_BYTES of text) is one row that holds, for every term
-that some test item uses, the sorted postings (document << 32 | word place). Words are 64-bit hashes of their bytes.
-A window's start places are found by intersecting offset-adjusted postings, rarest term first by its count in all
-documents; with a slop, terms may lie up to that many places off (proximity). Test items go to the segments in
-blocks of BLOCK_WORDS words, so what is broadcast is bounded for any benchmark.
+The index is split by documents and written once: each segment (up to SEGMENT_BYTES of text; a longer document alone) is
+one row with the sorted terms of its words (64-bit hashes of their bytes), how often each occurs, and the ascending
+places of every term, as differences in four byte planes, which Parquet packs. The benchmark's words go to files of
+about BLOCK_WORDS words with their windows as flat arrays; only the files' paths pass the driver. A task reads its
+segments once, in groups of GROUP_BYTES, and meets every group with one file at a time: what it holds is bounded for
+any benchmark. A window's start places are found by intersecting offset-adjusted postings, the segment's rarest term
+first; with a slop, terms may lie up to that many places off (proximity).
 
 Defined results: null and empty texts have no words and are clean; null and wordless items match nothing; equal item
-ids count once; rows are judged one by one, repeated doc_ids too; an empty table gives no rows; with an empty
-benchmark all documents are clean; further columns are ignored.
+ids count once; rows are judged one by one, repeated doc_ids too; windows don't cross documents; texts of any length are
+indexed whole; an empty table gives no rows; with an empty benchmark all documents are clean; further columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import io
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +27,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_chunks, table, utf8_column, written
+from docloom.llm.common import get_file, put_file, row_chunks, scratch, table, utf8_column, written
 from docloom.llm.hashing import FOLD, span_hashes, word_spans
 
 SEGMENT_BYTES = 4 << 20
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+#: Bytes of stored postings that meet a block of the benchmark at a time; one larger segment meets it alone.
+GROUP_BYTES = 16 << 20
 WINDOW = 10
+#: Windows, and start places of windows, that a step holds at a time.
+_STEP = 100_000
 #: Letters a-z, digits and every byte beyond ASCII, after A-Z were lower-cased.
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[0x30:0x3A] = WORD_BYTE[0x61:0x7B] = WORD_BYTE[0x80:] = True
-_SEGMENT = "segment long, doc_ids array<long>, n_words array<long>, terms binary, ends binary, postings binary"
+_SEGMENT = "segment long, doc_ids array<long>, n_words array<long>, terms binary, counts binary, postings binary"
+_FOUND = "doc_id long, n_words long, items array<string>, spans array<struct<start:long,stop:long>>"
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +51,41 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(folded, starts, ends), first
 
 
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
-    """The items' (id, word hashes) in blocks; the rows reach the driver one partition at a time, as the query set."""
+@dataclass
+class Block:
+    """Words of test items: sorted vocabulary, each word's place in it, and each window's first word, length and item."""
+
+    names: list[str]
+    vocabulary: np.ndarray
+    word: np.ndarray
+    begin: np.ndarray
+    length: np.ndarray
+    item: np.ndarray
+
+    @classmethod
+    def of(cls, items: list[tuple[str, np.ndarray]], size: int) -> Block:
+        sizes = np.array([len(h) for _, h in items], np.int64)
+        first = np.cumsum(sizes) - sizes
+        n = np.maximum(sizes - size + 1, 1)
+        item = np.repeat(np.arange(len(items), dtype=np.int32), n)
+        begin = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[item]
+        vocabulary, word = np.unique(np.concatenate([h for _, h in items]), return_inverse=True)
+        return cls([name for name, _ in items], vocabulary, word.astype(np.int32), begin, np.minimum(sizes, size)[item], item)
+
+    def content(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, names=np.frombuffer(json.dumps(self.names).encode(), np.uint8), **{k: getattr(self, k) for k in ("vocabulary", "word", "begin", "length", "item")})
+        return out.getvalue()
+
+    @classmethod
+    def read(cls, content: bytes) -> Block:
+        with np.load(io.BytesIO(content)) as f:
+            return cls(json.loads(f["names"].tobytes()), *(f[k] for k in ("vocabulary", "word", "begin", "length", "item")))
+
+
+def write_blocks(benchmark: DataFrame, size: int = WINDOW) -> list[str]:
+    """The items (item_id, text) as files of blocks; their paths."""
+    folder = scratch(benchmark.sparkSession, "op10-blocks")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,21 +95,26 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, np.ndarra
                 yield pa.RecordBatch.from_pydict({"item": batch.column(0).slice(i, j - i), "words": pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())})
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
-    block, held = [], 0
-    for row in items.mapInArrow(hashed, "item string, words binary").toLocalIterator():
-        h = np.frombuffer(row["words"], np.uint64)
-        if len(h):
-            block.append((row["item"], h))
-            held += len(h)
-        if held >= BLOCK_WORDS:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
-def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """Segments over whole texts: every document's word count, and postings of the vocabulary's terms (sorted hashes)."""
+    items = written(items.mapInArrow(hashed, "item string, words binary"), "op10-items").where("length(words) > 0")
+    total = (items.agg(F.sum(F.length("words"))).collect()[0][0] or 0) // 8
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            for name, h in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.append((name, np.frombuffer(h.as_py(), np.uint64)))
+                n += len(held[-1][1])
+                if n >= BLOCK_WORDS:
+                    yield pa.RecordBatch.from_pydict({"path": [put_file(folder, f"part-{part:06d}-{seq:06d}.npz", Block.of(held, size).content())]})
+                    seq, held, n = seq + 1, [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"path": [put_file(folder, f"part-{part:06d}-{seq:06d}.npz", Block.of(held, size).content())]})
+
+    return sorted(r["path"] for r in written(items.coalesce(1 + total // BLOCK_WORDS).mapInArrow(write, "path string"), "op10-paths").collect())
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """Segments over whole texts (doc_id, text): every document's word count, and all terms' postings."""
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 32
@@ -73,17 +122,14 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
             data, off = utf8_column(batch.column(1))
             for i, j in row_chunks(off, SEGMENT_BYTES):
                 h, first = words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                place = np.searchsorted(vocabulary, h)
-                place[place == len(vocabulary)] = 0
-                used = np.flatnonzero(vocabulary[place] == h) if len(vocabulary) else np.zeros(0, np.int64)
-                doc = np.searchsorted(first, used, "right") - 1
-                posting = doc.astype(np.int64) << 32 | (used - first[doc])
-                term = place[used].astype(np.int32)
-                order = np.argsort(term, kind="stable")
-                present, begin = np.unique(term[order], return_index=True)
+                order = np.argsort(h, kind="stable")
+                h = h[order]
+                begin = np.flatnonzero(np.concatenate(([len(h) > 0], h[1:] != h[:-1])))
+                steps = np.diff(order.astype("<u4"), prepend=np.uint32(0))  # modulo 2**32 where a term's list begins
                 yield pa.RecordBatch.from_pydict({
                     "segment": pa.array([segment]), "doc_ids": pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), "n_words": pa.array([np.diff(first)], pa.list_(pa.int64())),
-                    "terms": pa.array([vocabulary[present].tobytes()], pa.binary()), "ends": pa.array([np.append(begin, len(order))[1:].astype(np.int64).tobytes()], pa.binary()), "postings": pa.array([posting[order].tobytes()], pa.binary()),
+                    "terms": pa.array([h[begin].tobytes()], pa.binary()), "counts": pa.array([np.diff(np.append(begin, len(h))).astype("<u4").tobytes()], pa.binary()),
+                    "postings": pa.array([np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()], pa.binary()),
                 })
                 segment += 1
 
@@ -91,77 +137,111 @@ def build_index(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     return written(rows.mapInArrow(segments, _SEGMENT), "op10-index")
 
 
-def term_counts(index: DataFrame) -> dict[int, int]:
-    """Occurrences in all documents of each indexed term; as many rows as the test block has terms."""
+class Segment:
+    """A stored segment: keys are (number of the term << 32 | place of a word in the segment), ascending."""
+
+    def __init__(self, row: dict):
+        self.doc_ids, self.n_words = row["doc_ids"], np.array(row["n_words"], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.n_words)))  # of each document, its first word
+        self.terms, self.counts = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], "<u4").astype(np.int64)
+        steps = np.ascontiguousarray(np.frombuffer(row["postings"], np.uint8).reshape(4, -1).T).view("<u4")[:, 0]
+        self.begin = np.cumsum(self.counts) - self.counts
+        self.keys = np.repeat(np.arange(len(self.terms)) << 32, self.counts) | np.cumsum(steps, dtype=np.uint32).astype(np.int64)
+
+    def occurrences(self, block: Block, size: int, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Occurring windows: document, first and last place in it (exclusive), item; in parts."""
+        if not len(self.keys):
+            return
+        number = np.minimum(np.searchsorted(self.terms, block.vocabulary), len(self.terms) - 1)
+        number[self.terms[number] != block.vocabulary] = -1
+        word = number[block.word]
+        missing = np.concatenate(([0], np.cumsum(word < 0)))
+        here = np.flatnonzero(missing[block.begin + block.length] == missing[block.begin])
+        for some in np.array_split(here, 1 + len(here) // _STEP):
+            # Short windows repeat their last word, which changes nothing.
+            at = np.minimum(np.arange(size), block.length[some, None] - 1)
+            term = word[block.begin[some, None] + at]
+            rarest = np.argsort(self.counts[term], axis=1, kind="stable")
+            term, at = np.take_along_axis(term, rarest, 1), np.take_along_axis(at, rarest, 1)
+            many = self.counts[term[:, 0]] * (2 * slop + 1)
+            # A step has at most _STEP start places and those of one window more.
+            cuts = np.flatnonzero(np.diff(np.cumsum(many) // _STEP)) + 1
+            for part in np.split(np.arange(len(some)), cuts):
+                yield from self._intersect(block, some[part], term[part], at[part], slop)
+
+    def _intersect(self, block: Block, some: np.ndarray, term: np.ndarray, at: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        if not len(some):
+            return
+        n = self.counts[term[:, 0]]
+        row = np.repeat(np.arange(len(some)), n)
+        place = self.keys[np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.begin[term[row, 0]]] & 0xFFFFFFFF
+        doc = np.searchsorted(self.first, place, "right") - 1
+        start = place - at[row, 0]
+        if slop:
+            start = (start[:, None] + np.arange(-slop, slop + 1)).ravel()
+            row, doc = np.repeat(row, 2 * slop + 1), np.repeat(doc, 2 * slop + 1)
+        for k in range(1, term.shape[1]):
+            low = np.maximum(start + at[row, k] - slop, self.first[doc])
+            high = np.minimum(start + at[row, k] + slop, self.first[doc + 1] - 1)
+            own = term[row, k] << 32
+            near = np.minimum(np.searchsorted(self.keys, own | low), len(self.keys) - 1)
+            ok = (low <= high) & (self.keys[near] >= own | low) & (self.keys[near] <= own | high)
+            row, doc, start = row[ok], doc[ok], start[ok]
+            if not len(row):
+                return
+        start = start - self.first[doc]
+        stop = np.minimum(start + block.length[some[row]], self.n_words[doc])
+        yield doc, np.maximum(start, 0), stop, block.item[some[row]]
+
+
+_last: dict[str, Block] = {}
+
+
+def _block(path: str) -> Block:
+    """The block of a file; a worker keeps the last one."""
+    if path not in _last:
+        _last.clear()
+        _last[path] = Block.read(get_file(path))
+    return _last[path]
+
+
+def find_windows(index: DataFrame, paths: list[str], size: int = WINDOW, slop: int = 0) -> DataFrame:
+    """Every document of the index: doc_id, n_words, items (sorted ids of items with occurring windows), spans of hit words."""
+
+    def search(group: list[Segment]) -> Iterator[pa.RecordBatch]:
+        items: list[dict[int, set[str]]] = [{} for _ in group]
+        spans: list[dict[int, set[tuple[int, int]]]] = [{} for _ in group]
+        for path in paths:
+            block = _block(path)
+            for k, segment in enumerate(group):
+                for doc, start, stop, item in segment.occurrences(block, size, slop):
+                    for d, a, b, i in zip(doc.tolist(), start.tolist(), stop.tolist(), item.tolist(), strict=True):
+                        items[k].setdefault(d, set()).add(block.names[i])
+                        spans[k].setdefault(d, set()).add((a, b))
+        for segment, held, places in zip(group, items, spans, strict=True):
+            docs = range(len(segment.doc_ids))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.array(segment.doc_ids, pa.int64()), "n_words": pa.array(segment.n_words), "items": pa.array([sorted(held.get(d, ())) for d in docs], pa.list_(pa.string())),
+                "spans": pa.array([[{"start": a, "stop": b} for a, b in merged(places.get(d, ()))] for d in docs], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+            })
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = [], 0
         for batch in batches:
-            for terms, ends in zip(batch.column(0), batch.column(1), strict=True):
-                n = np.diff(np.frombuffer(ends.as_py(), np.int64), prepend=0)
-                yield pa.RecordBatch.from_pydict({"term": pa.array(np.frombuffer(terms.as_py(), np.int64)), "n": pa.array(n)})
-
-    rows = index.select("terms", "ends").mapInArrow(counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    return {r["term"] & 0xFFFFFFFFFFFFFFFF: r["n"] for r in rows}
-
-
-def windows(block: list[tuple[str, np.ndarray]], size: int, frequency: dict[int, int]) -> list[tuple[np.ndarray, list[int], list[int]]]:
-    """Distinct windows whose terms all occur: (hashes, items that hold it, its places from the rarest term on)."""
-    found: dict[bytes, list[int]] = {}
-    for k, (_, h) in enumerate(block):
-        for s in range(max(1, len(h) - size + 1)):
-            items = found.setdefault(h[s : s + size].tobytes(), [])
-            if not items or items[-1] != k:
-                items.append(k)
-    out = []
-    for key, items in found.items():
-        h = np.frombuffer(key, np.uint64)
-        n = [frequency.get(x, 0) for x in h.tolist()]
-        if min(n):
-            out.append((h, items, sorted(range(len(h)), key=n.__getitem__)))
-    return out
+            for k in range(batch.num_rows):
+                row = {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}
+                if group and held + len(row["postings"]) > GROUP_BYTES:
+                    yield from search(group)
+                    group, held = [], 0
+                group.append(Segment(row))
+                held += len(row["postings"])
+        if group:
+            yield from search(group)
 
+    return index.select("doc_ids", "n_words", "terms", "counts", "postings").mapInArrow(match, _FOUND)
 
-def find_windows(index: DataFrame, block: list[tuple[str, np.ndarray]], size: int, slop: int = 0) -> DataFrame:
-    """Per document with occurrences: segment, place, items (ids), spans (start, stop of word places; merged)."""
-    wanted = windows(block, size, term_counts(index))
-    names = [name for name, _ in block]
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                terms, ends, postings = (np.frombuffer(row[x], t) for x, t in (("terms", np.uint64), ("ends", np.int64), ("postings", np.int64)))
-                at = {t: (a, b) for t, a, b in zip(terms.tolist(), np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True)}
-                items: dict[int, set[int]] = {}
-                spans: dict[int, list[tuple[int, int]]] = {}
-                for h, owners, places in wanted:
-                    keys = h.tolist()
-                    if any(keys[p] not in at for p in places):
-                        continue
-                    a, b = at[keys[places[0]]]
-                    starts = postings[a:b] - places[0]
-                    for p in places[1:]:
-                        a, b = at[keys[p]]
-                        other = postings[a:b]
-                        near = np.searchsorted(other, starts + p - slop)
-                        near[near == len(other)] = len(other) - 1
-                        starts = starts[(other[near] >= starts + p - slop) & (other[near] <= starts + p + slop)]
-                        if not len(starts):
-                            break
-                    for d, s in zip((starts >> 32).tolist(), (starts & 0xFFFFFFFF).tolist(), strict=True):
-                        items.setdefault(d, set()).update(owners)
-                        spans.setdefault(d, []).append((s, s + len(h)))
-                if items:
-                    docs = sorted(items)
-                    yield pa.RecordBatch.from_pydict({
-                        "segment": pa.array([row["segment"]] * len(docs), pa.int64()), "place": pa.array(docs, pa.int32()),
-                        "items": pa.array([sorted({names[k] for k in items[d]}) for d in docs], pa.list_(pa.string())),
-                        "spans": pa.array([[{"start": a, "stop": b} for a, b in merged(spans[d])] for d in docs], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                    })
-
-    return index.select("segment", "terms", "ends", "postings").mapInArrow(match, "segment long, place int, items array<string>, spans array<struct<start:long,stop:long>>")
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -173,23 +253,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = 0) -> DataFrame:
     """Every row of docs: doc_id, n_words, items (sorted ids of items with occurring windows), spans of hit words."""
-    spark, results, index = docs.sparkSession, [], None
-    for block in benchmark_blocks(benchmark):
-        index = build_index(docs, np.unique(np.concatenate([h for _, h in block])))
-        results.append(find_windows(index, block, size, slop))
-    if index is None:
-        index = build_index(docs, np.zeros(0, np.uint64))
-    every = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("place", "doc")).select("segment", "place", F.col("doc.doc_ids").alias("doc_id"), F.col("doc.n_words").alias("n_words"))
-    if not results:
-        return every.select("doc_id", "n_words", F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:long,stop:long>>").alias("spans"))
-    hits = results[0]
-    for more in results[1:]:
-        hits = hits.unionByName(more)
-    hits = written(hits, "op10-hits")
-    if len(results) > 1:  # a row for each block at most
-        hits = hits.groupBy("segment", "place").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-        hits = hits.mapInPandas(lambda frames: (f.assign(spans=[[{"start": a, "stop": b} for a, b in merged([(x["start"], x["stop"]) for x in s])] for s in f["spans"]]) for f in frames), hits.schema)
-    return every.join(hits.hint("merge"), ["segment", "place"], "left").select("doc_id", "n_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<start:long,stop:long>>")).alias("spans"))
+    return find_windows(build_index(docs), write_blocks(benchmark, size), size, slop)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -540,14 +540,76 @@ def test_contamination(spark, monkeypatch):
     docs = clashing(spark.createDataFrame(texts, "doc_id long, text string"))
     tests = clashing(spark.createDataFrame(items, "item_id long, text string"))
     want = sorted((d or -1, *brute_contamination(t, items)) for d, t in texts)
-    for words in (2_000_000, 4):  # one block of items, several
+    for words, group, step in ((500_000, 16 << 20, 100_000), (4, 1, 7)):  # one block of items, several; all segments together, each alone
         monkeypatch.setattr(op10_decontamination, "BLOCK_WORDS", words)
+        monkeypatch.setattr(op10_decontamination, "GROUP_BYTES", group)
+        monkeypatch.setattr(op10_decontamination, "_STEP", step)
+        assert len(op10_decontamination.write_blocks(tests)) == 1 or words == 4
         rows = op10_decontamination.contamination(docs, tests).collect()
         assert sorted((r["doc_id"] or -1, r["n_words"], sum(s["stop"] - s["start"] for s in r["spans"]), ",".join(r["items"])) for r in rows) == want
     assert op10_decontamination.contamination(empty(docs), tests).count() == 0
     assert not any(r["items"] for r in op10_decontamination.contamination(docs, empty(tests)).collect())
 
 
+def segments_of(texts, limit):
+    """Segments as build_index stores them, without Spark."""
+    import pyarrow as pa
+
+    from docloom.llm.common import row_chunks, utf8_column
+
+    data, off = utf8_column(pa.array(texts))
+    for i, j in row_chunks(off, limit):
+        h, first = op10_decontamination.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        order = np.argsort(h, kind="stable")
+        terms, counts = np.unique(h, return_counts=True)
+        steps = np.diff(order.astype("<u4"), prepend=np.uint32(0))
+        yield op10_decontamination.Segment({"doc_ids": list(range(i, j)), "n_words": np.diff(first), "terms": terms.tobytes(), "counts": counts.astype("<u4").tobytes(), "postings": np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()})
+
+
+@pytest.mark.parametrize(("seed", "slop"), [(s, k) for s in range(4) for k in (0, 1, 2)])
+def test_windows_equal_brute_force(seed, slop):
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{i}" for i in range(6)]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 30))) for _ in range(20)]
+    items = [(str(i), " ".join(rng.choice(vocabulary, rng.integers(1, 6)))) for i in range(12)]
+    hashes = lambda t: op10_decontamination.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]
+    block = op10_decontamination.Block.read(op10_decontamination.Block.of([(n, hashes(t)) for n, t in items], 4).content())
+    got = set()
+    for segment in segments_of(texts, 100):
+        for doc, start, stop, item in segment.occurrences(block, 4, slop):
+            got.update((segment.doc_ids[d], a, b, block.names[i]) for d, a, b, i in zip(doc.tolist(), start.tolist(), stop.tolist(), item.tolist(), strict=True))
+    want = set()
+    for d, text in enumerate(texts):
+        w = text.split()
+        for name, item in items:
+            v = item.split()
+            for k in range(max(1, len(v) - 3)):
+                window = v[k : k + 4]
+                for s in range(-slop - 4, len(w) + slop):
+                    if all(t in w[max(0, s + o - slop) : max(0, s + o + slop + 1)] for o, t in enumerate(window)):
+                        want.add((d, max(s, 0), min(s + len(window), len(w)), name))
+    assert got == want and want
+
+
+def test_a_large_benchmark_takes_bounded_memory():
+    """Two million words of test items in blocks: 500 MB is the limit, about 100 are used."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    vocabulary = rng.integers(0, 2**63, 50_000).astype(np.uint64)
+    tracemalloc.start()
+    for _ in range(4):
+        block = op10_decontamination.Block.read(op10_decontamination.Block.of([(str(i), rng.choice(vocabulary, 50)) for i in range(10_000)], 10).content())
+    text = rng.choice(vocabulary[:25_000], 700_000)
+    order = np.argsort(text, kind="stable")
+    terms, counts = np.unique(text, return_counts=True)
+    steps = np.diff(order.astype("<u4"), prepend=np.uint32(0))
+    segment = op10_decontamination.Segment({"doc_ids": [1], "n_words": [len(text)], "terms": terms.tobytes(), "counts": counts.astype("<u4").tobytes(), "postings": np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()})
+    assert sum(len(doc) for doc, *_ in segment.occurrences(block, 10, 0)) == 0
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "one very two three"), (2, "one far far far two three")], "doc_id long, text string")
     item = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
