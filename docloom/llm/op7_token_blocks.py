@@ -5,7 +5,8 @@ PERCENTILE of its values, the packed low bits of all values, and a list of excep
 rest. The file ends with the starts of all blocks, so any range of ids is read by decoding its blocks alone.
 
 Defined results: null and empty texts have only the end id; a null doc_id sorts first; rows that share a doc_id lie
-in the order of their texts; an empty table gives no files; further columns are ignored.
+in the order of a hash of their texts (xxhash64), equal rows side by side; texts of any length are encoded whole; an
+empty table gives no files; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from docloom.llm.tokens import encoder
 MAGIC = b"PFR1"
 BLOCK = 256
 PERCENTILE = 0.9
-#: Ids a file holds before the next one is begun.
-FILE_TOKENS = 2_000_000
+#: Ids, and documents, a file holds before the next one is begun.
+FILE_TOKENS, FILE_DOCS = 2_000_000, 200_000
+#: Bytes of text in one partition: few enough to sort in memory, and at least PART_BYTES[0] so that small inputs aren't splintered.
+PART_BYTES = (1 << 20, 128 << 20)
 _HEAD = struct.Struct("<4sIQQQQQ")  # magic, block size, ids, documents, places of: block starts, document table, end
 
 
@@ -144,14 +147,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
                 names.extend(keys[i:j])
                 ends.extend((stops + n).tolist())
                 n += len(ids)
-                if n >= FILE_TOKENS:
+                if n >= FILE_TOKENS or len(names) >= FILE_DOCS:
                     yield flush()
                     seq, held, names, ends, n = seq + 1, [], [], [], 0
         if names:
             yield flush()
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(4 * cores, size // PART_BYTES[0]), -(-size // PART_BYTES[1]))
+    # The hash parts rows that share a doc_id (nulls too) and bounds what the ranges' sample holds.
+    ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(write, "part int, seq int, path string, n_docs long, n_tokens long"), "op7-manifest")
 
 
