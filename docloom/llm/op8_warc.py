@@ -5,10 +5,12 @@ record becomes a WARC record with a synthesised id, time, type and digests. Of r
 at least MIN_PAYLOAD bytes, the first by page id (then archive and place) is the response; the others revisit it,
 without their payload. The first of each digest is found by a grouped minimum and joined back, so a group of copies
 of any size is only a key; an archive's revisits, as many as its records at most, go to the task that converts it.
+An archive ends after ARCHIVE_BYTES of whole records or ARCHIVE_RECORDS of them, so a task's memory is bounded.
 
 Defined results: null and empty html is an empty payload; null or odd urls are escaped in ARC headers; a null page_id
-is written without one and comes last among equal payloads; rows are records, repeated page_ids too; an empty table
-gives no archives; further columns are ignored.
+is written without one and comes last among equal payloads; rows are records, repeated page_ids too: of equal payloads
+with one page_id the first by archive and place is the response; payloads of any length are written whole, a very long
+one in an archive of its own; an empty table gives no archives; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from pyspark.sql import functions as F
 from docloom.llm.common import get_file, put_file, scratch, table, written
 
 MIN_PAYLOAD = 100
-#: Payload bytes of an archive after which the next one is begun; one larger record has an archive of its own.
-ARCHIVE_BYTES = 8 << 20
+#: Bytes of whole records before packing, and records, of an archive after which the next one is begun; a larger record
+#: has an archive of its own. So what a task holds of an archive is bounded, however small its records are.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 20_000
 _FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}  # fixed values: header lines of both versions
 _DATE = "20240101000000"
 
@@ -153,9 +156,10 @@ def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
                 mark = "" if page is None else f"X-Page-Id: {page}\r\n"
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{mark}\r\n".encode()
                 address = quote(url or "", safe="!#$%&'()*+,/:;=?@[]~") or "unknown:"
-                held.append(gzip_member(arc_record(version, address, "0.0.0.0", _DATE, "text/html", head + payload)))
-                size += len(payload)
-                if size >= ARCHIVE_BYTES:
+                record = arc_record(version, address, "0.0.0.0", _DATE, "text/html", head + payload)
+                held.append(gzip_member(record))
+                size += len(record)
+                if size >= ARCHIVE_BYTES or len(held) >= ARCHIVE_RECORDS:
                     yield flush()
                     seq, held, size = seq + 1, [], 0
         if held:
@@ -261,9 +265,8 @@ def op8_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL = f"""
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < {MIN_PAYLOAD} OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN payload_bytes >= {MIN_PAYLOAD} AND first <> page_id THEN first END AS refers_to
+f AS (SELECT *, payload_bytes >= {MIN_PAYLOAD} AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) > 1 AS again, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
 FROM f
 """
 QUERIES = {"op8_warc_conversion": op8_warc_conversion}

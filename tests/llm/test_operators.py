@@ -179,7 +179,7 @@ def test_token_files(spark):
     docs = odd_documents(spark)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in op7_token_blocks.token_blocks(docs, path, 2).collect())
     at = 0
-    for (start, doc_id, n, crc), r in zip(got, docs.select("doc_id", "text").orderBy(F.asc_nulls_first("doc_id"), "text").collect(), strict=True):
+    for (start, doc_id, n, crc), r in zip(got, docs.select("doc_id", "text").orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect(), strict=True):
         ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
         assert (start, doc_id, n, crc) == (at, r["doc_id"], len(ids), zlib.crc32(ids.tobytes()))
         at += n
@@ -499,6 +499,28 @@ def test_warc(spark):
     assert all(r["record_type"] == "response" for r in got if r["payload_bytes"] < 100)
 
 
+def test_many_empty_pages_close_archives(spark):
+    import duckdb
+
+    pages = spark.range(100_000).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.lit(None).cast("string").alias("html")).coalesce(1)
+    from docloom.llm.common import scratch
+
+    folder = scratch(spark, "warc")
+    assert op8_warc.convert_arcs(op8_warc.write_arcs(pages, scratch(spark, "arc")), folder).count() >= 5
+    got = op8_warc.read_warcs(spark, folder).agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("bytes"), F.count_if(F.col("record_type") == "response").alias("responses")).collect()[0]
+    assert (got["n"], got["bytes"], got["responses"]) == (100_000, 0, 100_000)
+    # The SQL decides by row, as the code does.
+    rows = [(3, "x" * 150), (3, "x" * 150), (None, "x" * 150), (None, "y" * 150), (None, "y" * 150), (1, "z"), (1, "z")]
+    spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string").createOrReplaceTempView("odd_pages")
+    folder = scratch(spark, "warc")
+    op8_warc.convert_arcs(op8_warc.write_arcs(spark.table("odd_pages"), scratch(spark, "arc")), folder)
+    mine = sorted((r["page_id"] or 0, r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in op8_warc.read_warcs(spark, folder).collect())
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    assert mine == sorted((p or 0, n, kind, to or 0) for p, n, _, kind, to in db.execute(op8_warc._SQL).fetchall())
+
+
 def test_arc_versions():
     for version in (1, 2):
         data = op8_warc.arc_head(version, "n.arc") + op8_warc.arc_record(version, "dns:x y", "1.2.3.4", "20200102030405", "text/dns", b"a\nb") + op8_warc.arc_record(version, "http://z", "1.2.3.4", "202001020304", "text/html", b"HTTP/1.1 200 OK\r\n\r\nq")
