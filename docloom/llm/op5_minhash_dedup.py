@@ -8,13 +8,18 @@ pairs whose estimate is far below the threshold go no further; the rest is verif
 
 Equal sets are one class from the start. Within a bucket, members are first compared with its smallest class only.
 Buckets whose members are then linked already are done; in the others, only classes outside the bucket's largest
-component are compared with the rest, in blocks whose tasks hold the full sets and return a spanning forest of the
-links they verify. So no bucket's pairs are emitted, and no link between different components is lost but for the chance that two linked sets share no band: at similarity 0.85 below 1e-8, at 0.8
-below 1e-5, and that their estimate is CUT below the threshold (over four standard deviations).
+component are compared with the rest, in blocks and by their registers alone. Only classes with a likely partner in
+a block then come with their full sets, to tasks that return a spanning forest of the links they verify. So no bucket's
+pairs are emitted, unlike classes ship no full sets, and no link between different components is lost but for the
+chance that two linked sets share no band or that their estimate is CUT below the threshold (over four standard
+deviations). For sets of tens of shingles and more the former is below 1e-8 at similarity 0.85 and below 1e-5 at 0.8; of
+fewer, whose registers repeat elements, sets of at most TINY shingles are also bucketed by every shingle that a linked
+set must share one of (the first ones in hash order), so that none of theirs is lost.
 
 Defined results: documents without words have n_shingles 0, a component of their own and are kept; rows that share
-a doc_id are judged row by row; a null doc_id never represents others if one with an id is in the group; an empty
-table gives no rows; further columns are ignored.
+a doc_id are judged row by row; a null doc_id never represents others if one with an id is in the group; equal sets
+are one class whatever their number; texts of any length count whole; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +42,10 @@ ROWS = 6
 BANDS = M // ROWS
 B, RATE = 1.08, 20.0
 CUT = 0.11
-#: Classes of a bucket that are compared in one block.
-BLOCK = 400
+#: Classes of a bucket that are compared in one block: by registers (256 bytes each), then the likely ones with full sets.
+BLOCK = 1000
+#: Sets of so many shingles at most get exact buckets besides.
+TINY = 24
 _WORD = np.ones(256, bool)
 _WORD[0x20] = False
 _WORD[0x09:0x0E] = False
@@ -102,21 +109,32 @@ def estimate(up: np.ndarray, down: np.ndarray, n_a: np.ndarray, n_b: np.ndarray)
     return (low + high) / 2
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), sig (128-bit sum of the set, null when empty) and regs of every row's whole text."""
+def small_set(percent: int) -> int:
+    """The size up to which sets can be linked with one of at most TINY shingles."""
+    return 100 * TINY // percent
+
+
+def prefix(s: np.ndarray, percent: int) -> list[int] | None:
+    """Of a small sorted set, the first hashes: linked sets share one of theirs."""
+    return s[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64).tolist() if len(s) <= small_set(percent) else None
+
+
+def sketches(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n (set size), sig (128-bit sum of the set, null when empty), regs and prefix (of small sets) of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8_column(batch.column(1))
             for i, j in row_chunks(off):
-                n, sig, regs = [], [], []
+                n, sig, regs, first = [], [], [], []
                 for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i]):
                     n.append(len(s))
                     sig.append(signature(s) if len(s) else None)
                     regs.append(registers(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "regs": pa.array(regs, pa.binary())})
+                    first.append(prefix(s, percent) if len(s) else None)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "regs": pa.array(regs, pa.binary()), "prefix": pa.array(first, pa.list_(pa.int64()))})
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, sig binary, regs binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, sig binary, regs binary, prefix array<long>")
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -127,7 +145,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def likely(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of registers may be of linked sets: an estimate not far below the threshold, or small sets of fit sizes."""
+    threshold, up, down = percent / 100, (x > y).sum(axis=1), (x < y).sum(axis=1)
+    ok = 100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
+    small = ok & (np.maximum(n_x, n_y) <= small_set(percent))
+    # A share of equal registers so far below is over seven standard deviations off; it spares the estimate.
+    ok &= M - up - down >= M * (threshold - CUT - 0.1)
+    at = np.flatnonzero(ok & ~small)
+    ok[at] = estimate(up[at], down[at], n_x[at].astype(float), n_y[at].astype(float)) >= threshold - CUT
+    return ok | small
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose estimated similarity is not far below the threshold."""
     side = lambda x: classes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
 
@@ -136,11 +166,10 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
             if not batch.num_rows:
                 continue
             x, y = (utf8_column(batch.column(k))[0].reshape(-1, M) for k in (3, 5))
-            found = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), batch.column(2).to_numpy().astype(float), batch.column(4).to_numpy().astype(float))
-            yield batch.select([0, 1]).filter(pa.array(found >= threshold - CUT))
+            yield batch.select([0, 1]).filter(pa.array(likely(x, y, batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent)))
 
     joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    return joined.select("a", "b", "n_a", "regs_a", "n_b", "regs_b").select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(run, "a binary, b binary")
+    return joined.select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(run, "a binary, b binary")
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -185,7 +214,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
 
 
 class _Part:
-    """Rows of a block as arrays."""
+    """Rows of a slot as arrays."""
 
     def __init__(self, group: pa.Table):
         self.sig = [x.as_py() for x in group.column("sig")]
@@ -193,71 +222,108 @@ class _Part:
         self.regs = utf8_column(group.column("regs"))[0].reshape(-1, M)
         self.bands = self.regs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
         self.n, self.minor = group.column("n").to_numpy(), group.column("minor").to_numpy()
-        self.data, self.off = utf8_column(group.column("members"))
+        self.band = group.column("band")[0].as_py()
+        self.found = np.zeros(len(self.n), bool)
+        self.group = group
+        if "members" in group.column_names:
+            self.data, self.off = utf8_column(group.column("members"))
 
     def members(self, i: int) -> np.ndarray:
         return self.data[self.off[i] : self.off[i + 1]].view(U64)
 
+    def partners(self, i: int, home: _Part, percent: int) -> np.ndarray:
+        """Classes of home, of other components, that may be linked with class i; each pair in the first of its common bands alone."""
+        other = home.comp != self.comp[i]
+        if self is home:
+            other &= ~home.minor | (np.arange(len(other)) > i)
+        other = np.flatnonzero(other)
+        if len(other) and self.band >= 0:
+            other = other[(home.bands[other] == self.bands[i]).all(axis=2).argmax(axis=1) == self.band]
+        return other[likely(home.regs[other], self.regs[i], home.n[other], np.full(len(other), self.n[i]), percent)]
+
+
+def _by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Part, _Part, bool]]:
+    """A block's classes, then each slice of its visitors beside them; whether the block begins."""
+    at, home = None, None
+    for group in runs(batches, 3):
+        key, part = (group.column("key")[0].as_py(), group.column("block")[0].as_py()), _Part(group)
+        fresh = key != at
+        if fresh:
+            at, home = key, part if group.column("slot")[0].as_py() == 0 else None
+        if home is not None:
+            yield part, home, fresh
+
 
-def _cross_links(rows: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """Links between components within blocks of buckets, as spanning forests; each pair in the first of its common bands alone.
+_SLOT_KEYS = ["key", "block", "slot"]
+_SLOT = [*_SLOT_KEYS, "band", "sig", "comp", "n", "regs", "minor"]
 
-    rows: key, block, slot (0: those that live in the block, then the visitors in slices), band, sig, comp, n, regs, minor, members.
+
+def _likely_rows(rows: DataFrame, percent: int) -> DataFrame:
+    """Of the rows in blocks of buckets, those of classes with a likely partner of another component in their block.
+
+    rows: key, block, slot (0: those that live in the block, then the visitors in slices), band, sig, comp, n, regs, minor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, home, parent = None, None, {}
+        before = None
+        for part, home, fresh in _by_slot(batches):
+            if fresh and before is not None:
+                yield from before.group.filter(pa.array(before.found)).to_batches()
+            before = home
+            for i in np.flatnonzero(part.minor).tolist():
+                others = part.partners(i, home, percent)
+                if len(others):
+                    part.found[i] = True
+                    home.found[others] = True
+            if part is not home:
+                yield from part.group.filter(pa.array(part.found)).to_batches()
+        if before is not None:
+            yield from before.group.filter(pa.array(before.found)).to_batches()
+
+    rows = rows.select(*_SLOT)
+    return rows.repartition("key", "block").sortWithinPartitions(*_SLOT_KEYS).mapInArrow(run, rows.schema)
+
+
+def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links between components within blocks of buckets, verified on full sets (members), as spanning forests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
 
         def find(x: int) -> int:
             while (up := parent.get(x, x)) != x:
                 parent[x] = x = parent.get(up, up)
             return x
 
-        for group in runs(batches, 3):
-            key, slot, part = (group.column("key")[0].as_py(), group.column("block")[0].as_py()), group.column("slot")[0].as_py(), _Part(group)
-            if key != at:
-                at, home, parent = key, None, {}
-            if slot == 0:
-                home = part
-            if home is None:
-                continue
-            band, left, right = group.column("band")[0].as_py(), [], []
+        for part, home, fresh in _by_slot(batches):
+            if fresh:
+                parent.clear()
+            left, right = [], []
             for i in np.flatnonzero(part.minor).tolist():
-                n = part.n[i]
-                other = (home.comp != part.comp[i]) & (100 * np.minimum(home.n, n) >= percent * np.maximum(home.n, n))
-                if part is home:
-                    other &= ~home.minor | (np.arange(len(other)) > i)
-                other = np.flatnonzero(other)
-                if len(other):
-                    other = other[(home.bands[other] == part.bands[i]).all(axis=2).argmax(axis=1) == band]
-                if not len(other):
-                    continue
-                likely = estimate((part.regs[i] > home.regs[other]).sum(axis=1), (part.regs[i] < home.regs[other]).sum(axis=1), np.full(len(other), float(n)), home.n[other].astype(float))
-                mine = part.members(i)
-                for k in other[np.argsort(-likely)][: int((likely >= threshold - CUT).sum())].tolist():
+                for k in part.partners(i, home, percent).tolist():
                     a, b = find(int(part.comp[i])), find(int(home.comp[k]))
-                    if a != b and _similar(mine, home.members(k), percent):
+                    if a != b and _similar(part.members(i), home.members(k), percent):
                         parent[a] = b
                         left.append(part.sig[i])
                         right.append(home.sig[k])
             if left:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
-    keys = ["key", "block", "slot"]
-    return rows.repartition("key", "block").sortWithinPartitions(*keys).select(*keys, "band", "sig", "comp", "n", "regs", "minor", "members").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("key", "block").sortWithinPartitions(*_SLOT_KEYS).select(*_SLOT, "members").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Every row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
-    threshold = percent / 100
-    rows = written(sketches(docs), "op5-sketches")
-    classes = written(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "op5-classes")
+    rows = written(sketches(docs, percent), "op5-sketches")
+    first = [F.first(c).alias(c) for c in ("n", "regs", "prefix")]
+    classes = written(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), *first), "op5-classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring("regs", b * ROWS + 1, F.lit(ROWS))).alias("key")))
-    banded = classes.select("sig", F.explode(keys).alias("x")).select("sig", "x.band", "x.key")
+    exact = F.transform(F.coalesce("prefix", F.array().cast("array<long>")), lambda h: F.struct(F.lit(-1).alias("band"), F.xxhash64(F.lit(-1), h).alias("key")))
+    banded = classes.select("sig", F.explode(F.concat(keys, exact)).alias("x")).select("sig", "x.band", "x.key")
     full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("sig").alias("pivot")).where("size > 1")
     bucketed = written(banded.join(full.hint("merge"), "key"), "op5-buckets")
     stars = bucketed.where("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
-    stars = written(_likely(stars, classes, threshold), "op5-stars")
+    stars = written(_likely(stars, classes, percent), "op5-stars")
     links = written(_verified(stars, docs, classes, percent), "op5-links")
     comps = components(links)
 
@@ -267,15 +333,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     parts = labelled.groupBy("key", "comp").agg(F.count("*").alias("n_comp"))
     major = parts.groupBy("key").agg(F.max(F.struct("n_comp", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).where("comps > 1")
     mixed = labelled.join(major.hint("merge"), "key").withColumn("minor", F.expr("comp <> major"))
-    mixed = written(mixed, "op5-mixed")
-    full = _full_sets(mixed.select("sig"), docs, classes)
-    mixed = mixed.join(classes.select("sig", "n", "regs").hint("merge"), "sig").join(full.hint("merge"), "sig")
+    mixed = mixed.join(classes.select("sig", "n", "regs").hint("merge"), "sig")
     # A class lives in one block of its bucket; those outside the major component visit the other blocks too.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("sig"), blocks).cast("int")
     placed = mixed.withColumn("own", own).withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
     slot = F.when(F.col("own") == F.col("block"), 0).otherwise(1 + F.pmod(F.xxhash64("sig", F.lit(1)), blocks)).cast("int")
-    more = written(_cross_links(placed.withColumn("slot", slot), threshold, percent), "op5-cross")
+    near = written(_likely_rows(placed.withColumn("slot", slot), percent), "op5-near")
+    more = written(_cross_links(near.join(_full_sets(near.select("sig"), docs, classes).hint("merge"), "sig"), percent), "op5-cross")
     if more.take(1):
         links = links.unionByName(more)
         comps = components(links)

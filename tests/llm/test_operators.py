@@ -400,6 +400,41 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     test_near_duplicates(spark, 85)
 
 
+@pytest.mark.parametrize("n", [1, 4, 5, 9, 19, 24])
+def test_prefixes_of_linked_small_sets_meet(n):
+    rng = np.random.default_rng(n)
+    for percent in (80, 85):
+        for _ in range(300):
+            a = np.unique(rng.integers(0, 60, n).astype(np.uint64))
+            b = np.unique(np.concatenate((rng.choice(a, max(1, len(a) - rng.integers(0, 3)), replace=False), rng.integers(0, 60, rng.integers(0, 4)).astype(np.uint64))))
+            both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            if 100 * both >= percent * either:
+                assert set(op5_minhash_dedup.prefix(a, percent)) & set(op5_minhash_dedup.prefix(b, percent))
+
+
+def test_near_duplicates_of_short_texts(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10_000, 9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1]))]  # 5 and 4 shingles: 0.8
+    got = sorted((r["doc_id"], r["component_id"]) for r in op5_minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect())
+    assert got == [(d, d // 2 * 2) for d, _ in sorted(rows)]
+
+
+def test_unlike_classes_of_a_bucket_ship_no_full_sets(spark):
+    """10,000 classes with one band in common and nothing else: no row is left for the join with full sets."""
+    rng = np.random.default_rng(9)
+    regs = rng.integers(60, 120, (10_000, op5_minhash_dedup.M)).astype(np.uint8)
+    regs[:, : op5_minhash_dedup.ROWS] = 7
+    rows = [(1, i % 10, 0, 0, i.to_bytes(16, "big"), i.to_bytes(16, "big"), 300, r.tobytes(), i > 0) for i, r in enumerate(regs)]
+    frame = spark.createDataFrame(rows, "key long, block int, slot int, band int, sig binary, comp binary, n long, regs binary, minor boolean")
+    visits = frame.where("minor").withColumns({"home": F.col("block"), "block": F.explode(F.sequence(F.lit(0), F.lit(9)))}).where("block <> home").withColumn("slot", 1 + F.col("home"))
+    assert op5_minhash_dedup._likely_rows(frame.unionByName(visits.drop("home")), 85).count() == 0
+    same = frame.where("block = 0").limit(2).withColumn("regs", F.lit(bytes(range(256))))
+    assert op5_minhash_dedup._likely_rows(same, 85).count() == 2
+
+
 def test_near_duplicates_of_nothing(spark):
     assert op5_minhash_dedup.near_duplicates(empty(odd_documents(spark)), 85).count() == 0
 
