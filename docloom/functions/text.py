@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Where lines end, as Unicode has it.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
+#: Those that aren't a line feed.
+RARE_END = LINE_END.split("|")[1].replace("\n", "")
 #: Lower-case substrings of watermark lines.
 WATERMARKS = ["仅供", "机密", "confidential", "internal use", "扫描全能王", "camscanner", "adobe scan", "created with", "powered by", "evaluation only", "试用版", "免费版", "©亿欧智库"]
 #: Lines that hold only a page number.
@@ -17,8 +22,13 @@ LEADER = r"[.\s·…0-9]"
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed a single time for each row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\u000b\f\r"))
 
 
 def collapse(text: Column) -> Column:
@@ -28,8 +38,9 @@ def collapse(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a line end at the end of the text begins no further line."""
-    found = F.split(F.coalesce(text, F.lit("")), LINE_END)
-    return F.when(F.element_at(found, -1) == "", F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0)))).otherwise(found)
+    plain = F.coalesce(text, F.lit(""))
+    found = F.when(plain.rlike(RARE_END), F.split(plain, LINE_END)).otherwise(F.split(plain, "\n"))
+    return once(found, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, 1, F.size(x) - 1)).otherwise(x))
 
 
 def filled_lines(text: Column) -> Column:
@@ -46,7 +57,7 @@ def is_page_line(line: Column) -> Column:
 
 
 def is_watermark_line(line: Column) -> Column:
-    return F.exists(F.array(*map(F.lit, WATERMARKS)), lambda k: F.contains(F.lower(line), k))
+    return F.lower(line).rlike("|".join(map(re.escape, WATERMARKS)))
 
 
 def content_hash(text: Column) -> Column:
@@ -61,25 +72,32 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits without marks; characters of Chinese one by one and in pairs."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN)
-    runs = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+)"), 1)
-    han = F.regexp_extract_all(plain, F.lit(r"([\x{4e00}-\x{9fff}])"), 1)
-    pairs = F.regexp_extract_all(plain, F.lit(r"(?=([\x{4e00}-\x{9fff}]{2}))"), 1)
-    return F.concat(runs, han, pairs)
+
+    def tokens(plain: Column) -> Column:
+        runs = F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+)"), 1)
+        han = F.regexp_extract_all(plain, F.lit(r"([\x{4e00}-\x{9fff}])"), 1)
+        pairs = F.regexp_extract_all(plain, F.lit(r"(?=([\x{4e00}-\x{9fff}]{2}))"), 1)
+        return F.when(plain.rlike(r"[\x{4e00}-\x{9fff}]"), F.concat(runs, han, pairs)).otherwise(F.regexp_extract_all(plain, F.lit(r"([\p{L}\p{N}]+)"), 1))
+
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return once(once(low, lambda x: F.when(x.rlike(f"[{MARKED}]"), F.translate(x, MARKED, PLAIN)).otherwise(x)), tokens)
 
 
 def is_contents_noise(text: Column) -> Column:
     """A chunk that is short, dots and digits only, or mostly lines with long leaders."""
-    bare, rows = strip(text), filled_lines(text)
-    leaders = F.size(F.filter(rows, lambda x: x.rlike(LEADER + "{20,}")))
-    return (F.length(bare) < 30) | bare.rlike("^" + LEADER + "+$") | ((F.size(rows) > 0) & (leaders * 2 > F.size(rows)))
+    return noise_label(text) != ""
 
 
 def noise_label(text: Column) -> Column:
     """'short', 'pure_dotted', 'mixed_toc' or '' for a retrieved chunk."""
-    bare, rows = strip(text), filled_lines(text)
-    leaders = F.size(F.filter(rows, lambda x: x.rlike(LEADER + "{20,}")))
-    return F.when(F.length(bare) < 30, "short").when(bare.rlike("^" + LEADER + "+$"), "pure_dotted").when((F.size(rows) > 0) & (leaders * 2 > F.size(rows)), "mixed_toc").otherwise("")
+
+    def mostly_leaders(rows: Column) -> Column:
+        return (F.size(rows) > 0) & (F.size(F.filter(rows, lambda x: x.rlike(LEADER + "{20,}"))) * 2 > F.size(rows))
+
+    bare = strip(text)
+    # Lines matter only where a leader is at all.
+    crowded = text.rlike(LEADER + "{20,}") & once(filled_lines(text), mostly_leaders)
+    return F.when(F.length(bare) < 30, "short").when(bare.rlike("^" + LEADER + "+$"), "pure_dotted").when(crowded, "mixed_toc").otherwise("")
 
 
 def joined_heading(text: Column) -> Column:
@@ -115,3 +133,14 @@ def display_name(name: Column) -> Column:
     """manual_YYYYMMDD_HHMMSS as the time of its entry."""
     time = r"^manual_\d{8}_(\d{2})(\d{2})\d{2}$"
     return F.when(name.rlike(time), F.concat(F.lit("手动录入 "), F.regexp_extract(name, time, 1), F.lit(":"), F.regexp_extract(name, time, 2))).otherwise(name)
+
+
+def packed(**values: Column) -> Column:
+    """Metadata as a JSON text, by name."""
+    return F.to_json(F.struct(*(values[k].alias(k) for k in sorted(values))))
+
+
+def unpacked(text: Column, schema: str) -> Column:
+    """struct(metadata: the fields of the schema, raw: the text where it isn't a JSON object)."""
+    is_object = F.json_object_keys(text).isNotNull()
+    return F.struct(F.when(is_object, F.from_json(text, schema)).alias("metadata"), F.when(~is_object, text).alias("raw"))

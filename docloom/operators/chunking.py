@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,17 +48,19 @@ def windows(sections: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Da
 
 
 def chunk_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(source_key, source_type, text) to chunks: chunk_id, source_key, chunk_index, text, embedding_text.
+    """(source_key, source_type, text) to chunks: chunk_id, source_key, source_type, chunk_index, text, embedding_text.
 
-    Noise is dropped from pdf sources before numbering; blank windows after it, so they leave a gap.
+    Noise is dropped from pdf sources before numbering; blank windows after it, so they leave a gap. Where docs have a
+    raw_file_path, their chunks do too.
     """
-    plain = paragraphs(docs.where(~is_markdown(F.col("text"))), "source_type").withColumn("breadcrumb", F.lit(""))
-    marked = markdown_sections(docs.where(is_markdown(F.col("text"))), "source_type")
+    more = [c for c in ("raw_file_path",) if c in docs.columns]
+    plain = paragraphs(docs.where(~is_markdown(F.col("text"))), "source_type", *more).withColumn("breadcrumb", F.lit(""))
+    marked = markdown_sections(docs.where(is_markdown(F.col("text"))), "source_type", *more)
     cut = windows(plain.unionByName(marked), size, overlap)
     kept = cut.where((F.col("source_type") != "pdf") | ~is_contents_noise(F.col("text")))
     numbered = kept.withColumn("chunk_index", F.row_number().over(Window.partitionBy("source_key").orderBy("section", "w")) - 1).where(strip(F.col("text")) != "")
     embedding = F.when(F.col("breadcrumb") != "", F.concat(F.lit("[BREADCRUMB]"), "breadcrumb", F.lit("[/BREADCRUMB]\n\n"), "text")).otherwise("")
-    return numbered.select(F.concat_ws("#", "source_key", "chunk_index").alias("chunk_id"), "source_key", "source_type", "chunk_index", "text", embedding.alias("embedding_text"))
+    return numbered.select(F.concat_ws("#", "source_key", "chunk_index").alias("chunk_id"), "source_key", "source_type", "chunk_index", "text", embedding.alias("embedding_text"), *more)
 
 
 def chunk_prepared(records: DataFrame, size: int = SIZE) -> DataFrame:
@@ -79,10 +79,13 @@ def within_limit(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def pack_lines(rows: DataFrame, limit: int = 3500) -> DataFrame:
-    """Lines (source_key, header, ord, line) packed in order into parts (source_key, part, text) of at most limit characters.
+    """Lines (source_key, page, header, ord, line) packed in order into parts of at most limit characters: source_key, page, part, text.
 
-    Each part begins with the header. Packing is sequential, so a group is one source's lines.
+    Each part begins with the header. Packing is sequential, so a group is one page's lines; without a page column,
+    a source's.
     """
+    group = ["source_key", "page"] if "page" in rows.columns else ["source_key"]
+    kinds = dict(rows.dtypes)
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord")
@@ -94,16 +97,6 @@ def pack_lines(rows: DataFrame, limit: int = 3500) -> DataFrame:
             held.append(line)
             size += 1 + len(line)
         parts.append("\n".join([header, *held]))
-        return pd.DataFrame({"source_key": frame["source_key"].iloc[0], "part": range(len(parts)), "text": parts})
-
-    return rows.groupBy("source_key").applyInPandas(pack, "source_key string, part int, text string")
-
-
-def map_text(docs: DataFrame, function, batch: int = 10_000) -> DataFrame:
-    """docs with function applied to batches of texts, for what has no built-in expression."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(text=function(frame["text"]))
+        return pd.DataFrame({**{c: frame[c].iloc[0] for c in group}, "part": range(len(parts)), "text": parts})
 
-    return docs.mapInPandas(run, docs.schema)
+    return rows.groupBy(*group).applyInPandas(pack, ", ".join(f"{c} {kinds[c]}" for c in group) + ", part int, text string")

@@ -11,14 +11,20 @@ GATE_HITS = 5
 
 
 def quality_gate(cases: DataFrame, hits: DataFrame) -> DataFrame:
-    """Per case (qid, top_type, terms): exactly GATE_HITS hits, none noise, the first of the wanted type, all terms found."""
+    """Per case (qid, top_type, types, terms): exactly GATE_HITS hits, none noise, the first of the wanted type, all types and terms found.
+
+    Terms are sought in the compacted texts of all hits, one after another.
+    """
     rows = hits.withColumn("noise", noise_label(F.col("text")) != "").withColumn("key", compact_key(F.col("text")))
-    seen = rows.groupBy("qid").agg(F.count("*").alias("n"), F.count_if("noise").alias("noisy"), F.min_by("source_type", "rank").alias("first_type"), F.collect_list("key").alias("keys"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]), "")
+    seen = rows.groupBy("qid").agg(F.count("*").alias("n"), F.count_if("noise").alias("noisy"), F.min_by("source_type", "rank").alias("first_type"), F.collect_set("source_type").alias("found_types"), text.alias("found"))
     joined = cases.join(seen.hint("merge"), "qid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    missing = F.filter("terms", lambda t: ~F.exists(F.coalesce("keys", F.array().cast("array<string>")), lambda k: F.contains(k, compact_key(t))))
-    checked = joined.withColumn("missing", F.size(missing)).withColumn("type_ok", F.coalesce(F.col("top_type").isNull() | (F.col("top_type") == F.col("first_type")), F.lit(False)))
-    passed = (F.col("n") == GATE_HITS) & (F.coalesce("noisy", F.lit(0)) == 0) & F.col("type_ok") & (F.col("missing") == 0)
-    return checked.select("qid", F.col("n").alias("hits"), F.coalesce("noisy", F.lit(0)).alias("noisy"), "type_ok", F.col("missing").cast("long").alias("missing"), passed.alias("passed"))
+    absent = lambda wanted, has: F.size(F.filter(F.coalesce(wanted, F.array().cast("array<string>")), lambda t: ~has(t))).cast("long")
+    missing = absent(F.col("terms"), lambda t: F.contains(F.coalesce("found", F.lit("")), compact_key(t)))
+    types = absent(F.col("types"), lambda t: F.array_contains(F.coalesce("found_types", F.array().cast("array<string>")), t))
+    checked = joined.withColumns({"missing": missing, "missing_types": types, "type_ok": F.coalesce(F.col("top_type").isNull() | (F.col("top_type") == F.col("first_type")), F.lit(False))})
+    passed = (F.col("n") == GATE_HITS) & (F.coalesce("noisy", F.lit(0)) == 0) & F.col("type_ok") & (F.col("missing") == 0) & (F.col("missing_types") == 0)
+    return checked.select("qid", F.col("n").alias("hits"), F.coalesce("noisy", F.lit(0)).alias("noisy"), "type_ok", "missing_types", "missing", passed.alias("passed"))
 
 
 def acceptance(cases: DataFrame, answers: DataFrame) -> DataFrame:

@@ -81,15 +81,16 @@ def expand_neighbours(hits: DataFrame, chunks: DataFrame, radius: int = RADIUS,
     return hits.select("qid", "chunk_id", "source_key", "chunk_index", "score", F.lit("retrieved").alias("role")).unionByName(added.select("qid", "chunk_id", "source_key", "chunk_index", F.col("by.score").alias("score"), role.alias("role")))
 
 
-def fidelity_report(expanded: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per question: original, final and added chunks, sources, characters, and whether the chunks are continuous."""
+def fidelity_report(questions: DataFrame, expanded: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per question (qid): original, final and added chunks, sources, characters, and whether the chunks are continuous."""
     rows = expanded.join(chunks.select("chunk_id", F.length("text").alias("n_chars")).hint("merge"), "chunk_id")
-    spread = F.max("chunk_index") - F.min("chunk_index") + 1
-    status = F.when(F.count_distinct("source_key") > 1, "fragmented").when(spread == F.count("*"), "continuous").otherwise("gapped")
-    return rows.groupBy("qid").agg(
+    places = F.max("chunk_index") - F.min("chunk_index") + 1
+    status = F.when(F.count_distinct("source_key") > 1, "fragmented").when(places == F.count("*"), "continuous").otherwise("gapped")
+    found = rows.groupBy("qid").agg(
         F.count_if(F.col("role") == "retrieved").alias("original_chunks"), F.count("*").alias("final_chunks"), F.count_if(F.col("role") != "retrieved").alias("added_chunks"),
         F.count_distinct("source_key").alias("sources"), F.sum("n_chars").alias("chars"), status.alias("continuity"),
     )
+    return questions.select("qid").join(found.hint("merge"), "qid", "left").fillna(0, ["original_chunks", "final_chunks", "added_chunks", "sources", "chars"]).fillna("empty", ["continuity"])
 
 
 def evidence_report(questions: DataFrame, hits: DataFrame) -> DataFrame:
@@ -113,6 +114,15 @@ def dossier(hits: DataFrame) -> DataFrame:
     return groups.withColumn("group_ord", F.row_number().over(Window.partitionBy("qid").orderBy("seen"))).drop("seen")
 
 
+def dossier_coverage(variants: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per question of variants (qid): its distinct chunks, their sources and types (map of counts), and low evidence: no chunk."""
+    first = keep_first(hits, "variant_ord", "rank")
+    totals = first.groupBy("qid").agg(F.count_distinct("source_name").alias("source_count"), F.count("*").alias("chunk_count"))
+    kinds = first.groupBy("qid", "source_type").agg(F.count("*").alias("n")).groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_type", "n")))).alias("source_types"))
+    rows = variants.select("qid").distinct().join(totals.hint("merge"), "qid", "left").join(kinds.hint("merge"), "qid", "left").fillna(0, ["source_count", "chunk_count"])
+    return rows.withColumns({"source_types": F.coalesce("source_types", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))), "low_evidence": F.col("chunk_count") == 0})
+
+
 def missing_variants(variants: DataFrame, hits: DataFrame) -> DataFrame:
     """Variants (qid, variant_ord, query) without hits, as sentences."""
     return variants.join(hits.select("qid", "variant_ord").distinct().hint("merge"), ["qid", "variant_ord"], "left_anti").select("qid", "variant_ord", F.concat(F.lit("No chunks were retrieved for "), "query", F.lit(".")).alias("missing"))

@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import filled_lines, joined_heading, lines
+from docloom.functions.text import filled_lines, joined_heading, lines, once
+from docloom.operators.storage import stored
 
 PAGE = ["source_id", "page"]
 EDGE, NEAR, MAX_X, BAND, OCR_LINES, OCR_TRIGGERS = 0.15, 5.0, 500.0, 8.0, 80, 20
 TITLE = r"(?i)\bORG(?:ANISATION|ANIZATION)?\s+CHART\b"
-FOOTERS = [r"[0-9]+(?:\s*/\s*[0-9]+)?", r"(?i)slide\s+[0-9]+", r"(?i)(?:© ?202[0-9]|strictly confidential|internal use only)"]
+#: Page numbers, slide numbers and notices; those of a company are added by the caller, as they name it.
+FOOTERS = [r"[0-9]+(?:\s*/\s*[0-9]+)?", r"(?i)slide\s+[0-9]+", r"(?i)(?:©\s*202[0-9]|strictly confidential|internal use only)"]
 # Markers of pages that are tables, itineraries, plans, code or contents.
 TABLES = ["参数名称", "默认值", "描述", "类型", "输入列名", "输出", "说明"]
 TRIPS = ["每日行程", "日期", "核心路线", "里程", "驾车时长", "行程亮点", "机场", "酒店"]
@@ -102,22 +104,25 @@ def label(line_1: str, line_2: str) -> Column:
     return F.when(F.col(line_2).isNull(), F.concat(F.lit("Field 1: "), line_1)).otherwise(F.concat(F.lit("Field 1: "), line_1, F.lit(" (Field 2: "), line_2, F.lit(")")))
 
 
-def paths(nodes: DataFrame, edges: DataFrame, depth: int = 64) -> DataFrame:
-    """Nodes with the path of x places from their root and their depth, band by band."""
-    rows = nodes.join(edges.select(*PAGE, F.col("child").alias("node"), "parent").hint("merge"), [*PAGE, "node"], "left").withColumn("name", label("line_1", "line_2")).persist()
-    step = lambda: F.format_string("%010.3f.%06d", "x_center", "node")
-    level = rows.where("parent is null").withColumn("path", step()).withColumn("depth", F.lit(0))
-    out = level
-    for k in range(1, min(depth, 1 + (rows.agg(F.max("band")).collect()[0][0] or 0))):
-        up = level.select(*PAGE, F.col("node").alias("parent"), F.col("path").alias("above"))
-        level = rows.join(up.hint("merge"), [*PAGE, "parent"]).withColumn("path", F.concat_ws("/", "above", step())).withColumn("depth", F.lit(k)).drop("above").select(out.columns)
-        out = out.unionByName(level)
-    return out
+def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with the path of x places from their root and their depth, whatever the depth.
 
+    Each round doubles the part of the way up that a node knows, so rounds grow with the logarithm of the depth.
+    """
+    step = F.format_string("%010.3f.%06d", "x_center", "node")
+    rows = nodes.join(edges.select(*PAGE, F.col("child").alias("node"), "parent").hint("merge"), [*PAGE, "node"], "left")
+    rows = rows.withColumns({"name": label("line_1", "line_2"), "path": step, "up": F.col("parent"), "depth": F.col("parent").isNotNull().cast("int")})
+    rows = stored(rows, "layout-paths")
+    while rows.where("up is not null").take(1):
+        above = rows.select(*PAGE, F.col("node").alias("up"), F.col("path").alias("above"), F.col("depth").alias("more"), F.col("up").alias("next"))
+        known = rows.join(above.hint("merge"), [*PAGE, "up"], "left")
+        moved = {"path": F.concat_ws("/", "above", "path"), "depth": F.col("depth") + F.coalesce("more", F.lit(0)), "up": F.col("next")}
+        rows = stored(known.withColumns(moved).select(rows.columns), "layout-paths")
+    return rows.drop("up")
 
-def projection_text(nodes: DataFrame, edges: DataFrame, named: DataFrame) -> DataFrame:
-    """The canonical text of each page's forest (named: title per page)."""
-    placed = paths(nodes, edges)
+
+def projection_text(placed: DataFrame, named: DataFrame) -> DataFrame:
+    """The canonical text of each page's forest, given as nodes with paths (named: title per page)."""
     structure = placed.groupBy(*PAGE).agg(_lines("path", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("name"))).alias("structure"))
     up = placed.select(*PAGE, F.col("node").alias("parent"), F.col("name").alias("parent_name"), F.col("path").alias("parent_path"))
     under = placed.join(up.hint("merge"), [*PAGE, "parent"]).groupBy(*PAGE).agg(_lines(F.struct("parent_path", "path"), F.concat(F.lit("- "), "name", F.lit(" is structurally under "), "parent_name", F.lit("."))).alias("triggers"))
@@ -128,23 +133,49 @@ def projection_text(nodes: DataFrame, edges: DataFrame, named: DataFrame) -> Dat
 
 def _lines(order: Column | str, line: Column) -> Column:
     order = F.col(order) if isinstance(order, str) else order
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), line.alias("line")))), lambda x: x["line"]), "\n")
+    rows = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct(order.alias("o"), line.alias("line")))))
+    return F.array_join(F.transform(rows, lambda x: x["line"]), "\n")
 
 
 def subtrees(placed: DataFrame, min_nodes: int) -> DataFrame:
-    """Nodes below the roots whose subtrees have at least min_nodes nodes: page, node, n_nodes."""
+    """Nodes below the roots whose subtrees have at least min_nodes nodes: page, node, n_nodes, top_path."""
     tops = placed.where("depth = 1").select(*PAGE, F.col("node").alias("top"), F.col("path").alias("top_path"))
     first_two = F.substring_index("path", "/", 2)
     sizes = placed.where("depth >= 1").withColumn("top_path", first_two).groupBy(*PAGE, "top_path").agg(F.count("*").alias("n_nodes"))
-    return tops.join(sizes.hint("merge"), [*PAGE, "top_path"]).where(F.col("n_nodes") >= min_nodes).select(*PAGE, F.col("top").alias("node"), "n_nodes")
+    return tops.join(sizes.hint("merge"), [*PAGE, "top_path"]).where(F.col("n_nodes") >= min_nodes).select(*PAGE, F.col("top").alias("node"), "n_nodes", "top_path")
+
+
+def split_trees(placed: DataFrame, whole: DataFrame, max_nodes: int) -> DataFrame:
+    """A page's projection (whole: source_id, page, text) as part 0; of trees beyond max_nodes, also a part for each child
+    of a root whose subtree has at least max_nodes nodes, in order: part, n_nodes, text."""
+    sizes = placed.groupBy(*PAGE).agg(F.count("*").alias("n_nodes"))
+    first = whole.join(sizes.hint("merge"), PAGE).select(*PAGE, F.lit(0).alias("part"), "n_nodes", "text")
+    large = sizes.where(F.col("n_nodes") > max_nodes).select(*PAGE)
+    tops = stored(subtrees(placed, max_nodes).join(large.hint("merge"), PAGE, "left_semi"), "layout-tops")
+    inside = placed.where("depth >= 1").withColumn("top_path", F.substring_index("path", "/", 2)).join(tops.select(*PAGE, "top_path", "n_nodes").hint("merge"), [*PAGE, "top_path"])
+    named = placed.select(*PAGE, F.col("node").alias("parent"), F.col("name").alias("parent_name"), F.col("path").alias("parent_path"), F.col("line_1").alias("parent_line"))
+    inside = inside.join(named.hint("merge"), [*PAGE, "parent"])
+    below = F.col("depth") > 1
+    structure = F.when(below, F.concat(F.repeat(F.lit("  "), F.col("depth") - 2), F.lit("- "), F.col("name")))
+    under = F.when(below, F.concat(F.lit("- "), "name", F.lit(" is structurally under "), "parent_name", F.lit(".")))
+    head = F.max(F.when(~below, F.concat("parent_name", F.lit(" -> "), "name")))
+    manages = F.max(F.when(~below, F.concat(F.lit("- "), "parent_line", F.lit(" manages "), "line_1", F.lit("."))))
+    parts = inside.groupBy(*PAGE, "top_path", "n_nodes").agg(head.alias("context"), manages.alias("manages"), _lines("path", structure).alias("structure"), _lines(F.struct("parent_path", "path"), under).alias("triggers"))
+    text = F.concat_ws(
+        "\n", F.lit("[ORG_CHART_SUBTREE]"), F.concat(F.lit("Source: "), "source_id"), F.concat(F.lit("Page: "), F.col("page").cast("string")), F.concat(F.lit("Context Root: "), "context"), F.lit("Confidence: medium"), F.lit(""),
+        F.lit("Structure:"), F.nullif("structure", F.lit("")), F.lit(""), F.lit("Semantic Search Triggers:"), "manages", F.nullif("triggers", F.lit("")), F.lit("[/ORG_CHART_SUBTREE]"),
+    )
+    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("top_path"))
+    return first.unionByName(parts.select(*PAGE, number.alias("part"), "n_nodes", text.alias("text")))
 
 
 def is_other_page(text: Column) -> Column:
     """Tables, itineraries, plans, code and contents pages: enough of their markers."""
-    upper, rows = F.upper(text), filled_lines(text)
+    upper = F.upper(text)
     held = lambda where, words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(where, w)))
-    numbered = F.size(F.filter(rows, lambda x: x.rlike(r"^(?:[0-9]+\.|附录\s*[A-Z]?\b)")))
-    bullets = F.size(F.filter(rows, lambda x: x.rlike(r"^[•◦▪\-]|^[A-Za-z0-9_]+\s+(?:str|int|float|bool|list|dict)\b")))
+    matching = lambda pattern: once(filled_lines(text), lambda rows: F.size(F.filter(rows, lambda x: x.rlike(pattern))))
+    numbered = matching(r"^(?:[0-9]+\.|附录\s*[A-Z]?\b)")
+    bullets = matching(r"^[•◦▪\-]|^[A-Za-z0-9_]+\s+(?:str|int|float|bool|list|dict)\b")
     return (
         (held(text, TABLES) >= 3) | (held(text, TRIPS) >= 4) | (held(text, TRIP_PREPARATION) >= 4) | (held(upper, MILESTONES) >= 4) | (held(upper, CODE) >= 2)
         | ((F.contains(text, F.lit("目录")) | F.contains(upper, F.lit("TABLE OF CONTENTS"))) & (numbered >= 3)) | ((held(upper, CONTENTS) >= 3) & (numbered >= 2)) | ((bullets >= 5) & (held(text, ["参数", "默认", "说明", "输入", "输出"]) > 0))

@@ -121,7 +121,19 @@ def latest_tasks(events: DataFrame) -> DataFrame:
 
 
 def task_health(tasks: DataFrame) -> DataFrame:
-    return tasks.groupBy("status").agg(F.count("*").alias("tasks"))
+    """Tasks by status and, where they have one, by the quality action of their result: measure, value, n."""
+    rows = tasks if "quality_action" in tasks.columns else tasks.withColumn("quality_action", F.lit(None).cast("string"))
+    pairs = F.array(F.struct(F.lit("status").alias("measure"), F.coalesce("status", F.lit("unknown")).alias("value")), F.struct(F.lit("quality_action").alias("measure"), F.coalesce("quality_action", F.lit("")).alias("value")))
+    counted = rows.select(F.explode(pairs).alias("x")).select("x.measure", "x.value").groupBy("measure", "value").agg(F.count("*").alias("n"))
+    return counted.where("measure = 'status' or value <> ''")
+
+
+def knowledge_health(tasks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """task_health with the corpus beside it: sources and chunks in all, and sources by type."""
+    whole = chunks.agg(F.count_distinct("source_key").alias("indexed_sources"), F.count("*").alias("total_chunks"))
+    totals = whole.select(F.explode(F.array(*(F.struct(F.lit(x).alias("measure"), F.lit("").alias("value"), F.col(x).alias("n")) for x in ("indexed_sources", "total_chunks")))).alias("x")).select("x.*")
+    kinds = corpus_stats(chunks).select(F.lit("source_type").alias("measure"), F.col("source_type").alias("value"), F.col("sources").alias("n"))
+    return task_health(tasks).unionByName(totals).unionByName(kinds)
 
 
 def batch_rollup(uploads: DataFrame) -> DataFrame:

@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 from docloom.functions.questions import focus_tokens, is_projection, is_relation_question, page_number, under_anchors
 from docloom.functions.text import search_tokens
-from docloom.operators.joins import small
+from docloom.operators.joins import is_small, side, small
+from docloom.operators.storage import stored
 
 K1, B, TERMS, TOP, RRF, BONUS = 1.2, 0.75, 10, 10, 60, 0.02
 DIGITS = 6
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf) of chunks (chunk_id, text)."""
-    return chunks.select("chunk_id", F.explode(search_tokens(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    """(term, chunk_id, tf) of chunks (chunk_id, text; or token rows)."""
+    tokens = F.col("tokens") if "tokens" in chunks.columns else search_tokens(F.col("text"))
+    return chunks.select("chunk_id", F.explode(tokens).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -27,23 +29,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.slice(search_tokens(F.col("query")), 1, TERMS)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
-    """The best chunks of each query: qid, chunk_id, score, rank. Ties go by chunk_id.
+def token_rows(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, tokens, dl) of chunks (chunk_id, text): stored, full-text search reads them instead of the texts."""
+    rows = chunks.select("chunk_id", search_tokens(F.col("text")).alias("tokens"))
+    return rows.withColumn("dl", F.size("tokens"))
+
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, chunk_id, score) of all chunks (chunk_id, text; or stored token rows) that hold a term of a query.
 
     Only postings of the queries' terms are grouped and shuffled, with their chunk's length beside them.
     """
-    tokens = chunks.select("chunk_id", search_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    tokens = chunks if "tokens" in chunks.columns else stored(token_rows(chunks), "tokens")
     corpus = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
-    asked = query_terms(queries)
-    every = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    asked = stored(query_terms(queries), "query-terms")
+    few = is_small(asked)
+    every = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(side(asked.select("term").distinct(), few), "term", "left_semi")
     found = every.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    frequency = found.groupBy("term").agg(F.count("*").alias("df"))
-    terms = small(asked.join(frequency.hint("merge"), "term"))
-    scored = found.join(terms, "term").join(F.broadcast(corpus))
+    frequency = found.groupBy("term").agg(F.count("*").alias("df"))  # as many rows as the queries have terms
+    scored = found.join(side(asked.join(side(frequency, few), "term"), few), "term").join(F.broadcast(corpus))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    totals = scored.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
-    return ranked(totals, F.desc("score"), F.col("chunk_id"), top=top)
+    return scored.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+    """The best chunks of each query: qid, chunk_id, score, rank. Ties go by chunk_id."""
+    return ranked(bm25_scores(chunks, queries), F.desc("score"), F.col("chunk_id"), top=top)
 
 
 def ranked(rows: DataFrame, *order: Column, top: int | None = None) -> DataFrame:
@@ -77,7 +89,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, block: int =
         more = vectors.select("chunk_id", "vector").mapInPandas(best, f"qid {kinds[0]}, chunk_id {kinds[1]}, distance double")
         out = more if out is None else out.unionByName(more)
     if out is None:
-        out = queries.select("qid").limit(0).join(vectors.select("chunk_id").limit(0), F.lit(True)).withColumn("distance", F.lit(0.0))
+        kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["chunk_id"]
+        out = queries.sparkSession.createDataFrame([], f"qid {kinds[0]}, chunk_id {kinds[1]}, distance double")
     return ranked(out, F.col("distance"), F.col("chunk_id"), top=top).withColumn("score", F.round(1 / (1 + F.col("distance")), DIGITS)).select("qid", "chunk_id", "score", "rank")
 
 
@@ -156,9 +169,16 @@ def rerank(fused: DataFrame, scores: DataFrame, top: int = 20) -> DataFrame:
     return ranked(kept, F.col("segment"), F.when(F.col("segment") == 0, -F.col("score")), F.col("before")).drop("segment", "new")
 
 
-def keyword_hits(ranking: DataFrame, chunks: DataFrame, keywords: DataFrame, top: int = 5) -> DataFrame:
-    """Per keyword (kid, keyword), the best of a whole ranking whose source name holds it."""
-    rows = ranking.join(chunks.select("chunk_id", "source_name").hint("merge"), "chunk_id")
-    found = rows.join(small(keywords), F.contains(F.lower("source_name"), F.lower("keyword"))).drop("rank")
+def keyword_hits(scores: DataFrame, chunks: DataFrame, keywords: DataFrame, top: int = 5) -> DataFrame:
+    """Per keyword (kid, keyword), the best of all scored chunks (qid, chunk_id, score) whose source name holds it.
+
+    A keyword is looked up among the substrings of the distinct names, so no name meets every keyword.
+    """
+    low = F.lower("source_name")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))))
+    every = F.array_distinct(F.concat(F.array(F.lit("")), F.when(F.length(low) > 0, parts).otherwise(F.array().cast("array<string>"))))
+    names = chunks.select("source_name").where("source_name is not null").distinct()
+    held = names.select("source_name", F.explode(every).alias("part")).join(keywords.select("kid", F.lower("keyword").alias("part")).hint("merge"), "part").select("source_name", "kid")
+    found = scores.select("qid", "chunk_id", "score").join(chunks.select("chunk_id", "source_name").hint("merge"), "chunk_id").join(held.hint("merge"), "source_name")
     order = Window.partitionBy("qid", "kid").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions.text import content_hash
-from docloom.operators import assets, evaluate, registry, search
+from docloom.operators import assets, chunking, evaluate, registry, search, storage
+from docloom.operators.storage import scratch
 from docloom.plans.inputs import documents, questions, table
-from docloom.plans.search_queries import _CORPUS, _HITS, _chunks, _hits
-from docloom.plans.text_queries import strip
+from docloom.plans.search_queries import _CORPUS, _HITS, _chunk_tokens, _chunks, _hits, _tokens
+from docloom.plans.text_queries import _STARTS, strip
 from docloom.sources import assemble
 
 STATUSES = ["indexed", "processing", "review_required", "version_conflict", "failed"]
@@ -88,7 +89,7 @@ def delete_source(spark, d):
 
 
 def clear_all(spark, d):
-    return registry.cleared(_chunks(spark, d)).agg(F.count("*").alias("chunks"))
+    return registry.cleared(chunking.chunk_documents(documents(spark, d))).agg(F.count("*").alias("chunks"))
 
 
 def backfill_sources(spark, d):
@@ -104,7 +105,7 @@ def backfill_hashes(spark, d):
 
 def chunk_lookup(spark, d):
     refs = table(spark, d, "embeddings").select(F.when(F.col("vec_id") % 2 == 0, F.col("vec_id").cast("string")).otherwise(F.concat(F.col("vec_id").cast("string"), F.lit("#1"))).alias("ref"))
-    return registry.lookup(refs, _chunks(spark, d)).select("ref", "chunk_id", F.md5("text").alias("text_hash"))
+    return registry.lookup(refs, _chunks(spark, d)).select("ref", "chunk_id", "raw_file_path", F.md5("text").alias("text_hash"))
 
 
 def corpus_stats(spark, d):
@@ -126,7 +127,10 @@ def task_state(spark, d):
 
 
 def task_health(spark, d):
-    return registry.task_health(registry.latest_tasks(_task_events(spark, d)))
+    """Health of the tasks, every fourth of which has no quality action, and of the corpus."""
+    tasks = registry.latest_tasks(_task_events(spark, d))
+    action = F.when(F.col("status") == "completed", F.element_at(F.array(*map(F.lit, ["", "direct", "cleaned", "low_indexed"])), (F.col("task_id") % 4 + 1).cast("int")))
+    return registry.knowledge_health(tasks.withColumn("quality_action", action), _chunks(spark, d))
 
 
 def task_recovery(spark, d):
@@ -147,7 +151,7 @@ def _payloads(spark, d):
     asked = turns.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     rows = turns.where("role <> 'user'").join(asked.hint("merge"), ["conv_id", "turn"])
     number = F.col("conv_id") * 1000 + F.col("turn")
-    return rows.select(F.format_string("ans_%010d", number).alias("asset_id"), "conv_id", "turn", "question", F.substring("text", 1, 12).alias("answer"), F.when(F.col("conv_id") % 4 == 0, "no_answer").otherwise("grounded").alias("source_status"), F.lit("zh").alias("language"), F.timestamp_seconds(F.lit(1_700_000_000) + number * 60).alias("created_at"))
+    return rows.select(F.format_string("ans_%010d", number).alias("asset_id"), "conv_id", "turn", "question", F.col("text").alias("answer"), F.when(F.col("conv_id") % 4 == 0, "no_answer").otherwise("grounded").alias("source_status"), F.lit("zh").alias("language"), F.timestamp_seconds(F.lit(1_700_000_000) + number * 60).alias("created_at"))
 
 
 def _stored(spark, d):
@@ -191,7 +195,7 @@ def promote_assets(spark, d):
 
 def quality_gate(spark, d):
     words = F.transform(F.slice(F.split("question", " "), 2, 2), F.lower)
-    cases = questions(spark, d).select("qid", F.when(F.col("qid") % 2 == 0, "text").alias("top_type"), words.alias("terms"))
+    cases = questions(spark, d).select("qid", F.when(F.col("qid") % 2 == 0, "text").alias("top_type"), F.when(F.col("qid") % 3 == 0, F.array(F.lit("pdf"), F.lit("text"))).otherwise(F.array().cast("array<string>")).alias("types"), words.alias("terms"))
     return evaluate.quality_gate(cases, _hits(spark, d))
 
 
@@ -218,6 +222,26 @@ def blocks_to_documents(spark, d):
     return assemble.from_blocks(rows)
 
 
+def paragraphs_to_documents(spark, d):
+    """Conversations as word-processor files: a paragraph for each turn, every fourth turn as a table below its head."""
+    cell = F.concat("text", F.lit("|"), F.col("turn").cast("string"))
+    rows = F.when(F.col("turn") % 4 == 3, F.array(F.array(F.lit("role"), F.lit("text")), F.array(F.col("role"), cell), F.array(F.lit("end"))))
+    blocks = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("source_id"), F.col("turn").alias("ord"), F.when(F.col("turn") % 4 < 3, F.concat(F.lit(" "), "text", F.lit("\n"))).alias("text"), rows.alias("rows"))
+    return assemble.from_paragraphs(blocks).select("source_id", "text", *(F.col(c).cast("long").alias(c) for c in ("paragraph_count", "table_count", "table_rows")))
+
+
+def publish_index(spark, d):
+    """The index published twice, the second time with changed first chunks: what readers find then."""
+    root = scratch(spark, "published")
+    chunks, vectors = _chunks(spark, d), _chunk_vectors(spark, d)
+    storage.publish_index(chunks, search.postings(_chunk_tokens(spark, d)), vectors, root)
+    new = chunks.where("chunk_index = 0").withColumn("text", F.concat(F.lit("new "), "text"))
+    changed = registry.upsert(chunks, new, "chunk_id")
+    storage.publish_index(changed, search.postings(changed), vectors, root)
+    found = lambda name, n: storage.published(spark, root, name).agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), n.cast("long").alias("total"))
+    return found("chunks", F.sum(F.length("text"))).unionByName(found("postings", F.sum("tf"))).unionByName(found("vectors", F.sum(F.size("vector")))).unionByName(found("quarantine", F.count_distinct("reason")))
+
+
 def cells_to_documents(spark, d):
     """Suppliers as sheets of their nation: a row each, with a formula, gaps, bars and line ends in cells."""
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_name", "s_acctbal")
@@ -233,7 +257,7 @@ def cells_to_documents(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     reserve_content, version_conflict, version_replace, latest_version, list_sources, upsert_index, index_consistency, quarantine_filter, delete_source, clear_all, backfill_sources, backfill_hashes, chunk_lookup, corpus_stats,
-    index_difference, task_state, task_health, task_recovery, batch_rollup, save_assets, asset_page, asset_maintenance, export_retention, render_asset, promote_assets, quality_gate, answer_acceptance, source_recall, manifest_validation, blocks_to_documents, cells_to_documents,
+    index_difference, task_state, task_health, task_recovery, batch_rollup, save_assets, asset_page, asset_maintenance, export_retention, render_asset, promote_assets, quality_gate, answer_acceptance, source_recall, manifest_validation, blocks_to_documents, paragraphs_to_documents, cells_to_documents, publish_index,
 )}
 
 _HASH = f"sha256({strip('text')})"
@@ -250,7 +274,7 @@ _SRC = f"src AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS source_id, source AS
 _ACTIVE = f"{_SRC}, act AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY original_name ORDER BY created_at DESC, source_id DESC) AS n FROM src WHERE status = 'indexed') WHERE n = 1)"
 _CONFLICT = f"{_reserved('false', 'false')}, {_ACTIVE}, con AS (SELECT seq, policy, outcome, act.source_id AS active, outcome = 'reserved' AND act.source_id IS NOT NULL AND act.h <> res.h AS c FROM res LEFT JOIN act ON act.original_name = res.source), vc AS (SELECT seq, CASE WHEN c AND policy = '' THEN 'version_conflict' ELSE outcome END AS outcome, CASE WHEN c AND policy = 'replace' THEN active END AS replaces FROM con)"
 _TASK = "ev AS (SELECT user_id AS task_id, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TASKS.items()) + " ELSE 'failed' END AS status, ts, event_id FROM events), task AS (SELECT task_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM ev GROUP BY 1)"
-_PAY = "pay AS (SELECT format('ans_{:010d}', a.conv_id * 1000 + a.turn) AS asset_id, a.conv_id, a.turn, u.text AS question, substr(a.text, 1, 12) AS answer, CASE WHEN a.conv_id % 4 = 0 THEN 'no_answer' ELSE 'grounded' END AS source_status, make_timestamp((1700000000 + (a.conv_id * 1000 + a.turn) * 60) * 1000000) AS created_at FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' WHERE a.role <> 'user')"
+_PAY = "pay AS (SELECT format('ans_{:010d}', a.conv_id * 1000 + a.turn) AS asset_id, a.conv_id, a.turn, u.text AS question, a.text AS answer, CASE WHEN a.conv_id % 4 = 0 THEN 'no_answer' ELSE 'grounded' END AS source_status, make_timestamp((1700000000 + (a.conv_id * 1000 + a.turn) * 60) * 1000000) AS created_at FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user' WHERE a.role <> 'user')"
 _KEYS = f"pk AS (SELECT *, {strip('question')} || chr(31) || {strip('answer')} || chr(31) || source_status AS k FROM pay)"
 _MAN = f"{_PAY}, man AS (SELECT *, list_transform(range(0, turn % 3 + 1), lambda k: 'src' || (conv_id + k) % 20) AS names FROM pay)"
 _MD = f"'# ' || substr(trim(regexp_replace(question, '\\s+', ' ', 'g')), 1, 40) || chr(10) || chr(10) || '## Question' || chr(10) || {strip('question')} || chr(10) || chr(10) || '## Answer' || chr(10) || {strip('answer')} || chr(10) || chr(10) || '## Sources' || chr(10) || array_to_string(list_transform(names, lambda x, i: '- ' || x || '#' || (i - 1)), chr(10)) || chr(10) || chr(10) || '## Metadata' || chr(10) || '- language: zh'"
@@ -268,11 +292,22 @@ ORACLE = {
     "clear_all": "SELECT CAST(0 AS BIGINT) AS chunks",
     "backfill_sources": f"WITH {_CORPUS}, r AS (SELECT CASE WHEN CAST(source_key AS BIGINT) % 2 = 0 THEN source_key ELSE 'legacy_' || substr(sha256(source_name || chr(10) || 'raw/' || source_key), 1, 24) END AS source_id, source_name, chunk_index FROM corpus) SELECT source_id, count(*) AS chunk_count, arg_min(source_name, chunk_index) AS source_name FROM r WHERE source_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang <> 'en') GROUP BY 1",
     "backfill_hashes": f"WITH {_CORPUS}, n AS (SELECT source_key, count(*) AS chunk_count FROM corpus GROUP BY 1), f AS (SELECT {_HASH} AS h, source, chunk_count FROM documents JOIN n ON source_key = CAST(doc_id AS VARCHAR)) SELECT h AS content_hash, min((source, chunk_count))[1] AS source_name, min((source, chunk_count))[2] AS chunk_count, 'indexed' AS status FROM f WHERE h NOT IN (SELECT {_HASH} FROM documents WHERE lang <> 'en') GROUP BY 1",
-    "chunk_lookup": f"WITH {_CORPUS}, refs AS (SELECT CASE WHEN vec_id % 2 = 0 THEN CAST(vec_id AS VARCHAR) ELSE vec_id || '#1' END AS ref FROM embeddings) SELECT ref, chunk_id, md5(text) AS text_hash FROM refs JOIN corpus ON chunk_id = CASE WHEN contains(ref, '#') THEN ref ELSE ref || '#0' END",
+    "chunk_lookup": f"WITH {_CORPUS}, refs AS (SELECT CASE WHEN vec_id % 2 = 0 THEN CAST(vec_id AS VARCHAR) ELSE vec_id || '#1' END AS ref FROM embeddings) SELECT ref, chunk_id, 'raw/' || source_key AS raw_file_path, md5(text) AS text_hash FROM refs JOIN corpus ON chunk_id = CASE WHEN contains(ref, '#') THEN ref ELSE ref || '#0' END",
     "corpus_stats": f"WITH {_CORPUS} SELECT source_type, count(DISTINCT source_key) AS sources, count(*) AS chunks FROM corpus GROUP BY 1",
     "index_difference": rf"WITH {_CORPUS}, v AS (SELECT vec_id || '#0' AS chunk_id FROM embeddings), p AS (SELECT chunk_id FROM corpus WHERE regexp_matches(lower(text), '[\p{{L}}\p{{N}}]')), a AS (SELECT chunk_id FROM corpus UNION SELECT chunk_id FROM v) SELECT chunk_id, 'chunks' AS missing_in FROM a WHERE chunk_id NOT IN (SELECT chunk_id FROM corpus) UNION ALL SELECT chunk_id, 'postings' FROM a WHERE chunk_id NOT IN (SELECT chunk_id FROM p) UNION ALL SELECT chunk_id, 'vectors' FROM a WHERE chunk_id NOT IN (SELECT chunk_id FROM v)",
     "task_state": f"WITH {_TASK} SELECT * FROM task",
-    "task_health": f"WITH {_TASK} SELECT status, count(*) AS tasks FROM task GROUP BY 1",
+    "task_health": f"""WITH {_CORPUS}, {_TASK}, a AS (SELECT ['', 'direct', 'cleaned', 'low_indexed'][task_id % 4 + 1] AS action FROM task WHERE status = 'completed')
+      SELECT 'status' AS measure, status AS value, count(*) AS n FROM task GROUP BY 2 UNION ALL SELECT 'quality_action', action, count(*) FROM a WHERE action <> '' GROUP BY 2 UNION ALL SELECT 'indexed_sources', '', count(DISTINCT source_key) FROM corpus UNION ALL SELECT 'total_chunks', '', count(*) FROM corpus UNION ALL SELECT 'source_type', source_type, count(DISTINCT source_key) FROM corpus GROUP BY 2""",
+    "publish_index": f"""WITH {_CORPUS}, k AS (SELECT chunk_id, CASE WHEN chunk_index = 0 THEN 'new ' || text ELSE text END AS text FROM corpus WHERE chunk_id IN (SELECT vec_id || '#0' FROM embeddings)), t AS (SELECT chunk_id, unnest({_tokens('text')}) AS term FROM k)
+      SELECT 'chunks' AS name, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS total FROM k UNION ALL SELECT 'postings', count(DISTINCT (chunk_id, term)), count(*) FROM t UNION ALL SELECT 'vectors', count(*), CAST(sum(len(embedding)) AS BIGINT) FROM embeddings WHERE vec_id || '#0' IN (SELECT chunk_id FROM k)
+      UNION ALL SELECT 'quarantine', count(*), count(DISTINCT 1) FROM corpus WHERE chunk_id NOT IN (SELECT chunk_id FROM k)""",
+    "promote_assets": f"""WITH {_MAN}, todo AS (SELECT *, {_MD} AS md FROM man WHERE source_status <> 'no_answer' AND conv_id % 10 <> 1), tx AS (SELECT *, '---' || chr(10) || 'source_type: generated_asset' || chr(10) || 'generated: true' || chr(10) || 'asset_id: ' || asset_id || chr(10) || '---' || chr(10) || md AS text FROM todo),
+      ls AS (SELECT asset_id, string_split(text, chr(10)) AS ls FROM tx), ln AS (SELECT asset_id, i, ls[i] AS line FROM (SELECT asset_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM ls)), sec AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id ORDER BY i) AS section FROM ln),
+      p AS (SELECT asset_id, section, {strip("string_agg(line, chr(10) ORDER BY i)")} AS p FROM sec GROUP BY 1, 2), w AS (SELECT asset_id, section, i AS w, substr(p, starts[i] + 1, 1024) AS text FROM (SELECT *, unnest(range(1, len(starts) + 1)) AS i FROM (SELECT *, {_STARTS} AS starts FROM p WHERE p <> ''))),
+      c AS (SELECT asset_id, row_number() OVER (PARTITION BY asset_id ORDER BY section, w) - 1 AS n, text FROM w)
+      SELECT 'generated_' || asset_id || '#' || n AS chunk_id, asset_id, array_to_string(list_transform(names, lambda x, i: x || '#' || (i - 1)), ',') AS derived_chunks, array_to_string(list_sort(list_distinct(names)), ',') AS derived_sources, source_status AS coverage_status, md5(text) AS text_hash FROM c JOIN todo USING (asset_id) WHERE {strip('text')} <> ''""",
+    "paragraphs_to_documents": r"""WITH b AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN '| role | text |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(trim(role), '|', '\|') || ' | ' || replace(replace(trim(text || '|' || turn, ' '), '|', '\|'), chr(10), ' ') || ' |' || chr(10) || '| end |  |' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS line FROM conversations)
+      SELECT CAST(conv_id AS VARCHAR) AS source_id, string_agg(line, chr(10) ORDER BY turn) AS text, count(*) FILTER (turn % 4 < 3) AS paragraph_count, count(*) FILTER (turn % 4 = 3) AS table_count, CAST(3 * count(*) FILTER (turn % 4 = 3) AS BIGINT) AS table_rows FROM b WHERE line <> '' GROUP BY 1""",
     "task_recovery": f"WITH {_TASK} SELECT task_id, CASE WHEN task_id IN (SELECT task_id FROM ev WHERE status = 'completed') THEN 'requeued' ELSE 'failed' END AS outcome FROM task WHERE status IN ('queued', 'processing')",
     "batch_rollup": f"""WITH {_reserved('false', 'false')}, s AS (SELECT source AS batch_id, CASE WHEN outcome = 'reserved' AND seq % 11 = 0 THEN 'accepted' WHEN outcome = 'reserved' THEN 'ok' ELSE outcome END AS st FROM res),
       g AS (SELECT batch_id, count(*) AS files, count(*) FILTER (st = 'ok') AS succeeded, count(*) FILTER (st = 'accepted') AS accepted, count(*) FILTER (st IN ('duplicate', 'duplicate_pending')) AS duplicate, count(*) FILTER (st = 'review_required') AS review, count(*) FILTER (st = 'version_conflict') AS conflict, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS failed, CAST(3 * count(*) FILTER (st = 'ok') AS BIGINT) AS chunks FROM s GROUP BY 1)
@@ -282,8 +317,8 @@ ORACLE = {
     "asset_maintenance": f"WITH {_PAY} SELECT asset_id, CASE WHEN conv_id % 3 = 0 THEN 'indexed' ELSE 'not_indexed' END AS rag_status, CASE WHEN conv_id % 3 = 0 AND turn % 2 = 1 THEN 'published' ELSE 'local_only' END AS publication_status, CASE WHEN conv_id % 3 = 0 THEN make_timestamp(1800000000000000) ELSE created_at END AS updated_at FROM pay WHERE conv_id % 5 <> 0",
     "export_retention": "SELECT conv_id AS asset_id, 'e' || format('{:04d}', turn) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5 AS kept FROM conversations",
     "render_asset": f"WITH {_MAN} SELECT asset_id, {_MD} AS markdown FROM man",
-    "quality_gate": rf"""WITH {_HITS}, c AS (SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 'text' END AS top_type, string_split(text, ' ')[2:3] AS terms FROM benchmark), h AS (SELECT qid, count(*) AS hits, count(*) FILTER (length({strip('text')}) < 30) AS noisy, arg_min(source_type, rank) AS ft, list(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g')) AS ks FROM hits GROUP BY 1),
-      r AS (SELECT qid, coalesce(hits, 0) AS hits, coalesce(noisy, 0) AS noisy, coalesce(top_type IS NULL OR top_type = ft, false) AS type_ok, len(list_filter(terms, lambda t: len(list_filter(coalesce(ks, []), lambda k: contains(k, regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', '', 'g')))) = 0)) AS missing FROM c LEFT JOIN h USING (qid)) SELECT *, hits = 5 AND noisy = 0 AND type_ok AND missing = 0 AS passed FROM r""",
+    "quality_gate": rf"""WITH {_HITS}, c AS (SELECT item_id AS qid, CASE WHEN item_id % 2 = 0 THEN 'text' END AS top_type, CASE WHEN item_id % 3 = 0 THEN ['pdf', 'text'] ELSE [] END AS types, string_split(text, ' ')[2:3] AS terms FROM benchmark), h AS (SELECT qid, count(*) AS hits, count(*) FILTER (length({strip('text')}) < 30) AS noisy, arg_min(source_type, rank) AS ft, list(DISTINCT source_type) AS kinds, string_agg(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g'), '' ORDER BY rank) AS k FROM hits GROUP BY 1),
+      r AS (SELECT qid, coalesce(hits, 0) AS hits, coalesce(noisy, 0) AS noisy, coalesce(top_type IS NULL OR top_type = ft, false) AS type_ok, len(list_filter(types, lambda t: NOT list_contains(coalesce(kinds, []), t))) AS missing_types, len(list_filter(terms, lambda t: NOT contains(coalesce(k, ''), regexp_replace(lower(t), '[^\p{{L}}\p{{N}}]+', '', 'g')))) AS missing FROM c LEFT JOIN h USING (qid)) SELECT *, hits = 5 AND noisy = 0 AND type_ok AND missing_types = 0 AND missing = 0 AS passed FROM r""",
     "answer_acceptance": f"""WITH {_PAY}, c AS (SELECT asset_id, conv_id % 9 > 0 AS has, answer, string_split(question, ' ')[1] AS req, CASE WHEN turn % 3 = 0 THEN 'no_answer' ELSE 'grounded' END AS want, source_status AS got, turn % 2 AS n FROM pay)
       SELECT asset_id AS key, array_to_string(list_filter([CASE WHEN NOT has THEN 'no_answer_row' END, CASE WHEN NOT contains(CASE WHEN has THEN lower(answer) ELSE '' END, lower(req)) THEN 'required_term' END, CASE WHEN has AND contains(lower(answer), 'the') THEN 'forbidden_term' END, CASE WHEN NOT has OR got <> want THEN 'status' END,
         CASE WHEN want = 'grounded' AND (NOT has OR n = 0) THEN 'sources_missing' END, CASE WHEN want <> 'grounded' AND has AND n > 0 THEN 'sources_present' END], lambda x: x IS NOT NULL), ',') AS failures FROM c""",

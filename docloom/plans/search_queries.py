@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.questions import FOCUS_STOP
 from docloom.functions.text import MARKED, PLAIN
 from docloom.operators import chunking, evidence, search
-from docloom.operators.joins import small
-from docloom.plans.inputs import documents, questions, stored, table, vectors
+from docloom.plans.inputs import documents, maintained, questions, table, vectors
 from docloom.plans.text_queries import CHUNKS
 
 HITS = 5
@@ -26,27 +25,44 @@ def _question_vectors(spark, d):
 
 
 def _chunks(spark, d):
-    docs = documents(spark, d)
-    named = chunking.chunk_documents(docs).drop("source_type").join(docs.select("source_key", "source_name", "doc_id").hint("merge"), "source_key")
-    kind = F.when(F.col("doc_id") % 5 == 0, "generated_asset").when(F.col("doc_id") % 2 == 0, "pdf").otherwise("text")
-    return stored(named.withColumn("source_type", kind).drop("doc_id", "embedding_text"), "chunks")
+    """The maintained index's chunks."""
 
+    def build():
+        docs = documents(spark, d).withColumn("raw_file_path", F.concat(F.lit("raw/"), "source_key"))
+        named = chunking.chunk_documents(docs).drop("source_type").join(docs.select("source_key", "source_name", "doc_id").hint("merge"), "source_key")
+        kind = F.when(F.col("doc_id") % 5 == 0, "generated_asset").when(F.col("doc_id") % 2 == 0, "pdf").otherwise("text")
+        return named.withColumn("source_type", kind).drop("doc_id", "embedding_text")
 
-def _hits(spark, d, chunks=None):
-    chunks = chunks or _chunks(spark, d)
-    return search.bm25(chunks, questions(spark, d), HITS).join(chunks.hint("merge"), "chunk_id")
+    return maintained(spark, d, "chunks", build)
+
+
+def _tokens_of(spark, d, name, chunks):
+    """The maintained index's tokens of chunks."""
+    return maintained(spark, d, name, lambda: search.token_rows(chunks))
+
+
+def _whole_tokens(spark, d):
+    return _tokens_of(spark, d, "document-tokens", _whole(spark, d))
+
+
+def _chunk_tokens(spark, d):
+    return _tokens_of(spark, d, "chunk-tokens", _chunks(spark, d))
+
+
+def _hits(spark, d):
+    return search.bm25(_chunk_tokens(spark, d), questions(spark, d), HITS).join(_chunks(spark, d).hint("merge"), "chunk_id")
 
 
 def _variants(spark, d):
-    """The question, its first 40 characters, and words that nothing holds."""
+    """The question, the question without its first word, and words that nothing holds."""
     rows = questions(spark, d)
-    texts = F.array(F.col("question"), F.substring("question", 1, 40), F.lit("qqzx zzqx"))
+    texts = F.array(F.col("question"), F.regexp_replace("question", r"^\S+\s*", ""), F.lit("qqzx zzqx"))
     return rows.select("qid", F.posexplode(texts).alias("n", "query")).select("qid", (F.col("n") + 1).alias("variant_ord"), "query")
 
 
 def _variant_hits(spark, d):
     chunks, variants = _chunks(spark, d), _variants(spark, d)
-    found = search.bm25(chunks, variants.select(F.struct("qid", "variant_ord").alias("qid"), "query"), HITS)
+    found = search.bm25(_chunk_tokens(spark, d), variants.select(F.struct("qid", "variant_ord").alias("qid"), "query"), HITS)
     return found.select("qid.qid", "qid.variant_ord", "chunk_id", "score", "rank").join(chunks.hint("merge"), "chunk_id")
 
 
@@ -56,7 +72,7 @@ def index_postings(spark, d):
 
 
 def bm25_topk(spark, d):
-    return search.bm25(_whole(spark, d), questions(spark, d))
+    return search.bm25(_whole_tokens(spark, d), questions(spark, d))
 
 
 def vector_topk(spark, d):
@@ -65,11 +81,11 @@ def vector_topk(spark, d):
 
 def rrf_fusion(spark, d):
     asked = _question_vectors(spark, d)
-    return search.fuse(search.bm25(_whole(spark, d), asked), search.nearest(vectors(spark, d), asked))
+    return search.fuse(search.bm25(_whole_tokens(spark, d), asked), search.nearest(vectors(spark, d), asked))
 
 
 def hybrid_topk(spark, d):
-    return search.hybrid(_whole(spark, d), vectors(spark, d), _question_vectors(spark, d)).select("qid", "chunk_id", "score", "rank")
+    return search.hybrid(_whole_tokens(spark, d), vectors(spark, d), _question_vectors(spark, d)).select("qid", "chunk_id", "score", "rank")
 
 
 def _layout(spark, d):
@@ -95,7 +111,7 @@ def focus_pages(spark, d):
 
 def focus_expansion(spark, d):
     _, asked = _layout(spark, d)
-    return search.with_focus(search.bm25(_whole(spark, d), questions(spark, d)), _whole(spark, d), asked)
+    return search.with_focus(search.bm25(_whole_tokens(spark, d), questions(spark, d)), _whole_tokens(spark, d), asked)
 
 
 def rerank_candidates(spark, d):
@@ -104,36 +120,38 @@ def rerank_candidates(spark, d):
 
 
 def source_keyword_hits(spark, d):
-    chunks = _chunks(spark, d)
-    words = questions(spark, d).select(F.col("qid").alias("kid"), F.concat(F.lit("SRC"), F.col("qid").cast("string")).alias("keyword")).where("kid < 3")
-    ranking = search.bm25(chunks, questions(spark, d), 10_000_000)
-    return search.keyword_hits(ranking, chunks, words, 3).select("qid", "kid", "chunk_id", "rank")
+    words = questions(spark, d).select(F.col("qid").alias("kid"), F.concat(F.lit("SRC"), F.col("qid").cast("string")).alias("keyword"))
+    scores = search.bm25_scores(_chunk_tokens(spark, d), questions(spark, d))
+    return search.keyword_hits(scores, _chunks(spark, d), words, 3).select("qid", "kid", "chunk_id", "rank")
 
 
 def channel_diagnostics(spark, d):
     asked = _question_vectors(spark, d)
-    lists = search.bm25(_whole(spark, d), asked).select("qid", "chunk_id", "rank", F.lit("fts").alias("channel")).unionByName(search.nearest(vectors(spark, d), asked).select("qid", "chunk_id", "rank", F.lit("vector").alias("channel")))
+    lists = search.bm25(_whole_tokens(spark, d), asked).select("qid", "chunk_id", "rank", F.lit("fts").alias("channel")).unionByName(search.nearest(vectors(spark, d), asked).select("qid", "chunk_id", "rank", F.lit("vector").alias("channel")))
     return evidence.channel_counts(lists.join(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("label")).hint("merge"), "chunk_id"))
 
 
 def support_filter(spark, d):
-    asked = questions(spark, d).select("qid", F.substring("question", 1, 60).alias("question"))
-    return evidence.supported(_hits(spark, d), asked).select("qid", "chunk_id", "score", "support_rank")
+    return evidence.supported(_hits(spark, d), questions(spark, d)).select("qid", "chunk_id", "score", "support_rank")
 
 
 def neighbor_expand(spark, d):
     chunks = _chunks(spark, d)
-    return evidence.expand_neighbours(_hits(spark, d, chunks), chunks).select("qid", "chunk_id", "score", "role")
+    return evidence.expand_neighbours(_hits(spark, d), chunks).select("qid", "chunk_id", "score", "role")
+
+
+def _asked_twice(spark, d):
+    return questions(spark, d).unionByName(questions(spark, d).select((-1 - F.col("qid")).alias("qid"), "query", "question"))
 
 
 def fidelity_report(spark, d):
+    """Every question, and one as many again that was never asked."""
     chunks = _chunks(spark, d)
-    return evidence.fidelity_report(evidence.expand_neighbours(_hits(spark, d, chunks), chunks), chunks)
+    return evidence.fidelity_report(_asked_twice(spark, d), evidence.expand_neighbours(_hits(spark, d), chunks), chunks)
 
 
 def evidence_report(spark, d):
-    asked = questions(spark, d).unionByName(questions(spark, d).select((F.col("qid") + 1000).alias("qid"), "query", "question"))
-    return evidence.evidence_report(asked, _hits(spark, d))
+    return evidence.evidence_report(_asked_twice(spark, d), _hits(spark, d))
 
 
 def bm25_evidence(spark, d):
@@ -151,6 +169,14 @@ def topic_dossier(spark, d):
     return evidence.dossier(_variant_hits(spark, d))
 
 
+def topic_coverage(spark, d):
+    """Coverage of each question's variants; of every fifth question only what nothing holds."""
+    variants, hits = _variants(spark, d), _variant_hits(spark, d).where("qid % 5 > 0")
+    rows = evidence.dossier_coverage(variants, hits)
+    types = F.array_join(F.transform(F.map_entries("source_types"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    return rows.select("qid", "source_count", "chunk_count", types.alias("source_types"), "low_evidence")
+
+
 def variant_union(spark, d):
     return evidence.keep_first(_variant_hits(spark, d), "variant_ord", "rank").select("qid", "chunk_id", "variant_ord", "rank")
 
@@ -175,7 +201,7 @@ def context_packing(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     index_postings, bm25_topk, vector_topk, rrf_fusion, hybrid_topk, rank_explain, focus_pages, focus_expansion, rerank_candidates, source_keyword_hits, channel_diagnostics, support_filter, neighbor_expand,
-    fidelity_report, evidence_report, bm25_evidence, top_sources, topic_dossier, variant_union, missing_variants, source_references, source_status, context_packing,
+    fidelity_report, evidence_report, bm25_evidence, top_sources, topic_dossier, topic_coverage, variant_union, missing_variants, source_references, source_status, context_packing,
 )}
 
 
@@ -208,7 +234,7 @@ fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_ORDER.fo
 _QUESTIONS = "qs AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 _CORPUS = f"""{CHUNKS}, corpus AS (SELECT source_key || '#' || chunk_index AS chunk_id, source_key, CAST(chunk_index AS INTEGER) AS chunk_index, c.text, source AS source_name, CASE WHEN doc_id % 5 = 0 THEN 'generated_asset' WHEN doc_id % 2 = 0 THEN 'pdf' ELSE 'text' END AS source_type FROM chunks c JOIN documents ON doc_id = CAST(source_key AS BIGINT))"""
 _HITS = f"{_CORPUS}, {_QUESTIONS}, {bm25_sql('corpus', 'qs', HITS)}, hits AS (SELECT * FROM bm JOIN corpus USING (chunk_id))"
-_VARIANTS = "vs AS (SELECT item_id * 10 + n AS qid, [text, substr(text, 1, 40), 'qqzx zzqx'][n] AS query FROM benchmark, (SELECT unnest([1, 2, 3]) AS n))"
+_VARIANTS = r"vs AS (SELECT item_id * 10 + n AS qid, [text, regexp_replace(text, '^\S+\s*', ''), 'qqzx zzqx'][n] AS query FROM benchmark, (SELECT unnest([1, 2, 3]) AS n))"
 _VHITS = f"{_CORPUS}, {_VARIANTS}, {bm25_sql('corpus', 'vs', HITS)}, vhits AS (SELECT qid // 10 AS qid, CAST(qid % 10 AS INTEGER) AS variant_ord, * EXCLUDE (qid) FROM bm JOIN corpus USING (chunk_id))"
 _LAYOUT = f"""{_FUSED}, lay AS (SELECT fused.*, source AS source_name, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'org_chart' ELSE 'text' END AS source_type, lower(text) AS low, doc_id % 5 AS page FROM fused JOIN documents ON doc_id = CAST(chunk_id AS BIGINT)),
 lq AS (SELECT item_id AS qid, string_split(text, ' ')[4] AS word, item_id % 2 = 0 AS triggered FROM benchmark)"""
@@ -232,20 +258,28 @@ ORACLE = {
       fd AS (SELECT qid, list_filter(ws, lambda z, i: list_position(ws, z) = i) AS ws FROM fw), fq AS (SELECT qid * 100 + i AS qid, ws[i] AS query FROM (SELECT qid, ws, unnest(range(1, len(ws) + 1)) AS i FROM fd)), {bm25_sql('idx', 'fq', 5, 'own')},
       u AS (SELECT qid, chunk_id, 0 AS segment, rank AS place FROM bm UNION ALL SELECT qid // 100, chunk_id, qid % 100, rank FROM own), f AS (SELECT qid, chunk_id, min((segment, place)) AS first FROM u GROUP BY 1, 2)
       SELECT qid, chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY first, chunk_id) AS INTEGER) AS rank FROM f""",
-    "source_keyword_hits": f"WITH {_CORPUS}, {_QUESTIONS}, {bm25_sql('corpus', 'qs', 10_000_000)} SELECT * FROM (SELECT qid, kid, chunk_id, CAST(row_number() OVER (PARTITION BY qid, kid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm JOIN corpus USING (chunk_id), (SELECT item_id AS kid FROM benchmark WHERE item_id < 3) WHERE contains(source_name, 'src' || kid)) WHERE rank <= 3",
+    "source_keyword_hits": f"WITH {_CORPUS}, {_QUESTIONS}, {bm25_sql('corpus', 'qs', 1)}, held AS (SELECT source_name, kid FROM (SELECT DISTINCT source_name FROM corpus), (SELECT item_id AS kid FROM benchmark) WHERE contains(source_name, 'src' || kid)) SELECT * FROM (SELECT qid, kid, chunk_id, CAST(row_number() OVER (PARTITION BY qid, kid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm_s JOIN corpus USING (chunk_id) JOIN held USING (source_name)) WHERE rank <= 3",
     "rerank_candidates": f"""WITH {_FUSED}, s AS (SELECT *, CASE WHEN CAST(chunk_id AS BIGINT) % 3 > 0 AND rank <= 10 THEN (CAST(chunk_id AS BIGINT) * 37 + qid) % 101 / 101.0::DOUBLE END AS new FROM fused)
       SELECT qid, chunk_id, round(coalesce(new, score), 6) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN new IS NOT NULL THEN 0 WHEN rank <= 10 THEN 1 ELSE 2 END, -new, rank) AS INTEGER) AS rank FROM s""",
     "channel_diagnostics": f"WITH {_FUSED}, l AS (SELECT qid, chunk_id, rank, 'fts' AS channel FROM bm UNION ALL SELECT qid, chunk_id, rank, 'vector' FROM nn) SELECT qid, channel, lang AS label, count(*) AS hits, min(rank) AS best_rank FROM l JOIN documents ON doc_id = CAST(chunk_id AS BIGINT) GROUP BY 1, 2, 3",
-    "support_filter": rf"""WITH {_HITS}, a AS (SELECT item_id AS qid, list_filter(list_transform(regexp_extract_all(substr(text, 1, 60), '[A-Za-z0-9]+'), lambda z: lower(z)), lambda z: length(z) >= 2) AS anchors FROM benchmark),
+    "support_filter": rf"""WITH {_HITS}, a AS (SELECT item_id AS qid, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda z: lower(z)), lambda z: length(z) >= 2) AS anchors FROM benchmark),
       k AS (SELECT h.* FROM hits h JOIN a USING (qid) WHERE len(list_filter(anchors, lambda z: contains(lower(h.text || ' ' || source_name || ' ' || chunk_id), z))) > 0) SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY source_type = 'generated_asset', score DESC, chunk_id) AS INTEGER) AS support_rank FROM k""",
     "neighbor_expand": f"WITH {_EXPANDED} SELECT qid, chunk_id, score, role FROM expanded",
-    "fidelity_report": f"""WITH {_EXPANDED} SELECT qid, count(*) FILTER (role = 'retrieved') AS original_chunks, count(*) AS final_chunks, count(*) FILTER (role <> 'retrieved') AS added_chunks, count(DISTINCT e.source_key) AS sources, CAST(sum(length(text)) AS BIGINT) AS chars,
-      CASE WHEN count(DISTINCT e.source_key) > 1 THEN 'fragmented' WHEN max(e.chunk_index) - min(e.chunk_index) + 1 = count(*) THEN 'continuous' ELSE 'gapped' END AS continuity FROM expanded e JOIN corpus USING (chunk_id) GROUP BY qid""",
-    "evidence_report": f"WITH {_HITS}, q2 AS (SELECT qid FROM qs UNION ALL SELECT qid + 1000 FROM qs), {_COUNTED.format('q2')} SELECT *, coverage_status <> 'grounded' AS low_evidence FROM rep",
+    "fidelity_report": f"""WITH {_EXPANDED}, f AS (SELECT qid, count(*) FILTER (role = 'retrieved') AS original_chunks, count(*) AS final_chunks, count(*) FILTER (role <> 'retrieved') AS added_chunks, count(DISTINCT e.source_key) AS sources, CAST(sum(length(text)) AS BIGINT) AS chars,
+      CASE WHEN count(DISTINCT e.source_key) > 1 THEN 'fragmented' WHEN max(e.chunk_index) - min(e.chunk_index) + 1 = count(*) THEN 'continuous' ELSE 'gapped' END AS continuity FROM expanded e JOIN corpus USING (chunk_id) GROUP BY qid)
+      SELECT qid, coalesce(original_chunks, 0) AS original_chunks, coalesce(final_chunks, 0) AS final_chunks, coalesce(added_chunks, 0) AS added_chunks, coalesce(sources, 0) AS sources, coalesce(chars, 0) AS chars, coalesce(continuity, 'empty') AS continuity FROM (SELECT qid FROM qs UNION ALL SELECT -1 - qid FROM qs) LEFT JOIN f USING (qid)""",
+    "evidence_report": f"WITH {_HITS}, q2 AS (SELECT qid FROM qs UNION ALL SELECT -1 - qid FROM qs), {_COUNTED.format('q2')} SELECT *, coverage_status <> 'grounded' AS low_evidence FROM rep",
     "bm25_evidence": f"WITH {_HITS}, {_COUNTED.format('qs')}, {_TOPS} SELECT rep.*, coverage_status <> 'grounded' AS low_evidence, source_name AS best_source FROM rep LEFT JOIN tops ON tops.qid = rep.qid AND n = 1",
     "top_sources": f"WITH {_HITS}, {_TOPS} SELECT * FROM tops",
     "topic_dossier": f"""WITH {_VHITS}, f AS (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY variant_ord, rank) AS seen FROM vhits)
       SELECT qid, source_name, count(*) AS chunk_count, arg_min(source_type, (variant_ord, rank)) AS source_type, CAST(row_number() OVER (PARTITION BY qid ORDER BY min((variant_ord, rank))) AS INTEGER) AS group_ord FROM f WHERE seen = 1 GROUP BY 1, 2""",
+    "topic_coverage": f"""WITH {_VHITS}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY variant_ord, rank) AS seen FROM vhits WHERE qid % 5 > 0) WHERE seen = 1), k AS (SELECT qid, string_agg(source_type || '=' || n, ',' ORDER BY source_type) AS source_types FROM (SELECT qid, source_type, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1),
+      g AS (SELECT qid, count(DISTINCT source_name) AS s, count(*) AS c FROM f GROUP BY 1) SELECT item_id AS qid, coalesce(s, 0) AS source_count, coalesce(c, 0) AS chunk_count, coalesce(source_types, '') AS source_types, c IS NULL AS low_evidence FROM benchmark LEFT JOIN g ON g.qid = item_id LEFT JOIN k ON k.qid = item_id""",
+    "focus_pages": rf"""WITH {_LAYOUT}, w AS (SELECT item_id AS qid, list_filter(regexp_split_to_array('who reports to ' || string_split(text, ' ')[4], '[^A-Za-z]+'), lambda z: length(z) >= 3 AND lower(z) NOT IN ({", ".join(repr(w) for w in FOCUS_STOP)})) AS ws FROM benchmark),
+      h AS (SELECT lay.*, triggered, source_type = 'org_chart' AS layout, len(list_filter(ws, lambda z: regexp_matches(low, '(?:^|[^\p{{L}}\p{{N}}_])' || lower(z) || '(?:[^\p{{L}}\p{{N}}_]|$)'))) > 0 AS holds FROM lay JOIN lq USING (qid) JOIN w USING (qid)),
+      p AS (SELECT DISTINCT qid, source_name, page FROM h WHERE triggered AND layout AND holds), n AS (SELECT DISTINCT qid, source_name FROM p),
+      s AS (SELECT h.qid, chunk_id, h.rank, CASE WHEN h.qid NOT IN (SELECT qid FROM p) THEN 0 WHEN NOT layout AND n.qid IS NOT NULL THEN 2 WHEN layout AND p.qid IS NOT NULL AND holds THEN 0 WHEN layout AND p.qid IS NOT NULL THEN 1 END AS segment FROM h LEFT JOIN p ON p.qid = h.qid AND p.source_name = h.source_name AND p.page = h.page LEFT JOIN n ON n.qid = h.qid AND n.source_name = h.source_name)
+      SELECT qid, chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY segment, rank) AS INTEGER) AS rank FROM s WHERE segment IS NOT NULL""",
     "variant_union": f"WITH {_VHITS} SELECT qid, chunk_id, variant_ord, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY variant_ord, rank) AS seen FROM vhits) WHERE seen = 1",
     "missing_variants": f"WITH {_VHITS} SELECT qid // 10 AS qid, CAST(qid % 10 AS INTEGER) AS variant_ord, 'No chunks were retrieved for ' || query || '.' AS missing FROM vs WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.qid = vs.qid)",
     "source_references": f"WITH {_HITS} SELECT qid, source_name || '#' || chunk_index AS ref, CAST(row_number() OVER (PARTITION BY qid ORDER BY min(rank)) AS INTEGER) AS n FROM hits GROUP BY 1, 2",

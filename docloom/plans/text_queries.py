@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import questions as q
 from docloom.functions import text as t
-from docloom.operators import chunking, evidence, quality
+from docloom.operators import chunking, evidence, quality, registry
+from docloom.operators.storage import scratch, stored
 from docloom.plans.inputs import documents, marked_documents, pages_of_sources, questions, table
+from docloom.sources import files
 
 SHARE = 0.04
 #: Markers of follow-ups in the given conversations.
@@ -20,9 +21,8 @@ def content_hash(spark, d):
 
 
 def content_dedup(spark, d):
-    rows = documents(spark, d).select("doc_id", t.content_hash(F.col("text")).alias("content_hash"))
-    first = rows.groupBy("content_hash").agg(F.min("doc_id").alias("survivor"))
-    return rows.join(first.hint("merge"), "content_hash").select("doc_id", F.when(F.col("doc_id") != F.col("survivor"), F.col("survivor")).alias("duplicate_of"))
+    rows = registry.duplicates(documents(spark, d).select("doc_id", "text"), t.content_hash(F.col("text")), "doc_id")
+    return rows.select("doc_id", F.when(F.col("doc_id") != F.col("survivor"), F.col("survivor")).alias("duplicate_of"))
 
 
 def line_features(spark, d):
@@ -67,13 +67,16 @@ def manual_entries(spark, d):
 
 
 def text_corpus(spark, d):
-    """Line and character totals of each source, as a scan of its files reports them."""
-    rows = documents(spark, d).select("source_name", F.length("text").alias("n"), F.size(t.lines(F.col("text"))).alias("rows"))
-    return rows.groupBy("source_name").agg(F.count("*").alias("files"), F.sum("n").alias("characters"), F.sum("rows").alias("line_count"))
+    """The documents as files, every third one of Markdown, read back with the counts of each."""
+    folder = scratch(spark, "files")
+    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".txt"))
+    stored(files.write_texts(documents(spark, d).select(name.alias("name"), "text"), folder), "file-names")
+    rows = files.read_texts(spark, folder)
+    return rows.select("source_name", "source_type", *(F.col(c).cast("long").alias(c) for c in ("characters", "line_count")), t.content_hash(F.col("text")).alias("content_hash"))
 
 
 def heading_words(spark, d):
-    spaced = F.regexp_replace(F.substring("text", 1, 60), "([A-Za-z])(?=[A-Za-z])", "$1 ")
+    spaced = F.regexp_replace("text", "([A-Za-z])(?=[A-Za-z])", "$1 ")
     return documents(spark, d).select("doc_id", t.joined_heading(F.concat(spaced, F.lit("   "), "source_name")).alias("heading"))
 
 
@@ -102,17 +105,19 @@ def anchor_terms(spark, d):
 
 def _titled_questions(spark, d):
     head = F.when(F.col("qid") % 3 == 0, "ABC project ").when(F.col("qid") % 3 == 1, "Interview at Docloom about ").otherwise("")
-    return questions(spark, d).select("qid", F.concat(head, F.substring("question", 1, 40)).alias("question"))
+    return questions(spark, d).select("qid", F.concat(head, "question").alias("question"))
 
 
 def query_expansion(spark, d):
-    titles = table(spark, d, "documents").where("doc_id < 100").select((F.col("doc_id") % 40).alias("qid"), F.col("doc_id").cast("int").alias("n"), F.concat(F.lit("abc_retro-"), "source").alias("title"))
+    """Every document's title is a hint for one of the questions."""
+    several = table(spark, d, "benchmark").agg((F.max("item_id") + 1).alias("several"))  # one row
+    titles = table(spark, d, "documents").join(F.broadcast(several)).select((F.col("doc_id") % F.col("several")).alias("qid"), F.col("doc_id").cast("int").alias("n"), F.concat(F.lit("abc_retro-"), "source").alias("title"))
     return evidence.expand_queries(_titled_questions(spark, d), titles)
 
 
 def relation_focus(spark, d):
     head = F.when(F.col("turn") % 3 == 0, "Who reports to ").when(F.col("turn") % 3 == 1, "How to read charts under ").otherwise("People under Anna Berg and ")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat(head, F.substring("text", 1, 30)).alias("query"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat(head, "text").alias("query"))
     return rows.select("conv_id", "turn", q.is_relation_question(F.col("query")).alias("relation"), F.array_join(q.focus_tokens(F.col("query")), " ").alias("focus"), F.array_join(q.under_anchors(F.col("query")), " ").alias("anchors"))
 
 
@@ -130,10 +135,9 @@ def display_names(spark, d):
 
 def metadata_codec(spark, d):
     """Events' attributes to a sorted JSON text and back; broken JSON stays as it is."""
-    packed = F.to_json(F.struct(F.col("event_type"), F.col("user_id")))
-    text = F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(packed)
-    rows = table(spark, d, "events").select("event_id", text.alias("packed")).withColumn("s", F.from_json("packed", "event_type string, user_id long"))
-    return rows.select("event_id", F.col("s.user_id").alias("user_id"), F.coalesce("s.event_type", "packed").alias("event_type"))
+    text = F.when(F.col("event_id") % 10 == 0, "{broken").otherwise(t.packed(user_id=F.col("user_id"), event_type=F.col("event_type")))
+    rows = table(spark, d, "events").select("event_id", t.unpacked(text, "event_type string, user_id long").alias("s"))
+    return rows.select("event_id", F.col("s.metadata.user_id").alias("user_id"), F.coalesce("s.metadata.event_type", "s.raw").alias("event_type"))
 
 
 def chunk_windows(spark, d):
@@ -165,7 +169,7 @@ def line_packing(spark, d):
 
 def spaced_letters(spark, d):
     rows = documents(spark, d).select("doc_id", F.concat(F.lit("H O W T O R E A D "), "text").alias("text"))
-    return chunking.map_text(rows, quality.join_spaced_letters)
+    return rows.select("doc_id", quality.join_spaced_letters(F.col("text")).alias("text"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -190,6 +194,14 @@ def ratio(a: str, b: str) -> str:
     return f"floor(({a}) * 1000.0::DOUBLE / greatest({b}, 1) + 0.5::DOUBLE) / 1000.0::DOUBLE"
 
 
+def heading_sql(x: str) -> str:
+    """joined_heading of x."""
+    flat = strip(f"regexp_replace({x}, '[\\r\\n]+', ' ', 'g')")
+    parts = f"list_transform(list_filter(regexp_split_to_array({flat}, '\\s{{2,}}'), lambda p: {strip('p')} <> ''), lambda p: {collapse('p')})"
+    whole = f"len(string_split(p, ' ')) >= 3 AND len(list_filter(string_split(p, ' '), lambda z: NOT regexp_matches(z, '^[A-Za-z0-9&/(),.-]$'))) = 0"
+    return strip(f"array_to_string(list_transform({parts}, lambda p: CASE WHEN {whole} THEN replace(p, ' ', '') ELSE p END), ' ')")
+
+
 def filled(x: str) -> str:
     return f"list_filter(list_transform({lines(x)}, lambda z: {strip('z')}), lambda z: z <> '')"
 
@@ -234,10 +246,8 @@ ORACLE = {
     "coverage_record": f"SELECT doc_id, 'text' AS format, CASE WHEN {strip('text')} = '' THEN 'partial' ELSE 'complete' END AS coverage_status, length(text) AS characters, len({lines('text')}) AS line_count, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: {strip('p')} <> '')) AS paragraph_count FROM documents",
     "review_routing": f"WITH {_OCR} SELECT source AS source_name, CASE WHEN reason IS NOT NULL OR bare = '' THEN 'review_required' ELSE 'direct' END AS route, count(*) AS documents FROM o GROUP BY 1, 2",
     "manual_entries": f"SELECT conv_id, turn, 'manual' AS source_type, {collapse('text')} AS text, 'high' AS status, 'direct' AS action, 1.0::DOUBLE AS valid_ratio, 1 AS page_count FROM conversations WHERE role = 'user'",
-    "text_corpus": f"SELECT source AS source_name, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(len({lines('text')})) AS BIGINT) AS line_count FROM documents GROUP BY 1",
-    "heading_words": rf"""WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(substr(text, 1, 60), '([A-Za-z])', '\1 ', 'g'), '([A-Za-z]) ([^A-Za-z]|$)', '\1\2', 'g') || '   ' || source, '[\r\n]+', ' ', 'g') AS s FROM documents),
-      p AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array({strip('s')}, '\s{{2,}}'), lambda x: {strip('x')} <> ''), lambda x: {collapse('x')}) AS parts FROM h)
-      SELECT doc_id, {strip("array_to_string(list_transform(parts, lambda x: CASE WHEN len(string_split(x, ' ')) >= 3 AND len(list_filter(string_split(x, ' '), lambda z: NOT regexp_matches(z, '^[A-Za-z0-9&/(),.-]$'))) = 0 THEN replace(x, ' ', '') ELSE x END), ' ')")} AS heading FROM p""",
+    "text_corpus": f"SELECT doc_id || CASE WHEN doc_id % 3 = 0 THEN '.md' ELSE '.txt' END AS source_name, CASE WHEN doc_id % 3 = 0 THEN 'md' ELSE 'txt' END AS source_type, length(text) AS characters, CAST(len({lines('text')}) AS BIGINT) AS line_count, sha256({strip('text')}) AS content_hash FROM documents",
+    "heading_words": rf"""WITH h AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([A-Za-z])', '\1 ', 'g'), '([A-Za-z]) ([^A-Za-z]|$)', '\1\2', 'g') || '   ' || source AS s FROM documents) SELECT doc_id, {heading_sql('s')} AS heading FROM h""",
     "chunk_noise": f"WITH {CHUNKS} SELECT label, label <> '' AS noise, count(*) AS chunks FROM label WHERE {strip('text')} <> '' GROUP BY 1, 2",
     "compact_text": rf"SELECT doc_id, CASE WHEN length(c) <= 80 THEN c ELSE rtrim(substr(c, 1, 80)) || '...' END AS short, md5(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', '', 'g')) AS key_hash FROM (SELECT doc_id, text, {collapse('text')} AS c FROM documents)",
     "answer_modes": r"""WITH x AS (SELECT conv_id, text || CASE turn % 5 WHEN 0 THEN ' as slides' WHEN 1 THEN ' a decision memo' WHEN 2 THEN ' Lessons learned' ELSE '' END AS t FROM conversations),
@@ -249,16 +259,16 @@ ORACLE = {
       SELECT conv_id, turn, CASE WHEN follows AND before = '' THEN 'clarification_required' WHEN follows THEN 'resolved' ELSE 'standalone' END AS status, CASE WHEN follows AND before = '' THEN '' WHEN follows THEN before || '；追问：' || now ELSE now END AS resolved_question FROM f""",
     "anchor_terms": r"""WITH t AS (SELECT item_id AS qid, regexp_extract_all(text, '[A-Za-z0-9]+') AS ts FROM benchmark), e AS (SELECT qid, i, lower(ts[i]) AS w FROM (SELECT qid, ts, unnest(range(1, len(ts) + 1)) AS i FROM t)),
       f AS (SELECT qid, w, min(i) AS i FROM e WHERE length(w) >= 2 GROUP BY 1, 2) SELECT qid, coalesce(string_agg(w, ' ' ORDER BY i), '') AS anchors FROM (SELECT item_id AS qid FROM benchmark) LEFT JOIN f USING (qid) GROUP BY qid""",
-    "query_expansion": rf"""WITH q AS (SELECT item_id AS qid, {collapse("CASE item_id % 3 WHEN 0 THEN 'ABC project ' WHEN 1 THEN 'Interview at Docloom about ' ELSE '' END || substr(text, 1, 40)")} AS question FROM benchmark),
+    "query_expansion": rf"""WITH q AS (SELECT item_id AS qid, {collapse("CASE item_id % 3 WHEN 0 THEN 'ABC project ' WHEN 1 THEN 'Interview at Docloom about ' ELSE '' END || text")} AS question FROM benchmark),
       c AS (SELECT *, CASE WHEN regexp_matches(question, '(?i)\binterview\b') THEN '面试' WHEN regexp_matches(question, '(?i)\bproject\b') THEN '项目' WHEN regexp_matches(question, '(?i)\bretrospective\b') THEN '复盘' ELSE '' END AS context FROM q),
       e AS (SELECT *, CASE WHEN regexp_extract(question, '\b([A-Z][A-Z0-9]{{1,9}})\b', 1) <> '' THEN regexp_extract(question, '\b([A-Z][A-Z0-9]{{1,9}})\b', 1) WHEN context <> '' THEN coalesce(list_filter(regexp_extract_all(question, '\b[A-Z][A-Za-z0-9]{{1,19}}\b'), lambda z: z NOT IN ({", ".join(repr(w) for w in q.QUESTION_WORDS)}))[1], '') ELSE '' END AS entity FROM c),
       names(context, n, what, reason) AS (VALUES {", ".join(f"({c!r}, {n}, {w!r}, {r!r})" for c, v in q.VARIANTS.items() for n, (w, r) in enumerate(v))}),
       v AS (SELECT qid, 0 AS part, 0 AS n, question AS query, 'original query' AS reason FROM e UNION ALL SELECT qid, 0, 1, entity || ' ' || context, 'base topic' FROM e WHERE entity <> '' AND context <> ''
         UNION ALL SELECT qid, 0, 2 + names.n, entity || ' ' || what, reason FROM e JOIN names ON names.context = CASE WHEN e.context IN ('面试', '项目') THEN e.context ELSE '' END WHERE entity <> ''
-        UNION ALL SELECT e.qid, 1, CAST(doc_id * 3 AS INTEGER), entity || ' 项目复盘', 'source title hint' FROM e JOIN documents ON doc_id % 40 = e.qid AND doc_id < 100 WHERE entity <> '' AND contains('abc retro ' || lower(source), lower(entity))),
+        UNION ALL SELECT e.qid, 1, CAST(doc_id * 3 AS INTEGER), entity || ' 项目复盘', 'source title hint' FROM e JOIN documents ON doc_id % (SELECT max(item_id) + 1 FROM benchmark) = e.qid WHERE entity <> '' AND contains('abc retro ' || lower(source), lower(entity))),
       f AS (SELECT qid, query, min((part, n, reason)) AS first FROM v WHERE query <> '' GROUP BY 1, 2)
       SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) AS INTEGER) AS variant_ord, query, first[3] AS reason FROM f) WHERE variant_ord <= 6""",
-    "relation_focus": rf"""WITH q AS (SELECT conv_id, turn, turn % 3 AS k, CASE turn % 3 WHEN 0 THEN 'Who reports to ' WHEN 1 THEN 'How to read charts under ' ELSE 'People under Anna Berg and ' END || substr(text, 1, 30) AS q FROM conversations),
+    "relation_focus": rf"""WITH q AS (SELECT conv_id, turn, turn % 3 AS k, CASE turn % 3 WHEN 0 THEN 'Who reports to ' WHEN 1 THEN 'How to read charts under ' ELSE 'People under Anna Berg and ' END || text AS q FROM conversations),
       f AS (SELECT conv_id, turn, k, list_filter(list_filter(regexp_split_to_array(q, '[^A-Za-z]+'), lambda z: length(z) >= 3), lambda z: lower(z) NOT IN ({", ".join(repr(w) for w in q.FOCUS_STOP)})) AS ws, regexp_extract(q, '\bunder\s+([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)?)(?:[^\p{{L}}\p{{N}}_]|$)', 1) AS u FROM q)
       SELECT conv_id, turn, k <> 1 AS relation, array_to_string(list_filter(ws, lambda z, i: list_position(ws, z) = i), ' ') AS focus, array_to_string(list_filter(string_split(u, ' '), lambda z: length(z) >= 3 AND lower(z) NOT IN ({", ".join(repr(w) for w in q.FOCUS_STOP)})), ' ') AS anchors FROM f""",
     "answer_filters": rf"""WITH a AS (SELECT conv_id, turn, text || CASE turn % 4 WHEN 1 THEN '（资料不足）' || chr(10) || '来源：a' WHEN 3 THEN chr(10) || ' 来源: b' ELSE '' END AS a FROM conversations WHERE role <> 'user')

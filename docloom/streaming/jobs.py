@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.functions.text import content_hash
-from docloom.operators import chunking, registry
+from docloom.operators import chunking, registry, storage
 
 #: How long an upload in flight suppresses its repeats.
 IN_FLIGHT = "10 minutes"
+#: Batches after which the states of tasks are merged.
+COMPACT = 50
 
 
 def read(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -51,17 +53,18 @@ def ingest(docs: DataFrame, out: str, checkpoint: str) -> None:
 def content_states(events: DataFrame) -> DataFrame:
     """Uploads and outcomes by content (content_hash, seq, kind) to what each upload met: the registry as keyed state.
 
-    kind: upload, or the outcome of the one in flight (indexed, failed, review_required, version_conflict).
+    kind: upload, or the outcome of the one in flight (indexed, failed, review_required, version_conflict). Columns
+    review_retry and version_retry, where events have them, let an upload try again after a review or a conflict.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status = state.get[0] if state.exists else None
         out = []
-        for seq, kind in sorted((int(s), k) for frame in frames for s, k in zip(frame["seq"], frame["kind"], strict=True)):
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        for seq, kind, review, version in zip(rows["seq"].tolist(), rows["kind"], rows["review_retry"], rows["version_retry"], strict=True):
             if kind != "upload":
                 status = kind if status == "processing" else status
-                continue
-            if status in (None, "failed"):
+            elif status in (None, "failed") or status == "review_required" and review or status == "version_conflict" and version:
                 out.append((key[0], seq, "reserved"))
                 status = "processing"
             else:
@@ -70,22 +73,39 @@ def content_states(events: DataFrame) -> DataFrame:
             state.update((status,))
         yield pd.DataFrame(out, columns=["content_hash", "seq", "outcome"])
 
-    return events.groupBy("content_hash").applyInPandasWithState(step, "content_hash string, seq long, outcome string", "status string", "append", GroupStateTimeout.NoTimeout)
+    flags = {c: F.coalesce(F.col(c), F.lit(False)) if c in events.columns else F.lit(False) for c in ("review_retry", "version_retry")}
+    rows = events.select("content_hash", "seq", "kind", *(v.alias(c) for c, v in flags.items()))
+    return rows.groupBy("content_hash").applyInPandasWithState(step, "content_hash string, seq long, outcome string", "status string", "append", GroupStateTimeout.NoTimeout)
 
 
-def task_states(events: DataFrame, out: str, checkpoint: str) -> None:
-    """The latest state of each task, kept under out/version=N by merging every batch's latest into the last version's."""
+def task_states(events: DataFrame, out: str, checkpoint: str, compact: int = COMPACT) -> None:
+    """The latest state of each task: every batch writes those of its own tasks, and every `compact` batches all are merged.
+
+    A repeated batch replaces what it wrote. What is merged is published as a version (storage.publish) with the number
+    of the last batch in it; read_task_states joins it with the batches after that. Older batches and versions can be
+    removed at any time.
+    """
     spark = events.sparkSession
 
     def batch(rows: DataFrame, number: int) -> None:
         latest = rows.groupBy("task_id").agg(F.max_by(F.struct("status", "ts", "seq"), F.struct("ts", "seq")).alias("last")).select("task_id", "last.*")
-        if number:
-            latest = registry_latest(spark.read.parquet(f"{out}/version={number - 1}").unionByName(latest))
-        latest.write.mode("overwrite").parquet(f"{out}/version={number}")
+        latest.write.mode("overwrite").parquet(f"{out}/batches/batch={number}")
+        if (number + 1) % compact == 0:
+            storage.publish({"tasks": read_task_states(spark, out), "upto": spark.createDataFrame([(number,)], "batch int")}, f"{out}/merged")
 
     run(events, batch, checkpoint)
 
 
+def read_task_states(spark: SparkSession, out: str) -> DataFrame:
+    """task_id, status, ts and seq of every task, from the last merged version and the batches after it."""
+    batches = spark.read.option("basePath", f"{out}/batches").parquet(f"{out}/batches")
+    try:
+        upto = storage.published(spark, f"{out}/merged", "upto").collect()[0]["batch"]
+    except ValueError:
+        return registry_latest(batches.drop("batch"))
+    return registry_latest(storage.published(spark, f"{out}/merged", "tasks").unionByName(batches.where(F.col("batch") > upto).drop("batch")))
+
+
 def registry_latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("task_id").agg(F.max_by(F.struct("status", "ts", "seq"), F.struct("ts", "seq")).alias("last")).select("task_id", "last.*")
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import assets, chunking, evaluate, evidence, layout, registry, search
+from docloom.operators import assets, chunking, evaluate, evidence, layout, registry, search, storage
+from docloom.sources import assemble, files
 
 
 def docs(spark, *texts, kind="text"):
@@ -125,12 +126,115 @@ def test_hierarchy_and_projection(spark):
     nodes = spark.createDataFrame(rows, "source_id string, page int, node int, line_1 string, line_2 string, x_center double, y_center double, band int")
     edges = layout.hierarchy(nodes)
     assert sorted((r["parent"], r["child"]) for r in edges.collect()) == [(1, 2), (1, 3)]
-    text = layout.projection_text(nodes, edges, spark.createDataFrame([("s", 1, "Plan")], "source_id string, page int, title string")).collect()[0]["text"]
+    text = layout.projection_text(layout.paths(nodes, edges), spark.createDataFrame([("s", 1, "Plan")], "source_id string, page int, title string")).collect()[0]["text"]
     assert "- Field 1: Boss\n  - Field 1: Left (Field 2: role)\n  - Field 1: Right\n- Field 1: Far" in text
     assert "- Field 1: Right is structurally under Field 1: Boss." in text
 
 
 def test_gate_and_acceptance(spark):
     hits = spark.createDataFrame([(1, r, "text", "a long enough passage about Alpha beta things") for r in range(1, 6)] + [(2, 1, "text", "short")], "qid int, rank int, source_type string, text string")
-    cases = spark.createDataFrame([(1, "text", ["alphabeta"]), (2, "text", []), (3, None, ["x"])], "qid int, top_type string, terms array<string>")
+    cases = spark.createDataFrame([(1, "text", ["alphabeta"], ["text"]), (2, "text", [], None), (3, None, ["x"], None)], "qid int, top_type string, terms array<string>, types array<string>")
     assert {r["qid"]: r["passed"] for r in evaluate.quality_gate(cases, hits).collect()} == {1: True, 2: False, 3: False}
+    lacks = evaluate.quality_gate(cases.withColumn("types", F.array(F.lit("text"), F.lit("org_chart"))), hits).where("qid = 1").collect()[0]
+    assert (lacks["missing_types"], lacks["passed"]) == (1, False)
+
+
+def test_paths_have_no_greatest_depth(spark):
+    n = 150
+    nodes = spark.createDataFrame([("s", 1, i, f"n{i}", None, 10.0, 10.0 * i, i) for i in range(n)] + [("s", 2, 7, "alone", None, 1.0, 1.0, 0)], "source_id string, page int, node int, line_1 string, line_2 string, x_center double, y_center double, band int")
+    placed = layout.paths(nodes, layout.hierarchy(nodes))
+    assert sorted((r["page"], r["node"], r["depth"], r["path"].count("/")) for r in placed.collect()) == [*((1, i, i, i) for i in range(n)), (2, 7, 0, 0)]
+    whole = layout.projection_text(placed, spark.createDataFrame([], "source_id string, page int, title string"))
+    parts = {(r["page"], r["part"]): r for r in layout.split_trees(placed, whole, 20).collect()}
+    assert sorted(parts) == [(1, 0), (1, 1), (2, 0)] and parts[1, 1]["n_nodes"] == n - 1
+    text = parts[1, 1]["text"]
+    assert "Context Root: Field 1: n0 -> Field 1: n1\n" in text and "\n- n0 manages n1.\n- Field 1: n2 is structurally under Field 1: n1.\n" in text
+    assert "Structure:\n- Field 1: n2\n  - Field 1: n3\n" in text
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bands_and_layout_pages_equal_a_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [("s", page, i, "x" * int(rng.integers(1, 50)), float(rng.integers(0, 600)), float(rng.integers(0, 120) * 3), 10.0) for page in range(6) for i in range(rng.integers(0, 40))]
+    blocks = spark.createDataFrame([(*r[:6], r[4] + 60, r[5] + r[6], 10.0, 800.0) for r in rows], "source_id string, page int, block_id int, text string, x0 double, y0 double, x1 double, y1 double, font_size double, page_height double")
+    got = {r["page"]: (r["short"], r["rows"], r["columns"], r["is_layout"]) for r in layout.layout_pages(blocks).collect()}
+    for page in range(6):
+        mine = [r for r in rows if r[1] == page]
+        short = sorted((r[5] + 5, r[4] + 30, r[2]) for r in mine if len(r[3]) <= 32)
+        bands = []
+        for y, *_ in short:
+            near = [b for b in bands if abs(y - sum(b) / len(b)) <= 10]
+            (near[0] if near else bands.append([]) or bands[-1]).append(y)
+        columns = {round(x / 80) for _, x, _ in short}
+        crowded = len(short) >= 12 and len(short) >= 0.65 * len(mine) and len(bands) >= 3 and len(columns) >= 3
+        if mine:
+            assert got[page] == (len(short), len(bands), len(columns), crowded)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_packing_equals_a_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    rows = [(f"s{s}", page, "HEAD", i, "y" * int(rng.integers(0, 40))) for s in range(3) for page in range(2) for i in range(rng.integers(1, 30))]
+    got = {}
+    for r in chunking.pack_lines(spark.createDataFrame(rows, "source_key string, page int, header string, ord int, line string").repartition(3), 60).collect():
+        got.setdefault((r["source_key"], r["page"]), {})[r["part"]] = r["text"]
+    for key in {r[:2] for r in rows}:
+        parts = [["HEAD"]]
+        for *_, line in (r for r in rows if r[:2] == key):
+            if len(parts[-1]) > 1 and len("\n".join([*parts[-1], line])) > 60:
+                parts.append(["HEAD"])
+            parts[-1].append(line)
+        assert [got[key][k] for k in range(len(got[key]))] == ["\n".join(p) for p in parts]
+
+
+def test_keywords_among_names(spark):
+    scores = spark.createDataFrame([(1, f"c{i}", 1.0 / (i + 1)) for i in range(6)], "qid int, chunk_id string, score double")
+    chunks = spark.createDataFrame([(f"c{i}", n) for i, n in enumerate(["Plan A.md", "plan b.md", None, "", "notes", "PLAN c"])], "chunk_id string, source_name string")
+    words = spark.createDataFrame([(1, "PLAN"), (2, ""), (3, "zzz"), (4, ".md"), (5, None)], "kid int, keyword string")
+    got = sorted((r["kid"], r["rank"], r["chunk_id"]) for r in search.keyword_hits(scores, chunks, words, 3).collect())
+    assert got == [(1, 1, "c0"), (1, 2, "c1"), (1, 3, "c5"), (2, 1, "c0"), (2, 2, "c1"), (2, 3, "c3"), (4, 1, "c0"), (4, 2, "c1")]
+
+
+def test_questions_without_hits_are_reported(spark):
+    chunks = spark.createDataFrame([("s", i, f"s#{i}", "text") for i in range(4)], "source_key string, chunk_index int, chunk_id string, text string")
+    expanded = spark.createDataFrame([(1, "s#0", "s", 0, 1.0, "retrieved"), (1, "s#2", "s", 2, 1.0, "context_after")], "qid int, chunk_id string, source_key string, chunk_index int, score double, role string")
+    asked = spark.createDataFrame([(1,), (2,)], "qid int")
+    assert {r["qid"]: (r["final_chunks"], r["continuity"]) for r in evidence.fidelity_report(asked, expanded, chunks).collect()} == {1: (2, "gapped"), 2: (0, "empty")}
+
+
+def test_dossier_coverage(spark):
+    hits = spark.createDataFrame([(1, 1, "a", 1, "s1", "pdf"), (1, 2, "a", 1, "s1", "pdf"), (1, 2, "b", 2, "s2", "text")], "qid int, variant_ord int, chunk_id string, rank int, source_name string, source_type string")
+    variants = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "qid int, variant_ord int")
+    got = {r["qid"]: (r["source_count"], r["chunk_count"], r["source_types"], r["low_evidence"]) for r in evidence.dossier_coverage(variants, hits).collect()}
+    assert got == {1: (2, 2, {"pdf": 1, "text": 1}, False), 2: (0, 0, {}, True)}
+
+
+def test_word_processor_blocks(spark):
+    rows = [("d", 1, " First ", None), ("d", 2, None, [["a", "b|c"], ["d"]]), ("d", 3, "  ", None), ("d", 4, "Last", None), ("e", 1, None, []), ("f", 1, None, None)]
+    got = assemble.from_paragraphs(spark.createDataFrame(rows, "source_id string, ord int, text string, rows array<array<string>>")).collect()
+    assert [tuple(r) for r in got] == [("d", "First\n| a | b\\|c |\n| --- | --- |\n| d |  |\nLast", 2, 1, 2)]
+
+
+def test_published_versions(spark, tmp_path):
+    root = f"file://{tmp_path}/index"
+    with pytest.raises(ValueError, match="nothing is published"):
+        storage.published(spark, root, "chunks")
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, text string")
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", None)], "chunk_id string, vector array<double>")
+    assert storage.publish_index(chunks, search.postings(chunks), vectors, root) == 1
+    held = storage.published(spark, root, "chunks")
+    assert [r["chunk_id"] for r in held.collect()] == ["a"] and [tuple(r) for r in storage.published(spark, root, "quarantine").collect()] == [("b", "no vector")]
+    # A version that isn't finished isn't seen: nothing points to it.
+    chunks.write.parquet(f"{root}/versions/half/chunks")
+    assert storage.published(spark, root, "chunks").count() == 1
+    assert storage.publish_index(chunks, search.postings(chunks), vectors.fillna(0).withColumn("vector", F.array(F.lit(1.0))), root) == 2
+    assert storage.published(spark, root, "chunks").count() == 2 and held.count() == 1
+
+
+def test_text_files(spark, tmp_path):
+    folder = f"file://{tmp_path}/in"
+    docs = spark.createDataFrame([("a.txt", "x\ny\n"), ("b.md", "é"), ("c.txt", None)], "name string, text string")
+    assert files.write_texts(docs, folder).count() == 3
+    (tmp_path / "in" / "d.bin").write_bytes(b"zz")
+    got = sorted((r["source_name"], r["source_type"], r["text"], r["characters"], r["line_count"]) for r in files.read_texts(spark, folder).collect())
+    assert got == [("a.txt", "txt", "x\ny\n", 4, 2), ("b.md", "md", "é", 1, 1)]  # an empty file gives no row

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking
@@ -25,14 +27,36 @@ def test_content_states(spark, tmp_path):
     assert got == {("a", 1): "reserved", ("a", 2): "duplicate_pending", ("a", 4): "reserved", ("a", 6): "duplicate", ("b", 1): "reserved", ("b", 3): "review_required"}
 
 
+def test_content_states_equal_a_fold(spark, tmp_path):
+    rng = random.Random(4)
+    kinds = ["upload", "upload", "upload", "indexed", "failed", "review_required", "version_conflict"]
+    events = [(f"h{rng.randrange(12)}", i, rng.choice(kinds), rng.choice([True, False, None]), rng.choice([True, False, None])) for i in range(400)]
+    want, status = {}, {}
+    for h, i, kind, review, version in events:
+        now = status.get(h)
+        if kind != "upload":
+            status[h] = kind if now == "processing" else now
+        elif now in (None, "failed") or (now == "review_required" and review) or (now == "version_conflict" and version):
+            want[i], status[h] = "reserved", "processing"
+        else:
+            want[i] = {"indexed": "duplicate", "processing": "duplicate_pending"}.get(now, now)
+    for k in range(4):  # four files, four batches
+        spark.createDataFrame(events[k * 100 : k * 100 + 100], "content_hash string, seq long, kind string, review_retry boolean, version_retry boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = jobs.content_states(jobs.read(spark, str(tmp_path / "in"), 1))
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert {r["seq"]: r["outcome"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
 def test_task_states_equal_batch(spark, tmp_path):
     rows = [(i % 3, ("queued", "done", "failed")[i % 3 if i < 6 else 1], i) for i in range(9)]
     events = spark.createDataFrame(rows, "task_id int, status string, seq int").withColumn("ts", F.timestamp_seconds(F.lit(0) + F.col("seq")))
     events.repartition(4).write.parquet(str(tmp_path / "in"))
-    jobs.task_states(jobs.read(spark, str(tmp_path / "in"), 1), str(tmp_path / "out"), str(tmp_path / "c"))
-    last = sorted((tmp_path / "out").glob("version=*"), key=lambda p: int(p.name.split("=")[1]))[-1]
-    got = {r["task_id"]: r["seq"] for r in spark.read.parquet(str(last)).collect()}
-    assert got == {0: 6, 1: 7, 2: 8}
+    for compact in (2, 100):  # merged on the way, never merged
+        out = str(tmp_path / f"out{compact}")
+        jobs.task_states(jobs.read(spark, str(tmp_path / "in"), 1), out, str(tmp_path / f"c{compact}"), compact)
+        assert {r["task_id"]: r["seq"] for r in jobs.read_task_states(spark, out).collect()} == {0: 6, 1: 7, 2: 8}
+    # A batch holds its own tasks alone, not all.
+    assert spark.read.parquet(str(tmp_path / "out100" / "batches")).groupBy("batch").count().agg(F.max("count")).collect()[0][0] <= 3
 
 
 def test_repeats_in_flight(spark, tmp_path):

@@ -1,3 +1,7 @@
+import random
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import questions as q
@@ -31,11 +35,38 @@ def test_headings_and_noise(spark):
     assert value(spark, t.noise_label(F.col("x")), x="Intro ......................... 1\nNext ......................... 2") == "mixed_toc"
 
 
-def test_spaced_letters():
-    import pandas as pd
+def test_spaced_letters(spark):
+    for text, want in (("H O W T O R E A D this", "HOW TO READ this"), ("a b c", "a b c"), (None, ""), ("F i v e s x", "Fivesx"), ("see O R G A N I Z A T I O N C H A R T S, p. 1", "see ORGANIZATION CHARTS, p. 1")):
+        assert spark.createDataFrame([(text,)], "x string").select(quality.join_spaced_letters(F.col("x")).alias("v")).collect()[0]["v"] == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spaced_letters_equal_a_scan(spark, seed):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice(["a", "B", "z", " ", " ", " ", "  ", "\n", ",", "1", "ab", "_", "H O W T O R E A D"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+
+    def scan(text):
+        """Words apart by white space alone, letter by letter."""
+        out, at = [], 0
+        parts = re.split(r"([A-Za-z0-9_]+)", text)  # gap, word, gap, word, ..., gap
+        while at < len(parts):
+            end = at
+            if at % 2 and len(parts[at]) == 1 and parts[at].isalpha():
+                while end + 2 < len(parts) and parts[end + 1].isspace() and len(parts[end + 2]) == 1 and parts[end + 2].isalpha():
+                    end += 2
+            letters = "".join(parts[at : end + 1 : 2])
+            out.append(quality.PHRASES.get(letters.upper(), letters) if end - at >= 8 else "".join(parts[at : end + 1]))
+            at = end + 1
+        return "".join(out)
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", quality.join_spaced_letters(F.col("x")).alias("v")).collect()
+    assert {r["i"]: r["v"] for r in rows} == {i: scan(x) for i, x in enumerate(texts)}
+
 
-    out = quality.join_spaced_letters(pd.Series(["H O W T O R E A D this", "a b c", None, "F i v e s x"]))
-    assert out.tolist() == ["HOW TO READ this", "a b c", "", "Fivesx"]
+def test_metadata_round_trip(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2)], "name string, n int").select(t.packed(n=F.col("n"), name=F.col("name")).alias("x"))
+    back = rows.unionByName(spark.createDataFrame([("{broken",), (None,)], "x string")).select(t.unpacked(F.col("x"), "name string, n int").alias("s")).select("s.metadata.name", "s.metadata.n", "s.raw").collect()
+    assert [tuple(r) for r in back] == [("a", 1, None), (None, 2, None), (None, None, "{broken"), (None, None, None)]
 
 
 def test_questions(spark):
