@@ -1,21 +1,24 @@
 """Operator 4: near-duplicate embeddings with product quantisation.
 
 Unit vectors are assigned to coarse lists; what is left after the list's centre is coded in SUBSPACES by the nearest
-of CODEWORDS. Within a label, the lists are laid out one after another and cut into blocks of about BLOCK vectors, and
-so are the queries; a task meets one block of either. There a query probes every list that a linked vector can be
-in: one whose border lies within the linked vectors' distance (an exact bound on half spaces). Its distances to the
-list's codes are sums from lookup tables; a vector is out if its code is farther than the linked distance plus its
-own coding error (triangle inequality). What remains is decided by the exact cosine in double precision. So neither
-the probes nor the codes lose links, and recall is 1 by construction.
+of CODEWORDS. Within a label, the lists are laid out one after another and cut into blocks of about BLOCK vectors. Each
+vector is a query too: it probes every list that a linked vector can be in, by two exact bounds: the list's border
+lies within the linked vectors' distance, and its centre within that and the list's radius. It is sent to the blocks of
+those lists alone, in chunks of CHUNK; a task meets one chunk and one block. There its distances to the lists' codes
+are sums from lookup tables; a vector is out if its code is farther than the linked distance plus its own coding error
+(triangle inequality). What remains is decided by the exact cosine in double precision. So neither the probes nor the
+codes lose links, and recall is 1 by construction.
 
 Equal vectors of a label are one class that counts its members. A task returns each class's number of links and
 a spanning forest of the links, never the pairs.
 
-The quantisers are trained on the at most TRAIN classes with the smallest hashes; all are indexed.
+The quantisers are trained on the classes with the smallest hashes, at most TRAIN and TRAIN_BYTES; all are indexed.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those without a label, have
-no links, a component of their own and are kept; vectors of different lengths never link; rows are counted one by
-one, repeated vec_ids too; further columns are ignored; an empty table gives no rows.
+no links, a component of their own and are kept; vectors of different lengths never link (each length has quantisers of
+its own), of any length up to what one row can hold; rows are counted one by one, repeated vec_ids too; a null vec_id
+never represents others if one with an id is in the component; further columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 from docloom.llm.common import runs, table, utf8_column, written
 from docloom.llm.graph import components
 
-#: Classes the quantisers are trained on at most.
-TRAIN = 20_000
+#: Classes the quantisers are trained on at most, and their bytes.
+TRAIN, TRAIN_BYTES = 20_000, 64 << 20
 SUBSPACES, CODEWORDS = 8, 64
-BLOCK = 2048
+BLOCK, CHUNK = 2048, 8192
 #: Query x list entries that a step computes at a time.
 _STEP = 1 << 21
 
@@ -77,7 +80,7 @@ def k_means(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 def train(sample: np.ndarray, total: int) -> Quantiser:
     """Lists grow with the square root of the number of classes."""
-    centres = k_means(sample, int(np.clip(np.sqrt(total) / 4, 1, 4096)))
+    centres = k_means(sample, int(np.clip(np.sqrt(total), 1, 4096)))
     q = Quantiser(centres, np.zeros((SUBSPACES, 1, -(-sample.shape[1] // SUBSPACES))))
     r = q.residual(sample - centres[q.lists(sample)[0]])
     q.words = np.stack([np.resize(k_means(np.ascontiguousarray(r[:, s]), CODEWORDS), (CODEWORDS, r.shape[2])) for s in range(SUBSPACES)])
@@ -97,27 +100,44 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, d, v = [], [], []
-            column = batch.column(2)
-            for i in range(batch.num_rows):
-                x = np.asarray(column[i].values.to_numpy(zero_copy_only=False), float) if column[i].is_valid else np.zeros(0)
-                top = np.abs(x).max() if len(x) else 0.0
-                ok = len(x) > 0 and bool(np.isfinite(x).all()) and top > 0 and batch.column(1)[i].is_valid
-                keep.append(ok)
-                d.append(len(x) if ok else None)
-                # Very large and very small vectors would overflow in squares; a power of two changes no cosine.
-                v.append((x * 2.0 ** -np.frexp(top)[1]).tobytes() if ok else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.int32()), pa.array(v, pa.binary())], names=["vec_id", "label", "d", "v"])
+            column, valid = batch.column(2), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            begin, size = column.offsets.to_numpy()[:-1].astype(np.int64), np.where(valid, np.diff(column.offsets.to_numpy()), 0)
+            values, labelled = column.values.to_numpy(zero_copy_only=False).astype(float), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            d, v = np.zeros(batch.num_rows, np.int32), [None] * batch.num_rows
+            for n in np.unique(size[labelled]).tolist():
+                rows = np.flatnonzero((size == n) & labelled)
+                for some in np.array_split(rows, 1 + len(rows) * n // _STEP) if n else ():
+                    x = values[begin[some, None] + np.arange(n)]
+                    with np.errstate(invalid="ignore"):
+                        top = np.abs(x).max(axis=1)
+                    ok = np.isfinite(top) & (top > 0)
+                    # Very large and very small vectors would overflow in squares; a power of two changes no cosine.
+                    scaled = np.ldexp(x[ok], -np.frexp(top[ok])[1][:, None])
+                    d[some[ok]] = n
+                    for i, row in zip(some[ok].tolist(), scaled, strict=True):
+                        v[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, mask=d == 0), pa.array(v, pa.binary())], names=["vec_id", "label", "d", "v"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     rows = rows.mapInArrow(packed, "vec_id long, label long, d int, v binary")
     return rows.withColumn("node", F.when(F.col("v").isNotNull(), F.unhex(F.md5(F.concat(F.col("label").cast("string").cast("binary"), F.lit(b"|"), "v")))))
 
 
+def _probes(q: Quantiser, x: np.ndarray, own: np.ndarray, lists: np.ndarray, radius: np.ndarray, far: float) -> np.ndarray:
+    """Which of the lists (with their radii) each unit vector, whose own list is known, must probe: a matrix."""
+    centres, home = q.centres[lists], q.centres[own]
+    distance = np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1), 0)
+    own_distance = ((x - home) ** 2).sum(1)
+    apart = np.sqrt(np.maximum((home**2).sum(1)[:, None] - 2 * home @ centres.T + (centres**2).sum(1), 0))
+    # Within `far` of the half space of points that are nearer to the list's centre than to the vector's own.
+    return (distance - own_distance[:, None] <= 2 * far * apart + 1e-6) & (np.sqrt(distance) <= far + radius + 1e-6)
+
+
 def _linked(base: DataFrame, d: int, q: Quantiser, threshold: float) -> DataFrame:
     """Link classes of one vector length: rows (node, links, root) for each block a class meets; root spans the links."""
     far = np.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-12
-    shared = base.sparkSession.sparkContext.broadcast(q)  # at most 4096 lists
+    context = base.sparkSession.sparkContext
+    shared = context.broadcast(q)  # at most 4096 lists
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
@@ -125,22 +145,40 @@ def _linked(base: DataFrame, d: int, q: Quantiser, threshold: float) -> DataFram
             if not batch.num_rows:
                 continue
             x = _unit(_vectors(batch.column(2), d))
-            near, _ = q.lists(x)
+            near, distance = q.lists(x)
             code, error = q.codes(x, near)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error)], names=[*batch.schema.names, "list", "code", "error"])
+            more = [pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error), pa.array(np.sqrt(distance[np.arange(len(x)), near]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "list", "code", "error", "out"])
+
+    indexed = written(base.select("node", "label", "v", "n").mapInArrow(assigned, "node binary, label long, v binary, n long, list int, code binary, error double, out double"), "op4-index")
+    radii = np.full(len(q.centres), -np.inf)
+    for r in indexed.groupBy("list").agg(F.max("out").alias("out")).collect():  # a row for each list
+        radii[r["list"]] = r["out"]
+    spread = context.broadcast(radii)
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, every = shared.value, np.arange(len(spread.value))
+        for batch in batches:
+            x, own = _unit(_vectors(batch.column(2), d)), batch.column(3).to_numpy()
+            for some in np.array_split(np.arange(len(x)), 1 + len(x) * len(every) // _STEP):
+                row, found = np.nonzero(_probes(q, x[some], own[some], every, spread.value, far))
+                row = pa.array(some[row])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(found.astype(np.int32))], names=["node", "label", "list"])
 
-    indexed = written(base.select("node", "label", "v", "n").mapInArrow(assigned, "node binary, label long, v binary, n long, list int, code binary, error double"), "op4-index")
     # Lists of a label lie one after another; a vector's place in its list is by hash, and blocks are ranges of places.
     lists = indexed.groupBy("label", "list").agg(F.count("*").alias("size"))
     order = Window.partitionBy("label").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("label")
-    lists = lists.select("label", "list", "size", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("start"), F.ceil(F.sum("size").over(whole) / BLOCK).cast("int").alias("blocks"))
-    placed = indexed.join(lists.hint("merge"), ["label", "list"]).withColumn("block", F.expr(f"cast((start + pmod(xxhash64(node), size)) div {BLOCK} as int)")).withColumn("chunk", F.expr("pmod(xxhash64(node, 1), blocks)").cast("int"))
-    placed = written(placed.select("label", "block", "chunk", "blocks", "node", "v", "n", "list", "code", "error"), "op4-placed")
-    # A block of vectors meets each chunk of queries of its label.
-    stored = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(0))
-    asked = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(1)).withColumn("code", F.lit(None).cast("binary"))
-    meet = stored.select("label", "block", "chunk", "query", "list", "node", "v", "n", "code", "error").unionByName(asked.select("label", "block", "chunk", "query", "list", "node", "v", "n", "code", "error"))
+    lists = written(lists.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0))), "op4-lists")
+    block = lambda place: F.expr(f"cast(({place}) div {BLOCK} as int)")
+    placed = indexed.join(lists.hint("merge"), ["label", "list"]).withColumn("block", block("start + pmod(xxhash64(node), size)"))
+    probes = indexed.select("node", "label", "v", "list").mapInArrow(probed, "node binary, label long, list int").join(lists.hint("merge"), ["label", "list"])
+    asked = written(probes.select("node", "label", F.explode(F.sequence(block("start"), block("start + size - 1"))).alias("block")).distinct(), "op4-asked")
+    chunks = written(asked.groupBy("label", "block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "op4-chunks")
+    asked = asked.join(chunks.hint("merge"), ["label", "block"]).withColumn("chunk", F.expr("pmod(xxhash64(node, 1), chunks)").cast("int"))
+    columns = ["label", "block", "chunk", "query", "list", "node", "v", "n", "code", "error"]
+    asked = asked.select("node", "block", "chunk").join(indexed.drop("code").hint("merge"), "node").withColumns({"query": F.lit(1), "code": F.lit(None).cast("binary")})
+    stored = placed.join(chunks.hint("merge"), ["label", "block"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("query", F.lit(0))
+    meet = stored.select(columns).unionByName(asked.select(columns))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
@@ -154,15 +192,13 @@ def _linked(base: DataFrame, d: int, q: Quantiser, threshold: float) -> DataFram
             unit, of = raw / norm[:, None], group.column("list").to_numpy()
             b, a = np.flatnonzero(~is_query), np.flatnonzero(is_query)
             code = utf8_column(group.column("code"))[0].reshape(-1, SUBSPACES)
-            error, x = group.column("error").to_numpy()[b], unit[a]
-            own, distance = q.lists(x)
-            own_distance = distance[np.arange(len(a)), own]
+            error, x, own = group.column("error").to_numpy()[b], unit[a], of[a]
             linked = np.zeros((len(a), len(b)), bool)
-            for c in np.unique(of[b]).tolist():
-                inside = np.flatnonzero(of[b] == c)
-                # Within `far` of the half space of points that are nearer to c than to the query's own centre.
-                apart = np.sqrt(((q.centres[own] - q.centres[c]) ** 2).sum(1))
-                probe = np.flatnonzero(distance[:, c] - own_distance <= 2 * far * apart + 1e-9)
+            here = np.unique(of[b])
+            radius = np.array([np.sqrt(((unit[b][of[b] == c] - q.centres[c]) ** 2).sum(1).max()) for c in here])
+            probing = _probes(q, x, own, here, radius, far)
+            for k, c in enumerate(here.tolist()):
+                inside, probe = np.flatnonzero(of[b] == c), np.flatnonzero(probing[:, k])
                 if not len(probe):
                     continue
                 r = q.residual(x[probe] - q.centres[c])
@@ -215,7 +251,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     found = None
     for size in classes.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").collect():  # a row for each length of vectors
         mine = classes.where(F.col("d") == size["d"])
-        picked = mine.select("v").orderBy(F.xxhash64("v")).limit(TRAIN).toArrow()
+        picked = mine.select("v").orderBy(F.xxhash64("v")).limit(max(1, min(TRAIN, TRAIN_BYTES // (8 * size["d"])))).toArrow()
         more = _linked(mine, size["d"], train(_unit(_vectors(picked.column("v").combine_chunks(), size["d"])), size["n"]), threshold)
         found = more if found is None else found.unionByName(more)
     if found is None:
