@@ -1,6 +1,11 @@
 """From documents to packed training sequences: what one stage keeps is the next one's input.
 
 Every stage takes (spark, docs, sf_dir). All but the last return the rows they keep with the columns of documents.
+
+Defined results of all stages: rows are judged one by one, also where doc_id is null or repeated; null and empty texts
+are texts without words, which no filter takes for a copy or a leak; texts of any length are judged whole; ties of a
+score and its threshold are as the operators say; equal rows (in all columns) are one row after near duplicates;
+further columns, whatever their names, pass unchanged; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ from docloom.llm.op10_decontamination import contamination
 
 #: Percent of shared shingles from which documents are near duplicates.
 SIMILAR = 80
+#: Keys of rows (8 bytes each) up to which they are sent to all executors.
+BROADCAST_KEYS = 1_000_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,20 +41,31 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
 
 
+def by_key(keyed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """keyed with only (left_semi) or without (left_anti) the rows of the keys: texts move only if the keys are counted to be many."""
+    few = keys.count() <= BROADCAST_KEYS
+    return keyed.join(F.broadcast(keys) if few else keys.hint("merge"), "__row_key", how)
+
+
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest doc_id (null last) of each group of near duplicates; equal rows count once."""
     keyed = docs.withColumn("__row_key", row_key(docs))
-    groups = near_duplicates(keyed.select(F.col("__row_key").alias("doc_id"), "text"), SIMILAR).select(F.col("doc_id").alias("__row_key"), F.col("component_id").alias("__group"))
+    groups = near_duplicates(keyed.select(F.col("__row_key").alias("doc_id"), "text"), SIMILAR).groupBy(F.col("doc_id").alias("__row_key")).agg(F.first("component_id").alias("__group"), F.count("*").alias("__copies"))
     ids = keyed.select("__row_key", F.col("doc_id").alias("__id")).distinct()
-    first = groups.distinct().join(ids.hint("merge"), "__row_key").groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row_key"))["__row_key"].alias("__row_key"))
-    return keyed.join(first.select("__row_key").hint("merge"), "__row_key", "left_semi").select(*docs.columns).distinct()
+    groups = written(groups.join(ids.hint("merge"), "__row_key"), "stage-groups")
+    first = groups.groupBy("__group").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row_key"))["__row_key"].alias("__first"))
+    decided = groups.join(first.hint("merge"), "__group")
+    copied = written(decided.where("__row_key = __first and __copies > 1").select("__row_key"), "stage-copied")
+    gone = written(decided.where("__row_key <> __first").select("__row_key").unionByName(copied), "stage-gone")
+    return by_key(keyed, gone, "left_anti").select(*docs.columns).unionByName(by_key(keyed, copied, "left_semi").select(*docs.columns).distinct())
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any window of a benchmark text."""
     keyed = docs.withColumn("__row_key", row_key(docs))
-    hit = contamination(keyed.select(F.col("__row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where(F.size("items") > 0).select(F.col("doc_id").alias("__row_key"))
-    return keyed.join(hit.hint("merge"), "__row_key", "left_anti").select(*docs.columns)
+    hit = contamination(keyed.select(F.col("__row_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where(F.size("items") > 0)
+    hit = written(hit.select(F.col("doc_id").alias("__row_key")).distinct(), "stage-hit")
+    return by_key(keyed, hit, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
