@@ -29,8 +29,8 @@ BLOCK = 256
 PERCENTILE = 0.9
 #: Ids, and documents, a file holds before the next one is begun.
 FILE_TOKENS, FILE_DOCS = 2_000_000, 200_000
-#: Bytes of text in one partition: few enough to sort in memory, and at least PART_BYTES[0] so that small inputs aren't splintered.
-PART_BYTES = (1 << 20, 128 << 20)
+#: Bytes of text in a partition, and partitions at most; beyond that partitions grow, and sort on disk.
+PART_BYTES, MAX_PARTS = 16 << 20, 200_000
 _HEAD = struct.Struct("<4sIQQQQQ")  # magic, block size, ids, documents, places of: block starts, document table, end
 
 
@@ -155,8 +155,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, min(4 * cores, size // PART_BYTES[0]), -(-size // PART_BYTES[1]))
+    # A small input goes to all cores.
+    parts = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20), min(MAX_PARTS, -(-size // PART_BYTES)))
     # The hash parts rows that share a doc_id (nulls too) and bounds what the ranges' sample holds.
     ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(write, "part int, seq int, path string, n_docs long, n_tokens long"), "op7-manifest")
