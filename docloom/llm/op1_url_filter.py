@@ -1,13 +1,16 @@
 """Operator 1: judge urls by listed hosts and paths, through a blocked Bloom filter and an exact join.
 
 A canonical url is its host (A-Z lower-cased) and path. A listed rule fits its host, all subdomains and every path
-that starts with its path. So a url is looked up under each suffix of its host, with each prefix of its path that is
-as long as some rule's path. The Bloom filter, of bounded size, drops nearly all of those keys; the rest meet the
-rules in an exact hash join, which removes false positives. The longest rule wins; of equally long ones the one
-with the longer host, then the first by host.
+that starts with its path. So a url is looked up under each suffix of its host that has as many labels as some rule's
+host, with each prefix of its path that is as long as some rule's path. The Bloom filter, of bounded size, drops nearly
+all of those keys; the rest meet the rules in an exact hash join, which removes false positives; the rules are
+broadcast for it if they are counted to be few. The longest rule wins; of equally long ones the one with the longer
+host, then the first by host.
 
 Defined results: a null url, or one without ://, has an empty host and path and fits no rule; rows are judged one by
-one, repeated page_ids too; without rules all get the default verdict; further columns are ignored.
+one, repeated page_ids too; urls, hosts and paths of any length are judged whole; rules that are listed twice with
+different verdicts count as the first by name; without rules all get the default verdict; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from docloom.llm import bloom
 from docloom.llm.common import table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rules up to which they are sent to all executors.
+BROADCAST_RULES = 100_000
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -48,6 +53,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     pages = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     if not lengths:
         return pages.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    # A rule of n labels fits the last n labels of a host alone, so of long hosts only few suffixes are looked up.
+    labels = sorted(r[0] for r in listed.select(F.size(F.split("host", "\\."))).distinct().collect())
+    few = listed.count() <= BROADCAST_RULES
     words = bloom.build(listed, "key")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,12 +63,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
             yield batch.filter(pa.array(bloom.probe(words, batch.column(3).to_numpy())))
 
     parts = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
+    suffixes = F.array(*(F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in labels))
     prefixes = F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths))
     urls = pages.select("host", "path").distinct()
-    keys = urls.withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(F.filter(prefixes, lambda x: x.isNotNull()))).select("host", "path", F.concat("suffix", "prefix").alias("key"))
+    given = lambda x: F.explode(F.filter(x, lambda y: y.isNotNull()))
+    keys = urls.withColumn("suffix", given(suffixes)).withColumn("prefix", given(prefixes)).select("host", "path", F.concat("suffix", "prefix").alias("key"))
     hits = keys.select("host", "path", "key", bloom.key_hash("key").alias("h")).mapInArrow(possible, "host string, path string, key string, h long")
-    fits = hits.drop("h").join(listed.select("key", "verdict", F.length("host").alias("host_length"), F.col("host").alias("rule_host")).hint("shuffle_hash"), "key")
+    rules = listed.select("key", "verdict", F.length("host").alias("host_length"), F.col("host").alias("rule_host"))
+    fits = hits.drop("h").join(F.broadcast(rules) if few else rules.hint("shuffle_hash"), "key")
     best = fits.groupBy("host", "path").agg(F.min_by(F.struct(F.col("key").alias("rule"), "verdict"), F.struct(-F.length("key"), -F.col("host_length"), "rule_host")).alias("best"))
     return pages.join(best.hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
