@@ -6,7 +6,8 @@ That combination is removed as often as its lengths last, so there are about as
 then find their places by their rank among those of their length: no piece leaves the executors.
 
 Defined results: null and empty texts are one piece of the end id; rows are packed one by one, repeated doc_ids too;
-an empty table gives no rows; further columns are ignored.
+a very long text gives as many pieces as it takes; of pieces of equal length any may take a place; an empty table gives
+no rows; further columns are ignored.
 """
 
 from __future__ import annotations

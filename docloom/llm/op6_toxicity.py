@@ -7,8 +7,9 @@ doc_id; classes are weighted by their counts among all labelled rows. Features a
 ratio times root of support, so a document's score needs only the few of its n-grams that are among them.
 
 Defined results: null and empty texts score as a document without features; a null doc_id is never trained on;
-repeated rows are scored alike; without labels of both classes every score is 0; labels that disagree for a doc_id
-count as toxic; further columns are ignored; an empty table gives no rows.
+repeated rows are scored alike; texts of any length are scored whole, in slices; a score of exactly 0.5 counts as toxic;
+buckets of equal rank are taken by number; without labels of both classes every score is 0; labels that disagree for a
+doc_id count as toxic; further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

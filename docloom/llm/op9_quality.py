@@ -6,8 +6,9 @@ is fixed, are solved on the driver. Predictions of the training rows, counted in
 (pool adjacent violators) from prediction to score. All labelled rows are used.
 
 Defined results: null and empty texts have all-zero counts and get the score of such a document; a null doc_id is
-never trained on; labels that disagree for a doc_id count as the lower; without labels of both classes every score
-is their share of ones (0.5 without any); further columns are ignored; an empty table gives no rows.
+never trained on; labels that disagree for a doc_id count as the lower; texts of any length are measured whole; a score
+of exactly THRESHOLD is kept; without labels of both classes every score is their share of ones (0.5 without any);
+further columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
