@@ -38,6 +38,8 @@ from docloom.llm.graph import components
 TRAIN, TRAIN_BYTES = 20_000, 64 << 20
 SUBSPACES, CODEWORDS = 8, 64
 BLOCK, CHUNK = 2048, 8192
+#: Labels up to which a list of them is sent to all executors.
+BROADCAST_LABELS = 100_000
 #: Query x list entries that a step computes at a time.
 _STEP = 1 << 21
 
@@ -171,8 +173,12 @@ def _linked(base: DataFrame, d: int, q: Quantiser, threshold: float) -> DataFram
     lists = written(lists.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0))), "op4-lists")
     block = lambda place: F.expr(f"cast(({place}) div {BLOCK} as int)")
     placed = indexed.join(lists.hint("merge"), ["label", "list"]).withColumn("block", block("start + pmod(xxhash64(node), size)"))
-    probes = indexed.select("node", "label", "v", "list").mapInArrow(probed, "node binary, label long, list int").join(lists.hint("merge"), ["label", "list"])
-    asked = written(probes.select("node", "label", F.explode(F.sequence(block("start"), block("start + size - 1"))).alias("block")).distinct(), "op4-asked")
+    # A label of one block needs no probes: its vectors all meet there.
+    large = written(lists.groupBy("label").agg(F.sum("size").alias("size")).where(F.col("size") > BLOCK).select("label"), "op4-large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_LABELS else large.hint("merge")
+    probes = indexed.join(large, "label", "left_semi").select("node", "label", "v", "list").mapInArrow(probed, "node binary, label long, list int").join(lists.hint("merge"), ["label", "list"])
+    probes = probes.select("node", "label", F.explode(F.sequence(block("start"), block("start + size - 1"))).alias("block")).distinct()
+    asked = written(probes.unionByName(indexed.join(large, "label", "left_anti").select("node", "label", F.lit(0).alias("block"))), "op4-asked")
     chunks = written(asked.groupBy("label", "block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "op4-chunks")
     asked = asked.join(chunks.hint("merge"), ["label", "block"]).withColumn("chunk", F.expr("pmod(xxhash64(node, 1), chunks)").cast("int"))
     columns = ["label", "block", "chunk", "query", "list", "node", "v", "n", "code", "error"]
