@@ -12,9 +12,9 @@ component are compared with the rest, in blocks and by their registers alone. On
 a block then come with their full sets, to tasks that return a spanning forest of the links they verify. So no bucket's
 pairs are emitted, unlike classes ship no full sets, and no link between different components is lost but for the
 chance that two linked sets share no band or that their estimate is CUT below the threshold (over four standard
-deviations). For sets of tens of shingles and more the former is below 1e-8 at similarity 0.85 and below 1e-5 at 0.8; of
-fewer, whose registers repeat elements, sets of at most TINY shingles are also bucketed by every shingle that a linked
-set must share one of (the first ones in hash order), so that none of theirs is lost.
+deviations). For sets of tens of shingles and more the former is below 1e-8 at similarity 0.85 and below 1e-5 at 0.8; it
+is larger for a few shingles, whose registers repeat elements. Sets of at most TINY shingles are linked at 0.8 and above
+only if one is the other less an element; these pairs are found exactly, by a join of signatures.
 
 Defined results: documents without words have n_shingles 0, a component of their own and are kept; rows that share
 a doc_id are judged row by row; a null doc_id never represents others if one with an id is in the group; equal sets
@@ -44,13 +44,14 @@ B, RATE = 1.08, 20.0
 CUT = 0.11
 #: Classes of a bucket that are compared in one block: by registers (256 bytes each), then the likely ones with full sets.
 BLOCK = 1000
-#: Sets of so many shingles at most get exact buckets besides.
-TINY = 24
+#: Of sets of so many shingles at most, each linked pair differs by one shingle (at 0.8: 7 / 9 is too little).
+TINY = 8
 _WORD = np.ones(256, bool)
 _WORD[0x20] = False
 _WORD[0x09:0x0E] = False
 _WEIGHTS = mix(np.arange(11, 11 + SHINGLE, dtype=U64)) | U64(1)
 _EMPTY = np.zeros(0, U64)
+_SIGN = U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray) -> Iterator[np.ndarray]:
@@ -92,69 +93,81 @@ def _p(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.maximum(x, 0) * (B - 1) / B) / np.log(B)
 
 
+def likelihood(j: np.ndarray, up: np.ndarray, down: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The log-likelihood of similarity j: `up` registers of a are larger than b's, `down` smaller; u, v: shares of the sizes."""
+    a, b = _p(u - v * j), _p(v - u * j)
+    return up * np.log(np.maximum(a, 1e-12)) + down * np.log(np.maximum(b, 1e-12)) + (M - up - down) * np.log(np.maximum(1 - a - b, 1e-12))
+
+
 def estimate(up: np.ndarray, down: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """The similarity under which `up` registers of a larger than b's, and `down` smaller, are likeliest."""
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
     low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
-    same = M - up - down
-
-    def likelihood(j: np.ndarray) -> np.ndarray:
-        a, b = _p(u - v * j), _p(v - u * j)
-        return up * np.log(np.maximum(a, 1e-12)) + down * np.log(np.maximum(b, 1e-12)) + same * np.log(np.maximum(1 - a - b, 1e-12))
-
     for _ in range(25):  # the likelihood is concave
         third = (high - low) / 3
-        left = likelihood(low + third) < likelihood(high - third)
+        left = likelihood(low + third, up, down, u, v) < likelihood(high - third, up, down, u, v)
         low, high = np.where(left, low + third, low), np.where(left, high, high - third)
     return (low + high) / 2
 
 
-def small_set(percent: int) -> int:
-    """The size up to which sets can be linked with one of at most TINY shingles."""
-    return 100 * TINY // percent
+def reaches(up: np.ndarray, down: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the estimate is at least that: the likelihood, which is concave, still rises there."""
+    u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
+    step = 1e-4
+    return (np.minimum(u / v, v / u) >= least) & (likelihood(least + step, up, down, u, v) >= likelihood(least - step, up, down, u, v))
 
 
-def prefix(s: np.ndarray, percent: int) -> list[int] | None:
-    """Of a small sorted set, the first hashes: linked sets share one of theirs."""
-    return s[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64).tolist() if len(s) <= small_set(percent) else None
+def deletions(s: np.ndarray, percent: int) -> list[bytes] | None:
+    """Of a tiny set, the signatures of the sets that lack one of its elements, if those are linked with it."""
+    if len(s) > TINY or 100 * (len(s) - 1) < percent * len(s):
+        return None
+    parts = [mix(s ^ _SIGN[0]), mix(s + _SIGN[1])]
+    return [np.array(x, U64).tobytes() for x in zip(*(p.sum() - p for p in parts), strict=True)]
 
 
 def sketches(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n (set size), sig (128-bit sum of the set, null when empty), regs and prefix (of small sets) of every row's whole text."""
+    """doc_id, n (set size), sig (128-bit sum of the set, null when empty), regs and less (tiny sets: signatures of sets with one shingle less) of every row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8_column(batch.column(1))
             for i, j in row_chunks(off):
-                n, sig, regs, first = [], [], [], []
+                n, sig, regs, less = [], [], [], []
                 for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i]):
                     n.append(len(s))
                     sig.append(signature(s) if len(s) else None)
                     regs.append(registers(s).tobytes() if len(s) else None)
-                    first.append(prefix(s, percent) if len(s) else None)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "regs": pa.array(regs, pa.binary()), "prefix": pa.array(first, pa.list_(pa.int64()))})
+                    less.append(deletions(s, percent) if len(s) else None)
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "regs": pa.array(regs, pa.binary()), "less": pa.array(less, pa.list_(pa.binary()))})
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, sig binary, regs binary, prefix array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, sig binary, regs binary, less array<binary>")
 
 
 def signature(s: np.ndarray) -> bytes:
-    return np.array([mix(s ^ U64(0xC2B2AE3D27D4EB4F)).sum(), mix(s + U64(0x165667B19E3779F9)).sum()], U64).tobytes()
+    return np.array([mix(s ^ _SIGN[0]).sum(), mix(s + _SIGN[1]).sum()], U64).tobytes()
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def equal_registers(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many registers of each row agree; eight at a time, as counts up to M / 8 fit their bytes."""
+    return (x == y).view(U64).sum(axis=1).view(np.uint8).reshape(-1, 8).sum(axis=1, dtype=np.int64)
+
+
 def likely(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of registers may be of linked sets: an estimate not far below the threshold, or small sets of fit sizes."""
-    threshold, up, down = percent / 100, (x > y).sum(axis=1), (x < y).sum(axis=1)
+    """Which rows of registers may be of linked sets: fit sizes, and an estimate not far below the threshold."""
+    threshold = percent / 100
     ok = 100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y)
-    small = ok & (np.maximum(n_x, n_y) <= small_set(percent))
     # A share of equal registers so far below is over seven standard deviations off; it spares the estimate.
-    ok &= M - up - down >= M * (threshold - CUT - 0.1)
-    at = np.flatnonzero(ok & ~small)
-    ok[at] = estimate(up[at], down[at], n_x[at].astype(float), n_y[at].astype(float)) >= threshold - CUT
-    return ok | small
+    ok &= equal_registers(x, y) >= M * (threshold - CUT - 0.1)
+    at = np.flatnonzero(ok)
+    if len(at):
+        y = np.broadcast_to(y, x.shape)
+        up, down = (x[at] > y[at]).sum(axis=1), (x[at] < y[at]).sum(axis=1)
+        ok[at] = reaches(up, down, n_x[at].astype(float), n_y[at].astype(float), threshold - CUT)
+    return ok
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -219,8 +232,8 @@ class _Part:
     def __init__(self, group: pa.Table):
         self.sig = [x.as_py() for x in group.column("sig")]
         self.comp = mix(np.ascontiguousarray(utf8_column(group.column("comp"))[0].reshape(-1, 16)).view(U64) * _WEIGHTS[:2]).sum(axis=1)
-        self.regs = utf8_column(group.column("regs"))[0].reshape(-1, M)
-        self.bands = self.regs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
+        self.regs = np.ascontiguousarray(utf8_column(group.column("regs"))[0].reshape(-1, M))
+        self.bands = self.regs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)  # looked at for likely pairs alone
         self.n, self.minor = group.column("n").to_numpy(), group.column("minor").to_numpy()
         self.band = group.column("band")[0].as_py()
         self.found = np.zeros(len(self.n), bool)
@@ -236,10 +249,10 @@ class _Part:
         other = home.comp != self.comp[i]
         if self is home:
             other &= ~home.minor | (np.arange(len(other)) > i)
-        other = np.flatnonzero(other)
-        if len(other) and self.band >= 0:
-            other = other[(home.bands[other] == self.bands[i]).all(axis=2).argmax(axis=1) == self.band]
-        return other[likely(home.regs[other], self.regs[i], home.n[other], np.full(len(other), self.n[i]), percent)]
+        other = np.flatnonzero(other & (100 * np.minimum(home.n, self.n[i]) >= percent * np.maximum(home.n, self.n[i])))
+        if len(other):
+            other = other[likely(home.regs[other], self.regs[i], home.n[other], np.full(len(other), self.n[i]), percent)]
+        return other[(home.bands[other] == self.bands[i]).all(axis=2).argmax(axis=1) == self.band] if len(other) else other
 
 
 def _by_slot(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Part, _Part, bool]]:
@@ -315,15 +328,15 @@ def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Every row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept."""
     rows = written(sketches(docs, percent), "op5-sketches")
-    first = [F.first(c).alias(c) for c in ("n", "regs", "prefix")]
+    first = [F.first(c).alias(c) for c in ("n", "regs", "less")]
     classes = written(rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), *first), "op5-classes")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring("regs", b * ROWS + 1, F.lit(ROWS))).alias("key")))
-    exact = F.transform(F.coalesce("prefix", F.array().cast("array<long>")), lambda h: F.struct(F.lit(-1).alias("band"), F.xxhash64(F.lit(-1), h).alias("key")))
-    banded = classes.select("sig", F.explode(F.concat(keys, exact)).alias("x")).select("sig", "x.band", "x.key")
+    banded = classes.select("sig", F.explode(keys).alias("x")).select("sig", "x.band", "x.key")
     full = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("sig").alias("pivot")).where("size > 1")
     bucketed = written(banded.join(full.hint("merge"), "key"), "op5-buckets")
     stars = bucketed.where("sig <> pivot").select(F.col("pivot").alias("a"), F.col("sig").alias("b")).distinct()
-    stars = written(_likely(stars, classes, percent), "op5-stars")
+    tiny = classes.select(F.col("sig").alias("b"), F.explode("less").alias("a")).join(classes.select(F.col("sig").alias("a")).hint("merge"), "a", "left_semi")
+    stars = written(_likely(stars, classes, percent).unionByName(tiny).distinct(), "op5-stars")
     links = written(_verified(stars, docs, classes, percent), "op5-links")
     comps = components(links)
 
