@@ -56,6 +56,14 @@ def test_urls(spark):
     assert judged(spark, [None] * 3) == {i: ("", "", None, "allow") for i in range(3)}
 
 
+def test_urls_with_very_many_labels(spark):
+    host = "a." * 20_000 + "x.example.net"
+    assert judged(spark, [f"http://{host}/en/1"])[0][2:] == ("example.net/en/", "allow")
+    many = [(f"h{i}", "/", "block") for i in range(300)] + [("a.b.c", "/x", "allow"), ("b.c", "/x", "block")]
+    got = judged(spark, ["http://h7/", "http://q.h299/z", "http://h300/", "http://a.b.c/x1", "http://z.b.c/x1", "http://c/x"], many)
+    assert [got[i][2:] for i in range(6)] == [("h7/", "block"), ("h299/", "block"), (None, "allow"), ("a.b.c/x", "allow"), ("b.c/x", "block"), (None, "allow")]
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
     words = bloom.build(keys, "k")
@@ -327,9 +335,35 @@ def test_embeddings(spark):
 
 def test_embeddings_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(op4_embedding_dedup, "BLOCK", 7)
+    monkeypatch.setattr(op4_embedding_dedup, "CHUNK", 5)
     test_embeddings(spark)
 
 
+def test_clustered_queries_meet_few_blocks(spark, monkeypatch):
+    """Of vectors in tight clusters, each is sent to the blocks of its neighbourhood, however many the label has."""
+    monkeypatch.setattr(op4_embedding_dedup, "BLOCK", 128)
+    sent = {}
+
+    def watched(df, name, keep=op4_embedding_dedup.written):
+        out = keep(df, name)
+        if name == "op4-asked":
+            sent[len(sent)] = out.count()
+        return out
+
+    monkeypatch.setattr(op4_embedding_dedup, "written", watched)
+    rates = []
+    for n in (1000, 4000):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(size=(n // 50, 32))
+        x = centres[np.arange(n) % len(centres)] + rng.normal(size=(n, 32)) * 0.05
+        df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+        got = op4_embedding_dedup.link_embeddings(df).agg(F.sum("n_links").alias("links"), F.count_distinct("component_id").alias("components")).collect()[0]
+        unit = x / np.sqrt((x * x).sum(1))[:, None]
+        assert (got["links"], got["components"]) == (int((unit @ unit.T >= 0.93).sum()) - n, len(centres))
+        rates.append(sent[len(sent) - 1] / n)
+    assert max(rates) < 6  # blocks per vector; all are 8 and 32
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(100 + i, 101 + i) for i in range(30)]
@@ -400,16 +434,20 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     test_near_duplicates(spark, 85)
 
 
-@pytest.mark.parametrize("n", [1, 4, 5, 9, 19, 24])
-def test_prefixes_of_linked_small_sets_meet(n):
-    rng = np.random.default_rng(n)
-    for percent in (80, 85):
-        for _ in range(300):
-            a = np.unique(rng.integers(0, 60, n).astype(np.uint64))
-            b = np.unique(np.concatenate((rng.choice(a, max(1, len(a) - rng.integers(0, 3)), replace=False), rng.integers(0, 60, rng.integers(0, 4)).astype(np.uint64))))
-            both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-            if 100 * both >= percent * either:
-                assert set(op5_minhash_dedup.prefix(a, percent)) & set(op5_minhash_dedup.prefix(b, percent))
+@pytest.mark.parametrize("percent", [80, 85])
+def test_linked_tiny_sets_differ_by_one(percent):
+    rng = np.random.default_rng(percent)
+    linked = 0
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 30, rng.integers(1, 9)).astype(np.uint64))
+        b = np.unique(np.concatenate((rng.choice(a, len(a) - rng.integers(0, min(2, len(a))), replace=False), rng.integers(0, 30, rng.integers(0, 2)).astype(np.uint64))))[:8]
+        if len(b) and len(a) != len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            more, less = (a, b) if len(a) > len(b) else (b, a)
+            assert op5_minhash_dedup.signature(less) in op5_minhash_dedup.deletions(more, percent)
+            linked += 1
+        elif len(a) == len(b):
+            assert (a == b).all() or 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b))
+    assert linked > 20
 
 
 def test_near_duplicates_of_short_texts(spark):
@@ -450,6 +488,10 @@ def test_registers_estimate_similarity():
             true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
             errors.append(op5_minhash_dedup.estimate(np.array([(r > s).sum()]), np.array([(r < s).sum()]), np.array([float(len(x))]), np.array([float(len(y))]))[0] - true)
         assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.05
+    up, down, n_a, n_b = rng.integers(0, 100, 3000), rng.integers(0, 100, 3000), rng.integers(5, 900, 3000).astype(float), rng.integers(5, 900, 3000).astype(float)
+    found = op5_minhash_dedup.estimate(up, down, n_a, n_b)
+    sure = np.abs(found - 0.74) > 2e-3
+    assert (op5_minhash_dedup.reaches(up, down, n_a, n_b, 0.74) == (found >= 0.74))[sure].all() and 100 < (found >= 0.74).sum() < 2900
     x, y = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (50, 900))
     assert (np.maximum(op5_minhash_dedup.registers(x), op5_minhash_dedup.registers(y)) == op5_minhash_dedup.registers(np.union1d(x, y))).all()
 
@@ -479,6 +521,132 @@ def test_toxicity_held_out(spark):
     assert len(rows) > 50 and all((r["score"] >= 0.5) == (r["toxic"] == 1) for r in rows)
 
 
+def plain_buckets(text):
+    """The n-grams' buckets in plain numbers."""
+    points = [ord(c) for c in text]
+    points = [p + 32 if 65 <= p <= 90 else 32 if 9 <= p <= 13 else p for p in points]
+    found = set()
+    for n in op6_toxicity.ORDERS:
+        for i in range(len(points) - n + 1):
+            h = 0
+            for p in points[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + p) % 2**64
+            found.add(h * 0xD1342543DE82EF95 % 2**64 >> 44)
+    return found
+
+
+def test_toxicity_counts_and_ratios_equal_plain_ones():
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abC é\t中.")) for _ in range(rng.integers(0, 25))) for _ in range(60)]
+    labels = rng.integers(0, 2, 60)
+    sets = [plain_buckets(t) for t in texts]
+    for text, want in zip(texts, sets, strict=True):
+        assert set(op6_toxicity.features(op6_toxicity.code_points(np.frombuffer(text.encode(), np.uint8))).tolist()) == want
+    counts = np.zeros((2, op6_toxicity.BUCKETS))
+    for held, y in zip(sets, labels, strict=True):
+        counts[y][list(held)] += 1
+    n = np.bincount(labels)
+    chosen, ratios = op6_toxicity.choose(counts[1], counts[0], int(n[1]), int(n[0]))
+    rank = {}
+    for b in set().union(*sets):
+        pos, neg = (sum(b in s for s, y in zip(sets, labels, strict=True) if y == k) for k in (1, 0))
+        r = np.log((pos + 1) / (n[1] + 2)) - np.log((neg + 1) / (n[0] + 2))
+        if pos + neg >= op6_toxicity.MIN_DOCS and r:
+            rank[b] = (abs(r) * np.sqrt(pos + neg), r)
+    assert chosen.tolist() == sorted(rank) and np.allclose(ratios, [rank[b][1] for b in sorted(rank)])
+
+
+def test_toxicity_fit_equals_a_dense_one():
+    rng = np.random.default_rng(3)
+    chosen, scale = np.arange(12), rng.normal(size=12)
+    dense = rng.random((300, 12)) < 0.3
+    labels = (rng.random(300) < 1 / (1 + np.exp(-(dense * scale) @ rng.normal(size=12)))).astype(int)
+    got = op6_toxicity.fit([np.flatnonzero(r).astype(np.int32) for r in dense], labels, {0: 1.0, 1: 2.0}, chosen, scale)
+    x, weight = np.column_stack([dense * scale, np.ones(300)]), np.where(labels, 2.0, 1.0)
+    weight /= weight.sum()
+    ridge = np.diag([op6_toxicity.RIDGE] * 12 + [0])
+
+    def loss(v):
+        z = x @ v
+        return (weight * (np.logaddexp(0, z) - labels * z)).sum() + v @ ridge @ v / 2
+
+    best = np.zeros(13)
+    for _ in range(50):  # Newton's method
+        p = 1 / (1 + np.exp(-x @ best))
+        best -= np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge + 1e-12 * np.eye(13), x.T @ (weight * (p - labels)) + ridge @ best)
+    mine = np.append(got.weights[:12] / scale, got.bias)
+    assert loss(best) <= loss(mine) <= loss(best) + 0.01 and np.corrcoef(x @ mine, x @ best)[0, 1] > 0.98
+
+
+def area(rows, column):
+    """The chance that a row of class 1 scores above one of class 0."""
+    one, none = (np.array([r["score"] for r in rows if r[column] == k]) for k in (1, 0))
+    return ((one[:, None] > none).mean() + (one[:, None] == none).mean() / 2), len(one), len(none)
+
+
+def test_classifiers_on_the_given_labels(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for query, column, least in ((op6_toxicity.op6_toxicity, "toxic", 0.85), (op9_quality.op9_quality_classifier, "quality", 0.97)):
+        rows = query(spark, sf_dir).join(marks, "doc_id").where("held_out").collect()
+        auc, ones, zeros = area(rows, column)
+        assert min(ones, zeros) > 3 and auc >= least, (column, auc)
+
+
+def test_long_texts_are_scored_and_measured_whole(spark):
+    rng = np.random.default_rng(4)
+    long = " ".join(rng.choice(["one", "two", "Three,", "été", "%%"], 260_000))
+    assert len(long) > 1 << 20
+    points = op6_toxicity.code_points(np.frombuffer(long.encode(), np.uint8))
+    parts = [op6_toxicity.features(points[i : i + 1000 + max(op6_toxicity.ORDERS) - 1]) for i in range(0, len(points), 1000)]
+    assert (op6_toxicity.features(points) == np.unique(np.concatenate(parts))).all()
+    got = op9_quality.document_statistics(spark.createDataFrame([(1, "a b"), (2, long)], "doc_id long, text string").coalesce(1)).collect()
+    for r in got:
+        assert np.allclose(np.frombuffer(r[op9_quality.STATS]), plain_statistics(r["text"]))
+
+
+def plain_statistics(text):
+    b = text.encode()
+    words, lines = [w for w in re.split(rb"[ \t-\r]+", b) if w], [x for x in b.split(b"\n") if x]
+    share = lambda kinds: sum(c in kinds for c in b) / max(len(b), 1)
+    sets, odd = op9_quality._SETS, op9_quality._SETS["sign"] + op9_quality._SETS["mark"]
+    mean = lambda x: sum(x) / len(x) if x else 0.0
+    sizes = [len(w) for w in words]
+    counts = {w: 0 for w in words}
+    for w in words:
+        counts[w] += 1
+    return [
+        np.log1p(len(b)), np.log1p(len(words)), np.log1p(len(lines)), mean(sizes), float(np.std(sizes)) if sizes else 0.0, np.log1p(max(sizes, default=0)), np.log1p(mean([len(x) for x in lines])), share(sets["upper"]), share(sets["lower"]), share(sets["digit"]),
+        share(sets["stop"]), share(sets["mark"]), share(sets["bar"]), share(sets["sign"]), share(sets["quote"]), share(sets["space"]), sum(c >= 128 for c in b) / max(len(b), 1), np.log(len(counts)) / np.log(len(words) + 1) if words else 0.0,
+        len(set(lines)) / len(lines) if lines else 0.0, mean([any(c in odd for c in w) for w in words]), mean([len(w) <= 3 for w in words]), max(counts.values()) / len(words) if words else 0.0,
+    ]
+
+
+def test_quality_equals_a_direct_solve(spark):
+    docs, marks = planted(spark, 150)
+    odd = docs.unionByName(spark.createDataFrame([(1000, ""), (1001, None), (1002, "\n\n"), (1003, "Ä|b!? 12\n x x x")], "doc_id long, text string"))
+    stats = op9_quality.document_statistics(odd).collect()
+    for r in stats:
+        assert np.allclose(np.frombuffer(r[op9_quality.STATS]), plain_statistics(r["text"] or ""))
+    label = {r["doc_id"]: r["quality"] for r in marks.collect()}
+    rows = [r for r in stats if r["doc_id"] in label]
+    x, y = np.array([plain_statistics(r["text"]) for r in rows]), np.array([label[r["doc_id"]] for r in rows], float)
+    model = op9_quality.train(op9_quality.document_statistics(docs), marks)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.sd, np.maximum(x.std(0), 1e-6), atol=1e-6)
+    z = op9_quality.cosines(x, model.mean, model.sd)
+    weights = np.linalg.solve(z.T @ z + op9_quality.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(z @ model.weights, z @ weights, atol=1e-4)
+
+
+def test_isotonic_is_the_max_of_min_means():
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 9, 30).astype(float)
+    ones = np.array([rng.integers(0, k + 1) for k in n], float)
+    at, curve = op9_quality.isotonic(np.arange(30.0), ones, n)
+    want = [max(min(ones[j : k + 1].sum() / n[j : k + 1].sum() for k in range(i, 30)) for j in range(i + 1)) for i in range(30)]
+    assert np.allclose(sorted(set(np.round(want, 9))), np.round(curve, 9))
+
+
 def test_toxicity_scores_rows_alike_one_by_one(spark):
     docs, marks = planted(spark, 100)
     model = op6_toxicity.train(docs, marks)
@@ -624,7 +792,8 @@ def segments_of(texts, limit):
 
 
 @pytest.mark.parametrize(("seed", "slop"), [(s, k) for s in range(4) for k in (0, 1, 2)])
-def test_windows_equal_brute_force(seed, slop):
+def test_windows_equal_brute_force(seed, slop, monkeypatch):
+    monkeypatch.setattr(op10_decontamination, "_STEP", 7)
     rng = np.random.default_rng(seed)
     vocabulary = [f"w{i}" for i in range(6)]
     texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 30))) for _ in range(20)]
@@ -667,6 +836,15 @@ def test_a_large_benchmark_takes_bounded_memory():
     tracemalloc.stop()
 
 
+def test_texts_longer_than_a_segment(spark):
+    phrase = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = " ".join(f"w{i}" for i in range(900_000))
+    docs = spark.createDataFrame([(1, "x"), (2, f"{long} {phrase}"), (3, phrase), (4, f"{phrase[:20]} {long}")], "doc_id long, text string").coalesce(1)
+    assert len(long) > op10_decontamination.SEGMENT_BYTES
+    got = {r["doc_id"]: (r["n_words"], r["items"], [tuple(s) for s in r["spans"]]) for r in op10_decontamination.contamination(docs, spark.createDataFrame([(9, phrase)], "item_id long, text string")).collect()}
+    assert got[2] == (900_010, ["9"], [(900_000, 900_010)]) and got[3] == (10, ["9"], [(0, 10)]) and not got[1][1] and not got[4][1]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "one very two three"), (2, "one far far far two three")], "doc_id long, text string")
     item = spark.createDataFrame([(1, "one two three")], "item_id long, text string")

@@ -1,5 +1,7 @@
 """The stages of corpus_pipeline against brute force and planted cases."""
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -72,11 +74,28 @@ def test_stages_on_the_given_documents(spark):
 
 
 def test_stages_take_odd_rows(spark):
-    sf_dir = "/root/testdata/sf0.001"
-    docs = clashing(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).unionByName(spark.createDataFrame([(None, None, None, None, None), (10**9, "", "x", None, 0)], "doc_id long, text string, lang string, source string, n_chars long"))).withColumn("hit_id", F.lit(1))
+    sf_dir, schema = "/root/testdata/sf0.001", "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{i % 5003}" for i in range(40_000))
+    odd = [(None, None, None, None, None)] * 2 + [(10**9, "", "x", None, 0), (10**9 + 1, " \n ", "x", None, 0), (10**9 + 2, long, "en", "s", 1), (10**9 + 3, long, "en", "s", 2), (None, long, "en", "s", 1)]
+    # Columns that clash with names that stages use.
+    docs = clashing(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).unionByName(spark.createDataFrame(odd, schema))).withColumns({"hit_id": F.lit(1), "component_id": F.lit(2), "label": F.lit(3), "quality": F.lit(0)})
+    rows = lambda df: Counter(map(str, df.collect()))
+    given = rows(docs)
+    kept = {}
     for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, sf_dir).count() > 0, name
+        out = stage(spark, docs, sf_dir)
         assert stage(spark, empty(docs), sf_dir).count() == 0, name
+        if name == "packing":
+            assert sorted(str(r["doc_id"]) for r in out.where("piece = 0").collect()) == sorted(str(r["doc_id"]) for r in docs.collect())
+            continue
+        kept[name] = rows(out)
+        assert out.columns == docs.columns and not kept[name] - given, name
+    none, blank = ([x for x in given if x.startswith(f"Row(doc_id={i}, text={t}")] for i, t in ((None, None), (10**9, "''")))
+    # Rows without words are no leaks and no copies of each other; equal rows are one after near duplicates.
+    assert kept["decontamination"][none[0]] == 2 and kept["decontamination"][blank[0]] == 1
+    assert kept["near duplicates"][none[0]] == 1 and kept["near duplicates"][blank[0]] == 1
+    # Of equal long texts the row with the smallest id stays.
+    assert [k.split(",")[0] for k in kept["near duplicates"] if "w4999 w5000" in k] == [f"Row(doc_id={10**9 + 2}"]
 
 
 def test_stages_decide_by_row(spark, tmp_path):
