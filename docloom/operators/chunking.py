@@ -19,7 +19,7 @@ def paragraphs(docs: DataFrame, *keep: str) -> DataFrame:
 
 def is_markdown(text: Column) -> Column:
     """Whether a line begins with two number signs."""
-    return text.rlike(f"(?:^|{LINE_END})##")
+    return F.contains(text, F.lit("##")) & text.rlike(f"(?:^|{LINE_END})##")
 
 
 def markdown_sections(docs: DataFrame, *keep: str) -> DataFrame:
