@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Text bytes that a task holds in NumPy arrays at a time; one longer document is a chunk of its own.
+#: Text bytes that a task holds in NumPy arrays at a time; one longer document is a chunk of its own. Where a chunk's
+#: texts needn't share work, a half of that is held.
 CHUNK_BYTES = 4 << 20
+HALF_CHUNK = CHUNK_BYTES // 2
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send Python at most BATCH_BYTES at a time: its default of 64 MB is held several times over."""
+    if spark.conf.get(_BATCH_SETTING, "64m").lower() in ("64m", "64mb", "67108864", "67108864b"):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, over as many partitions as there are cores where its files give fewer: texts are heavy work."""
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
@@ -34,11 +47,31 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the scratch folder: it cuts the lineage, and lost executors cost no recomputation of it."""
+    bound_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a Python worker, that waits for its next task, gives back the memory it no longer uses."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
 def utf8_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and row offsets (len + 1); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -122,7 +155,7 @@ def added(rows: DataFrame, size: int) -> np.ndarray:
         if key is not None:
             yield pa.RecordBatch.from_pydict({"k": pa.array([key], pa.int32()), "v": pa.array([total.tobytes()], pa.binary())})
 
-    found = rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "k int, v binary").collect()
+    found = rows.repartition("k").sortWithinPartitions("k").mapInArrow(lean(run), "k int, v binary").collect()
     out = np.zeros((size, len(found[0]["v"]) // 8 if found else 1))
     for r in found:
         out[r["k"]] = np.frombuffer(r["v"])

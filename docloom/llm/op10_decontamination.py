@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import get_file, put_file, row_chunks, scratch, table, utf8_column, written
+from docloom.llm.common import HALF_CHUNK, get_file, lean, put_file, row_chunks, scratch, table, utf8_column, written
 from docloom.llm.hashing import FOLD, span_hashes, word_spans
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20
 BLOCK_WORDS = 500_000
-#: Bytes of stored postings that meet a block of the benchmark at a time; one larger segment meets it alone.
-GROUP_BYTES = 16 << 20
+#: Bytes of stored postings that meet each of several blocks of the benchmark at a time; one larger segment meets them alone.
+GROUP_BYTES = 8 << 20
 WINDOW = 10
 #: Windows, and start places of windows, that a step holds at a time.
 _STEP = 100_000
@@ -90,12 +90,12 @@ def write_blocks(benchmark: DataFrame, size: int = WINDOW) -> list[str]:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8_column(batch.column(1))
-            for i, j in row_chunks(off):
+            for i, j in row_chunks(off, HALF_CHUNK):
                 h, first = words(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_pydict({"item": batch.column(0).slice(i, j - i), "words": pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())})
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null")
-    items = written(items.mapInArrow(hashed, "item string, words binary"), "op10-items").where("length(words) > 0")
+    items = written(items.mapInArrow(lean(hashed), "item string, words binary"), "op10-items").where("length(words) > 0")
     total = (items.agg(F.sum(F.length("words"))).collect()[0][0] or 0) // 8
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,7 @@ def write_blocks(benchmark: DataFrame, size: int = WINDOW) -> list[str]:
         if held:
             yield pa.RecordBatch.from_pydict({"path": [put_file(folder, f"part-{part:06d}-{seq:06d}.npz", Block.of(held, size).content())]})
 
-    return sorted(r["path"] for r in written(items.coalesce(1 + total // BLOCK_WORDS).mapInArrow(write, "path string"), "op10-paths").collect())
+    return sorted(r["path"] for r in written(items.coalesce(1 + total // BLOCK_WORDS).mapInArrow(lean(write), "path string"), "op10-paths").collect())
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 segment += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(segments, _SEGMENT), "op10-index")
+    return written(rows.mapInArrow(lean(segments), _SEGMENT), "op10-index")
 
 
 class Segment:
@@ -230,7 +230,8 @@ def find_windows(index: DataFrame, paths: list[str], size: int = WINDOW, slop: i
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}
-                if group and held + len(row["postings"]) > GROUP_BYTES:
+                # A single block stays in the worker, so segments needn't meet it together.
+                if group and (held + len(row["postings"]) > GROUP_BYTES or len(paths) < 2):
                     yield from search(group)
                     group, held = [], 0
                 group.append(Segment(row))
@@ -238,7 +239,7 @@ def find_windows(index: DataFrame, paths: list[str], size: int = WINDOW, slop: i
         if group:
             yield from search(group)
 
-    return index.select("doc_ids", "n_words", "terms", "counts", "postings").mapInArrow(match, _FOUND)
+    return index.select("doc_ids", "n_words", "terms", "counts", "postings").mapInArrow(lean(match), _FOUND)
 
 
 def merged(spans) -> list[tuple[int, int]]:

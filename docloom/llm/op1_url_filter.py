@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bloom
-from docloom.llm.common import table, written
+from docloom.llm.common import lean, table, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to which they are sent to all executors.
@@ -68,7 +68,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     urls = pages.select("host", "path").distinct()
     given = lambda x: F.explode(F.filter(x, lambda y: y.isNotNull()))
     keys = urls.withColumn("suffix", given(suffixes)).withColumn("prefix", given(prefixes)).select("host", "path", F.concat("suffix", "prefix").alias("key"))
-    hits = keys.select("host", "path", "key", bloom.key_hash("key").alias("h")).mapInArrow(possible, "host string, path string, key string, h long")
+    hits = keys.select("host", "path", "key", bloom.key_hash("key").alias("h")).mapInArrow(lean(possible), "host string, path string, key string, h long")
     rules = listed.select("key", "verdict", F.length("host").alias("host_length"), F.col("host").alias("rule_host"))
     fits = hits.drop("h").join(F.broadcast(rules) if few else rules.hint("shuffle_hash"), "key")
     best = fits.groupBy("host", "path").agg(F.min_by(F.struct(F.col("key").alias("rule"), "verdict"), F.struct(-F.length("key"), -F.col("host_length"), "rule_host")).alias("best"))

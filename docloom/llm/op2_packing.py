@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_chunks, table, utf8_column, written
+from docloom.llm.common import lean, row_chunks, table, utf8_column, written
 from docloom.llm.tokens import encoder
 
 
@@ -140,7 +140,7 @@ def materialize_sequences(docs: DataFrame, spans: DataFrame, tokenizer: str, end
                 got, at = encoder(tokenizer).encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "ids": pa.array([[*got[a:b].tolist(), end_id] for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int32()))})
 
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(ids, "doc_id long, ids array<int>")
+    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(ids), "doc_id long, ids array<int>")
     cut = spans.join(tokens.hint("merge"), "doc_id").select("sequence_id", "offset", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("ids"))
     return cut.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
 

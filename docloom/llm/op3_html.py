@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import table, written
+from docloom.llm.common import lean, table, written
 from docloom.llm.op1_url_filter import url_host
 
 #: The unit of a vote: sums stay whole numbers.
@@ -385,7 +385,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
             keys, depths, votes = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "path": pa.array(keys, pa.binary()), "depth": pa.array(depths, pa.int32()), "votes": pa.array(votes, pa.int64())})
 
-    cast = pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path binary, depth int, votes long")
+    cast = pages.select(url_host(F.col("url")).alias("host"), "html").mapInArrow(lean(vote), "host string, path binary, depth int, votes long")
     sums = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.max("depth").alias("depth"))
     return sums.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("depth"), "path")).alias("path"))
 
@@ -402,7 +402,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     hosted = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
     joined = hosted.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners.hint("merge"), "host", "left").select("page_id", "url", "html", "path")
-    return joined.mapInArrow(read, joined.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)
+    return joined.mapInArrow(lean(read), joined.select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import runs, table, utf8_column, written
+from docloom.llm.common import lean, runs, table, utf8_column, written
 from docloom.llm.graph import components
 
 #: Classes the quantisers are trained on at most, and their bytes.
@@ -121,7 +121,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, mask=d == 0), pa.array(v, pa.binary())], names=["vec_id", "label", "d", "v"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.mapInArrow(packed, "vec_id long, label long, d int, v binary")
+    rows = rows.mapInArrow(lean(packed), "vec_id long, label long, d int, v binary")
     return rows.withColumn("node", F.when(F.col("v").isNotNull(), F.unhex(F.md5(F.concat(F.col("label").cast("string").cast("binary"), F.lit(b"|"), "v")))))
 
 
@@ -152,7 +152,7 @@ def _linked(base: DataFrame, d: int, q: Quantiser, threshold: float) -> DataFram
             more = [pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error), pa.array(np.sqrt(distance[np.arange(len(x)), near]))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "list", "code", "error", "out"])
 
-    indexed = written(base.select("node", "label", "v", "n").mapInArrow(assigned, "node binary, label long, v binary, n long, list int, code binary, error double, out double"), "op4-index")
+    indexed = written(base.select("node", "label", "v", "n").mapInArrow(lean(assigned), "node binary, label long, v binary, n long, list int, code binary, error double, out double"), "op4-index")
     radii = np.full(len(q.centres), -np.inf)
     for r in indexed.groupBy("list").agg(F.max("out").alias("out")).collect():  # a row for each list
         radii[r["list"]] = r["out"]
@@ -176,7 +176,7 @@ def _linked(base: DataFrame, d: int, q: Quantiser, threshold: float) -> DataFram
     # A label of one block needs no probes: its vectors all meet there.
     large = written(lists.groupBy("label").agg(F.sum("size").alias("size")).where(F.col("size") > BLOCK).select("label"), "op4-large")
     large = F.broadcast(large) if large.count() <= BROADCAST_LABELS else large.hint("merge")
-    probes = indexed.join(large, "label", "left_semi").select("node", "label", "v", "list").mapInArrow(probed, "node binary, label long, list int").join(lists.hint("merge"), ["label", "list"])
+    probes = indexed.join(large, "label", "left_semi").select("node", "label", "v", "list").mapInArrow(lean(probed), "node binary, label long, list int").join(lists.hint("merge"), ["label", "list"])
     probes = probes.select("node", "label", F.explode(F.sequence(block("start"), block("start + size - 1"))).alias("block")).distinct()
     asked = written(probes.unionByName(indexed.join(large, "label", "left_anti").select("node", "label", F.lit(0).alias("block"))), "op4-asked")
     chunks = written(asked.groupBy("label", "block").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "op4-chunks")
@@ -235,7 +235,7 @@ def _linked(base: DataFrame, d: int, q: Quantiser, threshold: float) -> DataFram
             yield pa.RecordBatch.from_pydict({"node": pa.array(out, pa.binary()), "links": pa.array(np.concatenate((links[rows], np.zeros(len(columns), np.int64)))), "root": pa.array(spans, pa.binary())})
 
     keys = ["label", "block", "chunk"]
-    return meet.repartition(*keys).sortWithinPartitions(*keys, "query").mapInArrow(match, "node binary, links long, root binary")
+    return meet.repartition(*keys).sortWithinPartitions(*keys, "query").mapInArrow(lean(match), "node binary, links long, root binary")
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bloom
-from docloom.llm.common import row_chunks, runs, table, utf8_column, written
+from docloom.llm.common import HALF_CHUNK, lean, row_chunks, runs, table, utf8_column, written
 from docloom.llm.graph import components
 from docloom.llm.hashing import FOLD, U64, mix, span_hashes, word_spans
 
@@ -131,7 +131,7 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8_column(batch.column(1))
-            for i, j in row_chunks(off):
+            for i, j in row_chunks(off, HALF_CHUNK):
                 n, sig, regs, less = [], [], [], []
                 for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i]):
                     n.append(len(s))
@@ -140,7 +140,7 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
                     less.append(deletions(s, percent) if len(s) else None)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "regs": pa.array(regs, pa.binary()), "less": pa.array(less, pa.list_(pa.binary()))})
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, sig binary, regs binary, less array<binary>")
+    return _texts(docs).mapInArrow(lean(run), "doc_id long, n long, sig binary, regs binary, less array<binary>")
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -182,7 +182,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(likely(x, y, batch.column(2).to_numpy(), batch.column(4).to_numpy(), percent)))
 
     joined = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    return joined.select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(run, "a binary, b binary")
+    return joined.select("a", "b", "n_a", "regs_a", "n_b", "regs_b").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -194,13 +194,13 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFr
         for batch in batches:
             batch = batch.filter(pa.array(bloom.probe(words, batch.column(2).to_numpy())))
             data, off = utf8_column(batch.column(1))
-            for i, j in row_chunks(off):
+            for i, j in row_chunks(off, HALF_CHUNK):
                 found = [s for s in shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i]) if len(s)]
                 yield pa.RecordBatch.from_pydict({"sig": pa.array([signature(s) for s in found], pa.binary()), "members": pa.array([s.tobytes() for s in found], pa.binary())})
 
     # The filter passes few other documents; the join with the wanted classes removes them. A class without an id in
     # its first document is sought by the hash of a null, which is in the filter as any other.
-    full = _texts(docs).withColumn("h", bloom.key_hash("doc_id")).mapInArrow(sets, "sig binary, members binary")
+    full = _texts(docs).withColumn("h", bloom.key_hash("doc_id")).mapInArrow(lean(sets), "sig binary, members binary")
     return written(full.join(wanted.select("sig").hint("merge"), "sig", "left_semi").dropDuplicates(["sig"]), "op5-sets")
 
 
@@ -223,7 +223,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(full.select(F.col("sig").alias("a"), F.col("members").alias("x")).hint("merge"), "a").join(full.select(F.col("sig").alias("b"), F.col("members").alias("y")).hint("merge"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+    return joined.select("a", "b", "x", "y").mapInArrow(lean(compare), "a binary, b binary")
 
 
 class _Part:
@@ -294,7 +294,7 @@ def _likely_rows(rows: DataFrame, percent: int) -> DataFrame:
             yield from before.group.filter(pa.array(before.found)).to_batches()
 
     rows = rows.select(*_SLOT)
-    return rows.repartition("key", "block").sortWithinPartitions(*_SLOT_KEYS).mapInArrow(run, rows.schema)
+    return rows.repartition("key", "block").sortWithinPartitions(*_SLOT_KEYS).mapInArrow(lean(run), rows.schema)
 
 
 def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -322,7 +322,7 @@ def _cross_links(rows: DataFrame, percent: int) -> DataFrame:
             if left:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
 
-    return rows.repartition("key", "block").sortWithinPartitions(*_SLOT_KEYS).select(*_SLOT, "members").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("key", "block").sortWithinPartitions(*_SLOT_KEYS).select(*_SLOT, "members").mapInArrow(lean(run), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import added, row_chunks, table, utf8_column, written
+from docloom.llm.common import added, lean, row_chunks, table, utf8_column, written
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 1 << 20
@@ -136,11 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
 
     # picked has 2 * SAMPLE narrow rows at most, so broadcasting it is bounded.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "label")
-    rows = written(texts.mapInArrow(grams, "found binary, label int"), "op6-grams").coalesce(8)
+    rows = written(texts.mapInArrow(lean(grams), "found binary, label int"), "op6-grams").coalesce(8)
     found = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not found.get(0) or not found.get(1):
         return Model(np.zeros(BUCKETS, np.float32), -1000.0)
-    sums = added(rows.mapInArrow(counts, "k int, v binary"), _PARTS)
+    sums = added(rows.mapInArrow(lean(counts), "k int, v binary"), _PARTS)
     negative, positive = sums[:, : BUCKETS // _PARTS].ravel(), sums[:, BUCKETS // _PARTS :].ravel()
     chosen, scale = choose(positive, negative, found[1], found[0])
     if not len(chosen):
@@ -153,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
             kept = [place[np.frombuffer(x.as_py(), np.int32)] for x in batch.column(0)]
             yield pa.RecordBatch.from_pydict({"places": pa.array([x[x >= 0].astype(np.int32).tobytes() for x in kept], pa.binary()), "label": batch.column(1)})
 
-    sample = rows.mapInArrow(places, "places binary, label int").toArrow()
+    sample = rows.mapInArrow(lean(places), "places binary, label int").toArrow()
     return fit([np.frombuffer(x.as_py(), np.int32) for x in sample.column("places")], sample.column("label").to_numpy(), {k: total.get(k, 0) / found[k] for k in (0, 1)}, chosen, scale)
 
 
@@ -175,7 +175,7 @@ def score_texts(docs: DataFrame, model: Model, name: str = "score") -> DataFrame
                     scores[i:j] = _score_chunk(model, wanted, data[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, name])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
+    return docs.mapInArrow(lean(run), docs.select("*", F.lit(0.0).alias(name)).schema)
 
 
 def _score_chunk(model: Model, wanted: np.ndarray, data: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import put_file, row_chunks, scratch, table, utf8_column, written
+from docloom.llm.common import lean, put_file, row_chunks, scratch, table, utf8_column, written
 from docloom.llm.tokens import encoder
 
 MAGIC = b"PFR1"
@@ -159,7 +159,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int)
     parts = max(1, min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20), min(MAX_PARTS, -(-size // PART_BYTES)))
     # The hash parts rows that share a doc_id (nulls too) and bounds what the ranges' sample holds.
     ordered = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
-    return written(ordered.mapInArrow(write, "part int, seq int, path string, n_docs long, n_tokens long"), "op7-manifest")
+    return written(ordered.mapInArrow(lean(write), "part int, seq int, path string, n_docs long, n_tokens long"), "op7-manifest")
 
 
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame) -> Data
     # One row per partition, of which the session's setting bounds the number.
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     places = files.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(totals.hint("merge"), "part").select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("base") + F.col("inner")).alias("file_start"))
-    docs = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select("path", "content").mapInArrow(read, "name string, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    docs = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfr").load(folder).select("path", "content").mapInArrow(lean(read), "name string, doc_id long, begin long, n_tokens long, ids_crc32 long")
     return docs.join(places.hint("merge"), "name").select("doc_id", (F.col("file_start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
 
 

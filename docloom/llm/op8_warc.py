@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import get_file, put_file, scratch, table, written
+from docloom.llm.common import get_file, lean, put_file, scratch, table, written
 
 MIN_PAYLOAD = 100
 #: Bytes of whole records before packing, and records, of an archive after which the next one is begun; a larger record
@@ -166,7 +166,7 @@ def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
             yield flush()
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return written(rows.mapInArrow(write, "arc string"), "op8-arcs")
+    return written(rows.mapInArrow(lean(write), "arc string"), "op8-arcs")
 
 
 def arc_index(arcs: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def arc_index(arcs: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["arc", "place", "page_id", "payload_bytes", "digest"])
 
-    return written(arcs.mapInArrow(index, "arc string, place int, page_id long, payload_bytes long, digest string"), "op8-index")
+    return written(arcs.mapInArrow(lean(index), "arc string, place int, page_id long, payload_bytes long, digest string"), "op8-index")
 
 
 def convert_arcs(arcs: DataFrame, folder: str) -> DataFrame:
@@ -209,7 +209,7 @@ def convert_arcs(arcs: DataFrame, folder: str) -> DataFrame:
                     out.append(gzip_member(_converted(arc, place, r, decided.get(place))))
                 yield pa.RecordBatch.from_pydict({"warc": [put_file(folder, name, b"".join(out))]})
 
-    return written(todo.repartition(spread, "path").mapInArrow(convert, "warc string"), "op8-warcs")
+    return written(todo.repartition(spread, "path").mapInArrow(lean(convert), "warc string"), "op8-warcs")
 
 
 def _converted(arc: str, place: int, r: ArcRecord, revisit: dict | None) -> bytes:
@@ -252,7 +252,7 @@ def read_warcs(spark: SparkSession, folder: str) -> DataFrame:
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_record", "url", "date"]
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, url string, date string"
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("content").mapInArrow(read, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("content").mapInArrow(lean(read), schema)
 
 
 def op8_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import added, row_chunks, table, utf8_column, written
+from docloom.llm.common import added, lean, row_chunks, table, utf8_column, written
 from docloom.llm.hashing import span_hashes, word_spans
 from docloom.llm.op6_toxicity import held_out
 
@@ -133,7 +133,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 found = statistics(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array([row.tobytes() for row in found], pa.binary())], names=[*names, STATS])
 
-    return docs.mapInArrow(run, docs.select("*", F.lit(b"").alias(STATS)).schema)
+    return docs.mapInArrow(lean(run), docs.select("*", F.lit(b"").alias(STATS)).schema)
 
 
 def train(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Model:
@@ -154,7 +154,7 @@ def train(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Model
             if out is not None:
                 yield pa.RecordBatch.from_pydict({"k": pa.array(range(len(out)), pa.int32()), "v": pa.array([v.tobytes() for v in out], pa.binary())})
 
-        return rows.mapInArrow(run, "k int, v binary")
+        return rows.mapInArrow(lean(run), "k int, v binary")
 
     moments = added(summed(lambda x, y: np.vstack([np.full(d, float(len(x))), x.sum(axis=0), (x * x).sum(axis=0), np.full(d, y.sum())])), 4)
     if moments.shape[1] != d or not 0 < moments[3, 0] < moments[0, 0]:
@@ -175,7 +175,7 @@ def train(stats: DataFrame, labels: DataFrame, column: str = "quality") -> Model
             at = np.clip((cosines(_stats_of(batch), mean, sd) @ weights - _LOW) / (_HIGH - _LOW) * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"bin": pa.array(at), "label": batch.column(1)})
 
-    bins = rows.mapInArrow(binned, "bin int, label double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("ones")).orderBy("bin").collect()  # at most BINS rows
+    bins = rows.mapInArrow(lean(binned), "bin int, label double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("ones")).orderBy("bin").collect()  # at most BINS rows
     at, curve = isotonic(_LOW + (np.array([r["bin"] for r in bins]) + 0.5) * (_HIGH - _LOW) / BINS, np.array([r["ones"] for r in bins]), np.array([r["n"] for r in bins]))
     return Model(mean, sd, weights, at, curve)
 
@@ -188,7 +188,7 @@ def score_statistics(stats: DataFrame, model: Model, name: str = "score") -> Dat
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(model.score(_stats_of(batch)))], names=[*names, name])
 
-    return stats.select(STATS, *names).mapInArrow(run, stats.select(*names, F.lit(0.0).alias(name)).schema)
+    return stats.select(STATS, *names).mapInArrow(lean(run), stats.select(*names, F.lit(0.0).alias(name)).schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
