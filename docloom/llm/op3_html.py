@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -56,9 +57,11 @@ _NEUTRAL = frozenset("site page post posts entry article articles story stories
 _ARTICLE_WORDS = {"post", "entry", "article", "story"}
 _CONTENT = frozenset("content main article post entry story post-content entry-content article-content article-body post-body story-body main-content page-content".split())
 _OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
+_ROLE = "role=out"  # counts as a word
 _TALK = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "discussion"}
 _ADS = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr popup newsletter subscribe subscription signup".split())
-_SOFT = {"related", "recommended", "recommendations", "contact", "social", "share", "sharing", "widget", "search", "login"}
+# Of these words, those that name a part of a page's layout, an advert or a consent, and nothing of an article's own.
+_PARTS = frozenset("nav navbar navigation masthead footer sidebar topbar breadcrumb breadcrumbs pagination pager ad ads adv advert adverts advertisement advertising adsense sponsored cookie cookies consent gdpr".split())
 _READ = {"class", "id", "role", "hidden", "aria-hidden", "style", "itemprop"}
 _TITLED = re.compile(r"(?i)\b(?:page|title|content|main)[-_]")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -86,9 +89,10 @@ class Page:
         self.blocks: list[tuple[str, int, int, int]] = []
         self._places: list[tuple[int, bool]] = []  # of each block: mark, below an article or main
         self._within: list[int] = [-1]  # of each container: mark
-        self._marks: list[tuple[int, bool, bool, frozenset[str]]] = []  # outer mark, a header, of a title, words
+        self._marks: list[tuple[int, bool, bool, frozenset[str], str]] = []  # outer mark, a header, of a title, words, tag where words alone mark it below an article or main
         self._landmarks: list[tuple[str, int]] = []  # article or main, mark
         self.parents: list[int] = [-1]
+        self._weights: list[float] = []  # of each block in scores, where words lower any
         self._leads: dict[int, float] = {}  # outermost containers of content: share of the text they must hold
         # Paths are numbered; of each container its path's number (-1: left out), of each path its hash and depth.
         self.of: list[int] = [0]
@@ -217,7 +221,7 @@ class Page:
                 elif hidden:
                     out = True
                 elif not out and (tag in _OUT_TAGS or words):
-                    self._marks.append((mark, tag == "header" or words == {"header"}, bool(_TITLED.search(f"{attributes.get('class', '')} {attributes.get('id', '')}")), words))
+                    self._marks.append((mark, tag == "header" or words == {"header"}, bool(_TITLED.search(f"{attributes.get('class', '')} {attributes.get('id', '')}")), words, "" if not inside or tag in _OUT_TAGS or _ROLE in words else tag))
                     mark = len(self._marks) - 1
                 landmark = tag in ("article", "main") and not out and (tag == "main" or mark == outer or story and not words & _TALK)
                 if landmark:
@@ -260,8 +264,10 @@ class Page:
         A marked element is such a wrapper if it contains main; or an article or h1, where none stands outside, and
         at least as much running text as stands outside; or if it holds more than half of all running text, over four
         times as much as stands outside, and no article or main outside has any (not adverts and consents; comments
-        only where no paragraph stands outside). Within an article or main, elements of which a word tells only that
-        they are related, shared or the like are kept if they hold running text of some length with few links. Outside
+        only where no paragraph stands outside). Below an article or main other words than _PARTS leave nothing out,
+        however short it is: they lower the weight of its text in scores. There, what is left out by its class is named
+        for a part of the page and doesn't hold most running text, or is mostly links, or holds comments: elements of that
+        name inside one another, or several alike side by side. Outside
         is what is in no marked element, or in wrappers alone. A page's header with its only h1 keeps its headings.
         Outer elements are decided first.
         """
@@ -281,27 +287,49 @@ class Page:
             outer[:] = map(sum, zip(outer, below[m], strict=True))
         total, free = below[-1][0], own[-1]
         kept, titles = [False] * len(self._marks) + [True], [False] * (len(self._marks) + 1)
-        for m, (outer, header, titled, words) in enumerate(self._marks):
+        weight, talks = [1.0] * (len(self._marks) + 1), self._comments()
+        for m, (outer, header, titled, words, named) in enumerate(self._marks):
             if not kept[outer]:
                 continue
-            text, headings, plain, inside, h1, landmarks, mains, every, linked = below[m]
+            if named:
+                text, every, linked = below[m][0], below[m][7], below[m][8]
+                most = 2 * text > total
+                kept[m] = not (m in talks or 2 * linked > every or words & _PARTS and not most)
+                weight[m] = weight[outer] if most else min(weight[outer], 0.25)
+                if kept[m]:
+                    free = [x + y for x, y in zip(free, own[m], strict=True)]
+                continue
+            weight[m] = weight[outer]
+            text, headings, _, _, h1, landmarks, mains, _, _ = below[m]
             led = (h1 or landmarks) and not free[5] and not free[4]
             wraps = 2 * text > total and text > 4 * free[0] and not free[3] and not words & _ADS
-            prose = words and words <= _SOFT and inside == text and plain >= 200 and 5 * linked < every
             titles[m] = header and titled and bool(led)
             if not (words & _TALK and free[2]):
-                kept[m] = bool(mains or prose or (wraps or led and text >= free[0]) and not (header and 2 * headings >= text))
+                kept[m] = bool(mains or (wraps or led and text >= free[0]) and not (header and 2 * headings >= text))
             if kept[m]:
                 free = [x + y for x, y in zip(free, own[m], strict=True)]
-        places = zip(self.blocks, self._places, strict=True)
-        self.blocks = [b for b, (m, _) in places if kept[m] or b[2] and titles[m]]
+        places = [(b, m) for b, (m, _) in zip(self.blocks, self._places, strict=True) if kept[m] or b[2] and titles[m]]
+        self.blocks = [b for b, _ in places]
+        self._weights = [weight[m] for _, m in places]
         self.of = [p if kept[m] or titles[m] else -1 for p, m in zip(self.of, self._within, strict=True)]
 
+    def _comments(self) -> set[int]:
+        """Marks named as comments that hold or lie in others, or stand beside others of the same tag and words."""
+        named = [m for m, mark in enumerate(self._marks) if mark[4] and mark[3] & _TALK]
+        alike: dict[tuple[int, str, frozenset[str]], list[int]] = {}
+        found = set()
+        for m in named:
+            outer, _, _, words, tag = self._marks[m]
+            alike.setdefault((outer, tag, words), []).append(m)
+            if outer >= 0 and self._marks[outer][4] and self._marks[outer][3] & _TALK:
+                found |= {m, outer}
+        return found.union(*(x for x in alike.values() if len(x) > 1))
+
     def scores(self) -> list[int | None]:
         """Each path's characters of running text, less those of link lists, below its containers (null: left out)."""
         own, h1 = [0] * len(self.parents), [0] * len(self.parents)
-        for block in self.blocks:
-            own[block[3]] += -len(block[0]) if 2 * block[1] > len(block[0]) else _running(block)
+        for block, weight in zip(self.blocks, self._weights or itertools.repeat(1.0)):
+            own[block[3]] += -len(block[0]) if 2 * block[1] > len(block[0]) else int(weight * _running(block))
             h1[block[3]] += block[2] == 2
         for k in range(len(own) - 1, 0, -1):
             own[self.parents[k]] += own[k]
@@ -366,7 +394,7 @@ def _names(classes: str | None, name: str | None, role: str | None, hidden: str
             out.update(w for w in words if w in _OUT_WORDS)
         lead = lead or token.lower() in _CONTENT
     if (role or "").lower() in _OUT_ROLES:
-        out.add("nav")
+        out.add(_ROLE)
     unseen = hidden is not None or (aria or "").lower() == "true" or bool(style and _UNSEEN.search(style))
     suffix = next((sign + re.sub(r"\d+", "N", value.split()[0]) for sign, value in ((".", classes or ""), ("#", name or "")) if value.split()), "")
     return suffix, frozenset(out), unseen, bool(all_words & _ARTICLE_WORDS), lead
