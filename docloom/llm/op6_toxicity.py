@@ -2,12 +2,12 @@
 
 Features are hashed n-grams of ORDERS characters (code points; A-Z lower-cased, white space as one kind), present or
 not in the whole text. Each is scaled by its naive Bayes log-count ratio; a logistic regression is fitted on the
-scaled features. Training takes the at most SAMPLE labelled rows of either class with the smallest hashes of their
-doc_id; classes are weighted by their counts among all labelled rows. Features are the FEATURES with the largest
+scaled features. Training takes the at most SAMPLE labelled doc_ids of either class with the smallest hashes, and one text
+of each; classes are weighted by their counts among all labelled doc_ids. Features are the FEATURES with the largest
 ratio times root of support, so a document's score needs only the few of its n-grams that are among them.
 
-Defined results: null and empty texts score as a document without features; a null doc_id is never trained on;
-repeated rows are scored alike; texts of any length are scored whole, in slices; a score of exactly 0.5 counts as toxic;
+Defined results: null and empty texts score as a document without features; a null doc_id is never trained on; of rows
+that share a labelled doc_id the text with the smallest hash is trained on; repeated rows are scored alike; texts of any length are scored whole, in slices; a score of exactly 0.5 counts as toxic;
 buckets of equal rank are taken by number; without labels of both classes every score is 0; labels that disagree for a
 doc_id count as toxic; further columns are ignored; an empty table gives no rows.
 """
@@ -134,8 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
         for k, (neg, pos) in enumerate(zip(np.split(by[0], _PARTS), np.split(by[1], _PARTS), strict=True)):
             yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([np.concatenate((neg, pos)).tobytes()], pa.binary())})
 
-    # picked has 2 * SAMPLE narrow rows at most, so broadcasting it is bounded.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "label")
+    # picked has 2 * SAMPLE narrow rows at most, so broadcasting it is bounded. One text stands for each of them, whatever
+    # the number of rows with its doc_id: map-side, a task hands on at most as many texts.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "label")
     rows = written(texts.mapInArrow(lean(grams), "found binary, label int"), "op6-grams").coalesce(8)
     found = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not found.get(0) or not found.get(1):
