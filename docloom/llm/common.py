@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a task holds in NumPy arrays at a time; one longer document is a chunk of its own. Where a chunk's
 #: texts needn't share work, a half of that is held.
@@ -34,14 +35,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def id_kind(docs: DataFrame, name: str = "doc_id") -> str:
+    """The type in which operators carry that id: strings and binaries as they are, all others as whole numbers."""
+    kind = docs.schema[name].dataType.simpleString()
+    return kind if kind in ("string", "binary") else "bigint"
+
+
+def id_column(docs: DataFrame, name: str = "doc_id") -> Column:
+    return F.col(name).cast(id_kind(docs, name)).alias(name)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: under spark.checkpoint.dir, or where that is unset in the warehouse.
 
     On a local master, as in tests, driver and executors are one machine and its /tmp serves.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+        base = "file:///tmp/checkpoints"
     if not base:
-        base = "file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local" else spark.conf.get("spark.sql.warehouse.dir")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local folder")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

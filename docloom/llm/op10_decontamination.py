@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from docloom.llm.common import HALF_CHUNK, get_file, lean, put_file, row_chunks, scratch, table, utf8_column, written
+from docloom.llm.common import HALF_CHUNK, get_file, id_column, id_kind, lean, put_file, row_chunks, scratch, table, utf8_column, written
 from docloom.llm.hashing import FOLD, span_hashes, word_spans
 
 SEGMENT_BYTES = 1 << 20
@@ -40,8 +41,8 @@ _STEP = 100_000
 #: Letters a-z, digits and every byte beyond ASCII, after A-Z were lower-cased.
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[0x30:0x3A] = WORD_BYTE[0x61:0x7B] = WORD_BYTE[0x80:] = True
-_SEGMENT = "segment long, doc_ids array<long>, n_words array<long>, terms binary, counts binary, postings binary"
-_FOUND = "doc_id long, n_words long, items array<string>, spans array<struct<start:long,stop:long>>"
+_SEGMENT = "n_words array<long>, terms binary, counts binary, postings binary"
+_FOUND = "n_words long, items array<string>, spans array<struct<start:long,stop:long>>"
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,14 +128,14 @@ def build_index(docs: DataFrame) -> DataFrame:
                 begin = np.flatnonzero(np.concatenate(([len(h) > 0], h[1:] != h[:-1])))
                 steps = np.diff(order.astype("<u4"), prepend=np.uint32(0))  # modulo 2**32 where a term's list begins
                 yield pa.RecordBatch.from_pydict({
-                    "segment": pa.array([segment]), "doc_ids": pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), "n_words": pa.array([np.diff(first)], pa.list_(pa.int64())),
+                    "segment": pa.array([segment]), "doc_ids": pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(batch.column(0).type)), "n_words": pa.array([np.diff(first)], pa.list_(pa.int64())),
                     "terms": pa.array([h[begin].tobytes()], pa.binary()), "counts": pa.array([np.diff(np.append(begin, len(h))).astype("<u4").tobytes()], pa.binary()),
                     "postings": pa.array([np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes()], pa.binary()),
                 })
                 segment += 1
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(lean(segments), _SEGMENT), "op10-index")
+    rows = docs.select(id_column(docs), F.col("text").cast("string").alias("text"))
+    return written(rows.mapInArrow(lean(segments), f"segment long, doc_ids array<{id_kind(docs)}>, {_SEGMENT}"), "op10-index")
 
 
 class Segment:
@@ -221,7 +222,7 @@ def find_windows(index: DataFrame, paths: list[str], size: int = WINDOW, slop: i
         for segment, held, places in zip(group, items, spans, strict=True):
             docs = range(len(segment.doc_ids))
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(segment.doc_ids, pa.int64()), "n_words": pa.array(segment.n_words), "items": pa.array([sorted(held.get(d, ())) for d in docs], pa.list_(pa.string())),
+                "doc_id": pa.array(segment.doc_ids, kind), "n_words": pa.array(segment.n_words), "items": pa.array([sorted(held.get(d, ())) for d in docs], pa.list_(pa.string())),
                 "spans": pa.array([[{"start": a, "stop": b} for a, b in merged(places.get(d, ()))] for d in docs], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
             })
 
@@ -239,7 +240,9 @@ def find_windows(index: DataFrame, paths: list[str], size: int = WINDOW, slop: i
         if group:
             yield from search(group)
 
-    return index.select("doc_ids", "n_words", "terms", "counts", "postings").mapInArrow(lean(match), _FOUND)
+    id_type = index.schema["doc_ids"].dataType.elementType
+    kind = to_arrow_type(id_type)
+    return index.select("doc_ids", "n_words", "terms", "counts", "postings").mapInArrow(lean(match), f"doc_id {id_type.simpleString()}, {_FOUND}")
 
 
 def merged(spans) -> list[tuple[int, int]]:

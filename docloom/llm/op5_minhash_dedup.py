@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bloom
-from docloom.llm.common import HALF_CHUNK, lean, row_chunks, runs, table, utf8_column, written
+from docloom.llm.common import HALF_CHUNK, id_column, id_kind, lean, row_chunks, runs, table, utf8_column, written
 from docloom.llm.graph import components
 from docloom.llm.hashing import FOLD, U64, mix, span_hashes, word_spans
 
@@ -140,7 +140,7 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
                     less.append(deletions(s, percent) if len(s) else None)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "regs": pa.array(regs, pa.binary()), "less": pa.array(less, pa.list_(pa.binary()))})
 
-    return _texts(docs).mapInArrow(lean(run), "doc_id long, n long, sig binary, regs binary, less array<binary>")
+    return _texts(docs).mapInArrow(lean(run), f"doc_id {id_kind(docs)}, n long, sig binary, regs binary, less array<binary>")
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -148,7 +148,7 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(id_column(docs), F.col("text").cast("string").alias("text"))
 
 
 def equal_registers(x: np.ndarray, y: np.ndarray) -> np.ndarray:
