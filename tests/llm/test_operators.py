@@ -852,3 +852,92 @@ def test_proximity(spark):
     assert not any(r["items"] for r in op10_decontamination.contamination(docs, item, 3, 0).collect())
 
 
+
+
+def test_html_words_leave_nothing_out_of_articles():
+    """Inside an article only parts of a page, lists of links and structures of comments go by their names."""
+    prose = "<p>" + "Some running prose that is long enough to count as text here. " * 2 + "</p>"
+    text = " ".join(["Some running prose that is long enough to count as text here."] * 2)
+    read = lambda s: op3_html.Page(f"<body><nav><a href=x>Menu</a></nav>{s}<footer>foot</footer></body>").text(None)
+    for tag in ("article", "main"):
+        page = lambda s, tag=tag: read(f"<{tag}><h1>T</h1>{s}</{tag}>")
+        assert page("<div class='social'><p>First of it.</p><p>Second.</p></div>") == "T\n\nFirst of it.\n\nSecond."
+        assert page(f"{prose}<section id='discussion'><h2>Discussion</h2>{prose}</section>") == f"T\n\n{text}\n\nDiscussion\n\n{text}"
+        assert page(f"{prose}<div class='menu-list'><p>Two eggs.</p></div>") == f"T\n\n{text}\n\nTwo eggs."
+        assert page(f"{prose}<div class='comment'><p>One remark of the author.</p></div>") == f"T\n\n{text}\n\nOne remark of the author."
+        for gone in ("<section class='comments'><h2>Comments</h2><div class='comment'><p>I like it.</p></div></section>", "<div class='comment'><p>I like it.</p></div>" * 2, "<div class='ad'><p>Buy it.</p></div>", "<div class='sidebar'><p>About us.</p></div>", "<div class='share'><a href=a>Share</a> <a href=b>Mail</a></div>", "<aside><p>An aside.</p></aside>", "<div role='search'><p>Find.</p></div>"):
+            assert page(prose * 2 + gone) == f"T\n\n{text}\n\n{text}", gone
+
+
+def plain_winners(rows):
+    """Every host's winning path by plain sums over the pages' own scores."""
+    sums = {}
+    for _, url, source in rows:
+        host = url.split("://")[1].split("/")[0]
+        page = op3_html.Page(source)
+        scores = page.scores()
+        top = max(s for s in scores if s is not None)
+        for key, depth, score in zip(page.keys, page.depths, scores, strict=True):
+            if score is not None and score > 0:
+                votes, _ = sums.setdefault(host, {}).get(key, (0, depth))
+                sums[host][key] = (votes + score * op3_html.UNIT // top, depth)
+    return {h: min(found, key=lambda k: (-found[k][0], -found[k][1], k)) for h, found in sums.items()}
+
+
+def test_html_votes_over_random_trees(spark):
+    """Scores against a walk over the tree that made each page; winners against plain sums of the votes."""
+    rng = np.random.default_rng(8)
+    names = ["div class='a'", "div class='b7'", "section", "div id='c'", "div"]
+
+    def tree(depth):
+        kids = [tree(depth - 1) if depth and rng.random() < 0.6 else "w" * int(rng.integers(25, 90)) for _ in range(rng.integers(1, 4))]
+        return (names[rng.integers(len(names))], kids)
+
+    def html(node):
+        return f"<p>{node}</p>" if isinstance(node, str) else f"<{node[0]}>{''.join(map(html, node[1]))}</{node[0].split()[0]}>"
+
+    def size(node):
+        return len(node) if isinstance(node, str) else sum(map(size, node[1]))
+
+    def walk(node, above, found):
+        if not isinstance(node, str):
+            suffix = {"a": ".a", "b7": ".bN", "c": "#c"}.get((node[0].split("'") + [""])[1], "")
+            key = op3_html.path_key([node[0].split()[0] + suffix], above)
+            found[key] = found.get(key, 0) + size(node)
+            for kid in node[1]:
+                walk(kid, key, found)
+
+    rows = []
+    for k in range(60):
+        root = tree(3)
+        rows.append((k, f"http://h{k % 4}/x", f"<body>{html(root)}</body>"))
+        page, want = op3_html.Page(rows[-1][2]), {op3_html.path_key("body"): size(root)}
+        walk(root, op3_html.path_key("body"), want)
+        assert dict(zip(page.keys, page.scores(), strict=True)) == want
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = plain_winners(rows)
+    assert {r["host"]: bytes(r["path"]) for r in op3_html.host_paths(frame.repartition(3)).collect()} == want
+    for r in op3_html.extract_text(frame).collect():
+        assert r["text"] == op3_html.Page(rows[r["page_id"]][2]).text(want[f"h{r['page_id'] % 4}"])
+
+
+def test_toxicity_trains_on_one_text_of_each_sampled_id(spark, monkeypatch):
+    seen = []
+    fit = op6_toxicity.fit
+    monkeypatch.setattr(op6_toxicity, "fit", lambda rows, *rest: seen.append(len(rows)) or fit(rows, *rest))
+    docs = spark.range(8000).select((F.col("id") % 2).alias("doc_id"), F.concat_ws(" ", F.lit("some text with words"), F.when(F.col("id") % 2 == 1, "grobix grobix").otherwise("nothing"), "id").alias("text"))
+    marks = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    op6_toxicity.train(docs, marks)
+    assert all(n <= 2 * op6_toxicity.SAMPLE for n in seen) and not any(n > 2 for n in seen)
+
+
+def test_near_duplicates_and_leaks_carry_ids_of_strings_and_binaries(spark):
+    rows = [(b"\x00\x01", "one two three four five six"), (b"\xff", "one two three four five six"), (b"z", "nothing else is like this one at all"), (None, "")]
+    for kind, show in (("binary", lambda x: x), ("string", lambda x: None if x is None else x.hex())):
+        docs = spark.createDataFrame([(show(i), t) for i, t in rows], f"doc_id {kind}, text string")
+        found = {(None if r["doc_id"] is None else r["doc_id"]): (r["component_id"], r["kept"]) for r in op5_minhash_dedup.near_duplicates(docs).collect()}
+        found = {None if k is None else k if kind == "string" else bytes(k): v for k, v in found.items()}
+        low = show(b"\x00\x01")
+        assert [v[1] for k, v in sorted(found.items(), key=lambda x: str(x[0])) if k is not None].count(True) == 2 and found[low][1] and found[None] == (None, True)
+        hits = op10_decontamination.contamination(docs, spark.createDataFrame([(1, "like this one")], "item_id long, text string")).where("size(items) > 0").collect()
+        assert [r["doc_id"] if kind == "string" else bytes(r["doc_id"]) for r in hits] == [show(b"z")]

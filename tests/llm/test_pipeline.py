@@ -119,3 +119,27 @@ def test_stages_decide_by_row(spark, tmp_path):
     assert got.where("doc_id >= 50").count() == 2
     keys = spark.createDataFrame([(None, "x"), ("x", None)], "a string, b string")
     assert keys.select(corpus_pipeline.row_key(keys)).distinct().count() == 2
+
+
+def test_stages_pass_columns_of_any_name_and_type(spark, tmp_path):
+    """Names that stages use themselves, dots, back quotes, and types that can't be compared or hashed."""
+    docs, kinds = planted(spark, tmp_path)
+    odd = {"__row_key": F.lit(7), "row_key": F.lit(8), "a.b": F.col("doc_id") * 2, "back`quote": F.lit("x"), "a map": F.create_map(F.lit("k"), F.col("doc_id")), "__toxicity_score": F.lit("s"), "__quality_score": F.lit(1.5), "__quality_stats": F.array(F.lit(1)), "c0": F.lit(True), "score": F.lit(None).cast("double"), "TEXT ": F.lit("t"), "group": F.struct(F.lit(1).alias("first"))}
+    wide = docs.select("*", *(v.alias(k) for k, v in odd.items())).unionByName(docs.where("doc_id < 3").select("*", *(v.alias(k) for k, v in odd.items())))
+    values = lambda df: Counter(str(tuple(r)) for r in df.collect())
+    given, rows = values(wide), wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = {r["doc_id"] for r in stage(spark, rows.select(docs.columns), str(tmp_path)).collect()}
+        kept = stage(spark, rows, str(tmp_path))
+        assert kept.columns == wide.columns and kept.schema.simpleString() == wide.schema.simpleString(), name
+        found = values(kept)
+        assert not found - given and {r[0] for r in kept.collect()} == want, name
+        assert max(found.values()) == (1 if name in ("near duplicates", "decontamination") else 2)
+        rows = spark.createDataFrame(kept.collect(), wide.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).count() >= rows.count()
+
+
+def test_row_keys_have_128_bits(spark):
+    rows = spark.createDataFrame([("a", "b"), ("ab", ""), (None, "null"), ("null", None), ("a", "b")], "x string, y string")
+    keys = [bytes(r[0]) for r in rows.select(corpus_pipeline.row_key(rows)).collect()]
+    assert {len(k) for k in keys} == {16} and len(set(keys)) == 4
