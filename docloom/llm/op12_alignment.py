@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import lean, row_chunks, table, utf8_column, written
 from docloom.llm.hashing import span_hashes
-from docloom.llm.tokens import CACHE_UNITS, unit_starts
+from docloom.llm.tokens import unit_starts
 
 #: Text bytes whose tokens a task holds at a time; a longer text is a chunk of its own.
 _CHUNK = 1 << 20
 #: Pairs of ids a task counts before it hands them on.
 _PAIRS = 1 << 20
-#: Units that are encoded in one call.
-_BATCH = 2048
+#: Units that are encoded in one call, and distinct units a worker keeps of each tokenizer; beyond that it starts anew.
+_BATCH, CACHE_UNITS = 2048, 500_000
 _DIGITS = 10
 
 
@@ -82,7 +82,7 @@ class SpanEncoder:
         self.keys = np.zeros(0, np.uint64)
         self.at = self.length = np.zeros(0, np.int64)
         self.good = np.zeros(0, bool)
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids (uint32) and ends (places in data) of all rows' tokens, and which rows can be aligned; others have none."""
@@ -113,21 +113,18 @@ class SpanEncoder:
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, place: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
         units = [data[s:e].tobytes() for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
-        ids, ends, length, good = [], [], [], []
+        ids, ends, length, good = [self.ids], [self.ends], [], []
         for k in range(0, len(units), _BATCH):
-            for found, places in self._encode(units[k : k + _BATCH]):
-                good.append(places is not None)
-                length.append(len(found) if places is not None else 0)
-                if places is not None:
-                    ids.append(found)
-                    ends.append(places)
+            found = [(x, places) if places is not None else ((), None) for x, places in self._encode(units[k : k + _BATCH])]
+            good += [places is not None for _, places in found]
+            length += [len(x) for x, _ in found]
+            ids.append(np.fromiter(itertools.chain.from_iterable(x for x, _ in found), np.uint32))
+            ends.append(np.fromiter(itertools.chain.from_iterable(places or () for _, places in found), np.int32))
         size = np.array(length, np.int64)
         at = len(self.ids) + np.cumsum(size) - size
         self.keys, self.at = np.insert(self.keys, place, keys), np.insert(self.at, place, at)
         self.length, self.good = np.insert(self.length, place, size), np.insert(self.good, place, good)
-        total = int(size.sum())
-        self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)))
-        self.ends = np.concatenate((self.ends, np.fromiter(itertools.chain.from_iterable(ends), np.int64, total)))
+        self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
 
 
 def byte_level_encoder(path: str) -> SpanEncoder:
@@ -207,12 +204,7 @@ def _both(path_a: str, path_b: str) -> tuple[SpanEncoder, SpanEncoder]:
     return _encoders[path_a, path_b]
 
 
-def align_texts(docs: DataFrame, tokenizer_a: str, model_b: str) -> DataFrame:
-    """doc_id, and as packed little-endian unsigned 32-bit integers the tokens of every text: a_ids, a_ends, b_ids, b_ends.
-
-    Ends are byte places in a space and the text. A text that can't be aligned has no tokens.
-    """
-
+def _aligner(tokenizer_a: str, model_b: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_a, encode_b = _both(tokenizer_a, model_b)
         for batch in batches:
@@ -232,8 +224,19 @@ def align_texts(docs: DataFrame, tokenizer_a: str, model_b: str) -> DataFrame:
                         columns.append(pa.array([values[a:b].tobytes() if ok else b"" for a, b, ok in zip(first[:-1].tolist(), first[1:].tolist(), good.tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, a_ids binary, a_ends binary, b_ids binary, b_ends binary")
+    return run
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def align_texts(docs: DataFrame, tokenizer_a: str, model_b: str) -> DataFrame:
+    """doc_id, and as packed little-endian unsigned 32-bit integers the tokens of every text: a_ids, a_ends, b_ids, b_ends.
+
+    Ends are byte places in a space and the text. A text that can't be aligned has no tokens.
+    """
+    return _rows(docs).mapInArrow(lean(_aligner(tokenizer_a, model_b)), "doc_id long, a_ids binary, a_ends binary, b_ids binary, b_ends binary")
 
 
 def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -289,37 +292,36 @@ class Groups:
         return found
 
 
-def _groups(batch: pa.RecordBatch, i: int, j: int) -> Groups:
+def _groups(batch: pa.RecordBatch) -> Groups:
     sides = []
     for k in (1, 3):
-        (ids, first), (ends, _) = _packed(batch.column(k).slice(i, j - i)), _packed(batch.column(k + 1).slice(i, j - i))
+        (ids, first), (ends, _) = _packed(batch.column(k)), _packed(batch.column(k + 1))
         sides.append((ids, ends.astype(np.int64), first))
     return Groups(*sides)
 
 
-def document_links(aligned: DataFrame) -> DataFrame:
+def document_links(docs: DataFrame, tokenizer_a: str, model_b: str) -> DataFrame:
     """Of every text doc_id, n_a, n_b, n_groups, n_links, groups_sha256, and packed its distinct linked pairs: pairs, times."""
+    align = _aligner(tokenizer_a, model_b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, off = utf8_column(batch.column(2))
-            for i, j in row_chunks(off, 4 * _CHUNK):
-                g = _groups(batch, i, j)
-                key = g.ids_a[g.link_a].astype(np.int64) << 32 | g.ids_b[g.link_b]
-                order = np.lexsort((key, g.row))
-                key, row = key[order], g.row[order]
-                head = np.ones(len(key), bool)
-                head[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                at = np.flatnonzero(head)
-                times, first = np.diff(np.append(at, len(key))).astype("<u4"), np.searchsorted(row[at], np.arange(j - i + 1)).tolist()
-                pairs = key[at].astype("<i8")
-                links = pa.array(np.diff(g.first), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(g.first_a), pa.int64()), pa.array(np.diff(g.first_b), pa.int64()), links, links, pa.array(g.digests()), *(pa.array([x[a:b].tobytes() for a, b in itertools.pairwise(first)], pa.binary()) for x in (pairs, times))],
-                    names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
-                )
-
-    return aligned.mapInArrow(lean(run), "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary")
+        for batch in align(batches):
+            g = _groups(batch)
+            key = g.ids_a[g.link_a].astype(np.int64) << 32 | g.ids_b[g.link_b]
+            order = np.lexsort((key, g.row))
+            key, row = key[order], g.row[order]
+            head = np.ones(len(key), bool)
+            head[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(head)
+            times, first = np.diff(np.append(at, len(key))).astype("<u4"), np.searchsorted(row[at], np.arange(batch.num_rows + 1)).tolist()
+            pairs = key[at].astype("<i8")
+            links = pa.array(np.diff(g.first), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.diff(g.first_a), pa.int64()), pa.array(np.diff(g.first_b), pa.int64()), links, links, pa.array(g.digests()), *(pa.array([x[a:b].tobytes() for a, b in itertools.pairwise(first)], pa.binary()) for x in (pairs, times))],
+                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
+            )
+
+    return _rows(docs).mapInArrow(lean(run), "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary")
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -376,8 +378,8 @@ def with_counts(links: DataFrame, counts: DataFrame) -> DataFrame:
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    aligned = align_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    links = written(document_links(aligned), "op12-links")
+    docs = table(spark, sf_dir, "documents")
+    links = written(document_links(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")), "op12-links")
     return with_counts(links, pair_counts(links)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

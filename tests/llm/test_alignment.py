@@ -59,7 +59,7 @@ def plain(docs: dict) -> dict:
 
 def rows(spark, docs):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").withColumn("n_a", F.lit("clash"))
-    links = op12.written(op12.document_links(op12.align_texts(df.repartition(3), A, B)), "test-links")
+    links = op12.written(op12.document_links(df.repartition(3), A, B), "test-links")
     out = op12.with_counts(links, op12.pair_counts(links)).collect()
     return {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in out}
 
@@ -82,7 +82,7 @@ def test_given_documents_and_spans(spark):
 def test_empty_table_and_null_ids(spark):
     assert op12.align_texts(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
     df = spark.createDataFrame([(None, "one two"), (1, "one two"), (1, "one two")], "doc_id long, text string")
-    found = op12.document_links(op12.align_texts(df, A, B)).collect()
+    found = op12.document_links(df, A, B).collect()
     assert len({(r.n_a, r.groups_sha256) for r in found}) == 1 and len(found) == 3
 
 
