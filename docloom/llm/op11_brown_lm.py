@@ -42,7 +42,7 @@ RARE, ENDS, FIRST = 0, 1, 2
 #: Rounds of exchange: in the first all words without a class move, then some of them by turns.
 ROUNDS = 7
 #: Text bytes, and documents, of a segment; a longer text is a segment of its own.
-SEGMENT_BYTES, SEGMENT_DOCS = 32 << 20, 1 << 19
+SEGMENT_BYTES, SEGMENT_DOCS = 8 << 20, 1 << 17
 #: The hash of the end token; no word has it but by chance.
 END = np.uint64(0)
 #: Words of the head in a block of counts.
