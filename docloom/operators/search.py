@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +9,8 @@ from docloom.functions.questions import focus_tokens, is_projection, is_relation
 from docloom.functions.text import search_tokens
 from docloom.operators.joins import is_small, side, small
 from docloom.operators.storage import stored
+from docloom.operators.vector_index import VectorIndex, build
+from docloom.operators.vector_index import search as vector_search
 
 K1, B, TERMS, TOP, RRF, BONUS = 1.2, 0.75, 10, 10, 60, 0.02
 DIGITS = 6
@@ -64,46 +62,16 @@ def ranked(rows: DataFrame, *order: Column, top: int | None = None) -> DataFrame
     return out.where(F.col("rank") <= top) if top else out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, block: int = 4096) -> DataFrame:
-    """Exact neighbours by squared distance: qid, chunk_id, score = 1 / (1 + distance), rank.
+def nearest(vectors: DataFrame | VectorIndex, queries: DataFrame, top: int = TOP) -> DataFrame:
+    """Exact neighbours of queries (qid, vector) by squared distance: qid, chunk_id, score = 1 / (1 + distance), rank.
 
-    Queries (qid, vector) go to the executors in blocks; every batch of vectors returns its own best, so what is
-    shuffled is queries x top for each batch.
+    vectors: a stored index, or rows (chunk_id, vector), of which one is built first.
     """
-    out = None
-    for ids, matrix in _blocks(queries, block):
-
-        def best(frames: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                frame = frame[frame["vector"].notna()]
-                if not len(frame):
-                    continue
-                x = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-                distance = np.round(((matrix[:, None, :] - x[None, :, :]) ** 2).sum(2) if len(ids) * x.size <= 1 << 24 else np.stack([((q - x) ** 2).sum(1) for q in matrix]), DIGITS)
-                names = frame["chunk_id"].to_numpy()
-                for q, row in zip(ids, distance, strict=True):
-                    first = np.lexsort((names, row))[:top]
-                    yield pd.DataFrame({"qid": q, "chunk_id": names[first], "distance": row[first]})
-
-        kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["chunk_id"]
-        more = vectors.select("chunk_id", "vector").mapInPandas(best, f"qid {kinds[0]}, chunk_id {kinds[1]}, distance double")
-        out = more if out is None else out.unionByName(more)
-    if out is None:
+    index = vectors if isinstance(vectors, VectorIndex) else build(vectors)
+    if index is None:
         kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["chunk_id"]
-        out = queries.sparkSession.createDataFrame([], f"qid {kinds[0]}, chunk_id {kinds[1]}, distance double")
-    return ranked(out, F.col("distance"), F.col("chunk_id"), top=top).withColumn("score", F.round(1 / (1 + F.col("distance")), DIGITS)).select("qid", "chunk_id", "score", "rank")
-
-
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select("qid", "vector").where("vector is not null").toLocalIterator():
-        ids.append(r["qid"])
-        rows.append(r["vector"])
-        if len(ids) == size:
-            yield ids, np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows, np.float64)
+        return queries.sparkSession.createDataFrame([], f"qid {kinds[0]}, chunk_id {kinds[1]}, score double, rank int")
+    return vector_search(index, queries, top)
 
 
 def fuse(fts: DataFrame, vector: DataFrame, k: int = RRF) -> DataFrame:
@@ -118,7 +86,7 @@ def fused_order(score: Column) -> list[Column]:
     return [score.desc(), (F.col("rank_fts").isNotNull() & F.col("rank_vector").isNotNull()).desc(), F.col("rank_vector").asc_nulls_last(), F.col("rank_fts").asc_nulls_last()]
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame | VectorIndex, queries: DataFrame, top: int = TOP) -> DataFrame:
     """Both channels' best for queries (qid, query, vector), fused, and the best of those."""
     return fuse(bm25(chunks, queries), nearest(vectors, queries)).where(F.col("rank") <= top)
 
