@@ -38,8 +38,8 @@ from docloom.llm.tokens import unit_starts
 _CHUNK = 1 << 20
 #: Pairs of ids a task counts before it hands them on.
 _PAIRS = 1 << 20
-#: Units that are encoded in one call, and distinct units a worker keeps of each tokenizer; beyond that it starts anew.
-_BATCH, CACHE_UNITS = 2048, 500_000
+#: Units that are encoded in one call, and distinct units a worker keeps of each tokenizer; beyond that it keeps those that came again.
+_BATCH, CACHE_UNITS = 2048, 800_000
 _DIGITS = 10
 
 
@@ -71,6 +71,16 @@ def refined(spans: list[tuple[int, int]], sizes: list[int]) -> list[int] | None:
     return ends
 
 
+def _ends(unit: bytes, parts: list[bytes], spans: list[tuple[int, int]]) -> list[int] | None:
+    """Ends of a unit's tokens by their coarse spans and decoded bytes; None where these aren't the unit's bytes."""
+    if b"".join(parts) != unit:
+        return None
+    sizes = list(map(len, parts))
+    coarse = [b for _, b in spans]
+    # Where every span is as long as its token, the coarse cuts are the tokens' ends.
+    return coarse if coarse == list(itertools.accumulate(sizes)) else refined(spans, sizes)
+
+
 class SpanEncoder:
     """Ids and byte ends of whole texts' tokens, each distinct unit encoded once; a unit that can't be aligned has none."""
 
@@ -81,9 +91,20 @@ class SpanEncoder:
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.at = self.length = np.zeros(0, np.int64)
-        self.good = np.zeros(0, bool)
+        self.good = self.again = np.zeros(0, bool)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
+    def _thin(self) -> None:
+        """Keep only units that came again since the last time, or none if these are too many."""
+        keep = np.flatnonzero(self.again)
+        if len(keep) > CACHE_UNITS // 2:
+            return self.clear()
+        length = self.length[keep]
+        at = np.cumsum(length) - length
+        source = np.repeat(self.at[keep] - at, length) + np.arange(int(length.sum()))
+        self.keys, self.at, self.length, self.good = self.keys[keep], at, length, self.good[keep]
+        self.ids, self.ends, self.again = self.ids[source], self.ends[source], np.zeros(len(keep), bool)
+
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids (uint32) and ends (places in data) of all rows' tokens, and which rows can be aligned; others have none."""
         rows = len(off) - 1
@@ -94,11 +115,12 @@ class SpanEncoder:
         stops = np.append(starts[1:], len(data))
         keys, first, inverse = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_UNITS:
-            self.clear()
+            self._thin()
         place = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
         inside = place < len(self.keys)
         new[inside] = self.keys[place[inside]] != keys[inside]
+        self.again[place[~new]] = True
         if new.any():
             self._learn(data, keys[new], place[new], starts[first[new]], stops[first[new]])
             place = np.searchsorted(self.keys, keys)
@@ -112,7 +134,8 @@ class SpanEncoder:
         return self.ids[source], self.ends[source] + np.repeat(starts, length), good
 
     def _learn(self, data: np.ndarray, keys: np.ndarray, place: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
-        units = [data[s:e].tobytes() for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
+        whole = data.tobytes()
+        units = [whole[s:e] for s, e in zip(starts.tolist(), stops.tolist(), strict=True)]
         ids, ends, length, good = [self.ids], [self.ends], [], []
         for k in range(0, len(units), _BATCH):
             found = [(x, places) if places is not None else ((), None) for x, places in self._encode(units[k : k + _BATCH])]
@@ -123,7 +146,7 @@ class SpanEncoder:
         size = np.array(length, np.int64)
         at = len(self.ids) + np.cumsum(size) - size
         self.keys, self.at = np.insert(self.keys, place, keys), np.insert(self.at, place, at)
-        self.length, self.good = np.insert(self.length, place, size), np.insert(self.good, place, good)
+        self.length, self.good, self.again = np.insert(self.length, place, size), np.insert(self.good, place, good), np.insert(self.again, place, False)
         self.ids, self.ends = np.concatenate(ids), np.concatenate(ends)
 
 
@@ -143,12 +166,11 @@ def byte_level_encoder(path: str) -> SpanEncoder:
     def encode(units: list[bytes]) -> Iterator[tuple[list[int], list[int] | None]]:
         texts = [u.decode() for u in units]
         for unit, text, found in zip(units, texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            pieces = [entries[i] for i in found.ids]
-            spans = found.offsets
+            ids, spans = found.ids, found.offsets
             if len(text) != len(unit):  # characters to bytes
-                place = np.concatenate(([0], np.cumsum([len(c.encode()) for c in text]))).tolist()
+                place = [0, *itertools.accumulate(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in text)]
                 spans = [(place[a], place[b]) for a, b in spans]
-            yield found.ids, refined(spans, [len(p) for p in pieces]) if b"".join(pieces) == unit else None
+            yield ids, _ends(unit, [entries[i] for i in ids], spans)
 
     return SpanEncoder(encode, unit_starts)
 
@@ -177,16 +199,14 @@ def piece_encoder(path: str) -> SpanEncoder:
     entries = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) and model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
     def encode(units: list[bytes]) -> Iterator[tuple[list[int], list[int] | None]]:
-        found = model.encode([u[1:].decode() for u in units], return_type="proto")
-        for unit, proto in zip(units, found, strict=True):
+        protos = model.encode([u[1:].decode() for u in units], return_type="proto")
+        for unit, proto in zip(units, protos, strict=True):
             if unit == b" ":  # the model adds no space to an empty text; as the last of a text it is a token
                 yield [space], [1]
                 continue
-            ids = [p.id for p in proto.pieces]
-            parts = [entries[i] for i in ids]
+            found = [(p.id, p.begin + 1, p.end + 1) for p in proto.pieces]
             # Spans are those of the unit without its first space, which the first token has.
-            spans = [(p.begin + 1 if k else 0, p.end + 1) for k, p in enumerate(proto.pieces)]
-            yield ids, refined(spans, [len(p) for p in parts]) if b"".join(parts) == unit else None
+            yield [i for i, _, _ in found], _ends(unit, [entries[i] for i, _, _ in found], [(a if k else 0, b) for k, (_, a, b) in enumerate(found)])
 
     # Where no piece goes on with a space after anything else, and spaces are kept as they are, no token crosses into a run of spaces.
     apart = not any(a != "▁" and b == "▁" for p in pieces for a, b in itertools.pairwise(p))
