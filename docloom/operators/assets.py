@@ -1,15 +1,20 @@
-"""Saved answers: idempotent saving, maintenance, paging, exports, rendering, promotion into the corpus."""
+"""Saved answers: idempotent saving, by day on disk too, maintenance, paging, exports, rendering, promotion into the corpus."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import collapse, strip
 from docloom.operators import chunking
+from docloom.operators.joins import small
+from docloom.operators.storage import stored
 
 PAGE, MAX_PAGE, EXPORTS, TITLE = 50, 200, 5, 40
 GENERATED = "generated_asset"
+#: Parts of a day's assets and of their keys: a batch touches those of its keys.
+BUCKETS = 16
 KEY_FIELDS = ["question", "answer", "sources", "source_status", "evidence", "language", "answer_mode", "model_route"]
 
 
@@ -27,6 +32,41 @@ def save(payloads: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.withColumn("kept_id", kept).withColumn("outcome", F.when(F.col("stored_id").isNull() & (F.col("asset_id") == F.col("first_id")), "created").otherwise("idempotent_reuse")).withColumn("day", F.to_date("created_at")).drop("first_id", "stored_id")
 
 
+def save_by_day(payloads: DataFrame, root: str, buckets: int = BUCKETS) -> DataFrame:
+    """Save payloads (asset_id, created_at, fields) under root by day and bucket of their key; the rows that were new.
+
+    A payload whose key is stored, on whatever day, isn't written again. Only the touched parts are read and, as wholes,
+    replaced (dynamic partition overwrite), assets before keys: so a batch that is repeated, after a failure too, leaves one
+    copy. One writer at a time.
+    """
+    keyed = payloads.withColumn("operation_key", operation_key([c for c in KEY_FIELDS if c in payloads.columns]))
+    first = keyed.groupBy("operation_key").agg(F.min_by(F.struct(*payloads.columns), F.struct("created_at", "asset_id")).alias("row"))
+    rows = first.select("row.*", "operation_key").withColumns({"day": F.to_date("created_at"), "bucket": F.pmod(F.xxhash64("operation_key"), F.lit(buckets)).cast("int")})
+    rows = stored(rows, "batch")
+    touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
+    keys = rows.select("operation_key", "asset_id", "bucket")
+    known = _saved(f"{root}/keys", keys).where(F.col("bucket").isin(touched))
+    new = stored(rows.join(known.select("operation_key").hint("merge"), "operation_key", "left_anti"), "new-assets")
+    places = small(new.select("day", "bucket").distinct())
+    old = _saved(f"{root}/assets", rows).join(places, ["day", "bucket"], "left_semi")
+    _replace(old.join(new.select("operation_key").hint("merge"), "operation_key", "left_anti").unionByName(new), f"{root}/assets", ["day", "bucket"])
+    _replace(known.unionByName(new.select(keys.columns)), f"{root}/keys", ["bucket"])
+    return new
+
+
+def _saved(path: str, like: DataFrame) -> DataFrame:
+    """The table at path with the columns of like; empty before the first batch."""
+    try:
+        return like.sparkSession.read.schema(like.schema).parquet(path).select(like.columns)
+    except AnalysisException:
+        return like.limit(0)
+
+
+def _replace(rows: DataFrame, path: str, parts: list[str]) -> None:
+    """Write rows in place of the parts they have."""
+    stored(rows, "parts").repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
 def patch(assets: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
     """assets with the newer statuses of changes (asset_id, rag_status, publication_status; null: unchanged)."""
     new = changes.select("asset_id", F.col("rag_status").alias("new_rag"), F.col("publication_status").alias("new_publication"), F.lit(True).alias("hit"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.questions import VARIANTS, anchor_terms, context_of, entity_of, is_no_answer, resolved
 from docloom.functions.text import collapse
 from docloom.operators.joins import small
+from docloom.operators.storage import stored
 
 MAX_VARIANTS, MAX_ADDED, RADIUS = 6, 6, 1
 
@@ -73,6 +74,8 @@ def expand_neighbours(hits: DataFrame, chunks: DataFrame, radius: int = RADIUS,
     Neighbours are added in the order of hits, then offsets; the first hit that reaches one gives its score.
     """
     offsets = [o for o in range(-radius, radius + 1) if o]
+    # Questions times a few rows, which are used three times: the search behind them runs once.
+    hits = stored(hits.select("qid", "chunk_id", "source_key", "chunk_index", "score", "rank"), "hits")
     near = hits.select("qid", "source_key", "score", "rank", F.explode(F.array(*map(F.lit, offsets))).alias("offset"), "chunk_index").withColumn("chunk_index", F.col("chunk_index") + F.col("offset")).where("chunk_index >= 0")
     found = near.join(chunks.select("source_key", "chunk_index", "chunk_id").hint("merge"), ["source_key", "chunk_index"]).join(hits.select("qid", "chunk_id").hint("merge"), ["qid", "chunk_id"], "left_anti")
     first = found.groupBy("qid", "chunk_id", "source_key", "chunk_index").agg(F.min(F.struct("rank", "offset", "score")).alias("by"))

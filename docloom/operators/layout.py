@@ -107,13 +107,18 @@ def label(line_1: str, line_2: str) -> Column:
 def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with the path of x places from their root and their depth, whatever the depth.
 
-    Each round doubles the part of the way up that a node knows, so rounds grow with the logarithm of the depth.
+    Each round doubles the part of the way up that a node knows, so rounds grow with the logarithm of the depth. Edges that
+    lead in a circle have no root: ValueError.
     """
     step = F.format_string("%010.3f.%06d", "x_center", "node")
     rows = nodes.join(edges.select(*PAGE, F.col("child").alias("node"), "parent").hint("merge"), [*PAGE, "node"], "left")
     rows = rows.withColumns({"name": label("line_1", "line_2"), "path": step, "up": F.col("parent"), "depth": F.col("parent").isNotNull().cast("int")})
     rows = stored(rows, "layout-paths")
-    while rows.where("up is not null").take(1):
+    nodes_left = rows.count()
+    while open_rows := rows.where("up is not null").count():
+        if nodes_left <= 0:
+            raise ValueError(f"{open_rows} nodes lie on or below circles of edges")
+        nodes_left //= 2  # a way up is no longer than the number of nodes, and each round doubles what is known of it
         above = rows.select(*PAGE, F.col("node").alias("up"), F.col("path").alias("above"), F.col("depth").alias("more"), F.col("up").alias("next"))
         known = rows.join(above.hint("merge"), [*PAGE, "up"], "left")
         moved = {"path": F.concat_ws("/", "above", "path"), "depth": F.col("depth") + F.coalesce("more", F.lit(0)), "up": F.col("next")}

@@ -77,10 +77,6 @@ def delete_sources(chunks: DataFrame, gone: DataFrame) -> DataFrame:
     return kept.join(by_name.hint("merge"), "source_name", "left_anti")
 
 
-def cleared(table: DataFrame) -> DataFrame:
-    return table.limit(0)
-
-
 def backfill_sources(chunks: DataFrame, known: DataFrame) -> DataFrame:
     """Source rows from chunks (source_id, source_name, raw_path, chunk_index) for ids that known lacks."""
     legacy = F.concat(F.lit("legacy_"), F.substring(F.sha2(F.concat("source_name", F.lit("\n"), "raw_path"), 256), 1, 24))

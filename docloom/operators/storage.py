@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docloom.operators import registry
+from docloom.operators.versions import VersionedTables
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -16,10 +15,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
     On a local master, as in tests, driver and executors are one machine and its /tmp serves.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and (master == "local" or master.startswith("local[")):
+        base = "file:///tmp/checkpoints"
     if not base:
-        master = spark.sparkContext.master
-        base = "file:///tmp/checkpoints" if master == "local" or master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: the warehouse is a local folder")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,35 +38,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def publish(tables: dict[str, DataFrame], root: str) -> int:
-    """Write the tables as one version under root and then the pointer to it; its number.
+def publish(tables: dict[str, DataFrame], root: str, expected: int | None = None) -> int:
+    """Write the tables as one version under root; its number.
 
-    Readers see all of a version or nothing of it. One writer at a time.
+    Readers see all of a version or nothing of it, and of several writers none hides another's version unseen: with
+    expected (the number the tables were made from) a writer who was overtaken gets a Conflict.
     """
-    spark = next(iter(tables.values())).sparkSession
-    last = _pointer(spark, root)
-    number, folder = (last[0] + 1 if last else 1), f"{root}/versions/{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/{name}")
-    spark.createDataFrame([(number, folder)], "number long, folder string").coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return number
+    return VersionedTables(next(iter(tables.values())).sparkSession, root).publish(tables, expected)
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the version that was published last."""
-    last = _pointer(spark, root)
-    if last is None:
-        raise ValueError(f"nothing is published under {root}")
-    return spark.read.parquet(f"{last[1]}/{name}")
-
-
-def _pointer(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    try:
-        rows = spark.read.schema("number long, folder string").parquet(f"{root}/pointer")
-    except AnalysisException:
-        return None  # no such folder: nothing was published yet
-    last = rows.agg(F.max(F.struct("number", "folder")).alias("last")).collect()[0]["last"]
-    return (last["number"], last["folder"]) if last else None
+    return VersionedTables(spark, root).table(name)
 
 
 def publish_index(chunks: DataFrame, postings: DataFrame, vectors: DataFrame, root: str) -> int:

@@ -38,12 +38,25 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str, int], DataFrame] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> int:
+    """What changes when a file of the given tables does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs, found = path.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for entry in fs.listStatus(path):
+        for file in fs.listStatus(entry.getPath()) if entry.isDirectory() else [entry]:
+            found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return hash(tuple(sorted(found)))
 
 
 def maintained(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table of the index over the given tables: built and stored by the first query of a session that needs it."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table of the index over the given tables: built and stored by the first query of a session that needs it.
+
+    Tables that were written anew since then (by their files' names, sizes and times) get a new index.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir))
     if key not in _kept:
         _kept[key] = stored(build(), name)
     return _kept[key]

@@ -88,10 +88,6 @@ def delete_source(spark, d):
     return registry.delete_sources(chunks, gone.unionByName(named)).groupBy("source_name").agg(F.count("*").alias("chunks"))
 
 
-def clear_all(spark, d):
-    return registry.cleared(chunking.chunk_documents(documents(spark, d))).agg(F.count("*").alias("chunks"))
-
-
 def backfill_sources(spark, d):
     rows = _chunks(spark, d).select(F.when(F.col("source_key").cast("long") % 2 == 0, F.col("source_key")).otherwise("").alias("source_id"), "source_name", F.concat(F.lit("raw/"), "source_key").alias("raw_path"), "chunk_index")
     return registry.backfill_sources(rows, _sources(spark, d).select("source_id"))
@@ -256,7 +252,7 @@ def cells_to_documents(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    reserve_content, version_conflict, version_replace, latest_version, list_sources, upsert_index, index_consistency, quarantine_filter, delete_source, clear_all, backfill_sources, backfill_hashes, chunk_lookup, corpus_stats,
+    reserve_content, version_conflict, version_replace, latest_version, list_sources, upsert_index, index_consistency, quarantine_filter, delete_source, backfill_sources, backfill_hashes, chunk_lookup, corpus_stats,
     index_difference, task_state, task_health, task_recovery, batch_rollup, save_assets, asset_page, asset_maintenance, export_retention, render_asset, promote_assets, quality_gate, answer_acceptance, source_recall, manifest_validation, blocks_to_documents, paragraphs_to_documents, cells_to_documents, publish_index,
 )}
 
@@ -289,7 +285,6 @@ ORACLE = {
     "index_consistency": f"WITH {_CORPUS} SELECT chunk_id, 'no vector' AS reason FROM corpus WHERE chunk_id NOT IN (SELECT vec_id || '#0' FROM embeddings)",
     "quarantine_filter": f"WITH {_CORPUS} SELECT chunk_id FROM corpus WHERE chunk_id IN (SELECT vec_id || '#0' FROM embeddings)",
     "delete_source": f"WITH {_CORPUS}, gone AS (SELECT DISTINCT source_key FROM corpus WHERE CAST(source_key AS BIGINT) % 3 = 0), names AS (SELECT source FROM documents WHERE doc_id % 3 = 0 AND CAST(doc_id AS VARCHAR) NOT IN (SELECT source_key FROM gone) UNION SELECT 'src3') SELECT source_name, count(*) AS chunks FROM corpus WHERE source_key NOT IN (SELECT source_key FROM gone) AND source_name NOT IN (SELECT source FROM names) GROUP BY 1",
-    "clear_all": "SELECT CAST(0 AS BIGINT) AS chunks",
     "backfill_sources": f"WITH {_CORPUS}, r AS (SELECT CASE WHEN CAST(source_key AS BIGINT) % 2 = 0 THEN source_key ELSE 'legacy_' || substr(sha256(source_name || chr(10) || 'raw/' || source_key), 1, 24) END AS source_id, source_name, chunk_index FROM corpus) SELECT source_id, count(*) AS chunk_count, arg_min(source_name, chunk_index) AS source_name FROM r WHERE source_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang <> 'en') GROUP BY 1",
     "backfill_hashes": f"WITH {_CORPUS}, n AS (SELECT source_key, count(*) AS chunk_count FROM corpus GROUP BY 1), f AS (SELECT {_HASH} AS h, source, chunk_count FROM documents JOIN n ON source_key = CAST(doc_id AS VARCHAR)) SELECT h AS content_hash, min((source, chunk_count))[1] AS source_name, min((source, chunk_count))[2] AS chunk_count, 'indexed' AS status FROM f WHERE h NOT IN (SELECT {_HASH} FROM documents WHERE lang <> 'en') GROUP BY 1",
     "chunk_lookup": f"WITH {_CORPUS}, refs AS (SELECT CASE WHEN vec_id % 2 = 0 THEN CAST(vec_id AS VARCHAR) ELSE vec_id || '#1' END AS ref FROM embeddings) SELECT ref, chunk_id, 'raw/' || source_key AS raw_file_path, md5(text) AS text_hash FROM refs JOIN corpus ON chunk_id = CASE WHEN contains(ref, '#') THEN ref ELSE ref || '#0' END",

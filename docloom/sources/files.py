@@ -17,14 +17,27 @@ SUFFIXES = ("txt", "md")
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each text or Markdown file at any depth: path, source_name, source_type by suffix, text, characters, line_count.
 
-    Files of no bytes give no row, as Spark's scans leave them out.
+    Spark's scans leave out files of no bytes; these are listed by the file system and have an empty text.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join((*SUFFIXES, *map(str.upper, SUFFIXES))) + "}").option("recursiveFileLookup", True).load(folder)
+    found = files.select("path", F.decode("content", "UTF-8").alias("text")).unionByName(_empty_files(spark, folder))
     name = F.element_at(F.split("path", "/"), -1)
-    rows = files.select("path", name.alias("source_name"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("source_type"), F.decode("content", "UTF-8").alias("text"))
+    rows = found.select("path", name.alias("source_name"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("source_type"), "text")
     return rows.withColumns({"characters": F.length("text"), "line_count": F.size(lines(F.col("text")))})
 
 
+def _empty_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text) of the files of no bytes, as Hadoop lists them: names alone pass the driver, as for any scan."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed, paths = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while listed.hasNext():
+        file = listed.next()
+        name = file.getPath().getName()
+        if not file.getLen() and name.rsplit(".", 1)[-1] in {x for s in SUFFIXES for x in (s, s.upper())} and "." in name and name[0] not in "._":
+            paths.append((file.getPath().toString(), ""))
+    return spark.createDataFrame(paths, "path string, text string")
+
+
 def write_texts(docs: DataFrame, folder: str) -> DataFrame:
     """Write docs (name with its suffix, text) as UTF-8 files in the folder; their paths. A repeated task replaces its files whole."""
 
