@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import HALF_CHUNK, added, get_file, lean, put_file, row_chunks, runs, scratch, table, utf8_column, written
+from docloom.llm.common import added, get_file, lean, put_file, row_chunks, runs, scratch, table, utf8_column, written
 from docloom.llm.hashing import FOLD, span_hashes, word_spans
 
 #: Words with at least one in so many training tokens are clustered by exchange; there are at most so many.
@@ -42,13 +42,15 @@ RARE, ENDS, FIRST = 0, 1, 2
 #: Rounds of exchange: in the first all words without a class move, then some of them by turns.
 ROUNDS = 7
 #: Text bytes, and documents, of a segment; a longer text is a segment of its own.
-SEGMENT_BYTES, SEGMENT_DOCS = 8 << 20, 1 << 17
+SEGMENT_BYTES, SEGMENT_DOCS = 4 << 20, 1 << 16
+#: Text bytes that are tokenised at a time, and rows of words that are handed on together.
+_CHUNK, _ROWS = 1 << 20, 1 << 14
 #: The hash of the end token; no word has it but by chance.
 END = np.uint64(0)
 #: Words of the head in a block of counts.
 _BLOCK = 64
 #: Words outside the head whose classes are chosen at a time, and answers held before they are handed on.
-_WORDS, _ANSWERS = 20_000, 1 << 20
+_WORDS, _ANSWERS = 20_000, 1 << 19
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _ROW = np.dtype([("seg", "<i8"), ("i", "<u4"), ("n", "<u4")])
@@ -93,7 +95,7 @@ def write_segments(docs: DataFrame, held: str) -> DataFrame:
             data, off = utf8_column(batch.column(1))
             ids = batch.column(0)
             named, ids, out = ids.is_valid().to_numpy(False), ids.fill_null(0).to_numpy().astype("<i8"), batch.column(2).to_numpy(False).astype(bool)
-            for i, j in row_chunks(off, HALF_CHUNK):
+            for i, j in row_chunks(off, _CHUNK):
                 hashes, first = tokens_of(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 words, local = np.unique(hashes, return_inverse=True)
                 if rows and (size + int(off[j] - off[i]) > SEGMENT_BYTES or docs_held + j - i > SEGMENT_DOCS):
@@ -352,9 +354,9 @@ def rest_classes(segments: DataFrame, classes: Classes, bigrams: np.ndarray, fol
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _segments(batches):
             words, data, off = _rest_rows(s, shared.value)
-            for i in range(0, len(words), 1 << 16):
-                at = off[i : i + (1 << 16) + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + (1 << 16)].view(np.int64)), _binaries(data[at[0] : at[-1]], at - at[0])], names=["word", "row"])
+            for i in range(0, len(words), _ROWS):
+                at = off[i : i + _ROWS + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + _ROWS].view(np.int64)), _binaries(data[at[0] : at[-1]], at - at[0])], names=["word", "row"])
 
     def whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         """The rows again, cut only between words."""
