@@ -5,7 +5,8 @@ record becomes a WARC record with a synthesised id, time, type and digests. Of r
 at least MIN_PAYLOAD bytes, the first by page id (then archive and place) is the response; the others revisit it,
 without their payload. The first of each digest is found by a grouped minimum and joined back, so a group of copies
 of any size is only a key; an archive's revisits, as many as its records at most, go to the task that converts it.
-An archive ends after ARCHIVE_BYTES of whole records or ARCHIVE_RECORDS of them, so a task's memory is bounded.
+An archive ends after ARCHIVE_BYTES of whole records or ARCHIVE_RECORDS of them, and a task reads its archives one after
+another, so its memory is bounded; tasks grow with the archives, but are TASK_ARCHIVES times fewer.
 
 Defined results: null and empty html is an empty payload; null or odd urls are escaped in ARC headers; a null page_id
 is written without one and comes last among equal payloads; rows are records, repeated page_ids too: of equal payloads
@@ -33,7 +34,9 @@ from docloom.llm.common import get_file, lean, put_file, scratch, table, written
 MIN_PAYLOAD = 100
 #: Bytes of whole records before packing, and records, of an archive after which the next one is begun; a larger record
 #: has an archive of its own. So what a task holds of an archive is bounded, however small its records are.
-ARCHIVE_BYTES, ARCHIVE_RECORDS = 8 << 20, 20_000
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 64 << 20, 100_000
+#: Archives that a task reads, one after another, where there are more of them than cores.
+TASK_ARCHIVES = 64
 _FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}  # fixed values: header lines of both versions
 _DATE = "20240101000000"
 
@@ -188,7 +191,8 @@ def arc_index(arcs: DataFrame) -> DataFrame:
 
 def convert_arcs(arcs: DataFrame, folder: str) -> DataFrame:
     """Write a WARC for every ARC (column arc: path); return the WARCs' paths."""
-    spread = max(1, arcs.count())
+    count = arcs.count()
+    spread = max(1, min(count, arcs.sparkSession.sparkContext.defaultParallelism), -(-count // TASK_ARCHIVES))
     arcs = written(arcs.repartition(spread, "arc"), "op8-spread")
     index = arc_index(arcs)
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "arc", "place")
