@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import lean, row_chunks, table, utf8_column, written
+from docloom.llm.common import HALF_CHUNK, lean, row_chunks, table, utf8_column, written
 from docloom.llm.tokens import encoder
 
 
@@ -72,7 +72,7 @@ def _pieces(capacity: int, tokenizer: str, end_id: int):
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             data, off = utf8_column(batch.column(1))
-            for i, j in row_chunks(off):
+            for i, j in row_chunks(off, HALF_CHUNK):
                 ids, at = encoder(tokenizer).encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 ids = np.insert(ids, at[1:], np.uint32(end_id)).astype("<u4")
                 first = at + np.arange(j - i + 1)
@@ -136,7 +136,7 @@ def materialize_sequences(docs: DataFrame, spans: DataFrame, tokenizer: str, end
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8_column(batch.column(1))
-            for i, j in row_chunks(off):
+            for i, j in row_chunks(off, HALF_CHUNK):
                 got, at = encoder(tokenizer).encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(i, j - i), "ids": pa.array([[*got[a:b].tolist(), end_id] for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int32()))})
 

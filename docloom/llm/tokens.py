@@ -28,7 +28,7 @@ for _a in (_LETTER, _DIGIT, _OTHER):
     _CUT[_a, _WS] = _CUT[_a, _SPACE] = True
 _CUT = _CUT.ravel()
 #: Distinct units a worker keeps; beyond that it starts anew.
-CACHE_UNITS = 1_500_000
+CACHE_UNITS = 500_000
 
 
 def unit_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
