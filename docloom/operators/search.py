@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.questions import focus_tokens, is_projection, is_relation_question, page_number, under_anchors
-from docloom.functions.text import search_tokens
+from docloom.functions.text import once, search_tokens
 from docloom.operators.joins import is_small, side, small
 from docloom.operators.storage import stored
 from docloom.operators.vector_index import VectorIndex, build
@@ -14,6 +14,8 @@ from docloom.operators.vector_index import search as vector_search
 
 K1, B, TERMS, TOP, RRF, BONUS = 1.2, 0.75, 10, 10, 60, 0.02
 DIGITS = 6
+#: Characters of a gram of the index of names.
+GRAM = 3
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -137,16 +139,45 @@ def rerank(fused: DataFrame, scores: DataFrame, top: int = 20) -> DataFrame:
     return ranked(kept, F.col("segment"), F.when(F.col("segment") == 0, -F.col("score")), F.col("before")).drop("segment", "new")
 
 
-def keyword_hits(scores: DataFrame, chunks: DataFrame, keywords: DataFrame, top: int = 5) -> DataFrame:
-    """Per keyword (kid, keyword), the best of all scored chunks (qid, chunk_id, score) whose source name holds it.
+def grams(text: Column, size: int = GRAM) -> Column:
+    """The runs of size characters of a text, all its shorter runs too, and the empty one: as many as it has characters, a few times over."""
+
+    def runs(each: Column) -> Column:
+        def of(n: int) -> Column:
+            return F.filter(F.transform(each, lambda c, i: F.concat(c, *(F.get(each, i + k) for k in range(1, n)))), lambda g: g.isNotNull())
+
+        return F.concat(F.array(F.lit("")), *map(of, range(1, size + 1)))
+
+    return once(F.filter(F.split(text, ""), lambda c: c != ""), runs)
+
+
+def own_grams(text: Column, size: int = GRAM) -> Column:
+    """Those grams of a text that every text which holds it has too, as long as they come."""
+    n = F.length(text)
+    return F.when(n < size, F.array(text)).otherwise(F.filter(grams(text, size), lambda g: F.length(g) == size))
 
-    A keyword is looked up among the substrings of the distinct names, so no name meets every keyword.
+
+def holding(names: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(name, kid): names (name) that hold a keyword (kid, keyword), upper and lower case alike, by an index of their grams.
+
+    A keyword is sought by its rarest gram alone, and what has that is compared. So neither the names' substrings nor all
+    pairs are formed.
     """
-    low = F.lower("source_name")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length(low)), lambda n: F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, n))))
-    every = F.array_distinct(F.concat(F.array(F.lit("")), F.when(F.length(low) > 0, parts).otherwise(F.array().cast("array<string>"))))
-    names = chunks.select("source_name").where("source_name is not null").distinct()
-    held = names.select("source_name", F.explode(every).alias("part")).join(keywords.select("kid", F.lower("keyword").alias("part")).hint("merge"), "part").select("source_name", "kid")
+    low = names.select("name").where("name is not null").distinct()
+    low = stored(low.select(F.monotonically_increasing_id().alias("id"), "name", F.lower("name").alias("low")), "names")
+    index = stored(low.select("id", F.explode(grams(F.col("low"))).alias("gram")).distinct(), "gram-index")
+    asked = keywords.where("keyword is not null").select("kid", F.lower("keyword").alias("part"))
+    frequency = index.groupBy("gram").agg(F.count("*").alias("n"))
+    sought = asked.select("kid", "part", F.explode(own_grams(F.col("part"))).alias("gram")).join(frequency.hint("merge"), "gram", "left")
+    # A gram that no name has is the rarest: the keyword is nowhere.
+    rarest = sought.groupBy("kid", "part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = index.join(small(stored(rarest, "rarest-grams")), "gram").select("id", "kid", "part")
+    return found.join(low.hint("merge"), "id").where(F.contains("low", "part")).select("name", "kid")
+
+
+def keyword_hits(scores: DataFrame, chunks: DataFrame, keywords: DataFrame, top: int = 5) -> DataFrame:
+    """Per keyword (kid, keyword), the best of all scored chunks (qid, chunk_id, score) whose source name holds it."""
+    held = holding(chunks.select(F.col("source_name").alias("name")), keywords).withColumnRenamed("name", "source_name")
     found = scores.select("qid", "chunk_id", "score").join(chunks.select("chunk_id", "source_name").hint("merge"), "chunk_id").join(held.hint("merge"), "source_name")
     order = Window.partitionBy("qid", "kid").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import assets, blockmax, search, vector_index
-from docloom.operators.storage import scratch
+from docloom.operators import assets, blockmax, registry, search, variants, vector_index
+from docloom.operators.storage import scratch, stored
 from docloom.operators.versions import Conflict, VersionedTables
-from docloom.plans.inputs import questions, vectors
+from docloom.plans.inputs import questions, table, vectors
 from docloom.plans.registry_queries import _KEYS, _PAY, _payloads
 from docloom.plans.search_queries import _CORPUS, _chunks, _whole_tokens
 from docloom.plans.search_queries import ORACLE as SEARCH
@@ -90,7 +90,31 @@ def save_by_day(spark, d):
     return spark.read.parquet(f"{root}/assets").select("asset_id", "day")
 
 
-QUERIES = {f.__name__: f for f in (vector_index_topk, blockmax_topk, segment_upsert, segment_sizes, version_history, clear_all, save_by_day)}
+def approx_corpus_stats(spark, d):
+    """Sources and chunks by type from sketches that were stored by ten parts of the corpus."""
+    parts = _chunks(spark, d).withColumn("part", F.pmod(F.col("source_key").cast("long"), F.lit(10)))
+    return registry.merged_stats(stored(registry.stat_sketches(parts, ["part"]), "sketches"))
+
+
+def _metadata(spark, d):
+    """Documents' metadata as JSON with nested, mistyped and unknown keys; of every seventh document no JSON."""
+    json = F.concat(F.lit('{"n_chars": '), F.col("n_chars").cast("string"), F.lit(', "lang": "'), "lang", F.lit('", "extra": {"ids": ['), F.col("doc_id").cast("string"), F.lit(', 7]}, "source": "'), "source", F.lit('"}'))
+    docs = table(spark, d, "documents")
+    return variants.parsed(docs.select("doc_id", F.when(F.col("doc_id") % 7 == 0, "no {json").otherwise(json).alias("json")), "json")
+
+
+def metadata_variant(spark, d):
+    """Typed fields of metadata, and its JSON written back with all keys."""
+    fields = {"n_chars": ("$.n_chars", "bigint"), "lang": ("$.lang", "string"), "first_id": ("$.extra.ids[0]", "bigint"), "as_number": ("$.source", "bigint"), "missing": ("$.none", "string")}
+    return _metadata(spark, d).select("doc_id", *variants.typed(F.col("meta"), fields), variants.encoded(F.col("meta")).alias("encoded"))
+
+
+def metadata_keys(spark, d):
+    """How many documents have each key of the metadata."""
+    return variants.entries(_metadata(spark, d)).groupBy("key").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (vector_index_topk, blockmax_topk, segment_upsert, segment_sizes, version_history, clear_all, save_by_day, approx_corpus_stats, metadata_variant, metadata_keys)}
 
 _NEW, _GONE = "CAST(source_key AS BIGINT) % 100 = 1", "CAST(source_key AS BIGINT) % 100 = 2"
 ORACLE = {
@@ -101,6 +125,11 @@ ORACLE = {
 SELECT CAST(0 AS INTEGER) AS n, 'publish' AS operation, n AS n_rows, CAST(0 AS BIGINT) AS tombstones FROM c UNION ALL SELECT 1, 'upsert', new, new FROM c UNION ALL SELECT 2, 'delete', 0, gone FROM c""",
     "version_history": f"""WITH {_CORPUS}, c AS (SELECT count(*) AS n, count(*) FILTER ({_GONE}) AS gone, count(*) FILTER (CAST(source_key AS BIGINT) % 2 = 0) AS half FROM corpus)
 SELECT CAST(1 AS INTEGER) AS version, 'publish' AS operation, n AS chunks FROM c UNION ALL SELECT 2, 'upsert', n FROM c UNION ALL SELECT 3, 'delete', n - gone FROM c UNION ALL SELECT 4, 'publish', half FROM c UNION ALL SELECT 5, 'clear', 0 FROM c""",
+    # Sketches are exact for so few sources.
+    "approx_corpus_stats": f"WITH {_CORPUS} SELECT source_type, count(DISTINCT source_key) AS sources, count(*) AS chunks FROM corpus GROUP BY 1",
+    "metadata_variant": """SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN n_chars END AS n_chars, CASE WHEN doc_id % 7 > 0 THEN lang END AS lang, CASE WHEN doc_id % 7 > 0 THEN doc_id END AS first_id, CAST(NULL AS BIGINT) AS as_number, CAST(NULL AS VARCHAR) AS missing,
+CASE WHEN doc_id % 7 > 0 THEN '{"extra":{"ids":[' || doc_id || ',7]},"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}' END AS encoded FROM documents""",
+    "metadata_keys": "SELECT key, count(*) AS n FROM documents, (SELECT unnest(['extra', 'lang', 'n_chars', 'source']) AS key) WHERE doc_id % 7 > 0 GROUP BY 1",
     "clear_all": "SELECT CAST(0 AS BIGINT) AS chunks",
     "save_by_day": f"""WITH {_PAY}, {_KEYS}, f AS (SELECT k, arg_min(asset_id, (created_at, asset_id)) AS asset_id FROM pk WHERE conv_id % 3 > 0 GROUP BY 1),
 r AS (SELECT k, arg_min(asset_id, (created_at, asset_id)) AS asset_id FROM pk WHERE k NOT IN (SELECT k FROM f) GROUP BY 1)

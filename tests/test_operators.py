@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import assets, chunking, evaluate, evidence, layout, registry, search, storage
+from docloom.operators import assets, chunking, evaluate, evidence, layout, registry, search, storage, variants
 from docloom.plans import inputs
 from docloom.sources import assemble, files
 
@@ -279,3 +279,33 @@ def test_rewritten_tables_get_a_new_index(spark, tmp_path):
             made = inputs.maintained(spark, str(tmp_path), "numbers", lambda n=n: built.append(n) or spark.range(n))
             assert made.count() == n
     assert built == [3, 4]
+
+
+def test_names_that_hold_keywords(spark):
+    names = ["Report 2024.pdf", "report", "ÉTUDE de cas", "", "aab", "x" * 50, "日本語の報告", None, "a b", "AAB"]
+    words = ["", "r", "RE", "rep", "2024", "étude", "aab", "b", "報告", "zzz", "xxxx", "e d", None, "report 2024.pdf and more"]
+    got = search.holding(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame(list(enumerate(words)), "kid int, keyword string"))
+    want = sorted({(n, k) for n in names if n is not None for k, w in enumerate(words) if w is not None and w.lower() in n.lower()})
+    assert sorted((r["name"], r["kid"]) for r in got.collect()) == want
+
+
+def test_long_names_are_sought_in_linear_time(spark):
+    long = spark.range(3).select(F.concat(F.repeat(F.concat(F.lit("section-"), F.col("id").cast("string"), F.lit(" ")), 10_000), F.lit("needle")).alias("name"))
+    found = search.holding(long, spark.createDataFrame([(1, "needle"), (2, "on-2 sec"), (3, "nowhere")], "kid int, keyword string")).groupBy("kid").count().collect()
+    assert {r["kid"]: r["count"] for r in found} == {1: 3, 2: 1}
+
+
+def test_sketches_of_parts_merge(spark):
+    rows = spark.range(60_000).select((F.col("id") % 20_000).cast("string").alias("source_key"), F.when(F.col("id") % 3 == 0, "pdf").otherwise("text").alias("source_type"), (F.col("id") % 7).alias("day"))
+    found = {r["source_type"]: r for r in registry.merged_stats(registry.stat_sketches(rows, ["day"])).collect()}
+    for r in registry.corpus_stats(rows).collect():
+        assert abs(found[r["source_type"]]["sources"] - r["sources"]) <= 0.02 * r["sources"] and found[r["source_type"]]["chunks"] == r["chunks"]
+
+
+def test_variants_keep_unknown_keys(spark):
+    texts = ['{"b": 1, "a": {"x": [1, 2]}, "n": "5", "new": null}', "no json", None, "[1]", "{}"]
+    rows = variants.parsed(spark.createDataFrame([(t,) for t in texts], "json string"), "json")
+    got = [tuple(r) for r in rows.select(*variants.typed(F.col("meta"), {"b": ("$.b", "int"), "x": ("$.a.x[1]", "bigint"), "n": ("$.n", "int"), "a": ("$.a", "int")}), variants.encoded(F.col("meta"))).collect()]
+    assert got[0] == (1, 2, 5, None, '{"a":{"x":[1,2]},"b":1,"n":"5","new":null}')
+    assert [g[4] for g in got[1:]] == [None, None, "[1]", "{}"]
+    assert sorted(r["key"] for r in variants.entries(rows).collect()) == ["a", "b", "n", "new"]
