@@ -16,7 +16,7 @@ The quantisers are trained on the classes with the smallest hashes, at most TRAI
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those without a label, have
 no links, a component of their own and are kept; vectors of different lengths never link (each length has quantisers of
-its own), of any length up to what one row can hold; rows are counted one by one, repeated vec_ids too; a null vec_id
+its own), of any length up to what one row can hold; labels are of any type that can be grouped, and equal only within it; rows are counted one by one, repeated vec_ids too; a null vec_id
 never represents others if one with an id is in the component; further columns are ignored; an empty table gives no
 rows.
 """
@@ -120,9 +120,17 @@ def _classes(vectors: DataFrame) -> DataFrame:
                         v[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, mask=d == 0), pa.array(v, pa.binary())], names=["vec_id", "label", "d", "v"])
 
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.mapInArrow(lean(packed), "vec_id long, label long, d int, v binary")
-    return rows.withColumn("node", F.when(F.col("v").isNotNull(), F.unhex(F.md5(F.concat(F.col("label").cast("string").cast("binary"), F.lit(b"|"), "v")))))
+    kind = vectors.schema["label"].dataType.simpleString()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.mapInArrow(lean(packed), f"vec_id long, label {kind}, d int, v binary")
+    return rows.withColumn("node", F.when(F.col("v").isNotNull(), F.unhex(F.md5(F.concat(F.md5(F.col("label").cast("string").cast("binary")).cast("binary"), "v")))))
+
+
+def _numbered(classes: DataFrame) -> DataFrame:
+    """classes with a number in place of each label, whatever its type."""
+    labels = written(classes.select("label").distinct().select("label", F.monotonically_increasing_id().alias("number")), "op4-labels")
+    few = labels.count() <= BROADCAST_LABELS
+    return classes.join(F.broadcast(labels) if few else labels.hint("merge"), "label").drop("label").withColumnRenamed("number", "label")
 
 
 def _probes(q: Quantiser, x: np.ndarray, own: np.ndarray, lists: np.ndarray, radius: np.ndarray, far: float) -> np.ndarray:
@@ -253,7 +261,8 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 def link_embeddings(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """Every row of vectors (vec_id, embedding, label): vec_id, n_links, component_id and kept."""
     rows = written(_classes(vectors), "op4-rows")
-    classes = written(rows.where("node is not null").groupBy("node", "label", "d", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")), "op4-classes")
+    classes = rows.where("node is not null").groupBy("node", "label", "d", "v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    classes = written(_numbered(classes), "op4-classes")
     found = None
     for size in classes.groupBy("d").agg(F.count("*").alias("n")).orderBy("d").collect():  # a row for each length of vectors
         mine = classes.where(F.col("d") == size["d"])

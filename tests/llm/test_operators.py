@@ -941,3 +941,26 @@ def test_near_duplicates_and_leaks_carry_ids_of_strings_and_binaries(spark):
         assert [v[1] for k, v in sorted(found.items(), key=lambda x: str(x[0])) if k is not None].count(True) == 2 and found[low][1] and found[None] == (None, True)
         hits = op10_decontamination.contamination(docs, spark.createDataFrame([(1, "like this one")], "item_id long, text string")).where("size(items) > 0").collect()
         assert [r["doc_id"] if kind == "string" else bytes(r["doc_id"]) for r in hits] == [show(b"z")]
+
+
+def test_embeddings_with_labels_of_any_type(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, "a"), (2, v, "a"), (3, v, "a|"), (4, v, "7"), (5, v, None), (6, [x * 2 for x in v], "7")]
+    for kind in ("string", "binary"):
+        frame = spark.createDataFrame([(i, x, s if kind == "string" or s is None else s.encode()) for i, x, s in rows], f"vec_id long, embedding array<float>, label {kind}")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op4_embedding_dedup.link_embeddings(frame).collect()}
+        assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (0, 5), 6: (1, 4)}
+
+
+def test_many_archives_in_few_tasks(spark, monkeypatch):
+    from docloom.llm.common import scratch
+
+    monkeypatch.setattr(op8_warc, "ARCHIVE_RECORDS", 2)
+    monkeypatch.setattr(op8_warc, "TASK_ARCHIVES", 16)
+    pages = spark.range(600).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), F.concat(F.lit("page " * 30), (F.col("id") % 7).cast("string")).alias("html"))
+    arcs = op8_warc.write_arcs(pages.repartition(3), scratch(spark, "arc"))
+    assert arcs.count() >= 300
+    folder = scratch(spark, "warc")
+    assert op8_warc.convert_arcs(arcs, folder).rdd.getNumPartitions() <= 32
+    kinds = {r["record_type"]: r["count"] for r in op8_warc.read_warcs(spark, folder).groupBy("record_type").count().collect()}
+    assert kinds == {"response": 7, "revisit": 593}
