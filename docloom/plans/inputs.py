@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.storage import spread, stored
 
+T = TypeVar("T")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
@@ -38,7 +41,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
-_kept: dict[tuple[str, str, str, int], DataFrame] = {}
+_kept: dict[tuple[str, str, str, int], object] = {}
 
 
 def _state(spark: SparkSession, sf_dir: str) -> int:
@@ -51,12 +54,17 @@ def _state(spark: SparkSession, sf_dir: str) -> int:
     return hash(tuple(sorted(found)))
 
 
-def maintained(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table of the index over the given tables: built and stored by the first query of a session that needs it.
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
+    """What the first query of a session that needs it makes of the given tables.
 
-    Tables that were written anew since then (by their files' names, sizes and times) get a new index.
+    Tables that were written anew since then (by their files' names, sizes and times) get it anew.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir))
     if key not in _kept:
-        _kept[key] = stored(build(), name)
+        _kept[key] = make()
     return _kept[key]
+
+
+def maintained(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the index over the given tables: built and stored by the first query of a session that needs it."""
+    return kept(spark, sf_dir, name, lambda: stored(build(), name))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions.questions import FOCUS_STOP
 from docloom.functions.text import MARKED, PLAIN
-from docloom.operators import chunking, evidence, search
-from docloom.plans.inputs import documents, maintained, questions, table, vectors
+from docloom.operators import chunking, evidence, search, vector_index
+from docloom.operators.storage import stored
+from docloom.plans.inputs import documents, kept, maintained, questions, table, vectors
 from docloom.plans.text_queries import CHUNKS
 
 HITS = 5
@@ -49,6 +50,11 @@ def _chunk_tokens(spark, d):
     return _tokens_of(spark, d, "chunk-tokens", _chunks(spark, d))
 
 
+def _vector_index(spark, d):
+    """The maintained index's vectors."""
+    return kept(spark, d, "vector-index", lambda: vector_index.build(vectors(spark, d)))
+
+
 def _hits(spark, d):
     return search.bm25(_chunk_tokens(spark, d), questions(spark, d), HITS).join(_chunks(spark, d).hint("merge"), "chunk_id")
 
@@ -67,7 +73,7 @@ def _variant_hits(spark, d):
 
 
 def index_postings(spark, d):
-    rows = search.postings(_chunks(spark, d))
+    rows = search.postings(_chunk_tokens(spark, d))
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
@@ -76,16 +82,16 @@ def bm25_topk(spark, d):
 
 
 def vector_topk(spark, d):
-    return search.nearest(vectors(spark, d), vectors(spark, d).select(F.col("chunk_id").alias("qid"), "vector").where("cast(qid as long) % 100 = 0"))
+    return search.nearest(_vector_index(spark, d), vectors(spark, d).select(F.col("chunk_id").alias("qid"), "vector").where("cast(qid as long) % 100 = 0"))
 
 
 def rrf_fusion(spark, d):
     asked = _question_vectors(spark, d)
-    return search.fuse(search.bm25(_whole_tokens(spark, d), asked), search.nearest(vectors(spark, d), asked))
+    return search.fuse(search.bm25(_whole_tokens(spark, d), asked), search.nearest(_vector_index(spark, d), asked))
 
 
 def hybrid_topk(spark, d):
-    return search.hybrid(_whole_tokens(spark, d), vectors(spark, d), _question_vectors(spark, d)).select("qid", "chunk_id", "score", "rank")
+    return search.hybrid(_whole_tokens(spark, d), _vector_index(spark, d), _question_vectors(spark, d)).select("qid", "chunk_id", "score", "rank")
 
 
 def _layout(spark, d):
@@ -115,8 +121,9 @@ def focus_expansion(spark, d):
 
 
 def rerank_candidates(spark, d):
-    scores = rrf_fusion(spark, d).where("pmod(cast(chunk_id as long), 3) > 0").select("qid", "chunk_id", (F.pmod(F.col("chunk_id").cast("long") * 37 + F.col("qid"), F.lit(101)) / 101.0).alias("score"))
-    return search.rerank(rrf_fusion(spark, d), scores, 10).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    fused = stored(rrf_fusion(spark, d), "fused")
+    scores = fused.where("pmod(cast(chunk_id as long), 3) > 0").select("qid", "chunk_id", (F.pmod(F.col("chunk_id").cast("long") * 37 + F.col("qid"), F.lit(101)) / 101.0).alias("score"))
+    return search.rerank(fused, scores, 10).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def source_keyword_hits(spark, d):
@@ -127,7 +134,7 @@ def source_keyword_hits(spark, d):
 
 def channel_diagnostics(spark, d):
     asked = _question_vectors(spark, d)
-    lists = search.bm25(_whole_tokens(spark, d), asked).select("qid", "chunk_id", "rank", F.lit("fts").alias("channel")).unionByName(search.nearest(vectors(spark, d), asked).select("qid", "chunk_id", "rank", F.lit("vector").alias("channel")))
+    lists = search.bm25(_whole_tokens(spark, d), asked).select("qid", "chunk_id", "rank", F.lit("fts").alias("channel")).unionByName(search.nearest(_vector_index(spark, d), asked).select("qid", "chunk_id", "rank", F.lit("vector").alias("channel")))
     return evidence.channel_counts(lists.join(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("label")).hint("merge"), "chunk_id"))
 
 
