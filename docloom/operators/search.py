@@ -64,16 +64,17 @@ def ranked(rows: DataFrame, *order: Column, top: int | None = None) -> DataFrame
     return out.where(F.col("rank") <= top) if top else out
 
 
-def nearest(vectors: DataFrame | VectorIndex, queries: DataFrame, top: int = TOP) -> DataFrame:
+def nearest(vectors: DataFrame | VectorIndex, queries: DataFrame, top: int = TOP, block: int | None = None) -> DataFrame:
     """Exact neighbours of queries (qid, vector) by squared distance: qid, chunk_id, score = 1 / (1 + distance), rank.
 
-    vectors: a stored index, or rows (chunk_id, vector), of which one is built first.
+    vectors: a stored index, or rows (chunk_id, vector), of which one is built first; block: queries that meet a part of it
+    at a time.
     """
     index = vectors if isinstance(vectors, VectorIndex) else build(vectors)
     if index is None:
         kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["chunk_id"]
         return queries.sparkSession.createDataFrame([], f"qid {kinds[0]}, chunk_id {kinds[1]}, score double, rank int")
-    return vector_search(index, queries, top)
+    return vector_search(index, queries, top, chunk=block)
 
 
 def fuse(fts: DataFrame, vector: DataFrame, k: int = RRF) -> DataFrame:

@@ -158,11 +158,11 @@ def _routed(asked: DataFrame, index: VectorIndex, first: int, rest: bool) -> Dat
     return stored(asked.select(columns).mapInArrow(route, f"qid {dict(asked.dtypes)['qid']}, list int"), "vector-probes")
 
 
-def _met(index: VectorIndex, asked: DataFrame, probes: DataFrame, top: int) -> DataFrame:
+def _met(index: VectorIndex, asked: DataFrame, probes: DataFrame, top: int, chunk: int | None) -> DataFrame:
     """(qid, chunk_id, distance): the first of every block that a query meets."""
     spark = asked.sparkSession
     counts = spark.createDataFrame([(k, int(n)) for k, n in enumerate(index.sizes) if n], "list int, blocks int").join(F.broadcast(probes.groupBy("list").agg(F.count("*").alias("asked"))), "list")
-    probes = probes.join(F.broadcast(counts), "list").withColumn("part", F.pmod(F.xxhash64("qid", F.lit(2)), F.ceil(F.col("asked") / CHUNK)))
+    probes = probes.join(F.broadcast(counts), "list").withColumn("part", F.pmod(F.xxhash64("qid", F.lit(2)), F.ceil(F.col("asked") / (chunk or CHUNK))))
     gathered = probes.join(asked.select("qid", "vector").hint("merge"), "qid").groupBy("list", "part", "blocks").agg(F.collect_list(F.struct("qid", "vector")).alias("queries"))
     spread = gathered.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("list", "block", "queries")
     joined = index.blocks.join(spread.hint("merge"), ["list", "block"]).select("ids", "matrix", "queries")
@@ -209,20 +209,23 @@ def _asked(queries: DataFrame, width: int) -> DataFrame:
     return stored(rows.mapInArrow(pack, f"qid {dict(rows.dtypes)['qid']}, vector binary"), "vector-queries")
 
 
-def probes_of(index: VectorIndex, queries: DataFrame, top: int = 10, first: int = FIRST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def probes_of(index: VectorIndex, queries: DataFrame, top: int = 10, first: int = FIRST, chunk: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Packed queries, the lists each meets in both rounds, and what the first round found."""
     asked = _asked(queries, index.width)
     near = _routed(asked, index, first, rest=False)
-    found = stored(_first(_met(index, asked, near, top), top), "vector-first")
+    found = stored(_first(_met(index, asked, near, top, chunk), top), "vector-first")
     bound = found.groupBy("qid").agg(F.when(F.count("*") >= top, F.max("distance")).alias("bound"))
     bounded = asked.join(bound.hint("merge"), "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     return asked, near, _routed(bounded, index, first, rest=True), found
 
 
-def search(index: VectorIndex, queries: DataFrame, top: int = 10, first: int = FIRST) -> DataFrame:
-    """Exact neighbours of queries (qid, vector) by squared distance: qid, chunk_id, score = 1 / (1 + distance), rank. Ties go by chunk_id."""
-    asked, _, more, found = probes_of(index, queries, top, first)
-    rows = found.select("qid", "chunk_id", "distance").unionByName(_met(index, asked, more, top))
+def search(index: VectorIndex, queries: DataFrame, top: int = 10, first: int = FIRST, chunk: int | None = None) -> DataFrame:
+    """Exact neighbours of queries (qid, vector) by squared distance: qid, chunk_id, score = 1 / (1 + distance), rank. Ties go by chunk_id.
+
+    About chunk queries (CHUNK if it isn't given) meet a block at a time.
+    """
+    asked, _, more, found = probes_of(index, queries, top, first, chunk)
+    rows = found.select("qid", "chunk_id", "distance").unionByName(_met(index, asked, more, top, chunk))
     return _first(rows, top).select("qid", "chunk_id", F.round(1 / (1 + F.col("distance")), DIGITS).alias("score"), "rank")
 
 

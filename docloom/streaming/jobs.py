@@ -17,6 +17,8 @@ from docloom.operators import chunking, registry, storage
 IN_FLIGHT = "10 minutes"
 #: Batches after which the states of tasks are merged.
 COMPACT = 50
+#: Parts of the registry of contents, by hash: a batch reads those of its own contents.
+BUCKETS = 64
 
 
 def read(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -29,23 +31,27 @@ def run(stream: DataFrame, each, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest(docs: DataFrame, out: str, checkpoint: str) -> None:
-    """Chunks of contents that no earlier batch brought, under out/chunks; their hashes under out/registry.
+def ingest(docs: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS) -> None:
+    """Chunks of contents that no earlier batch brought, under out/chunks; their hashes under out/registry, by bucket.
 
-    A batch writes its own folders, so a repeated one replaces what it wrote.
+    A batch writes its own folders, so a repeated one replaces what it wrote. Of the registry it reads only the buckets of
+    its contents. Of rows with equal contents the one with the smallest source_key is taken, once.
     """
     spark = docs.sparkSession
+    known_as = "content_hash string, batch int, bucket int"
 
     def batch(rows: DataFrame, number: int) -> None:
         hashed = rows.withColumn("content_hash", content_hash(F.col("text")))
-        first = hashed.groupBy("content_hash").agg(F.min("source_key").alias("source_key"))
-        known = spark.createDataFrame([], "content_hash string, batch int")
+        first = hashed.groupBy("content_hash").agg(F.min("source_key").alias("source_key")).withColumn("bucket", F.pmod(F.xxhash64("content_hash"), F.lit(buckets)).cast("int"))
+        known = spark.createDataFrame([], known_as)
         if number:
-            known = spark.read.option("basePath", f"{out}/registry").schema("content_hash string, batch int").parquet(f"{out}/registry").where(F.col("batch") < number)
+            first = storage.stored(first, "contents")
+            touched = [r["bucket"] for r in first.select("bucket").distinct().collect()]  # at most `buckets`
+            known = spark.read.option("basePath", f"{out}/registry").schema(known_as).parquet(f"{out}/registry").where((F.col("batch") < number) & F.col("bucket").isin(touched))
         new = first.join(known.select("content_hash").hint("merge"), "content_hash", "left_anti")
-        fresh = hashed.join(new.hint("merge"), ["content_hash", "source_key"], "left_semi")
+        fresh = hashed.join(new.select("content_hash", "source_key").hint("merge"), ["content_hash", "source_key"], "left_semi").dropDuplicates(["content_hash", "source_key"])
         chunking.chunk_documents(fresh.select("source_key", "source_type", "text")).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-        new.select("content_hash").write.mode("overwrite").parquet(f"{out}/registry/batch={number}")
+        new.select("content_hash", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/registry/batch={number}")
 
     run(docs, batch, checkpoint)
 

@@ -16,6 +16,12 @@ def test_ingest_equals_batch_without_repeats(spark, tmp_path):
     assert got.count() == 7
     want = chunking.chunk_documents(docs).select(F.md5("text").alias("h")).distinct()
     assert {r["h"] for r in got.select(F.md5("text").alias("h")).collect()} == {r["h"] for r in want.collect()}
+    assert spark.read.parquet(str(tmp_path / "out" / "registry")).count() == 7
+    # The same rows again bring nothing, nor does a repeated row of one key.
+    docs.unionByName(docs).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([("k", "text", "new content")] * 3, docs.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    jobs.ingest(jobs.read(spark, str(tmp_path / "in"), 2), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    assert spark.read.parquet(str(tmp_path / "out" / "chunks")).count() == 8
 
 
 def test_content_states(spark, tmp_path):
