@@ -487,7 +487,7 @@ class Model:
         """log10 of each word's probability in its class, given its count; n = 0: of any unseen word."""
         once = self.classes.once
         with np.errstate(divide="ignore"):
-            rare = np.where(n > 0, n / (2 * once + 1), (once + 1) / (2 * once + 1))
+            rare = np.where(n > 0, n, once + 1) / (self.class_tokens[RARE] + once + 1)
             p = np.where(of == RARE, rare, np.where(of == ENDS, 1.0, n / np.maximum(self.class_tokens[of], 1)))
             return np.log10(p)
 
