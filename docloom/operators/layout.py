@@ -5,9 +5,11 @@ blocks: source_id, page, block_id, text, x0, y0, x1, y1, font_size, page_height.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import filled_lines, joined_heading, lines, once
 from docloom.operators.storage import stored
@@ -72,24 +74,34 @@ def merge_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def bands(nodes: DataFrame, tolerance: float = BAND) -> DataFrame:
-    """Nodes with their band: each joins the first band whose mean height is near. Sequential within a page."""
-
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y_center", "x_center", "node"]).reset_index(drop=True)
-        sums: list[list[float]] = []
-        chosen = []
-        for y in frame["y_center"]:
-            for k, (total, n) in enumerate(sums):
-                if abs(y - total / n) <= tolerance:
-                    sums[k] = [total + y, n + 1]
-                    break
-            else:
-                k = len(sums)
-                sums.append([y, 1])
-            chosen.append(k)
-        return frame.assign(band=pd.Series(chosen, dtype="int32"))
-
-    return nodes.groupBy(*PAGE).applyInPandas(assign, nodes.withColumn("band", F.lit(0)).schema)
+    """Nodes with their band: each joins the first band whose mean height is near. Sequential within a page, whose nodes are
+    one row meanwhile.
+
+    Heights come in ascending order, so a band that a later one was begun beside is out of reach from then on: only the
+    last one is compared.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def assign(heights: pd.Series) -> pd.Series:
+        def of(page: np.ndarray) -> list[int]:
+            chosen, total, n, k = [], 0.0, 0, -1
+            for y in page.tolist():
+                if n and abs(y - total / n) <= tolerance:
+                    total, n = total + y, n + 1
+                else:
+                    total, n, k = y, 1, k + 1
+                chosen.append(k)
+            return chosen
+
+        return heights.map(of)
+
+    rest = [c for c in nodes.columns if c not in PAGE]
+    place = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+    row = F.struct(place("y_center").alias("y"), place("x_center").alias("x"), F.col("node").alias("id"), F.struct(*rest).alias("row"))
+    pages = nodes.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("bands", assign(F.transform("rows", lambda r: r["y"])))
+    each = pages.select(*PAGE, F.explode(F.arrays_zip(F.transform("rows", lambda r: r["row"]).alias("row"), F.col("bands").alias("band"))).alias("z"))
+    values = {c: F.col("z.band" if c == "band" else f"z.row.{c}").alias(c) for c in [*rest, "band"]}
+    return each.select(*PAGE, *values.values()).select(*nodes.columns, *([] if "band" in nodes.columns else ["band"]))
 
 
 def hierarchy(nodes: DataFrame, reach: float = MAX_X) -> DataFrame:
@@ -100,40 +112,100 @@ def hierarchy(nodes: DataFrame, reach: float = MAX_X) -> DataFrame:
     return best.select(*PAGE, F.col("best.parent").alias("parent"), F.col("node").alias("child"), F.lit("inferred_reports_to").alias("relation"), F.lit("medium").alias("confidence"))
 
 
-def label(line_1: str, line_2: str) -> Column:
-    return F.when(F.col(line_2).isNull(), F.concat(F.lit("Field 1: "), line_1)).otherwise(F.concat(F.lit("Field 1: "), line_1, F.lit(" (Field 2: "), line_2, F.lit(")")))
+def label(line_1: Column, line_2: Column) -> Column:
+    return F.when(line_2.isNull(), F.concat(F.lit("Field 1: "), line_1)).otherwise(F.concat(F.lit("Field 1: "), line_1, F.lit(" (Field 2: "), line_2, F.lit(")")))
 
 
-def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with the path of x places from their root and their depth, whatever the depth.
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _placed(nodes: pd.Series, steps: pd.Series, children: pd.Series, parents: pd.Series) -> pd.Series:
+    """Of each page's nodes in the order of its forest: their number, depth, and the place of what is above; null if edges lead in a circle."""
+
+    def of(ids: np.ndarray, step: np.ndarray, below: np.ndarray | None, above: np.ndarray | None) -> list[list[int | None]] | None:
+        number = {x: i for i, x in enumerate(ids)}
+        up = dict(zip(below, above, strict=True)) if below is not None else {}
+        kids: dict[int, list[int]] = {}
+        for i, x in enumerate(ids):
+            kids.setdefault(number.get(up[x], -1) if x in up else -1, []).append(i)
+        at, depth, over = [], [], []
+        # A node whose parent isn't there is a root that is told to be below one.
+        todo = [(i, int(ids[i] in up), None) for i in sorted(kids.get(-1, []), key=step.__getitem__, reverse=True)]
+        while todo:
+            i, deep, parent = todo.pop()
+            place = len(at)
+            at.append(i)
+            depth.append(deep)
+            over.append(parent)
+            todo.extend((j, deep + 1, place) for j in sorted(kids.get(i, []), key=step.__getitem__, reverse=True))
+        return [at, depth, over] if len(at) == len(ids) else None
 
-    Each round doubles the part of the way up that a node knows, so rounds grow with the logarithm of the depth. Edges that
-    lead in a circle have no root: ValueError.
+    return pd.Series([of(*x) for x in zip(nodes, steps, children, parents, strict=True)], dtype="object")
+
+
+def forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row for each page: its nodes in the order of their paths, each with parent, name, depth and `up`, its parent's place.
+
+    A page's texts are brought together once; what is told of its trees is made from that row. Edges that lead in a circle
+    have no root: ValueError. A node has one parent.
     """
-    step = F.format_string("%010.3f.%06d", "x_center", "node")
-    rows = nodes.join(edges.select(*PAGE, F.col("child").alias("node"), "parent").hint("merge"), [*PAGE, "node"], "left")
-    rows = rows.withColumns({"name": label("line_1", "line_2"), "path": step, "up": F.col("parent"), "depth": F.col("parent").isNotNull().cast("int")})
-    rows = stored(rows, "layout-paths")
-    nodes_left = rows.count()
-    while open_rows := rows.where("up is not null").count():
-        if nodes_left <= 0:
-            raise ValueError(f"{open_rows} nodes lie on or below circles of edges")
-        nodes_left //= 2  # a way up is no longer than the number of nodes, and each round doubles what is known of it
-        above = rows.select(*PAGE, F.col("node").alias("up"), F.col("path").alias("above"), F.col("depth").alias("more"), F.col("up").alias("next"))
-        known = rows.join(above.hint("merge"), [*PAGE, "up"], "left")
-        moved = {"path": F.concat_ws("/", "above", "path"), "depth": F.col("depth") + F.coalesce("more", F.lit(0)), "up": F.col("next")}
-        rows = stored(known.withColumns(moved).select(rows.columns), "layout-paths")
-    return rows.drop("up")
+    rest = [c for c in nodes.columns if c not in PAGE]
+    rows = nodes.groupBy(*PAGE).agg(F.collect_list(F.struct(*rest, F.format_string("%010.3f.%06d", "x_center", "node").alias("step"))).alias("nodes"))
+    below = edges.groupBy(*PAGE).agg(F.collect_list("child").alias("child"), F.collect_list("parent").alias("parent"))
+    rows = rows.join(below.hint("merge"), PAGE, "left")
+    rows = rows.withColumn("placed", _placed(F.transform("nodes", lambda n: n["node"]), F.transform("nodes", lambda n: n["step"]), "child", "parent"))
+    node = lambda k: F.get("nodes", F.get(F.get("placed", F.lit(0)), k))
+
+    def row(_: Column, k: Column) -> Column:
+        up = F.get(F.get("placed", F.lit(2)), k)
+        return once(node(k), lambda n: F.struct(*(n[c].alias(c) for c in rest), n["step"].alias("step"), F.get(F.get("placed", F.lit(1)), k).alias("depth"), up.alias("up"), F.when(up.isNotNull(), node(up)["node"]).alias("parent"), label(n["line_1"], n["line_2"]).alias("name")))
+
+    # Alone in a projection the row is built once, however many of its fields are used.
+    kept = stored(rows.select(*PAGE, F.transform(F.get("placed", F.lit(0)), row).alias("rows")), "layout-forest")
+    if astray := kept.where("rows is null").count():
+        raise ValueError(f"on {astray} pages nodes lie on or below circles of edges")
+    return kept
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _paths(steps: pd.Series, ups: pd.Series) -> pd.Series:
+    def of(step: np.ndarray, up: np.ndarray) -> list[str]:
+        out: list[str] = []
+        for own, above in zip(step, up, strict=True):
+            out.append(own if above is None or above != above else f"{out[int(above)]}/{own}")
+        return out
+
+    return pd.Series([of(*x) for x in zip(steps, ups, strict=True)], dtype="object")
+
+
+def paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes with the path of x places from their root, their place in the order of paths and their depth, whatever the depth."""
+    rows = forest(nodes, edges)
+    rows = rows.withColumn("paths", _paths(F.transform("rows", lambda r: r["step"]), F.transform("rows", lambda r: r["up"])))
+    each = rows.select(*PAGE, F.posexplode(F.arrays_zip("rows", "paths")).alias("place", "z"))
+    return each.select(*PAGE, "place", "z.rows.*", F.col("z.paths").alias("path")).drop("step")
+
+
+def _gathered(placed: DataFrame) -> DataFrame:
+    """A row for each page, as forest has it, of nodes with paths."""
+    if "rows" in placed.columns:
+        return placed
+    fields = ["place", "node", "line_1", "name", "depth", "up"]
+    return placed.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
 
 
 def projection_text(placed: DataFrame, named: DataFrame) -> DataFrame:
-    """The canonical text of each page's forest, given as nodes with paths (named: title per page)."""
-    structure = placed.groupBy(*PAGE).agg(_lines("path", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("name"))).alias("structure"))
-    up = placed.select(*PAGE, F.col("node").alias("parent"), F.col("name").alias("parent_name"), F.col("path").alias("parent_path"))
-    under = placed.join(up.hint("merge"), [*PAGE, "parent"]).groupBy(*PAGE).agg(_lines(F.struct("parent_path", "path"), F.concat(F.lit("- "), "name", F.lit(" is structurally under "), "parent_name", F.lit("."))).alias("triggers"))
-    rows = structure.join(under.hint("merge"), PAGE, "left").join(named.hint("merge"), PAGE, "left")
+    """The canonical text of each page's forest (as forest or paths give it), with its number of nodes (named: title per page)."""
+    rows = _gathered(placed).join(named.hint("merge"), PAGE, "left")
+    structure = F.array_join(F.transform("rows", lambda r: F.concat(F.repeat(F.lit("  "), r["depth"]), F.lit("- "), r["name"])), "\n")
     head = F.concat(F.lit("[ORG_CHART]\nSource: "), "source_id", F.lit("\nPage: "), F.col("page").cast("string"), F.lit("\nTitle: "), F.coalesce("title", F.lit("ORG CHART")), F.lit("\nExtraction mode: layout\nConfidence: medium\n\nStructure:\n"))
-    return rows.select(*PAGE, F.concat(head, "structure", F.lit("\n\nSemantic Search Triggers:\n"), F.coalesce("triggers", F.lit("")), F.lit("\n[/ORG_CHART]")).alias("text"))
+    text = F.concat(head, structure, F.lit("\n\nSemantic Search Triggers:\n"), _triggers(F.col("rows"), F.lit(0)), F.lit("\n[/ORG_CHART]"))
+    return rows.select(*PAGE, text.alias("text"), F.size("rows").cast("long").alias("n_nodes"))
+
+
+def _triggers(rows: Column, first: Column) -> Column:
+    """Sentences on which node is under which, in the order of the upper and then of the lower; rows begin at place `first`."""
+    ways = F.array_sort(F.transform(rows, lambda r, k: F.struct(r["up"].alias("up"), k.alias("k"))))
+    under = lambda w: F.concat(F.lit("- "), F.get(rows, w["k"])["name"], F.lit(" is structurally under "), F.get(rows, w["up"] - first)["name"], F.lit("."))
+    return F.array_join(F.transform(F.filter(ways, lambda w: w["up"] >= first), under), "\n")
 
 
 def _lines(order: Column | str, line: Column) -> Column:
@@ -143,35 +215,32 @@ def _lines(order: Column | str, line: Column) -> Column:
 
 
 def subtrees(placed: DataFrame, min_nodes: int) -> DataFrame:
-    """Nodes below the roots whose subtrees have at least min_nodes nodes: page, node, n_nodes, top_path."""
-    tops = placed.where("depth = 1").select(*PAGE, F.col("node").alias("top"), F.col("path").alias("top_path"))
-    first_two = F.substring_index("path", "/", 2)
-    sizes = placed.where("depth >= 1").withColumn("top_path", first_two).groupBy(*PAGE, "top_path").agg(F.count("*").alias("n_nodes"))
-    return tops.join(sizes.hint("merge"), [*PAGE, "top_path"]).where(F.col("n_nodes") >= min_nodes).select(*PAGE, F.col("top").alias("node"), "n_nodes", "top_path")
+    """The children of roots whose subtrees have at least min_nodes nodes: page, part (from 1, in order), n_nodes, above (the
+    root), first (the place of the child) and rows (its subtree)."""
+    rows = _gathered(placed)
+    # In the order of paths a subtree is a run, which the next node that is no deeper than its top ends.
+    heads = F.concat(F.filter(F.transform("rows", lambda r, k: F.when(r["depth"] <= 1, k)), lambda k: k.isNotNull()), F.array(F.size("rows")))
+    rows = rows.withColumn("heads", heads)
+    tops = F.filter(F.transform("heads", lambda k, i: F.struct(k.alias("first"), (F.get("heads", i + 1) - k).alias("n_nodes"))), lambda t: (t["n_nodes"] >= min_nodes) & F.get("rows", t["first"])["up"].isNotNull())
+    each = rows.select(*PAGE, "rows", F.posexplode(tops).alias("n", "t"))
+    top = F.get("rows", F.col("t.first"))
+    return each.select(*PAGE, (F.col("n") + 1).alias("part"), F.col("t.n_nodes").cast("long").alias("n_nodes"), F.get("rows", top["up"]).alias("above"), F.col("t.first").alias("first"), F.slice("rows", F.col("t.first") + 1, F.col("t.n_nodes")).alias("rows"))
 
 
 def split_trees(placed: DataFrame, whole: DataFrame, max_nodes: int) -> DataFrame:
-    """A page's projection (whole: source_id, page, text) as part 0; of trees beyond max_nodes, also a part for each child
-    of a root whose subtree has at least max_nodes nodes, in order: part, n_nodes, text."""
-    sizes = placed.groupBy(*PAGE).agg(F.count("*").alias("n_nodes"))
-    first = whole.join(sizes.hint("merge"), PAGE).select(*PAGE, F.lit(0).alias("part"), "n_nodes", "text")
-    large = sizes.where(F.col("n_nodes") > max_nodes).select(*PAGE)
-    tops = stored(subtrees(placed, max_nodes).join(large.hint("merge"), PAGE, "left_semi"), "layout-tops")
-    inside = placed.where("depth >= 1").withColumn("top_path", F.substring_index("path", "/", 2)).join(tops.select(*PAGE, "top_path", "n_nodes").hint("merge"), [*PAGE, "top_path"])
-    named = placed.select(*PAGE, F.col("node").alias("parent"), F.col("name").alias("parent_name"), F.col("path").alias("parent_path"), F.col("line_1").alias("parent_line"))
-    inside = inside.join(named.hint("merge"), [*PAGE, "parent"])
-    below = F.col("depth") > 1
-    structure = F.when(below, F.concat(F.repeat(F.lit("  "), F.col("depth") - 2), F.lit("- "), F.col("name")))
-    under = F.when(below, F.concat(F.lit("- "), "name", F.lit(" is structurally under "), "parent_name", F.lit(".")))
-    head = F.max(F.when(~below, F.concat("parent_name", F.lit(" -> "), "name")))
-    manages = F.max(F.when(~below, F.concat(F.lit("- "), "parent_line", F.lit(" manages "), "line_1", F.lit("."))))
-    parts = inside.groupBy(*PAGE, "top_path", "n_nodes").agg(head.alias("context"), manages.alias("manages"), _lines("path", structure).alias("structure"), _lines(F.struct("parent_path", "path"), under).alias("triggers"))
+    """A page's projection (whole: source_id, page, text, n_nodes) as part 0; of trees beyond max_nodes, also a part for each
+    child of a root whose subtree has at least max_nodes nodes, in order: part, n_nodes, text."""
+    pages = _gathered(placed)
+    first = whole.select(*PAGE, F.lit(0).alias("part"), "n_nodes", "text")
+    parts = subtrees(pages.where(F.size("rows") > max_nodes), max_nodes)
+    below = F.slice("rows", F.lit(2), F.size("rows"))
+    structure = F.array_join(F.transform(below, lambda r: F.concat(F.repeat(F.lit("  "), r["depth"] - 2), F.lit("- "), r["name"])), "\n")
+    top = F.get("rows", F.lit(0))
     text = F.concat_ws(
-        "\n", F.lit("[ORG_CHART_SUBTREE]"), F.concat(F.lit("Source: "), "source_id"), F.concat(F.lit("Page: "), F.col("page").cast("string")), F.concat(F.lit("Context Root: "), "context"), F.lit("Confidence: medium"), F.lit(""),
-        F.lit("Structure:"), F.nullif("structure", F.lit("")), F.lit(""), F.lit("Semantic Search Triggers:"), "manages", F.nullif("triggers", F.lit("")), F.lit("[/ORG_CHART_SUBTREE]"),
+        "\n", F.lit("[ORG_CHART_SUBTREE]"), F.concat(F.lit("Source: "), "source_id"), F.concat(F.lit("Page: "), F.col("page").cast("string")), F.concat(F.lit("Context Root: "), F.col("above.name"), F.lit(" -> "), top["name"]), F.lit("Confidence: medium"), F.lit(""),
+        F.lit("Structure:"), F.nullif(structure, F.lit("")), F.lit(""), F.lit("Semantic Search Triggers:"), F.concat(F.lit("- "), F.col("above.line_1"), F.lit(" manages "), top["line_1"], F.lit(".")), F.nullif(_triggers(F.col("rows"), F.col("first")), F.lit("")), F.lit("[/ORG_CHART_SUBTREE]"),
     )
-    number = F.row_number().over(Window.partitionBy(*PAGE).orderBy("top_path"))
-    return first.unionByName(parts.select(*PAGE, number.alias("part"), "n_nodes", text.alias("text")))
+    return first.unionByName(parts.select(*PAGE, "part", "n_nodes", text.alias("text")))
 
 
 def is_other_page(text: Column) -> Column:

@@ -42,7 +42,7 @@ def layout_merge(spark, d):
 
 
 def layout_bands(spark, d):
-    return layout.bands(_nodes(spark, d).drop("band")).groupBy("page").agg(F.count_distinct("band").alias("bands"), F.count("*").alias("nodes"))
+    return layout.bands(_nodes(spark, d).select("source_id", "page", "node", "x_center", "y_center")).groupBy("page").agg(F.count_distinct("band").alias("bands"), F.count("*").alias("nodes"))
 
 
 def layout_hierarchy(spark, d):
@@ -51,13 +51,13 @@ def layout_hierarchy(spark, d):
 
 def layout_projection(spark, d):
     nodes = _nodes(spark, d)
-    return layout.projection_text(layout.paths(nodes, layout.hierarchy(nodes)), layout.titles(_blocks(spark, d)).select("source_id", "page", "title"))
+    return layout.projection_text(layout.forest(nodes, layout.hierarchy(nodes)), layout.titles(_blocks(spark, d)).select("source_id", "page", "title")).drop("n_nodes")
 
 
 def layout_subtrees(spark, d):
     """Projections, and of trees beyond MAX_NODES those of their large subtrees."""
     nodes = _nodes(spark, d)
-    placed = layout.paths(nodes, layout.hierarchy(nodes))
+    placed = layout.forest(nodes, layout.hierarchy(nodes))
     whole = layout.projection_text(placed, layout.titles(_blocks(spark, d)).select("source_id", "page", "title"))
     return layout.split_trees(placed, whole, MAX_NODES).select("page", "part", F.col("n_nodes").cast("long").alias("n_nodes"), F.md5("text").alias("text_hash"))
 

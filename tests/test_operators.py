@@ -309,3 +309,16 @@ def test_variants_keep_unknown_keys(spark):
     assert got[0] == (1, 2, 5, None, '{"a":{"x":[1,2]},"b":1,"n":"5","new":null}')
     assert [g[4] for g in got[1:]] == [None, None, "[1]", "{}"]
     assert sorted(r["key"] for r in variants.entries(rows).collect()) == ["a", "b", "n", "new"]
+
+
+def test_trees_and_bands_bring_a_page_together_once(spark):
+    n = 600
+    nodes = spark.range(n).select(F.lit("s").alias("source_id"), F.lit(1).alias("page"), F.col("id").alias("node"), F.lit("x").alias("line_1"), F.lit(None).cast("string").alias("line_2"), F.lit(1.0).alias("x_center"), (F.col("id") * 30.0).alias("y_center"), F.col("id").cast("int").alias("band"))
+    trees = layout.forest(nodes, layout.hierarchy(nodes))
+    plan = layout.projection_text(trees, spark.createDataFrame([], "source_id string, page int, title string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # no second gathering of nodes
+    assert [r["depth"] for r in trees.collect()[0]["rows"]] == list(range(n))
+    assert "path" not in trees.schema.simpleString()  # paths are as long as trees are deep
+    banded = layout.bands(nodes.drop("band"))
+    assert "FlatMapGroups" not in banded._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["node"], r["band"]) for r in banded.collect()) == [(k, k) for k in range(n)]
