@@ -1,3 +1,4 @@
+import hashlib
 import shutil
 import sqlite3
 
@@ -343,3 +344,16 @@ def test_best_scores_are_those_of_all_scores(spark):
     assert search.bm25(tokens, asked.limit(0)).count() == 0
     few = search.with_chunks(search.bm25(tokens, asked, 1), chunks)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in few
+
+
+def test_entities_end_where_letters_do(spark):
+    rows = spark.createDataFrame([(1, "Interview über SSö und äAB"), (2, "Interview at ABC"), (3, "Projectö XYö and Nö")], "qid int, question string")
+    got = {r["qid"]: r["query"] for r in evidence.expand_queries(rows).where("variant_ord = 2").collect()}
+    assert got == {1: "Interview 面试", 2: "ABC 面试"}
+
+
+def test_sketches_are_told_exactly(spark):
+    rows = spark.range(200_000).select(F.col("id").cast("string").alias("source_key"), F.lit("text").alias("source_type"), (F.col("id") % 3).alias("part"))
+    hashes = sorted({int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) for i in range(200_000)})[: registry.SKETCH]
+    got = registry.merged_stats(registry.stat_sketches(rows, ["part"])).collect()[0]
+    assert got["sources"] == int((registry.SKETCH - 1) * 2.0**52 / (hashes[-1] + 1)) and abs(got["sources"] - 200_000) < 2_000
