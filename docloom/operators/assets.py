@@ -13,7 +13,7 @@ from docloom.operators.storage import stored
 
 PAGE, MAX_PAGE, EXPORTS, TITLE = 50, 200, 5, 40
 GENERATED = "generated_asset"
-#: Parts of a day's assets and of their keys: a batch touches those of its keys.
+#: Parts of the assets and of their keys: a batch touches those of its keys.
 BUCKETS = 16
 KEY_FIELDS = ["question", "answer", "sources", "source_status", "evidence", "language", "answer_mode", "model_route"]
 
@@ -33,10 +33,12 @@ def save(payloads: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def save_by_day(payloads: DataFrame, root: str, buckets: int = BUCKETS) -> DataFrame:
-    """Save payloads (asset_id, created_at, fields) under root by day and bucket of their key; the rows that were new.
+    """Save payloads (asset_id, created_at, fields) under root by bucket of their key, within a bucket in order of days; the rows
+    that were new.
 
-    A payload whose key is stored, on whatever day, isn't written again. Only the touched parts are read and, as wholes,
-    replaced (dynamic partition overwrite), assets before keys: so a batch that is repeated, after a failure too, leaves one
+    A batch adds files to the buckets of its keys, as many however many days it has; a day is found by the files' least and
+    greatest days. A payload whose key is stored, on whatever day, isn't written again. Assets are written before keys: what a
+    batch that failed in between has left is taken up by the next one that holds it, so a batch that is repeated leaves one
     copy. One writer at a time.
     """
     keyed = payloads.withColumn("operation_key", operation_key([c for c in KEY_FIELDS if c in payloads.columns]))
@@ -44,16 +46,23 @@ def save_by_day(payloads: DataFrame, root: str, buckets: int = BUCKETS) -> DataF
     rows = first.select("row.*", "operation_key").withColumns({"day": F.to_date("created_at"), "bucket": F.pmod(F.xxhash64("operation_key"), F.lit(buckets)).cast("int")})
     rows = stored(rows, "batch")
     touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most `buckets`
-    keys = rows.select("operation_key", "asset_id", "bucket")
-    known = _saved(f"{root}/keys", keys).where(F.col("bucket").isin(touched))
-    new = stored(rows.join(known.select("operation_key").hint("merge"), "operation_key", "left_anti"), "new-assets")
-    places = small(new.select("day", "bucket").distinct())
-    old = _saved(f"{root}/assets", rows).join(places, ["day", "bucket"], "left_semi")
-    _replace(old.join(new.select("operation_key").hint("merge"), "operation_key", "left_anti").unionByName(new), f"{root}/assets", ["day", "bucket"])
-    _replace(known.unionByName(new.select(keys.columns)), f"{root}/keys", ["bucket"])
+    ids = rows.select("operation_key", "asset_id", "bucket")
+    known = _saved(f"{root}/keys", ids).where(F.col("bucket").isin(touched))
+    missing = stored(ids.join(known.select("operation_key").hint("merge"), "operation_key", "left_anti"), "missing-keys")
+    saved = _saved(f"{root}/assets", rows).where(F.col("bucket").isin(touched))
+    left = stored(saved.select(ids.columns).join(missing.select("operation_key").hint("merge"), "operation_key", "left_semi"), "left-assets")
+    fresh = stored(rows.join(missing.select("operation_key").hint("merge"), "operation_key", "left_semi").join(small(left.select("operation_key")), "operation_key", "left_anti").select(rows.columns), "new-assets")
+    new = fresh.unionByName(saved.join(small(left.select("operation_key")), "operation_key", "left_semi").select(rows.columns))
+    new = stored(new, "new-and-left-assets") if is_some(left) else fresh
+    _append(fresh, f"{root}/assets", "day")
+    _append(new.select(ids.columns), f"{root}/keys", "operation_key")
     return new
 
 
+def is_some(rows: DataFrame) -> bool:
+    return bool(rows.limit(1).count())
+
+
 def _saved(path: str, like: DataFrame) -> DataFrame:
     """The table at path with the columns of like; empty before the first batch."""
     try:
@@ -62,9 +71,9 @@ def _saved(path: str, like: DataFrame) -> DataFrame:
         return like.limit(0)
 
 
-def _replace(rows: DataFrame, path: str, parts: list[str]) -> None:
-    """Write rows in place of the parts they have."""
-    stored(rows, "parts").repartition(*parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+def _append(rows: DataFrame, path: str, order: str) -> None:
+    """Add rows to their buckets, a file each, in order."""
+    rows.repartition("bucket").sortWithinPartitions("bucket", order).write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def patch(assets: DataFrame, changes: DataFrame, now: Column) -> DataFrame:

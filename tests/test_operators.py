@@ -357,3 +357,12 @@ def test_sketches_are_told_exactly(spark):
     hashes = sorted({int(hashlib.md5(str(i).encode()).hexdigest()[:13], 16) for i in range(200_000)})[: registry.SKETCH]
     got = registry.merged_stats(registry.stat_sketches(rows, ["part"])).collect()[0]
     assert got["sources"] == int((registry.SKETCH - 1) * 2.0**52 / (hashes[-1] + 1)) and abs(got["sources"] - 200_000) < 2_000
+
+
+def test_saving_many_days_writes_few_files(spark):
+    root = storage.scratch(spark, "many-days")
+    batch = spark.range(400).select(F.concat(F.lit("x"), "id").alias("asset_id"), F.concat(F.lit("q"), "id").alias("question"), F.timestamp_seconds(F.col("id") * 86400).alias("created_at"))
+    assert assets.save_by_day(batch, root).count() == 400
+    saved = spark.read.parquet(f"{root}/assets")
+    assert len(saved.inputFiles()) <= assets.BUCKETS and saved.select("day").distinct().count() == 400
+    assert assets.save_by_day(batch, root).count() == 0 and spark.read.parquet(f"{root}/assets").count() == 400
