@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,23 +29,38 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _empty_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, text) of the files of no bytes, as Hadoop lists them: names alone pass the driver, as for any scan."""
+    """(path, text) of the files of no bytes, as the file system lists them: names alone pass the driver, as for any scan."""
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    listed, paths = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
-    while listed.hasNext():
-        file = listed.next()
-        name = file.getPath().getName()
-        if not file.getLen() and name.rsplit(".", 1)[-1] in {x for s in SUFFIXES for x in (s, s.upper())} and "." in name and name[0] not in "._":
-            paths.append((file.getPath().toString(), ""))
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = store.makeQualified(root).toString()
+    paths = [(path, "") for path, size in _listed(store, root, whole) if not size and _is_text(path.rsplit("/", 1)[-1])]
     return spark.createDataFrame(paths, "path string, text string")
 
 
+def _is_text(name: str) -> bool:
+    return "." in name and name[0] not in "._" and name.rsplit(".", 1)[-1] in {x for s in SUFFIXES for x in (s, s.upper())}
+
+
+def _listed(store, root, whole: str) -> Iterator[tuple[str, int]]:
+    """Paths and sizes of all files below root: by Arrow, or from Java one by one, at many calls for each, where Arrow can't open it."""
+    try:
+        own, start = fs.FileSystem.from_uri(whole.replace("file:/", "file:///", 1) if not whole.startswith("file://") else whole)
+        found = own.get_file_info(fs.FileSelector(start, recursive=True))
+    except (OSError, pa.ArrowException):
+        files = store.listFiles(root, True)
+        while files.hasNext():
+            file = files.next()
+            yield file.getPath().toString(), file.getLen()
+        return
+    for info in found:
+        if info.type == fs.FileType.File:
+            yield whole.rstrip("/") + "/" + info.path[len(start.rstrip("/")) + 1 :], info.size
+
+
 def write_texts(docs: DataFrame, folder: str) -> DataFrame:
     """Write docs (name with its suffix, text) as UTF-8 files in the folder; their paths. A repeated task replaces its files whole."""
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         for frame in frames:

@@ -366,3 +366,18 @@ def test_saving_many_days_writes_few_files(spark):
     saved = spark.read.parquet(f"{root}/assets")
     assert len(saved.inputFiles()) <= assets.BUCKETS and saved.select("day").distinct().count() == 400
     assert assets.save_by_day(batch, root).count() == 0 and spark.read.parquet(f"{root}/assets").count() == 400
+
+
+def test_many_files_are_listed_at_once(spark, tmp_path):
+    import time
+
+    (tmp_path / "deep").mkdir()
+    for i in range(2_000):
+        (tmp_path / "deep" / f"{i}.txt").write_text("x" if i % 2 else "")
+    (tmp_path / "e.MD").write_text("")
+    for name in (".h.txt", "_h.txt", "h.bin", "txt"):
+        (tmp_path / name).write_text("")
+    began = time.time()
+    found = files._empty_files(spark, str(tmp_path))
+    assert time.time() - began < 5
+    assert sorted(r["path"] for r in found.collect()) == sorted([f"file:{tmp_path}/e.MD", *(f"file:{tmp_path}/deep/{i}.txt" for i in range(0, 2_000, 2))])
