@@ -381,3 +381,14 @@ def test_many_files_are_listed_at_once(spark, tmp_path):
     found = files._empty_files(spark, str(tmp_path))
     assert time.time() - began < 5
     assert sorted(r["path"] for r in found.collect()) == sorted([f"file:{tmp_path}/e.MD", *(f"file:{tmp_path}/deep/{i}.txt" for i in range(0, 2_000, 2))])
+
+
+def test_only_kept_chunks_are_split_into_postings(spark, tmp_path):
+    chunks = spark.createDataFrame([(f"c{i}", f"w{i % 3} w1 w1") for i in range(9)], "chunk_id string, text string")
+    vectors = chunks.where("chunk_id < 'c4'").select("chunk_id", F.array(F.lit(1.0)).alias("vector"))
+    rows = lambda root: sorted(map(tuple, storage.published(spark, root, "postings").select("term", "chunk_id", "tf").collect()))
+    a, b, c = (f"file://{tmp_path}/{x}" for x in "abc")
+    storage.publish_index(chunks, search.postings(chunks), vectors, a)
+    storage.publish_index(chunks, search.token_rows(chunks), vectors, b)
+    storage.publish_index(chunks, chunks, vectors, c)
+    assert rows(a) == rows(b) == rows(c) and len({r[1] for r in rows(a)}) == 4
