@@ -392,3 +392,26 @@ def test_only_kept_chunks_are_split_into_postings(spark, tmp_path):
     storage.publish_index(chunks, search.token_rows(chunks), vectors, b)
     storage.publish_index(chunks, chunks, vectors, c)
     assert rows(a) == rows(b) == rows(c) and len({r[1] for r in rows(a)}) == 4
+
+
+def test_documents_are_chunked_without_moving_texts(spark):
+    rows = [(str(k), "text" if k % 3 else "pdf", f"first {k}\n\n \n\n{'word ' * 30}{k}\n\nlast") for k in range(40)]
+    rows += [(str(k), "text", f"once more {k}\n\n{'other ' * 9}") for k in range(5)]
+    rows += [(None, "text", "a\n\nb"), (None, "text", "c"), ("m", "text", "# T\nx\n## A\ny\n\nz"), ("n", "text", None), ("o", None, "tiny\n\n" + "long enough for a chunk of its own")]
+    docs = spark.createDataFrame(rows, "source_key string, source_type string, text string")
+    found = chunking.chunk_documents(docs, 50, 10)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["source_key"], {})[r["chunk_index"]] = r["text"]
+        assert r["chunk_id"] == "#".join(filter(None, [r["source_key"], str(r["chunk_index"])]))
+    assert found.count() == sum(map(len, got.values()))  # repeated and missing keys are numbered through
+    assert sorted(got["7"].items())[0] == (0, "first 7") and sorted(got["7"]) == list(range(len(got["7"])))
+    assert set(got[None].values()) == {"a", "b", "c"} and sorted(got[None]) == [0, 1, 2]
+    assert got["6"] and all(len(t.strip()) >= 30 for t in got["6"].values())
+    assert list(got["o"].values()) == ["long enough for a chunk of its own"]
+    assert "once more 4" in got["4"].values() and "first 4" in got["4"].values() and "n" not in got
+    assert [got["m"][k] for k in sorted(got["m"])] == ["# T\nx", "## A\ny\n\nz"]
+    # Of what is sorted or shuffled, nothing is a plain document's text.
+    plan = chunking.chunk_documents(docs.where("length(source_key) = 2"), 50, 10)._jdf.queryExecution().executedPlan().toString()
+    branch = plan.split("Generate posexplode(filter(flatten")
+    assert len(branch) == 2 and "Exchange" not in branch[1].split("Scan")[0]
