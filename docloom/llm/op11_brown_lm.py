@@ -21,6 +21,7 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -43,6 +44,8 @@ RARE, ENDS, FIRST = 0, 1, 2
 ROUNDS = 7
 #: Text bytes, and documents, of a segment; a longer text is a segment of its own.
 SEGMENT_BYTES, SEGMENT_DOCS = 4 << 20, 1 << 16
+#: Segments that a task reads, one after another.
+TASK_SEGMENTS = 8
 #: Text bytes that are tokenised at a time, and rows of words that are handed on together.
 _CHUNK, _ROWS = 1 << 20, 1 << 14
 #: The hash of the end token; no word has it but by chance.
@@ -56,7 +59,7 @@ _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _ROW = np.dtype([("seg", "<i8"), ("i", "<u4"), ("n", "<u4")])
 _ENTRY = np.dtype([("at", "u1"), ("n", "<u4")])
 _ANSWER = np.dtype([("i", "<u4"), ("n", "<u4"), ("cls", "u1")])
-_SEGMENT = "seg long, doc_ids binary, named binary, held binary, first binary, tokens binary, words binary, counts binary"
+_SEGMENT = ["seg", "doc_ids", "named", "held", "first", "tokens", "words", "counts"]
 
 
 def tokens_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +70,11 @@ def tokens_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def write_segments(docs: DataFrame, held: str) -> DataFrame:
-    """The table of segments of docs (doc_id, text, and held: whether a row isn't learnt from)."""
+    """The table of segments (seg, path) of docs (doc_id, text, and held: whether a row isn't learnt from).
+
+    A segment is a file of its own: its arrays go to Python alone, not as large values through the rows of Spark.
+    """
+    folder = scratch(docs.sparkSession, "op11-segments")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, rows, size, docs_held = TaskContext.get().partitionId(), 0, [], 0, 0
@@ -87,9 +94,15 @@ def write_segments(docs: DataFrame, held: str) -> DataFrame:
                 np.concatenate([k for k, _, _, _, _, _ in rows]), np.concatenate([k for _, k, _, _, _, _ in rows]), held_out, first.astype("<i8"), tokens.astype("<u2" if len(words) <= 1 << 16 else "<u4"), words,
                 np.bincount(learnt, minlength=len(words)).astype("<u4"),
             ]
-            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=[c.split()[0] for c in _SEGMENT.split(", ")])
+            number = pa.array([part << 32 | seq], pa.int64())
+            out = pa.RecordBatch.from_arrays([number, *(pa.array([v.tobytes()], pa.large_binary()) for v in values)], names=_SEGMENT)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, out.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(out)
+            # Of a repeated task each attempt has its own name; the table has that of the one that counts.
+            path = put_file(folder, f"{part}-{seq}-{uuid.uuid4().hex}.segment", sink.getvalue())
             seq, rows, size, docs_held = seq + 1, [], 0, 0
-            return out
+            return pa.RecordBatch.from_pydict({"seg": number, "path": [path]})
 
         for batch in batches:
             data, off = utf8_column(batch.column(1))
@@ -106,20 +119,20 @@ def write_segments(docs: DataFrame, held: str) -> DataFrame:
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col(held), F.lit(False)).alias("held"))
-    return written(rows.mapInArrow(lean(run), _SEGMENT), "op11-segments")
+    segments = written(rows.mapInArrow(lean(run), "seg long, path string"), "op11-paths")
+    return segments.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-segments.count() // TASK_SEGMENTS)))
 
 
 class Segment:
-    """One row of the table of segments, of which only the columns read are filled."""
+    """One segment's arrays."""
 
     def __init__(self, row: pa.RecordBatch):
         def column(name: str, kind: str) -> np.ndarray:
-            return np.frombuffer(row.column(name)[0].as_py(), kind) if name in row.schema.names else np.zeros(0, kind)
+            return np.frombuffer(row.column(name)[0].as_buffer(), kind)
 
         self.seg = row.column("seg")[0].as_py()
         self.words, self.counts, self.first, self.held = column("words", "<u8"), column("counts", "<u4"), column("first", "<i8"), column("held", "?")
-        tokens = row.column("tokens")[0].as_py() if "tokens" in row.schema.names else b""
-        self.tokens = np.frombuffer(tokens, "<u2" if len(self.words) <= 1 << 16 else "<u4")
+        self.tokens = column("tokens", "<u2" if len(self.words) <= 1 << 16 else "<u4")
         self.doc_ids, self.named = column("doc_ids", "<i8"), column("named", "?")
 
     def learnt(self) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +144,9 @@ class Segment:
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[Segment]:
     for batch in batches:
-        for k in range(batch.num_rows):
-            yield Segment(batch.slice(k, 1))
+        for path in batch.column("path").to_pylist():
+            with pa.ipc.open_stream(get_file(path)) as stream:
+                yield Segment(stream.read_next_batch())
 
 
 def word_counts(segments: DataFrame) -> DataFrame:
@@ -143,7 +157,7 @@ def word_counts(segments: DataFrame) -> DataFrame:
             seen = s.counts > 0
             yield pa.RecordBatch.from_pydict({"word": pa.array(s.words[seen].view(np.int64)), "n": pa.array(s.counts[seen].astype(np.int64))})
 
-    return written(segments.select("seg", "words", "counts").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "op11-counts")
+    return written(segments.mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "op11-counts")
 
 
 @dataclass
@@ -214,7 +228,7 @@ def neighbour_counts(segments: DataFrame, classes: Classes) -> DataFrame:
             total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in mine.column(1))
             yield pa.RecordBatch.from_pydict({"block": pa.array([mine.column(0)[0].as_py()], pa.int32()), "data": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
-    parts = segments.select("seg", "held", "first", "tokens", "words").mapInArrow(lean(count), "block int, data binary")
+    parts = segments.mapInArrow(lean(count), "block int, data binary")
     return written(parts.repartition("block").sortWithinPartitions("block").mapInArrow(lean(add), "block int, data binary"), "op11-neighbours")
 
 
@@ -420,7 +434,7 @@ def rest_classes(segments: DataFrame, classes: Classes, bigrams: np.ndarray, fol
             path = put_file(folder, f"{seg}.rest", b"".join(x.as_py() for x in mine.column(1)))
             yield pa.RecordBatch.from_pydict({"seg": pa.array([seg], pa.int64()), "path": [path]})
 
-    rows = segments.select("seg", "held", "first", "tokens", "words", "counts").mapInArrow(lean(emit), "word long, row binary")
+    rows = segments.mapInArrow(lean(emit), "word long, row binary")
     answers = rows.repartition("word").sortWithinPartitions("word").mapInArrow(lean(choose), "seg long, answers binary")
     return written(answers.repartition("seg").sortWithinPartitions("seg").mapInArrow(lean(put), "seg long, path string"), "op11-files")
 
@@ -459,7 +473,7 @@ def class_trigrams(segments: DataFrame, classes: Classes, folder: str) -> np.nda
             total += np.bincount(((two * k + one) * k + of)[keep], minlength=k**3)
         yield pa.RecordBatch.from_pydict({"k": pa.array(range(k), pa.int32()), "v": pa.array([row.tobytes() for row in total.reshape(k, k * k)], pa.binary())})
 
-    found = added(segments.select("seg", "held", "first", "tokens", "words").mapInArrow(lean(run), "k int, v binary"), k)
+    found = added(segments.mapInArrow(lean(run), "k int, v binary"), k)
     return found.reshape(k, k, k) if found.shape[1] == k * k else np.zeros((k, k, k))
 
 

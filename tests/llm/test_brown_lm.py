@@ -167,3 +167,15 @@ def test_nothing_to_learn_from(spark):
     _, _, found = learnt(spark, [(1, "a b", True), (2, None, True)])
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in found} == {(1, 3, 0, 0), (2, 1, 0, 0)}
     assert all(np.isfinite(r.score) and r.base_score == pytest.approx(0) for r in found)
+
+
+def test_segments_do_not_pass_through_rows(spark):
+    docs = spark.createDataFrame([(k, f"a b c{k % 7} " * 50, k % 5 == 0) for k in range(60)], "doc_id long, text string, held boolean")
+    segments = op11.write_segments(docs.repartition(20), "held")
+    # Numbers and paths alone are rows of Spark; the arrays are read by the tasks that use them.
+    assert segments.columns == ["seg", "path"]
+    assert segments.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-segments.count() // op11.TASK_SEGMENTS))
+    found = list(op11._segments(segments.toArrow().to_batches()))
+    assert sorted(d for s in found for d in s.doc_ids.tolist()) == list(range(60))
+    assert {s.seg for s in found} == {r["seg"] for r in segments.collect()}
+    assert sum(int(s.counts.sum()) for s in found) == sum(3 * 50 + 1 for k in range(60) if k % 5)
