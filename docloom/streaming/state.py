@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -76,27 +76,30 @@ class InFlight(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.taken = handle, handle.getValueState("taken", "at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = last = self.taken.get()[0] if self.taken.exists() else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Every call to the state is a message to the JVM and back.
+        found = self.taken.get()
+        before = last = found[0] if found else None
         out = []
-        for at in sorted(at for frame in rows for at in frame["at"].tolist()):
+        for at in sorted(row["at"] for row in rows):
             if last is None or at - last > self.gap:
                 out.append(at)
                 last = at
         if last != before:
             self.taken.update((last,))
             self.handle.registerTimer(self._end(last))
-        yield pd.DataFrame({"content_hash": pd.Series([key[0]] * len(out), dtype="object"), "at": pd.Series(out, dtype="int64")})
+        return iter([Row(content_hash=key[0], at=at) for at in out])
 
     def _end(self, at: int) -> int:
         """The first millisecond at which an upload is more than the gap after this one."""
         return (at + self.gap) // 1000 + 1
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # A later upload set a timer of its own.
-        if self.taken.exists() and self._end(self.taken.get()[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+        found = self.taken.get()
+        if found and self._end(found[0]) <= expiredTimerInfo.getExpiryTimeInMs():
             self.taken.clear()
-        yield pd.DataFrame({"content_hash": pd.Series([], dtype="object"), "at": pd.Series([], dtype="int64")})
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -114,7 +117,7 @@ def first_uploads_in_time(events: DataFrame, within: str = IN_FLIGHT, late: str
     use_store(events.sparkSession)
     gap = int(pd.Timedelta(within) / pd.Timedelta(microseconds=1))
     rows = events.where("ts is not null").select("content_hash", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at")).withWatermark("ts", late)
-    kept = rows.groupBy("content_hash").transformWithStateInPandas(InFlight(gap), "content_hash string, at long", "append", "eventtime")
+    kept = rows.groupBy("content_hash").transformWithState(InFlight(gap), "content_hash string, at long", "append", "eventtime")
     return kept.select("content_hash", F.timestamp_micros("at").alias("ts"))
 
 

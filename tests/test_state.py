@@ -62,3 +62,47 @@ def test_latest_events_by_their_state(spark, tmp_path):
     found = state.read_latest(spark, f"{tmp_path}/c")
     assert {r["task_id"]: (r["seq"], r["status"]) for r in found.collect()} == {0: (6, "done"), 1: (7, "done"), 2: (8, "done")}
     assert state.read_latest(spark, f"{tmp_path}/c", 0).count() <= 3
+
+
+def test_a_content_costs_few_calls_to_the_state():
+    class Value:
+        def __init__(self, calls):
+            self.calls, self.at = calls, None
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.at is not None
+
+        def get(self):
+            self.calls.append("get")
+            return self.at
+
+        def update(self, at):
+            self.calls.append("update")
+            self.at = at
+
+        def clear(self):
+            self.calls.append("clear")
+            self.at = None
+
+    class Handle:
+        def __init__(self):
+            self.calls = []
+
+        def getValueState(self, name, schema):
+            return Value(self.calls)
+
+        def registerTimer(self, at):
+            self.calls.append("timer")
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return 10**9
+
+    handle, flight = Handle(), state.InFlight(100)
+    flight.init(handle)
+    got = flight.handleInputRows(("c",), iter([{"at": 350}, {"at": 0}, {"at": 100}, {"at": 101}]), None)
+    assert [(r["content_hash"], r["at"]) for r in got] == [("c", 0), ("c", 101), ("c", 350)]
+    assert handle.calls == ["get", "update", "timer"]
+    assert not list(flight.handleInputRows(("c",), iter([{"at": 450}]), None)) and handle.calls[3:] == ["get"]
+    assert not list(flight.handleExpiredTimer(("c",), None, Expired())) and handle.calls[4:] == ["get", "clear"]
