@@ -431,3 +431,41 @@ def test_the_best_scores_are_those_of_all_scores(spark):
             assert sorted(map(tuple, order(best).select("qid", "chunk_id", "score", "rank").collect())) == want
     finally:
         search.CELLS, search.BATCH = kept
+
+
+def test_files_are_no_state_of_the_driver(spark, tmp_path):
+    folder = f"file://{tmp_path}/in"
+    docs = spark.range(3_000).select(F.concat("id", F.lit(".txt")).alias("name"), F.concat(F.lit("x"), "id").alias("text"))
+    paths = [r["path"] for r in files.write_texts(docs, folder).collect()]
+    rows = files.read_texts(spark, folder)
+    # No scan's driver holds the files, tasks read many, and no folder has them all.
+    assert len(rows.inputFiles()) < 100 and rows.rdd.getNumPartitions() < 50
+    assert sorted((r["path"], r["text"]) for r in rows.collect()) == sorted(("file:" + p.removeprefix("file://"), "x" + p.rsplit("/", 1)[1][:-4]) for p in paths)
+    assert len(set(paths)) == 3_000 and max(len(list(p.iterdir())) for p in (tmp_path / "in").iterdir()) < 50
+
+
+def test_files_of_odd_names_and_places(spark, tmp_path):
+    want = {"a b.txt": "x", "50%.md": "ä", "p%20q.txt": "", "a[1].MD": "z", "deep/er/x?.txt": "y" * 100, "deep/e.txt": "", "k=1/v.txt": "v", "_k=2.txt": "w", "deep/_k=3/u.md": "u"}
+    for name in [*want, ".h.txt", "_h.txt", "h.bin", "txt", "t.txt._COPYING_", "_tmp/n.txt", "_tmp/empty.txt", "deep/.git/n.md", "deep/.git/empty.md", "no/text.bin"]:
+        (tmp_path / "in dir" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in dir" / name).write_text(want.get(name, "" if "empty" in name else "n"))
+    (tmp_path / "linked").mkdir()
+    (tmp_path / "linked" / "l.txt").write_text("l")
+    (tmp_path / "in dir" / "link").symlink_to(tmp_path / "linked")
+    (tmp_path / "in dir" / "gone.txt").symlink_to(tmp_path / "nowhere")
+    want["link/l.txt"] = "l"
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.odd.link./in", f"file://{tmp_path}/in%20dir")
+    kept = files.BATCH_BYTES, files.LIST_NAMES, files.SCAN_FILES
+    try:
+        # At once and in small batches; by Arrow, and by Java where Arrow can't open the folder.
+        for files.BATCH_BYTES, files.LIST_NAMES, files.SCAN_FILES in (kept, (60, 2, 2)):
+            for folder, start in ((f"{tmp_path}/in dir", f"file:{tmp_path}/in dir"), (f"file://{tmp_path}/in dir/", f"file:{tmp_path}/in dir"), ("viewfs://odd/in", "viewfs://odd/in")):
+                got = [(r["path"], r["text"]) for r in files.read_texts(spark, folder).collect()]
+                assert sorted(got) == sorted((f"{start}/{name}", text) for name, text in want.items())
+    finally:
+        files.BATCH_BYTES, files.LIST_NAMES, files.SCAN_FILES = kept
+    assert [(r["path"], r["text"]) for r in files.read_texts(spark, f"{tmp_path}/in dir/a b.txt").collect()] == [(f"file:{tmp_path}/in dir/a b.txt", "x")]
+    (tmp_path / "none").mkdir()
+    assert files.read_texts(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_texts(spark, f"{tmp_path}/nowhere")
